@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ravelin.llm.common import table
+from ravelin.llm.minhash import near_duplicates
 from ravelin.llm.packing import pack
 from ravelin.llm.quality_lines import line_rules
 
@@ -15,11 +16,16 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("rid")
+
+
 def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op7_minhash": op7_minhash,
     "op9_line_frequency": op9_line_frequency,
 }
