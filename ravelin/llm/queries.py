@@ -10,6 +10,7 @@ from ravelin.llm.common import table
 from ravelin.llm.minhash import near_duplicates
 from ravelin.llm.packing import pack
 from ravelin.llm.quality_lines import line_rules
+from ravelin.llm.suffix_dedup import suffix_dedup
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +25,13 @@ def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("spans", "kept_bytes")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op7_minhash": op7_minhash,
     "op9_line_frequency": op9_line_frequency,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
