@@ -12,7 +12,7 @@ passage that many documents share come late and are mostly never posted.
 *Skip merging.* In each posting list all members are first tried against the list's smallest only, and confirmed links
 are joined into components. A list whose members are then in one component is skipped as a whole. In what remains, only
 pairs between different components are counted, in blocks of bounded size, with a longer signature (`FINE` coordinates,
-`FINE_MATCHES` of them; a true pair falls short with probability 1e-7).
+`FINE_MATCHES` of them; a true pair falls short with probability 1e-7), and all lists that hold a pair but the first skip it.
 
 Every candidate is confirmed on the full sets of both documents. No list is cut and no pair is left out; copies are never
 expanded into pairs.
@@ -39,7 +39,7 @@ from ravelin.llm.runs import runs
 
 WORDS = 5
 COORDS, MATCHES = 32, 16
-FINE, FINE_MATCHES = 512, 393
+FINE, FINE_MATCHES = 1024, 811
 BLOCK = 1500
 #: Links are pairs with 100 * |intersection| >= PERCENT * |union|.
 PERCENT = 85
@@ -164,9 +164,12 @@ def _between(percent: int):
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[np.ndarray, np.ndarray]] = []
-        for (_, i, j), g in runs(batches, ["key", "i", "j"]):
+        for (key, i, j), g in runs(batches, ["key", "i", "j"]):
             cid, label, n, block = (g.column(x).to_numpy() for x in ("cid", "label", "n", "block"))
             sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint8).reshape(len(cid), FINE)
+            posted = np.full((len(cid), COORDS), -1, np.int64)
+            for r, keys in enumerate(g.column("posted").to_pylist()):
+                posted[r, : len(keys)] = keys
             rows = np.flatnonzero(block == i)
             cols = rows if i == j else np.flatnonzero(block == j)
             for r in rows:
@@ -174,6 +177,8 @@ def _between(percent: int):
                 c = c[100 * np.minimum(n[c], n[r]) >= percent * np.maximum(n[c], n[r])]
                 c = c[(sig[c, :64] == sig[r, :64]).sum(axis=1) >= 34]  # of 64 at 0.85: 7 deviations under the mean
                 c = c[(sig[c] == sig[r]).sum(axis=1) >= FINE_MATCHES]
+                common = (posted[c][:, :, None] == posted[r][None, None, :]) & (posted[c] >= 0)[:, :, None]
+                c = c[np.where(common.any(axis=2), posted[c], 1 << 62).min(axis=1) == key]  # a pair's other lists skip it
                 if len(c):
                     out.append((np.minimum(cid[c], cid[r]), np.maximum(cid[c], cid[r])))
             if sum(len(x[0]) for x in out) > 50_000:
@@ -227,11 +232,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     split = kept_table(split.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("g")), "split")
     open_ = marked.join(split, "key")
     fine = texts.join(open_.select("cid").distinct(), "cid", "left_semi").mapInArrow(_fine, "cid long, sig binary")
-    fine = kept_table(fine, "fine")
+    fine = kept_table(fine.join(lists.groupBy("cid").agg(F.collect_list("key").alias("posted")), "cid"), "fine")
     block = F.pmod(F.xxhash64("cid"), F.col("g")).cast("int")
     blocks = open_.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     blocks = blocks.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).join(fine, "cid")
-    dealt = blocks.select("key", "i", "j", "cid", "n", "label", "block", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = blocks.select("key", "i", "j", "cid", "n", "label", "block", "sig", "posted").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     between = kept_table(dealt.mapInArrow(_between(percent), "a long, b long").distinct(), "between")
     labels = relabelled(labels, _confirmed(between, texts, percent))
 
