@@ -9,8 +9,8 @@ per 80 bytes of text.
 *Second digit.* The stretch that these windows cover together. Rows equal in it have all their windows repeated, so copies
 and interior parts of shared passages end here; they are counted with partial sums, never gathered.
 *Last digits.* What is left are edges of repeats. There the place of the minimiser and the 200 bytes of each window are
-sorted within its group. Groups of more than `PART` rows are dealt out over parts; windows alone in their part are counted
-once more over all parts, so no group must fit in one task.
+sorted within its group. Groups of more than `PART` rows are dealt out over parts; windows alone in their part meet one of
+each that another part holds, dealt by the window, so no group must fit in one task.
 
 Digits are compared by 64-bit fingerprints, each within the group of the digit before.
 
@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import encoded, kept_table, mix, small_batches
+from ravelin.llm.common import encoded, kept_table, mix, parts_of, small_batches
 from ravelin.llm.rolling import gram_hashes, sliding_least, span_hashes
+from ravelin.llm.runs import runs
 
 DEPTH, GRAM = 200, 32
 PART = 400
@@ -100,8 +101,8 @@ def _edges(depth: int):
         import zstandard
 
         expand = zstandard.ZstdDecompressor()
-        names = ["one", "part", "times", "doc_id", "thash", "first", "place", "bytes"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["one", "part", "hot", "times", "doc_id", "thash", "first", "place", "bytes"]
+        kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for b in batches:
             out: list[list] = [[] for _ in names]
             for doc, th, z, rows in zip(*(b.column(x).to_pylist() for x in ("doc_id", "thash", "z", "edges")), strict=True):
@@ -109,7 +110,7 @@ def _edges(depth: int):
                 for r in rows:
                     p, lo, n = r["pack"] >> 16, r["pack"] >> 8 & 255, r["pack"] & 255
                     first = p - lo
-                    for x, v in zip(out, (r["one"], r["part"], r["times"], doc, th, first, lo, data[first : first + n + depth]), strict=True):
+                    for x, v in zip(out, (r["one"], r["part"], r["hot"], r["times"], doc, th, first, lo, data[first : first + n + depth]), strict=True):
                         x.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
 
@@ -131,8 +132,28 @@ def _window_keys(t: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return row, nth, mix(h + mix(one + place * np.uint64(0xD6E8FEB86659FD93)))
 
 
+_MOST = 232  # windows of a row, at most, in whole bytes
+
+
+def _bits(row: np.ndarray, nth: np.ndarray, flags: np.ndarray, wanted: np.ndarray) -> pa.Array:
+    """A bit per window for each wanted row, null for others."""
+    m = np.zeros((len(wanted), _MOST), bool)
+    m[row, nth] = flags
+    packed = np.packbits(m, axis=1)
+    return pa.array([packed[i].tobytes() if w else None for i, w in enumerate(wanted)], pa.binary())
+
+
+def _flags(column: pa.ChunkedArray, row: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    packed = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, _MOST // 8)
+    return np.unpackbits(packed, axis=1)[row, nth].astype(bool)
+
+
 def _compare(depth: int):
-    """Rows with the first and last of their windows that are repeated in their part (-1: none)."""
+    """Rows with the first and last of their windows that are repeated in their part (-1: none).
+
+    Rows of groups in several parts also tell which windows are alone in their part (open), and for which they are the
+    first of several (lead).
+    """
 
     def flush(t: pa.Table) -> pa.RecordBatch:
         row, nth, key = _window_keys(t, depth)
@@ -144,10 +165,14 @@ def _compare(depth: int):
         total = np.add.reduceat(times[order], edge)
         good = np.zeros(len(k), bool)
         good[order] = np.repeat(total > 1, np.diff(np.r_[edge, len(k)]))
+        lead = np.zeros(len(k), bool)
+        lead[order[edge]] = total > 1
+        hot = t.column("hot").to_numpy(zero_copy_only=False)
         lo, hi = np.full(len(t), 1 << 30), np.full(len(t), -1)
         np.minimum.at(lo, row[good], nth[good])
         np.maximum.at(hi, row[good], nth[good])
         t = t.append_column("lo", pa.array(np.where(hi < 0, -1, lo), pa.int32())).append_column("hi", pa.array(hi, pa.int32()))
+        t = t.append_column("open", _bits(row, nth, ~good, hot)).append_column("lead", _bits(row, nth, lead, hot))
         return t.combine_chunks().to_batches()[0]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,22 +193,52 @@ def _compare(depth: int):
     return compare
 
 
-def _open(depth: int):
-    """Windows outside of what is known of a row, as keys."""
+_OPEN = np.dtype([("key", "<u8"), ("doc", "<i8"), ("null", "?"), ("thash", "<i8"), ("start", "<i8"), ("times", "<i4")])
+
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _open(depth: int, shares: int):
+    """Windows that a part can't decide, and one of each that it has twice, as blocks of records dealt by key."""
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             t = pa.Table.from_batches([b])
             row, nth, key = _window_keys(t, depth)
-            lo, hi = t.column("lo").to_numpy()[row], t.column("hi").to_numpy()[row]
-            out = (hi < 0) | (nth < lo) | (nth > hi)
-            pick = pa.array(row[out])
-            cols = [t.column(c).combine_chunks().take(pick) for c in ("doc_id", "thash", "first", "times")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(nth[out], pa.int32()), pa.array(key[out].view(np.int64))], ["doc_id", "thash", "first", "times", "nth", "key"])
-
-    return keys
+            lead = _flags(t.column("lead"), row, nth)
+            out = np.flatnonzero(_flags(t.column("open"), row, nth) | lead)
+            x = np.zeros(len(out), _OPEN)
+            row = row[out]
+            doc = t.column("doc_id").combine_chunks()
+            x["key"], x["doc"], x["null"] = key[out], doc.fill_null(0).to_numpy()[row], doc.is_null().to_numpy(zero_copy_only=False)[row]
+            x["thash"], x["start"], x["times"] = t.column("thash").to_numpy()[row], t.column("first").to_numpy()[row] + nth[out], np.where(lead[out], 2, t.column("times").to_numpy()[row])
+            share = ((x["key"] >> np.uint64(32)) % np.uint64(shares)).astype(np.int64)
+            order = np.argsort(share, kind="stable")
+            which, at = np.unique(share[order], return_index=True)
+            parts = np.split(x[order], at[1:]) if len(which) else []
+            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["share", "block"])
+
+    return blocks
+
+
+def _late(depth: int):
+    """Spans of windows that occur again in another part."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, g in runs(batches, ["share"]):
+            x = np.concatenate([np.frombuffer(v, _OPEN) for v in g.column("block").to_pylist()])
+            x = x[np.argsort(x["key"], kind="stable")]
+            edge = np.flatnonzero(np.r_[True, x["key"][1:] != x["key"][:-1]])
+            again = np.repeat(np.add.reduceat(x["times"], edge) > 1, np.diff(np.r_[edge, len(x)]))
+            x = np.sort(x[again], order=["doc", "null", "thash", "start"])
+            if len(x):
+                new = np.r_[True, (x["doc"][1:] != x["doc"][:-1]) | (x["null"][1:] != x["null"][:-1]) | (x["thash"][1:] != x["thash"][:-1]) | (x["start"][1:] > x["start"][:-1] + 1)]
+                a = np.flatnonzero(new)
+                z = np.r_[a[1:], len(x)] - 1
+                doc = pa.array(x["doc"][a], mask=x["null"][a])
+                yield pa.RecordBatch.from_arrays([doc, pa.array(x["thash"][a]), pa.array(x["start"][a]), pa.array(x["start"][z] + depth)], ["doc_id", "thash", "lo", "hi"])
+
+    return find
 
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
@@ -213,20 +268,20 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     edges = alone.unionByName(keep)
     sizes = kept_table(edges.groupBy("one").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")), "sizes")
     edges = edges.join(sizes, "one").withColumn("part", F.pmod(F.xxhash64(*_DOC, "pack"), F.col("parts")).cast("int"))
-    by_doc = edges.groupBy(*_DOC).agg(F.collect_list(F.struct("one", "part", "times", "pack")).alias("edges"))
+    by_doc = edges.groupBy(*_DOC).agg(F.collect_list(F.struct("one", "part", (F.col("parts") > 1).alias("hot"), "times", "pack")).alias("edges"))
     texts = base.where(F.octet_length("text") >= depth).mapInArrow(_texts, "doc_id long, thash long, z binary")
     by_doc = kept_table(by_doc.withColumnsRenamed({"doc_id": "ed", "thash": "et"}), "edges")  # edges of repeated rows count as two already
     same = F.col("doc_id").eqNullSafe(F.col("ed")) & (F.col("thash") == F.col("et"))
     cut = texts.join(by_doc, same).select(*_DOC, "z", "edges").mapInArrow(
-        _edges(depth), "one long, part int, times int, doc_id long, thash long, first long, place int, bytes binary"
+        _edges(depth), "one long, part int, hot boolean, times int, doc_id long, thash long, first long, place int, bytes binary"
     )
     dealt = cut.repartition("one", "part").sortWithinPartitions("one", "part")
-    schema = "one long, part int, times int, doc_id long, thash long, first long, place int, bytes binary, lo int, hi int"
+    schema = "one long, part int, hot boolean, times int, doc_id long, thash long, first long, place int, bytes binary, lo int, hi int, open binary, lead binary"
     compared = kept_table(dealt.mapInArrow(_compare(depth), schema), "compared")
-    hot = compared.join(sizes.where("parts > 1").select("one"), "one", "left_semi")
-    open_ = hot.mapInArrow(_open(depth), "doc_id long, thash long, first long, times int, nth int, key long")
-    again = kept_table(open_.groupBy("key").agg(F.sum("times").alias("n")).where("n > 1").select("key"), "again")
-    late = open_.join(again, "key").select(*_DOC, (F.col("first") + F.col("nth")).alias("lo"), (F.col("first") + F.col("nth") + depth).alias("hi"))
+    hot = compared.where("hot")
+    shares = max(parts_of(docs.sparkSession), hot.count() // 5000 + 1)
+    blocks = hot.mapInArrow(_open(depth, shares), "share long, block binary").repartition(shares, "share").sortWithinPartitions("share")
+    late = blocks.mapInArrow(_late(depth), "doc_id long, thash long, lo long, hi long")
 
     near = compared.where("hi >= 0").select(*_DOC, (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi") + depth).alias("hi"))
     return shared.where("alike").select(*_DOC, *whole).unionByName(many.select(*_DOC, *whole)).unionByName(near).unionByName(late)
