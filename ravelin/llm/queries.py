@@ -12,6 +12,7 @@ from ravelin.llm.common import table
 from ravelin.llm.lm_score import lm_scores
 from ravelin.llm.minhash import near_duplicates
 from ravelin.llm.packing import pack
+from ravelin.llm.pieces import piece_digests
 from ravelin.llm.quality_lines import line_rules
 from ravelin.llm.suffix_dedup import suffix_dedup
 from ravelin.llm.token_spans import section_tokens
@@ -32,6 +33,10 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rows, rows.where("vec_id % 50 = 0"), 5)
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs.select("doc_id", "text"), language.fit(docs)).drop("row")
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_packing": op2_packing,
     "op3_topk": op3_topk,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_language": op5_language,
     "op6_chunk_dedup": op6_chunk_dedup,
     "op7_minhash": op7_minhash,
