@@ -42,14 +42,18 @@ def gear(b: np.ndarray) -> np.ndarray:
 
 
 def chunk_ends(data: bytes, bits: int = AVERAGE_BITS, smallest: int = SMALLEST, largest: int = LARGEST) -> list[int]:
-    """Where chunks end; the last is the text's end."""
+    """Where chunks end: never within a character; the last is the text's end."""
     if not data:
         return []
-    cuts = (np.flatnonzero(gear(np.frombuffer(data, np.uint8)) >> np.uint32(32 - bits) == 0) + 1).tolist()
+    b = np.frombuffer(data, np.uint8)
+    whole = np.r_[(b[1:] & 0xC0) != 0x80, True]
+    cuts = (np.flatnonzero((gear(b) >> np.uint32(32 - bits) == 0) & whole) + 1).tolist()
     ends, at = [], 0
     for c in [*cuts, len(data)]:
         while c - at > largest:
             at += largest
+            while at < c and data[at] & 0xC0 == 0x80:
+                at += 1
             ends.append(at)
         if c - at >= smallest:
             ends.append(c)
@@ -103,9 +107,12 @@ def _runs(least: int):
 
 def chunk_dedup(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bits: int = AVERAGE_BITS, smallest: int = SMALLEST,
-    largest: int = LARGEST, least: int = LEAST,
+    largest: int = LARGEST, least: int = LEAST, carry: bool = False,
 ) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans and kept_bytes, one row per input row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans and kept_bytes, one row per input row.
+
+    carry: also the other columns of docs, in the struct `row`.
+    """
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     scan = base.mapInArrow(_chunks(bits, smallest, largest), "doc_id long, thash long, d1 long, d2 long, pack long")
@@ -115,4 +122,4 @@ def chunk_dedup(
     own = F.col("doc_id").eqNullSafe(F.col("keeper"))
     by_doc = hit.groupBy("doc_id", "thash").agg(F.collect_list(F.struct("d1", "d2", "pack", own.alias("own"))).alias("chunks"))
     spans = by_doc.mapInArrow(_runs(least), "doc_id long, thash long, lo long, hi long")
-    return remove_spans(docs, spans, id_col=id_col, text_col=text_col)
+    return remove_spans(docs, spans, id_col=id_col, text_col=text_col, carry=carry)

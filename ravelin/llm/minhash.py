@@ -195,15 +195,17 @@ def _pairs(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept, and rid, which tells rows with one id apart.
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, rid_col: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept, and rid and label.
 
-    percent is at least 85: the match thresholds are set for that.
+    percent is at least 85: the match thresholds are set for that. rid tells rows with one id apart; rid_col gives it, a
+    unique long, if there is one. label is the component's class, null for empty sets.
     """
     if percent < PERCENT:
         raise ValueError(f"thresholds are set for {PERCENT} % and more")
     small_batches(docs.sparkSession)
-    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rid = F.col(rid_col) if rid_col else F.monotonically_increasing_id()
+    base = docs.select(rid.alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = kept_table(base.mapInArrow(_sets, _SETS), "sets")
     held = sets.where("n > 0")
     classes = kept_table(held.groupBy("digest", "n").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("least_id")), "classes")
@@ -244,7 +246,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     least_id = of_class.groupBy("label").agg(F.min("least_id").alias("component_id"))
     final = kept_table(of_class.join(least_id, "label").select("digest", "n", "component_id", "label"), "final")
     held_out = sets.where("n > 0").select("rid", "doc_id", "n", "digest").join(final, ["digest", "n"])
-    result = held_out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "rid").unionByName(
-        sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "rid")
+    result = held_out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "rid", "label").unionByName(
+        sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "rid", F.lit(None).cast("long").alias("label"))
     )
-    return result.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "rid")
+    return result.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "rid", "label")

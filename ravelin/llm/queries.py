@@ -47,7 +47,7 @@ def op6_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("rid")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("rid", "label")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

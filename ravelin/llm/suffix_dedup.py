@@ -91,7 +91,9 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data = encoded(b.column("text"))
         th, z = [text_hash(x) for x in data], [squeeze.compress(x) for x in data]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(th, pa.int64()), pa.array(z, pa.binary())], ["doc_id", "thash", "z"])
+        more = [n for n in b.schema.names if n not in ("doc_id", "text")]
+        cols = [b.column("doc_id"), pa.array(th, pa.int64()), pa.array(z, pa.binary()), *(b.column(n) for n in more)]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "thash", "z", *more])
 
 
 def _edges(depth: int):
@@ -317,20 +319,27 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept = without_spans(data, runs)
             out.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), [x for s in runs for x in s], kept))
         cols = list(zip(*out, strict=True)) or [()] * 6
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, k) for x, k in zip(cols, kinds, strict=True))], names)
+        more = [n for n in b.schema.names if n not in ("doc_id", "z", "spans")]
+        own = [pa.array(x, k) for x, k in zip(cols, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *own, *(b.column(n) for n in more)], [*names, *more])
 
 
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept_bytes binary"
 
 
-def remove_spans(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs what is left without spans(doc_id, thash, lo, hi); spans come out as lo, hi, lo, hi, ..."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = base.mapInArrow(_texts, "doc_id long, thash long, z binary")
+def remove_spans(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """Per row of docs what is left without spans(doc_id, thash, lo, hi); spans come out as lo, hi, lo, hi, ...
+
+    carry: also the other columns of docs, in the struct `row`.
+    """
+    row = F.struct(*(c for c in docs.columns if c != text_col)).alias("row")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([row] if carry else []))
+    more = f", row {base.schema['row'].dataType.simpleString()}" if carry else ""
+    texts = base.mapInArrow(_texts, f"doc_id long, thash long, z binary{more}")
     by_doc = spans.groupBy(*_DOC).agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).withColumnsRenamed({"doc_id": "sd", "thash": "st"})
     by_doc = kept_table(by_doc, "spans")
-    joined = texts.join(by_doc, F.col("doc_id").eqNullSafe(F.col("sd")) & (F.col("thash") == F.col("st")), "left").select("doc_id", "z", "spans")
-    return joined.mapInArrow(_remove, REMOVED)
+    joined = texts.join(by_doc, F.col("doc_id").eqNullSafe(F.col("sd")) & (F.col("thash") == F.col("st")), "left").select("doc_id", "z", "spans", *(["row"] if carry else []))
+    return joined.mapInArrow(_remove, REMOVED + more)
 
 
 def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
