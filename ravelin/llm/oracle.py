@@ -1,3 +1,72 @@
-"""DuckDB SQL for the corpus queries that SQL can express."""
+"""DuckDB SQL for the corpus queries that SQL can express.
 
-ORACLE: dict[str, str] = {}
+The others (token ids, kernels, chunk hashes, whole texts by byte) are tested against brute force in tests/llm.
+"""
+
+from ravelin.llm.quality_lines import LEAST_LEFT, MIN_DOCS, SHARE
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORD = r"[^\x20\x09-\x0D]+"
+
+_TOPK = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM v AS q JOIN v AS c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+_NEAR = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words
+), shingles AS (SELECT doc_id, unnest(s) AS g FROM sets),
+sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles AS a JOIN shingles AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes AS x ON x.doc_id = a JOIN sizes AS y ON y.doc_id = b WHERE 100 * shared.n >= 85 * (x.n + y.n - shared.n)
+), pairs AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id, doc_id AS root FROM sizes UNION SELECT pairs.b, reach.root FROM reach JOIN pairs ON pairs.a = reach.doc_id
+), least AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sizes JOIN least USING (doc_id)
+"""
+
+_LINES = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, '=' || source AS source FROM documents),
+lines AS (
+  SELECT doc_id, coalesce(source, '') AS host, md5(t) AS text_key, unnest(string_split(t, chr(10))) AS line FROM d
+), good AS (
+  SELECT doc_id, host, text_key, line, regexp_extract_all(translate(line, '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM lines
+), keyed AS (SELECT *, array_to_string(w, ' ') AS k, len(w) AS n FROM good WHERE len(w) > 0),
+docs_of AS (SELECT coalesce(source, '') AS host, count(DISTINCT md5(t)) AS host_docs FROM d GROUP BY 1),
+often AS (
+  SELECT host, k FROM keyed JOIN docs_of USING (host) GROUP BY host, k, host_docs
+  HAVING count(DISTINCT text_key) > {MIN_DOCS} AND host_docs > {MIN_DOCS} AND count(DISTINCT text_key) > {SHARE} * host_docs
+), removed AS (SELECT doc_id, sum(n)::BIGINT AS n_removed_words FROM keyed JOIN often USING (host, k) GROUP BY doc_id),
+dup AS (SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines FROM keyed GROUP BY doc_id),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '{_WORD}') AS w FROM d),
+windows AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) > 2),
+twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM windows),
+covered AS (SELECT doc_id, count(DISTINCT i + o)::BIGINT AS n_repeat_words FROM twice, (SELECT unnest([0, 1, 2]) AS o) WHERE c > 1 GROUP BY doc_id),
+base AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_removed_words, 0) AS n_removed_words
+  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN removed USING (doc_id)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed_words >= {LEAST_LEFT} * n_words AS kept
+FROM base
+"""
+
+ORACLE: dict[str, str] = {"op3_topk": _TOPK, "op7_minhash": _NEAR, "op9_line_frequency": _LINES}
