@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-OWN = Window.partitionBy("instrument").orderBy("ts")
+def own() -> Window:
+    return Window.partitionBy("instrument").orderBy("ts")
 PRICES, FLOWS = ["open", "high", "low", "close"], ["volume", "dollar_volume"]
 
 
@@ -37,14 +38,14 @@ def aligned(bars: DataFrame) -> DataFrame:
 
 def known(panel: DataFrame) -> DataFrame:
     """A missed bar shows the last close in all prices and nothing traded; nothing is filled before the first bar."""
-    last = F.last("close", ignorenulls=True).over(OWN)
+    last = F.last("close", ignorenulls=True).over(own())
     out = panel.withColumn("last_close", last)
     filled = {c: F.coalesce(c, "last_close") for c in PRICES} | {c: F.coalesce(c, F.when(F.col("last_close").isNotNull(), 0.0)) for c in FLOWS}
     return out.withColumns(filled).drop("last_close")
 
 
 def started(panel: DataFrame) -> DataFrame:
-    return panel.withColumn("started", F.count("close").over(OWN) > 0)
+    return panel.withColumn("started", F.count("close").over(own()) > 0)
 
 
 def ended(panel: DataFrame, days: int) -> DataFrame:
@@ -58,7 +59,7 @@ def ended(panel: DataFrame, days: int) -> DataFrame:
 
 def tradable(panel: DataFrame) -> DataFrame:
     """A bar that printed and isn't still: no volume and no move, in a series that ever has volume."""
-    before = F.last("close", ignorenulls=True).over(OWN.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.last("close", ignorenulls=True).over(own().rowsBetween(Window.unboundedPreceding, -1))
     ever = F.max("volume").over(Window.partitionBy("instrument")) > 0
     flat = (F.col("volume") == 0) & (F.col("open") == F.col("close")) & (F.col("high") == F.col("low")) & (F.col("close") == before)
     return panel.withColumn("tradable", F.col("open").isNotNull() & ~F.coalesce(ever & flat, F.lit(False)))
@@ -66,7 +67,7 @@ def tradable(panel: DataFrame) -> DataFrame:
 
 def missing_runs(panel: DataFrame, column: str = "close") -> DataFrame:
     """(instrument, first, last, bars) of runs of grid moments without a value, after the first and before the last bar."""
-    seen = F.count(column).over(OWN)
+    seen = F.count(column).over(own())
     total = F.count(column).over(Window.partitionBy("instrument"))
     inner = panel.select("instrument", "ts", column, seen.alias("island"), total.alias("total")).where(F.col(column).isNull() & (F.col("island") > 0) & (F.col("island") < F.col("total")))
     return inner.groupBy("instrument", "island").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("bars")).drop("island")
@@ -74,8 +75,8 @@ def missing_runs(panel: DataFrame, column: str = "close") -> DataFrame:
 
 def runs_of(df: DataFrame, flag: str) -> DataFrame:
     """df with island (counts the changes of flag) and nth (place in the island, from 1)."""
-    change = F.coalesce((~F.col(flag).eqNullSafe(F.lag(flag).over(OWN))).cast("int"), F.lit(1))
-    out = df.withColumn("_change", change).withColumn("island", F.sum("_change").over(OWN)).drop("_change")
+    change = F.coalesce((~F.col(flag).eqNullSafe(F.lag(flag).over(own()))).cast("int"), F.lit(1))
+    out = df.withColumn("_change", change).withColumn("island", F.sum("_change").over(own())).drop("_change")
     return out.withColumn("nth", F.row_number().over(Window.partitionBy("instrument", "island").orderBy("ts")))
 
 
@@ -108,7 +109,7 @@ def period_start(ts: Column, every: str) -> Column:
         key = F.floor((F.datediff(F.to_date(ts), F.lit("1970-01-05").cast("date"))) / 7)
     else:
         key = F.floor(F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")) / int(every[:-1]))
-    return ~key.eqNullSafe(F.lag(key).over(OWN))
+    return ~key.eqNullSafe(F.lag(key).over(own()))
 
 
 def upsert(stored: DataFrame, new: DataFrame) -> DataFrame:

@@ -171,7 +171,7 @@ def dead_runs(spark: SparkSession, sf: str) -> DataFrame:
 @query("repeats_close_rows", f"""WITH {V.sql_event('1 minute')}, r AS (SELECT *, lag(close) {W} AS b FROM bars)
   SELECT instrument, ts, close FROM r WHERE open = b AND high = b AND low = b AND close = b""")
 def repeats_close(spark: SparkSession, sf: str) -> DataFrame:
-    b = V.bars_event(spark, sf, "1 minute").withColumn("b", F.lag("close").over(P.OWN))
+    b = V.bars_event(spark, sf, "1 minute").withColumn("b", F.lag("close").over(P.own()))
     return b.where("open = b AND high = b AND low = b AND close = b").select("instrument", "ts", "close")
 
 
@@ -179,7 +179,7 @@ def repeats_close(spark: SparkSession, sf: str) -> DataFrame:
   SELECT instrument, min(ts) AS first, max(ts) AS last, count(*) AS bars, sum(CASE WHEN gap > 1 THEN 1 ELSE 0 END)::BIGINT AS holes, max(gap)::INTEGER AS longest,
     sum(CASE WHEN volume = 0 THEN 1 ELSE 0 END)::BIGINT AS idle FROM g GROUP BY instrument""")
 def series_profile(spark: SparkSession, sf: str) -> DataFrame:
-    g = V.bars_nation(spark, sf).withColumn("gap", F.datediff("ts", F.lag("ts").over(P.OWN)))
+    g = V.bars_nation(spark, sf).withColumn("gap", F.datediff("ts", F.lag("ts").over(P.own())))
     return g.groupBy("instrument").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("bars"), F.count_if(F.col("gap") > 1).alias("holes"), F.max("gap").alias("longest"), F.count_if(F.col("volume") == 0).alias("idle"))
 
 
@@ -193,14 +193,14 @@ def stale_tail(spark: SparkSession, sf: str) -> DataFrame:
 @query("continuity_cut", f"""WITH {V.SQL_NATION}, g AS (SELECT *, CASE WHEN date_diff('day', lag(ts) {W}, ts) > 5 THEN ts END AS cut FROM bars),
   c AS (SELECT *, max(cut) OVER (PARTITION BY instrument) AS from_ FROM g) SELECT instrument, ts, close FROM c WHERE from_ IS NULL OR ts >= from_""")
 def continuity_cut(spark: SparkSession, sf: str) -> DataFrame:
-    g = V.bars_nation(spark, sf).withColumn("cut", F.when(F.datediff("ts", F.lag("ts").over(P.OWN)) > 5, F.col("ts")))
+    g = V.bars_nation(spark, sf).withColumn("cut", F.when(F.datediff("ts", F.lag("ts").over(P.own())) > 5, F.col("ts")))
     return g.withColumn("since", F.max("cut").over(Window.partitionBy("instrument"))).where("since IS NULL OR ts >= since").select("instrument", "ts", "close")
 
 
 @query("joined_markets", f"""WITH {V.SQL_NATION}, r AS (SELECT instrument, ts, open / lag(close) {W} AS ratio FROM bars)
   SELECT instrument, ts, round(ratio, 6) AS ratio FROM r WHERE ratio > 1.8 OR ratio < 0.55""")
 def joined_markets(spark: SparkSession, sf: str) -> DataFrame:
-    r = V.bars_nation(spark, sf).withColumn("ratio", F.col("open") / F.lag("close").over(P.OWN))
+    r = V.bars_nation(spark, sf).withColumn("ratio", F.col("open") / F.lag("close").over(P.own()))
     return r.where("ratio > 1.8 OR ratio < 0.55").select("instrument", "ts", F.round("ratio", 6).alias("ratio"))
 
 

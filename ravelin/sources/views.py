@@ -77,7 +77,7 @@ def settlements(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
     nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("instrument"))
     day = F.date_trunc("day", F.col("o_orderdate").cast("timestamp")).alias("settle")
-    rate = F.round((F.avg("o_totalprice") - 150000) / 1e8, 10).alias("rate")
+    rate = F.round((F.avg("o_totalprice") - 150000) / 1e8, 12).alias("rate")
     return orders.join(customer, "o_custkey").join(nation, "n_nationkey").groupBy("instrument", day).agg(rate)
 
 
@@ -106,7 +106,7 @@ def sql_event(step: str = "1 hour") -> str:
 
 
 SQL_SETTLEMENTS = """settlements AS (
-  SELECT n_name AS instrument, date_trunc('day', o_orderdate)::TIMESTAMP AS settle, round((avg(o_totalprice) - 150000) / 1e8, 10) AS rate
+  SELECT n_name AS instrument, date_trunc('day', o_orderdate)::TIMESTAMP AS settle, round((avg(o_totalprice) - 150000) / 1e8, 12) AS rate
   FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2)"""
 SQL_DIVIDENDS = f"""{SQL_SETTLEMENTS}, dividends AS (
   SELECT instrument, min(settle) AS ex_day, round(abs(arg_min(rate, settle)) * 1000, 6) AS amount FROM settlements
