@@ -73,9 +73,12 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sample(docs: DataFrame, per_lang: int, *, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """(lang, bits): at most per_lang labelled rows of each language that are not held out."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(text_col).isNotNull())
-    counts = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("rows"))
+    counts = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("rows")).limit(MOST_LANGS + 1).collect()
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages to learn")
+    rates = F.broadcast(docs.sparkSession.createDataFrame(counts, "lang string, rows long"))  # at most MOST_LANGS rows
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(17)), F.lit(1_000_000_007))
-    drawn = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"), F.xxhash64(F.col(text_col)).alias("tie")).join(counts, "lang")
+    drawn = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), draw.alias("draw")).join(rates, "lang")
     drawn = drawn.where(F.col("draw") * F.col("rows") <= F.lit(3 * per_lang + 50) * F.lit(1_000_000_007.0))  # some more than are taken
     bits = drawn.repartition(32, "draw").select("lang", "draw", "text").mapInArrow(_packed, "lang string, draw long, bits binary")
     first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "bits"))
@@ -90,8 +93,6 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
         return None
     rows = rows.sort_values(["nth", "lang"], kind="stable")
     langs = sorted(rows.lang.unique())
-    if len(langs) > MOST_LANGS:
-        raise ValueError(f"{len(langs)} languages to learn; the bound is {MOST_LANGS}")
     bits = np.frombuffer(b"".join(rows.bits), np.uint8).reshape(len(rows), -1)
 
     def unit(part: np.ndarray) -> np.ndarray:
