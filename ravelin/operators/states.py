@@ -96,6 +96,6 @@ def liquidity(bars: DataFrame, days: int) -> DataFrame:
     return filled.withColumn("_median", median).withColumn("liquidity", F.lag("_median").over(own())).drop("_money", "_age", "_median")
 
 
-def rolling_beta(df: DataFrame, own: str, market: str, n: int) -> Column:
+def rolling_beta(value: str, market: str, n: int) -> Column:
     w = own().rowsBetween(-(n - 1), 0)
-    return F.when(F.count(own).over(w) == n, F.covar_samp(own, market).over(w) / F.nullif(F.var_samp(market).over(w), F.lit(0.0)))
+    return F.when(F.count(value).over(w) == n, F.covar_samp(value, market).over(w) / F.nullif(F.var_samp(market).over(w), F.lit(0.0)))

@@ -1,6 +1,6 @@
 """All queries of the engine, by import of the modules that register them."""
 
-from ravelin.plans import bar_queries, engine_queries, record_queries, signal_queries  # noqa: F401
+from ravelin.plans import bar_queries, engine_queries, record_queries, signal_queries, strategy_queries  # noqa: F401
 from ravelin.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -328,7 +328,7 @@ def xs_momentum_score(spark: SparkSession, sf: str) -> DataFrame:
   SELECT instrument, ts, round({_full(f'covar_samp(r, m) OVER {_frame(60)} / nullif(var_samp(m) OVER {_frame(60)}, 0)', 'r', 60)}, 6) AS beta FROM x""")
 def rolling_beta(spark: SparkSession, sf: str) -> DataFrame:
     x = returns(spark, sf).where("r IS NOT NULL").withColumn("m", F.avg("r").over(Window.partitionBy("ts")))
-    return x.select("instrument", "ts", r6(S.rolling_beta(x, "r", "m", 60)).alias("beta"))
+    return x.select("instrument", "ts", r6(S.rolling_beta("r", "m", 60)).alias("beta"))
 
 
 @query("dual_momentum_pick", f"{_BRAND}, {_MOM}, k AS (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY score DESC NULLS LAST, instrument) AS rank FROM mom) SELECT instrument, ts, rank::INTEGER AS rank FROM k WHERE rank <= 3 AND score > 0.001")
