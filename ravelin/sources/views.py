@@ -1,7 +1,7 @@
 """Canonical views: bars, ticks, settlements and dividends over the star schema.
 
 A bar is (instrument, ts, open, high, low, close, volume, dollar_volume). Prices are l_extendedprice / l_quantity, taken in
-order of (l_orderkey, l_linenumber) within a day. Dimension joins leave the choice of broadcasting to the optimizer.
+order of l_orderkey, l_linenumber and l_partkey within a day; ticks are ordered by one long, so bars are hash aggregates. Dimension joins leave the choice of broadcasting to the optimizer.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").where("l_quantity > 0").select(
         "l_partkey", "l_suppkey", F.date_trunc("day", F.col("l_shipdate").cast("timestamp")).alias("ts"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("size"), F.col("l_extendedprice").alias("money"),
-        (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("tick"),
+        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey") % 1_000_000).alias("tick"),
     )
 
 
@@ -68,7 +68,7 @@ def bucket(ts: Column | str, step: str) -> Column:
 
 def bars_event(spark: SparkSession, sf_dir: str, step: str = "1 hour") -> DataFrame:
     """Bars stamped at their window's end. Ticks of one moment are ordered by their id."""
-    t = ticks(spark, sf_dir).withColumn("order", F.struct("ts", "tick"))
+    t = ticks(spark, sf_dir).withColumn("order", F.unix_micros("ts") * 1000 + F.col("tick") % 1000)
     return ohlcv(t.withColumn("end", F.window("ts", step).getField("end")), "instrument", "end", order="order").withColumnRenamed("end", "ts")
 
 
@@ -90,7 +90,7 @@ def dividends(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The same views as DuckDB common table expressions.
 SQL_TRADES = """trades AS (
   SELECT l_partkey, l_suppkey, date_trunc('day', l_shipdate)::TIMESTAMP AS ts, l_extendedprice / l_quantity AS price, l_quantity AS size,
-    l_extendedprice AS money, l_orderkey * 100 + l_linenumber AS tick FROM lineitem WHERE l_quantity > 0)"""
+    l_extendedprice AS money, (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey % 1000000 AS tick FROM lineitem WHERE l_quantity > 0)"""
 _AGG = "arg_min(price, tick) AS open, max(price) AS high, min(price) AS low, arg_max(price, tick) AS close, sum(size) AS volume, round(sum(money), 4) AS dollar_volume"
 _NATIONS = "trades JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey"
 SQL_REGION = f"{SQL_TRADES}, bars AS (SELECT r_name AS instrument, ts, {_AGG} FROM {_NATIONS} GROUP BY 1, 2)"
@@ -100,7 +100,8 @@ SQL_TICKS = "ticks AS (SELECT event_type AS instrument, ts, value AS price, even
 
 
 def sql_event(step: str = "1 hour") -> str:
-    agg = _AGG.replace("arg_min(price, tick)", "arg_min(price, (ts, tick))").replace("arg_max(price, tick)", "arg_max(price, (ts, tick))")
+    moment = "epoch_us(ts) * 1000 + tick % 1000"
+    agg = _AGG.replace("arg_min(price, tick)", f"arg_min(price, {moment})").replace("arg_max(price, tick)", f"arg_max(price, {moment})")
     cut = f"time_bucket(INTERVAL '{step}', ts, TIMESTAMP '1970-01-01') + INTERVAL '{step}'"
     return f"{SQL_TICKS}, bars AS (SELECT instrument, {cut} AS ts, {agg} FROM ticks GROUP BY 1, 2)"
 
