@@ -108,7 +108,7 @@ def account(
         out["gross"][t] = grow * (1 + session) - 1
         out["cost"][t], out["turnover"][t], out["exposure"][t] = cost, float(np.sum(filled)), float(np.sum(np.abs(want)))
         grew = 1 + session - fund - borrow + paid / opened
-        w = np.where(leaves, 0.0, want * (1 + r)) / grew
+        w = np.where(leaves, 0.0, want * (1 + r)) / grew if grew > 1e-12 else np.zeros(m)  # a lost account stays lost
         entry = np.where(leaves, np.nan, entry)
         weights[t] = want
     return Account(**out, weights=weights, liquidated=gone)
