@@ -2,8 +2,8 @@
 
 A model file's pieces (BPE with byte fallback, identity normalisation) are matched against a whole batch at once. A batch's
 texts are cut where no piece can cross: before a space that follows something else, and around characters that no longer
-piece holds. The distinct units of the batch are concatenated, and a suffix array of that text, ordered through the
-longest piece, is built. Every piece is found by binary search: its occurrences are one range of the array. The resulting
+piece holds. The distinct units of the batch are concatenated, and a suffix array of that text, ordered through eight bytes,
+is built; longer pieces are compared on. Every piece is found by binary search: its occurrences are one range of the array. The resulting
 edges (position, length, piece) are sorted by position and relaxed: in each unit the best edge that joins two
 neighbouring symbols is applied until none is left. What no piece covers falls back to bytes. Ids are those of the
 sentencepiece library.
@@ -35,7 +35,7 @@ LONG = 200
 #: Units remembered by a worker; what is remembered never changes a result.
 REMEMBERED = 600_000
 _NONE = np.iinfo(np.int32).max
-_WIDE = 16  # bytes of a suffix that are sorted; longer pieces are compared further on
+_WIDE = 8  # bytes of a suffix that are sorted; longer pieces are compared further on
 
 
 class Vocabulary:
@@ -50,6 +50,9 @@ class Vocabulary:
         self.bytes = [text[i].encode() for i in normal]
         self.order = np.zeros(n, np.int32)  # rank by score, best first
         self.order[normal] = np.argsort(np.argsort([-model.get_score(i) for i in normal], kind="stable"), kind="stable")
+        self.rank, self.length = self.order[normal].astype(np.int64), np.array([len(p) for p in self.bytes])
+        self.low, self.high = (np.array([_number(p, f) for p in self.bytes], np.uint64) for f in (b"\0", b"\xff"))
+        self.low2, self.high2 = (np.array([_number(p[_WIDE:], f) for p in self.bytes], np.uint64) for f in (b"\0", b"\xff"))
         self.by_order = np.zeros(len(normal), np.int32)
         self.by_order[self.order[normal]] = normal
         self.of_byte = np.zeros(256, np.int32)
@@ -78,34 +81,37 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in order of the next bytes, and these bytes, as many as are sorted."""
+def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions in order of their next eight bytes, these bytes in that order, and the eight bytes at every position."""
     rows = np.lib.stride_tricks.sliding_window_view(np.r_[data, np.zeros(_WIDE, np.uint8)], _WIDE)[: len(data)]
-    rows = np.ascontiguousarray(rows)
-    digits = rows.view(">u8").astype(np.uint64)
-    order = np.lexsort((digits[:, 1], digits[:, 0]))
-    return order, rows[order].view(f"S{_WIDE}").ravel()
+    digit = np.ascontiguousarray(rows).view(">u8").astype(np.uint64).ravel()
+    order = np.argsort(digit)
+    return order, digit[order], digit
+
+
+def _number(piece: bytes, fill: bytes) -> int:
+    return int.from_bytes(piece[:_WIDE].ljust(_WIDE, fill), "big")
 
 
 def edges(data: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(position * 1024 + length, rank) of all occurrences of pieces, sorted by position."""
-    order, keys = suffix_array(data)
-    head = [p[:_WIDE] for p in v.bytes]
-    lo = np.searchsorted(keys, np.array(head, f"S{_WIDE}"))
-    hi = np.searchsorted(keys, np.array([p.ljust(_WIDE, b"\xff") for p in head], f"S{_WIDE}"), "right")
+    order, keys, digit = suffix_array(data)
+    lo, hi = np.searchsorted(keys, v.low), np.searchsorted(keys, v.high, "right")
     n = hi - lo
     which = np.repeat(np.arange(len(n)), n)
     at = order[np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
-    size = np.array([len(p) for p in v.bytes])
-    long_ = np.flatnonzero(size[which] > _WIDE)
-    if len(long_):
-        raw, good = data.tobytes(), np.ones(len(which), bool)
-        for i in long_:
+    size = v.length[which]
+    rest = np.flatnonzero(size > _WIDE)  # compared on
+    if len(rest):
+        good, raw = np.ones(len(which), bool), data.tobytes()
+        after = np.r_[digit, np.zeros(_WIDE, np.uint64)][at[rest] + _WIDE]
+        w = which[rest]
+        good[rest] = (after >= v.low2[w]) & (after <= v.high2[w])
+        for i in np.flatnonzero(good & (size > 2 * _WIDE)):
             good[i] = raw.startswith(v.bytes[which[i]], at[i])
-        which, at = which[good], at[good]
-    key = at * 1024 + size[which]
-    by = np.argsort(key, kind="stable")
-    return key[by], v.order[v.ids[which]][by]
+        which, at, size = which[good], at[good], size[good]
+    packed = np.sort((at * 1024 + size) << 24 | v.rank[which])
+    return packed >> 24, packed & 0xFFFFFF
 
 
 class Edges:
@@ -173,8 +179,8 @@ def relax(start: np.ndarray, end: np.ndarray, unit: np.ndarray, find: Edges) ->
         if ready.any():
             live &= ~out
         start, end, unit, rank, touched = start[live], end[live], unit[live], rank[live], touched[live]
-        at = np.flatnonzero(touched)
-        again = np.unique(np.r_[at, at[at > 0] - 1])
+        touched[:-1] |= touched[1:]
+        again = np.flatnonzero(touched)
         follows = np.zeros(len(again), bool)
         inner = again < len(start) - 1
         follows[inner] = unit[again[inner]] == unit[again[inner] + 1]
@@ -225,7 +231,7 @@ def encode_batch(texts: list[str], v: Vocabulary) -> list[np.ndarray]:
         v.flat, v.size = np.r_[v.flat, made], np.r_[v.size, size]
     out = []
     for c in cut:
-        at = np.array([v.known[u] for u in c], np.int64)
+        at = np.fromiter(map(v.known.__getitem__, c), np.int64, len(c))
         n = v.size[at]
         to = np.cumsum(n)
         out.append(v.flat[np.repeat(v.first[at] - np.r_[0, to[:-1]], n) + np.arange(to[-1])] if len(at) else np.zeros(0, np.int32))
