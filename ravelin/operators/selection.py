@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ravelin.operators.metrics import YEAR, grown, ratio
+from ravelin.operators.metrics import YEAR, grown, ratio, safe
 
 FIRST, STEP, LEAST_DAYS = 365, 91, 60
 
@@ -23,28 +23,46 @@ def folds(record: DataFrame, first: int = FIRST, step: int = STEP) -> DataFrame:
     )
 
 
-def train_sharpe(record: DataFrame, fold: DataFrame) -> DataFrame:
-    """(fold, config, n, sharpe) over each fold's training days.
+def train_sums(record: DataFrame, fold: DataFrame, by: list[str]) -> DataFrame:
+    """(fold, *by, days, active, s1, s2, log) over each fold's training days.
 
     Days are summed by the fold step they fall into, and steps are summed up to each fold: every day is read once, whatever
     the number of folds. The table of folds is as long as the calendar over the step."""
     start = F.broadcast(fold.agg(F.min("test_start").alias("t0")))  # one row
     step = F.greatest(F.lit(-1), F.floor((F.unix_seconds("day") - F.unix_seconds("t0")) / (STEP * 86400))).cast("int")
-    sums = record.join(start).groupBy("config", step.alias("step")).agg(
-        F.count("r").alias("days"), F.count_if(F.col("r") != 0).alias("active"), F.sum("r").alias("s1"), F.sum(F.col("r") * F.col("r")).alias("s2")
+    sums = record.join(start).groupBy(*by, step.alias("step")).agg(
+        F.count("r").alias("days"), F.count_if(F.col("r") != 0).alias("active"), F.sum("r").alias("s1"), F.sum(F.col("r") * F.col("r")).alias("s2"), F.sum(F.log1p(safe("r"))).alias("log")
     )
-    w = Window.partitionBy("config").orderBy("step")
-    run = sums.withColumns({c: F.sum(c).over(w) for c in ("days", "active", "s1", "s2")}).withColumn("fold", F.col("step") + 1)
-    mean = F.col("s1") / F.col("days")
-    dev = F.sqrt(F.greatest((F.col("s2") - F.col("days") * mean * mean) / (F.col("days") - 1), F.lit(0.0)))
-    return run.join(fold.select("fold"), "fold", "left_semi").select("fold", "config", F.col("active").alias("n"), (ratio(mean, dev) * F.lit(float(YEAR) ** 0.5)).alias("sharpe"))
-
-
-def choose(record: DataFrame, fold: DataFrame, digits: int = 9) -> DataFrame:
-    """(fold, config, sharpe): the best training ratio among configurations with enough active days; ties to the first."""
-    t = train_sharpe(record, fold).where(F.col("n") >= LEAST_DAYS).withColumn("sharpe", F.round("sharpe", digits))
-    nth = F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("sharpe"), "config"))
-    return t.withColumn("nth", nth).where("nth = 1").select("fold", "config", "sharpe")
+    steps = fold.select((F.col("fold") - 1).alias("step"))
+    keys = record.select(*by).distinct().join(F.broadcast(steps))  # the calendar over the step, for each configuration
+    w = Window.partitionBy(*by).orderBy("step")
+    run = keys.join(sums, [*by, "step"], "left").withColumns({c: F.sum(F.coalesce(c, F.lit(0))).over(w) for c in ("days", "active", "s1", "s2", "log")})
+    return run.withColumn("fold", F.col("step") + 1).drop("step")
+
+
+def train_sharpe(record: DataFrame, fold: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(fold, *by, config, n, sharpe) over each fold's training days."""
+    run = train_sums(record, fold, [*(by or []), "config"])
+    mean = F.col("s1") / F.nullif(F.col("days"), F.lit(0))
+    dev = F.sqrt(F.greatest((F.col("s2") - F.col("days") * mean * mean) / F.nullif(F.col("days") - 1, F.lit(0)), F.lit(0.0)))
+    return run.select("fold", *(by or []), "config", F.col("active").alias("n"), (ratio(mean, dev) * F.lit(float(YEAR) ** 0.5)).alias("sharpe"))
+
+
+def choose(record: DataFrame, fold: DataFrame, by: list[str] | None = None, digits: int = 9) -> DataFrame:
+    """(fold, *by, config, sharpe): the best training ratio among configurations with enough active days; ties to the first."""
+    t = train_sharpe(record, fold, by).where(F.col("n") >= LEAST_DAYS).withColumn("sharpe", F.round("sharpe", digits))
+    nth = F.row_number().over(Window.partitionBy("fold", *(by or [])).orderBy(F.desc("sharpe"), "config"))
+    return t.withColumn("nth", nth).where("nth = 1").select("fold", *(by or []), "config", "sharpe")
+
+
+def beats_on_peers(record: DataFrame, hold: DataFrame, fold: DataFrame, share: float = 0.5, least: int = 3) -> DataFrame:
+    """(fold, config) that in training grew more than holding on at least a share of at least so many peers.
+
+    record: peer, config, day, r; hold: peer, day, r."""
+    own = train_sums(record, fold, ["peer", "config"]).select("fold", "peer", "config", F.col("log").alias("own"))
+    held = train_sums(hold, fold, ["peer"]).select("fold", "peer", F.col("log").alias("held"))
+    both = own.join(held, ["fold", "peer"]).groupBy("fold", "config").agg(F.count(F.lit(1)).alias("peers"), F.avg((F.round(F.col("own") - F.col("held"), 9) > 0).cast("double")).alias("won"))
+    return both.where((F.col("peers") >= least) & (F.col("won") >= share)).select("fold", "config")
 
 
 def stitched(record: DataFrame, fold: DataFrame, chosen: DataFrame, cost: float = 0.0) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 from ravelin.plans.catalog import ORACLE, QUERIES
 
 #: Queries whose result may be empty on the smallest tables.
-MAY_BE_EMPTY = {"bars_session_offset_17h", "repeats_close_rows", "candidates_anti"}
+MAY_BE_EMPTY = {"bars_session_offset_17h", "repeats_close_rows", "candidates_anti", "switch_costs"}
 
 
 @pytest.fixture(scope="module")
