@@ -48,7 +48,7 @@ def evaluate_alone(spark: SparkSession, sf: str) -> DataFrame:
 
 def _records_by_name(spark: SparkSession, sf: str, names: list[str]) -> DataFrame:
     """(key, config, day, r): each instrument's returns under each strategy's positions, a bar late."""
-    bars = V.bars_region(spark, sf).withColumn("m", (F.col("close") / F.lag("close").over(own()) - 1) * 0.02)
+    bars = V.bars_region(spark, sf).withColumn("m", F.log(F.col("close") / F.lag("close").over(own())) * 0.02)
     one = [
         T.STRATEGIES[n].positions(bars.select("instrument", "ts", "open", "high", "low", "close", "volume", "dollar_volume")).withColumn("config", F.lit(i)).withColumn("held", F.coalesce(F.lag("position").over(own()), F.lit(0.0)))
         for i, n in enumerate(names)
@@ -74,7 +74,7 @@ def strategy_pick_record(spark: SparkSession, sf: str) -> DataFrame:
 def choose_peers(spark: SparkSession, sf: str) -> DataFrame:
     """Configurations that beat holding on half of their peers, then the best of them."""
     rec = _records_by_name(spark, sf, ["sma_cross", "ibs", "bollinger_reversion"]).withColumnRenamed("key", "peer")
-    hold = V.bars_region(spark, sf).select(F.col("instrument").alias("peer"), F.col("ts").alias("day"), F.coalesce((F.col("close") / F.lag("close").over(own()) - 1) * 0.02 - 0.02, F.lit(0.0)).alias("r"))
+    hold = V.bars_region(spark, sf).select(F.col("instrument").alias("peer"), F.col("ts").alias("day"), F.coalesce(F.log(F.col("close") / F.lag("close").over(own())) * 0.02, F.lit(0.0)).alias("r"))
     whole = rec.groupBy("config", "day").agg(F.avg("r").alias("r"))
     fold = S.folds(whole)
     good = S.beats_on_peers(rec, hold, fold)
