@@ -15,6 +15,7 @@ from ravelin.functions import recursion as X
 from ravelin.operators import metrics as M
 from ravelin.operators import panel as P
 from ravelin.operators import selection as S
+from ravelin.operators.joins import as_of
 from ravelin.operators.panel import own
 from ravelin.plans import strategies as T
 from ravelin.plans.evaluate import evaluate, pick, records_of
@@ -83,20 +84,21 @@ def choose_peers(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(t.withColumn("nth", nth).where("nth = 1").select("fold", "config", "sharpe"))
 
 
-@query("switch_costs", f"""{SQL_CONFIGS}, {SQL_CHOSEN}, w AS (SELECT fold, config, coalesce(lag(config) OVER (ORDER BY fold), config) AS before FROM chosen), s AS (SELECT w.fold, f.test_start, w.config, w.before FROM w JOIN folds f USING (fold) WHERE w.config <> w.before),
+@query("switch_costs", f"""{SQL_CONFIGS}, {SQL_CHOSEN}, w AS (SELECT fold, config, (config + 1 + fold) % 9 AS before FROM chosen), s AS (SELECT w.fold, f.test_start, w.config, w.before FROM w JOIN folds f USING (fold) WHERE w.config <> w.before),
   a AS (SELECT s.fold, x.instrument, arg_max(x.side, x.ts) AS a FROM s JOIN sides x ON x.config = s.config AND x.ts < s.test_start GROUP BY 1, 2), b AS (SELECT s.fold, x.instrument, arg_max(x.side, x.ts) AS b FROM s JOIN sides x ON x.config = s.before AND x.ts < s.test_start GROUP BY 1, 2)
   SELECT fold, round(sum(abs(a - b)) / 5 * 0.0005, 8) AS cost FROM a JOIN b USING (fold, instrument) GROUP BY 1""")
 def switch_costs(spark: SparkSession, sf: str) -> DataFrame:
-    """What turning the old configuration's sides into the new one's costs on a window's first day."""
+    """What turning another configuration's sides into the chosen one's would cost on each window's first day."""
     from ravelin.plans.record_queries import FASTS, GRID, SLOWS, config_records
 
     rec = config_records(spark, sf)
     fold = S.folds(rec)
-    chosen = S.choose(rec, fold).withColumn("before", F.lag("config").over(Window.orderBy("fold"))).where("before <> config").join(fold.select("fold", "test_start"), "fold")
+    chosen = S.choose(rec, fold).withColumn("before", (F.col("config") + 1 + F.col("fold")) % len(GRID)).where("before <> config").join(fold.select("fold", "test_start"), "fold")
     b = V.bars_region(spark, sf).select("instrument", "ts", *(I.sma("close", n).alias(f"s{n}") for n in FASTS + SLOWS))
     side = F.array(*(F.coalesce(F.signum(F.col(f"s{f}") - F.col(f"s{s}")), F.lit(0.0)) for _, f, s in GRID))
     b = b.select("instrument", "ts", side.alias("sides"))
-    last = b.join(F.broadcast(chosen), F.col("ts") < F.col("test_start")).groupBy("fold", "instrument", "config", "before").agg(F.max_by("sides", "ts").alias("sides"))  # folds: the calendar over the step
+    asks = chosen.join(b.select("instrument").distinct())  # switches of the calendar, for each name
+    last = as_of(asks, b, "instrument", "test_start", "ts", ["sides"], strict=True)
     apart = F.abs(F.element_at("sides", F.col("config") + 1) - F.element_at("sides", F.col("before") + 1))
     return last.groupBy("fold").agg(F.round(F.sum(apart) / 5 * 0.0005, 8).alias("cost"))
 
