@@ -39,7 +39,22 @@ def kept_table(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ravelin/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes kept tables that nothing reads any more."""
+    for t in tables:
+        jvm, path = t.sparkSession._jvm, t._kept_path
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def row_key(*cols: str | Column) -> Column:
+    """128 bits that tell rows apart by their values; equal rows have one key."""
+    return F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit(1), *reversed(cols)).alias("b"))
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import kept_table
+from ravelin.llm.common import forget, kept_table
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,19 +15,21 @@ def components(links: DataFrame) -> DataFrame:
     what remains between different labels. Each round at least halves the nodes of a component that isn't done.
     """
     edges = kept_table(links.where("a <> b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct(), "links")
-    labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
+    labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node"))
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         hook = kept_table(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).select("node", F.least("node", "to").alias("to")), "hooks")
         for _ in range(2):
             onward = hook.select(F.col("node").alias("to"), F.col("to").alias("further"))
-            hook = kept_table(hook.join(onward, "to", "left").select("node", F.coalesce("further", "to").alias("to")), "hooks")
+            last, hook = hook, kept_table(hook.join(onward, "to", "left").select("node", F.coalesce("further", "to").alias("to")), "hooks")
+            forget(last)
         to = hook.select(F.col("node").alias("label"), "to")
         labels = kept_table(labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
         at_a = hook.select(F.col("node").alias("a"), F.col("to").alias("ta"))
         at_b = hook.select(F.col("node").alias("b"), F.col("to").alias("tb"))
-        edges = edges.join(at_a, "a", "left").join(at_b, "b", "left").select(F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b"))
-        edges = kept_table(edges.where("a <> b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct(), "links")
+        done, edges = edges, edges.join(at_a, "a", "left").join(at_b, "b", "left").select(F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b"))
+        last, edges = done, kept_table(edges.where("a <> b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct(), "links")
+        forget(last, hook)
     return labels
 
 

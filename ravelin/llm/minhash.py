@@ -33,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import WordHash, encoded, kept_table, mix, small_batches
+from ravelin.llm.common import WordHash, encoded, forget, kept_table, mix, small_batches
 from ravelin.llm.components import components, relabelled
 from ravelin.llm.runs import runs
 
 WORDS = 5
 COORDS, MATCHES = 32, 16
-FINE, FINE_MATCHES = 1024, 811
+FINE, FINE_MATCHES = 2048, 1656
 BLOCK = 1500
 #: Links are pairs with 100 * |intersection| >= PERCENT * |union|.
 PERCENT = 85
@@ -152,11 +152,13 @@ def _confirm(percent: int):
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Of pairs(a, b), those that are linked by their full sets. texts: (cid, z)."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    needed = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
     texts = kept_table(texts.join(needed, "cid", "left_semi"), "texts")
     with_b = pairs.join(texts.withColumnsRenamed({"cid": "b", "z": "zb"}), "b")
     with_both = with_b.join(texts.withColumnsRenamed({"cid": "a", "z": "za"}), "a").select("a", "b", "za", "zb")
-    return kept_table(with_both.mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
+    out = kept_table(with_both.mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
+    forget(texts)
+    return out
 
 
 def _between(percent: int):
@@ -245,6 +247,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     of_class = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least_id = of_class.groupBy("label").agg(F.min("least_id").alias("component_id"))
     final = kept_table(of_class.join(least_id, "label").select("digest", "n", "component_id", "label"), "final")
+    forget(classes, often, lists, least, star, marked, split, fine, between)
     held_out = sets.where("n > 0").select("rid", "doc_id", "n", "digest").join(final, ["digest", "n"])
     result = held_out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "rid", "label").unionByName(
         sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "rid", F.lit(None).cast("long").alias("label"))
