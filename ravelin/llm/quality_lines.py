@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import SPACES, encoded, kept_table, small_batches
+from ravelin.llm.common import SPACES, encoded, kept_table, row_key, small_batches
 
 SYMBOLS = b"#*$%&|<>"  # fixed values of the base measure
 
@@ -102,18 +102,20 @@ def line_rules(
     carry: only kept rows, with the input's other columns in a struct `row` and the text without its frequent lines in `clean_text`.
     """
     small_batches(docs.sparkSession)
+    rid, kind = (row_key(F.col(id_col), F.col(text_col)), "struct<a:long,b:long>") if carry else (F.monotonically_increasing_id(), "long")
     base = docs.select(
-        F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
-        F.concat(F.lit("="), F.col(host_col).cast("string")).alias("host"), *([F.struct(*[c for c in docs.columns if c != text_col]).alias("row")] if carry else []),
-    ).withColumn("host", F.coalesce("host", F.lit("")))
-    if carry:
-        base = kept_table(base, "rows")
-    measures = kept_table(base.select("rid", "doc_id", "host", "text").mapInArrow(_measure, _SCHEMA), "lines")
+        rid.alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+        F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("")).alias("host"),
+        *([F.struct(*[c for c in docs.columns if c != text_col]).alias("row")] if carry else []),
+    )
+    measures = base.select("rid", "doc_id", "host", "text").mapInArrow(_measure, _SCHEMA.replace("rid long", f"rid {kind}"))
+    measures = kept_table(measures.dropDuplicates(["rid", "host"]) if carry else measures, "lines")
     often = kept_table(frequent_lines(measures, min_docs, share), "often")
+    own = ["rid", "host"] if carry else ["rid"]  # equal rows of one host share a verdict
     posted = measures.select("rid", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
     hit = posted.select("rid", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("w")).join(often.select("host", "line"), ["host", "line"])
-    removed = hit.groupBy("rid").agg(F.sum("w").alias("n_removed_words"), F.collect_list("line").alias("frequent"))
-    out = measures.drop("lines", "line_words", "digest").join(removed, "rid", "left")
+    removed = hit.groupBy(*own).agg(F.sum("w").alias("n_removed_words"), F.collect_list("line").alias("frequent"))
+    out = measures.drop("lines", "line_words", "digest").join(removed, own, "left")
     out = out.withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long")).withColumn(
         "base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     )
@@ -121,7 +123,7 @@ def line_rules(
     result = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words"]
     if not carry:
         return out.select(*result)
-    kept = base.select("rid", "row", "text").join(out.where("kept").select("rid", *result, "frequent"), "rid")
+    kept = base.select(*own, "row", "text").join(out.where("kept").select(*own, *result, "frequent"), own)
     plain = kept.where("frequent IS NULL").select(*result, "row", F.col("text").alias("clean_text"))
     cut = kept.where("frequent IS NOT NULL").select(*result, "row", "text", "frequent")
     fields = plain.schema
