@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from ravelin.llm.common import encoded, kept_table, small_batches
 from ravelin.llm.suffix_dedup import merged, remove_spans, text_hash
 
-AVERAGE_BITS, SMALLEST, LARGEST = 6, 16, 512
+AVERAGE_BITS, SMALLEST, LARGEST = 5, 16, 512
 #: Bytes that neighbouring repeats must make up.
-LEAST = 80
+LEAST = 64
 
 GEAR = np.random.default_rng(64).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -118,7 +118,7 @@ def chunk_dedup(
     scan = base.mapInArrow(_chunks(bits, smallest, largest), "doc_id long, thash long, d1 long, d2 long, pack long")
     counts = scan.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("keeper")).where("n > 1")
     counts = kept_table(counts.select("d1", "d2", "keeper"), "chunks")
-    hit = scan.join(counts, ["d1", "d2"])
+    hit = scan.join(counts.hint("merge"), ["d1", "d2"])  # the same plan at every size
     own = F.col("doc_id").eqNullSafe(F.col("keeper"))
     by_doc = hit.groupBy("doc_id", "thash").agg(F.collect_list(F.struct("d1", "d2", "pack", own.alias("own"))).alias("chunks"))
     spans = by_doc.mapInArrow(_runs(least), "doc_id long, thash long, lo long, hi long")
