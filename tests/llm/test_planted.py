@@ -88,3 +88,13 @@ def test_kept_tables_lie_in_the_shared_folder_and_can_be_deleted(spark):
     forget(t)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(t._kept_path)
+
+
+def test_repeated_rows_are_judged_alike_by_the_quality_stage(spark, sf):
+    import corpus_pipeline
+    from ravelin.llm.common import table
+
+    docs = table(spark, sf, "documents")
+    once = sorted(r.doc_id for r in corpus_pipeline.quality(spark, docs, sf).collect())
+    twice = sorted(r.doc_id for r in corpus_pipeline.quality(spark, docs.unionByName(docs), sf).collect())
+    assert twice == sorted(once * 2)
