@@ -8,8 +8,10 @@ or more, so short chunks that recur by chance stay.
 Counting is by partial sums on the digest, and only repeated chunks travel further, so a passage that many documents
 share is never gathered in one place.
 
-Defined results: a null text is empty; rows with one id keep alike (what one keeps the other keeps); rows with a null id
-keep nothing that another row holds; an empty table gives an empty result; other columns of the input are ignored.
+Defined results: a null text is empty; rows with one id keep alike (what one keeps the other keeps), so rows equal in id
+and text keep all that is theirs to keep; rows with a null id keep nothing that a row with an id holds, and of those that
+differ in text the one whose text hashes lowest keeps; an empty table gives an empty result; other columns of the input
+are ignored.
 """
 
 from __future__ import annotations
@@ -116,10 +118,12 @@ def chunk_dedup(
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     scan = base.mapInArrow(_chunks(bits, smallest, largest), "doc_id long, thash long, d1 long, d2 long, pack long")
-    counts = scan.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("keeper")).where("n > 1")
-    counts = kept_table(counts.select("d1", "d2", "keeper"), "chunks")
+    nameless = F.min(F.when(F.col("doc_id").isNull(), F.col("thash")))
+    counts = scan.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("keeper"), nameless.alias("nameless")).where("n > 1")
+    counts = kept_table(counts.select("d1", "d2", "keeper", "nameless"), "chunks")
     hit = scan.join(counts.hint("merge"), ["d1", "d2"])  # the same plan at every size
-    own = F.col("doc_id").eqNullSafe(F.col("keeper"))
-    by_doc = hit.groupBy("doc_id", "thash").agg(F.collect_list(F.struct("d1", "d2", "pack", own.alias("own"))).alias("chunks"))
+    own = F.when(F.col("keeper").isNull(), F.col("thash") == F.col("nameless")).otherwise(F.col("doc_id").eqNullSafe(F.col("keeper")))
+    chunks = F.collect_set(F.struct("d1", "d2", "pack", own.alias("own")))  # a set: rows equal in id and text bring each place twice
+    by_doc = hit.groupBy("doc_id", "thash").agg(chunks.alias("chunks"))
     spans = by_doc.mapInArrow(_runs(least), "doc_id long, thash long, lo long, hi long")
     return remove_spans(docs, spans, id_col=id_col, text_col=text_col, carry=carry)

@@ -98,3 +98,20 @@ def test_repeated_rows_are_judged_alike_by_the_quality_stage(spark, sf):
     once = sorted(r.doc_id for r in corpus_pipeline.quality(spark, docs, sf).collect())
     twice = sorted(r.doc_id for r in corpus_pipeline.quality(spark, docs.unionByName(docs), sf).collect())
     assert twice == sorted(once * 2)
+
+
+def test_repeated_rows_keep_their_chunks(spark):
+    docs = frame(spark, [" ".join(words(300)) for _ in range(8)])
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = chunk_dedup(docs.unionByName(docs)).collect()
+    assert len(got) == 16 and all(bytes(r.kept_bytes).decode() == texts[r.doc_id] for r in got)
+
+
+def test_rows_without_an_id_keep_what_no_other_row_holds(spark):
+    passage, alone, held = " ".join(words(200)), " ".join(words(200)), " ".join(words(200))
+    rows = [(None, alone), (None, alone), (None, "one " + passage), (None, "two " + passage), (None, held), (7, held)]
+    got = [(r.doc_id, r.n_bytes, bytes(r.kept_bytes).decode()) for r in chunk_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert [t for _, _, t in got].count(alone) == 2
+    shared = sorted(len(t) for i, n, t in got if i is None and n == len(passage) + 4)
+    assert shared[1] == len(passage) + 4 and shared[0] < 0.2 * len(passage)
+    assert [t for i, _, t in got if i == 7] == [held] and (None, len(held), "") in got
