@@ -18,6 +18,8 @@ from ravelin.llm.quality_lines import line_rules
 
 #: Documents whose best language scores less are rejected: no kernel speaks for any of the learned languages.
 LEAST_SCORE = 0.3
+#: Near duplicates share so many percent of their 5-word shingles.
+NEAR_PERCENT = 80
 
 
 def _columns(docs: DataFrame, row: str, text: Column, **given: Column) -> list[Column]:
@@ -41,7 +43,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id. Empty sets stay."""
     base = kept_table(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*docs.columns).alias("row")), "near")
-    found = near_duplicates(base.select("rid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text")), rid_col="rid")
+    found = near_duplicates(base.select("rid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text")), percent=NEAR_PERCENT, rid_col="rid")
     found = kept_table(found.select("rid", "doc_id", "label"), "found")
     first = found.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("x"))
     stay = first.select("x.rid").unionByName(found.where("label IS NULL").select("rid"))

@@ -2,17 +2,17 @@
 
 A document's set is its distinct 5-word shingles (A-Z lower-cased; fewer words: the whole sequence is one shingle).
 Documents with equal sets form a class, and one of each class goes on. Its signature has `COORDS` coordinates. A pair is
-a candidate if at least `MATCHES` coordinates agree: at the wanted similarity of 0.85 a pair falls short of that with
-probability 6e-7.
+a candidate if at least `matches` coordinates agree, a number set by the wanted similarity: a pair just at 0.85 falls
+short of the 16 with probability 6e-7, one at 0.80 of the 13 with 2e-7.
 
 *Prefix merging.* Coordinate-value pairs are ordered by how many classes hold them, rarest first. Two classes that
-agree in MATCHES coordinates share one within their first COORDS - MATCHES + 1, so only those are posted; values of a
+agree in `matches` coordinates share one within their first COORDS - matches + 1, so only those are posted; values of a
 passage that many documents share come late and are mostly never posted.
 
 *Skip merging.* In each posting list all members are first tried against the list's smallest only, and confirmed links
 are joined into components. A list whose members are then in one component is skipped as a whole. In what remains, only
-pairs between different components are counted, in blocks of bounded size, with a longer signature (`FINE` coordinates,
-`FINE_MATCHES` of them; a true pair falls short with probability 1e-7), and all lists that hold a pair but the first skip it.
+pairs between different components are counted, in blocks of bounded size, with a longer signature (`FINE` coordinates;
+a true pair falls short with a probability of about 1e-7), and all lists that hold a pair but the first skip it.
 
 Every candidate is confirmed on the full sets of both documents. No list is cut and no pair is left out; copies are never
 expanded into pairs.
@@ -24,6 +24,7 @@ gives an empty result; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,15 +39,36 @@ from ravelin.llm.components import components, relabelled
 from ravelin.llm.runs import runs
 
 WORDS = 5
-COORDS, MATCHES = 32, 16
-FINE, FINE_MATCHES = 2048, 1656
+COORDS, FINE, FIRST = 32, 2048, 64  # the first of the fine ones are compared before the others
 BLOCK = 1500
 #: Links are pairs with 100 * |intersection| >= PERCENT * |union|.
 PERCENT = 85
+#: At most so probable is it that a pair just at the wanted similarity has too few equal coordinates: of COORDS, FINE and FIRST.
+MISS, FINE_MISS, FIRST_MISS = 1e-6, 1.1e-7, 1e-9
 
 _WORD = WordHash()
 
 
+def least_matches(n: int, p: float, miss: float) -> int:
+    """The largest m so that fewer than m of n coordinates, each equal with probability p, agree with a probability of miss at most."""
+    if p >= 1:
+        return n
+    total = 0.0
+    for m in range(n + 1):
+        total += math.exp(math.lgamma(n + 1) - math.lgamma(m + 1) - math.lgamma(n - m + 1) + m * math.log(p) + (n - m) * math.log1p(-p))
+        if total > miss:
+            return m
+    return n
+
+
+@lru_cache(maxsize=8)
+def thresholds(percent: int) -> tuple[int, int, int]:
+    """How many of COORDS, FINE and FIRST coordinates a pair must have in common; one byte of the fine ones is compared."""
+    p = percent / 100
+    byte = p + (1 - p) / 256
+    return least_matches(COORDS, p, MISS), least_matches(FINE, byte, FINE_MISS), least_matches(FIRST, byte, FIRST_MISS)
+
+
 @lru_cache(maxsize=8)
 def _family(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
@@ -163,6 +185,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 def _between(percent: int):
     """Pairs between different labels of one block pair, by the longer signature and the sizes."""
+    _, fine, first = thresholds(percent)
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[np.ndarray, np.ndarray]] = []
@@ -177,8 +200,8 @@ def _between(percent: int):
             for r in rows:
                 c = cols[(label[cols] != label[r]) & (cid[cols] > cid[r] if i == j else True)]
                 c = c[100 * np.minimum(n[c], n[r]) >= percent * np.maximum(n[c], n[r])]
-                c = c[(sig[c, :64] == sig[r, :64]).sum(axis=1) >= 34]  # of 64 at 0.85: 7 deviations under the mean
-                c = c[(sig[c] == sig[r]).sum(axis=1) >= FINE_MATCHES]
+                c = c[(sig[c, :FIRST] == sig[r, :FIRST]).sum(axis=1) >= first]
+                c = c[(sig[c] == sig[r]).sum(axis=1) >= fine]
                 common = (posted[c][:, :, None] == posted[r][None, None, :]) & (posted[c] >= 0)[:, :, None]
                 c = c[np.where(common.any(axis=2), posted[c], 1 << 62).min(axis=1) == key]  # a pair's other lists skip it
                 if len(c):
@@ -200,11 +223,12 @@ def _pairs(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, rid_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept, and rid and label.
 
-    percent is at least 85: the match thresholds are set for that. rid tells rows with one id apart; rid_col gives it, a
+    The match thresholds follow percent; it must be high enough that a pair at it has a match to ask for. rid tells rows with one id apart; rid_col gives it, a
     unique long, if there is one. label is the component's class, null for empty sets.
     """
-    if percent < PERCENT:
-        raise ValueError(f"thresholds are set for {PERCENT} % and more")
+    matches, _, _ = thresholds(percent)
+    if matches < 1:
+        raise ValueError(f"{COORDS} coordinates cannot find pairs at {percent} %")
     small_batches(docs.sparkSession)
     rid = F.col(rid_col) if rid_col else F.monotonically_increasing_id()
     base = docs.select(rid.alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -216,9 +240,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     posted = chosen.select("cid", "n", F.explode("coords").alias("key"))
     often = kept_table(posted.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
     own = Window.partitionBy("cid")
-    shared = posted.join(often, "key").withColumn("m", F.count(F.lit(1)).over(own)).where(F.col("m") >= MATCHES)
+    shared = posted.join(often, "key").withColumn("m", F.count(F.lit(1)).over(own)).where(F.col("m") >= matches)
     nth = F.row_number().over(own.orderBy("often", "key"))  # among shared values; those held once come before
-    lists = kept_table(shared.withColumn("nth", nth).where(F.col("nth") + COORDS - F.col("m") <= COORDS - MATCHES + 1).select("key", "cid", "n"), "lists")
+    lists = kept_table(shared.withColumn("nth", nth).where(F.col("nth") + COORDS - F.col("m") <= COORDS - matches + 1).select("key", "cid", "n"), "lists")
 
     least = kept_table(lists.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1"), "least")
     near = (F.least("n", "least.n") * 100 >= percent * F.greatest("n", "least.n")) & (F.col("cid") != F.col("least.cid"))
@@ -226,7 +250,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     at = held.select(F.col("rid"), "coords")
     star = star.join(at.withColumnsRenamed({"rid": "a", "coords": "ca"}), "a").join(at.withColumnsRenamed({"rid": "b", "coords": "cb"}), "b")
     agree = F.size(F.array_intersect("ca", "cb"))  # a coordinate's place is part of its value
-    star = kept_table(star.where(agree >= MATCHES).select("a", "b"), "star")
+    star = kept_table(star.where(agree >= matches).select("a", "b"), "star")
     texts = held.select(F.col("rid").alias("cid"), "z")
     labels = components(_confirmed(star, texts, percent))
 

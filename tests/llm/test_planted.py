@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ravelin.llm import components, packing
+from ravelin.llm import components, minhash, packing
 from ravelin.llm.chunk_dedup import chunk_dedup
 from ravelin.llm.common import forget, kept_table, shared_dir
 from ravelin.llm.minhash import near_duplicates
@@ -115,3 +115,22 @@ def test_rows_without_an_id_keep_what_no_other_row_holds(spark):
     shared = sorted(len(t) for i, n, t in got if i is None and n == len(passage) + 4)
     assert shared[1] == len(passage) + 4 and shared[0] < 0.2 * len(passage)
     assert [t for i, _, t in got if i == 7] == [held] and (None, len(held), "") in got
+
+
+def test_thresholds_follow_the_similarity():
+    assert minhash.thresholds(85) == (16, 1656, 34) and minhash.thresholds(100) == (32, 2048, 64)
+    assert all(a < b for a, b in zip(minhash.thresholds(80), minhash.thresholds(85), strict=True))
+
+
+def test_near_copies_between_80_and_85_percent_leave_the_pipeline(spark, sf):
+    import corpus_pipeline
+
+    texts = []
+    for _ in range(40):
+        base = words(400)
+        texts += [" ".join(base), " ".join(base[:330] + words(35) + base[365:])]
+    sets = [minhash.shingles(t.encode()) for t in texts]
+    assert all(minhash.similar(a, b, 80) and not minhash.similar(a, b, 85) for a, b in zip(sets[::2], sets[1::2], strict=True))
+    docs = frame(spark, texts)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()) == list(range(0, 80, 2))
+    assert near_duplicates(docs).where("NOT kept").isEmpty()  # op7 keeps its 85
