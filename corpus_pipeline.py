@@ -16,8 +16,8 @@ from ravelin.llm.minhash import near_duplicates
 from ravelin.llm.packing import pack
 from ravelin.llm.quality_lines import line_rules
 
-#: Documents whose best language scores less are rejected: no kernel speaks for any of the learned languages.
-LEAST_SCORE = 0.3
+#: Documents whose best language has less support are rejected: they are like none of the learned ones.
+LEAST_SUPPORT = 0.38
 #: Near duplicates share so many percent of their 5-word shingles.
 NEAR_PERCENT = 80
 
@@ -36,7 +36,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in no language that can be told; lang becomes the one told."""
-    told = language.identify(docs, language.fit(docs)).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    told = language.identify(docs, language.fit(docs), support=True).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("support") >= LEAST_SUPPORT))
     return told.select(*_columns(docs, "row", F.col("row.text"), lang=F.col("lang_pred")))
 
 

@@ -36,6 +36,7 @@ _ROWS = 128
 class Model:
     langs: tuple[str, ...]
     weights: np.ndarray  # BUCKETS x langs
+    constant: np.ndarray  # BUCKETS: the fit of 1 for every learned row, which falls to 0 for text unlike all of them
 
 
 def presence(text: str, out: np.ndarray) -> None:
@@ -107,15 +108,16 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     x = k @ root
     y = np.where(rows.lang.to_numpy()[:, None] == np.array(langs)[None, :], 1.0, -1.0)
     weight = 1.0 / (len(langs) * rows.groupby("lang").lang.transform("count").to_numpy())  # languages count alike
-    w = np.linalg.solve(x.T @ (x * weight[:, None]) + ridge / len(langs) * np.eye(x.shape[1]) / max(1, len(bits)), x.T @ (y * weight[:, None]))
-    return Model(tuple(langs), (marks.T @ (root @ w)).astype(np.float32))
+    gram = x.T @ (x * weight[:, None]) + ridge / len(langs) * np.eye(x.shape[1]) / max(1, len(bits))
+    w, one = np.linalg.solve(gram, x.T @ (y * weight[:, None])), np.linalg.solve(gram, x.T @ weight)
+    return Model(tuple(langs), (marks.T @ (root @ w)).astype(np.float32), (marks.T @ (root @ one)).astype(np.float32))
 
 
-def _score(model: Model | None):
+def _score(model: Model | None, support: bool):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").to_pylist()
-            lang, value = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            lang, value, held = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
             able = [i for i, t in enumerate(texts) if model is not None and has_letter(t)]
             for at in range(0, len(able), _ROWS):
                 part = able[at : at + _ROWS]
@@ -123,23 +125,31 @@ def _score(model: Model | None):
                 for r, i in enumerate(part):
                     presence(texts[i], x[r])
                 x = x.astype(np.float32)
-                f = (x @ model.weights) / np.sqrt(x.sum(axis=1, keepdims=True))
+                root = np.sqrt(x.sum(axis=1, keepdims=True))
+                f = (x @ model.weights) / root
                 best = f.argmax(axis=1)
+                if support:
+                    held[part] = (f[np.arange(len(part)), best] + (x @ model.constant) / root[:, 0]) / 2
                 value[part] = np.clip((1 + f[np.arange(len(part)), best].astype(np.float64)) / 2, 0, 1)
                 for i, j in zip(part, best, strict=True):
                     lang[i] = model.langs[j]
-            given = {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(value, pa.float64())}
+            given = {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(value, pa.float64())} | ({"support": pa.array(held, pa.float64())} if support else {})
             keep = [n for n in b.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([b.column(n) for n in keep] + list(given.values()), keep + list(given))
 
     return score
 
 
-def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, lang_pred, score, and the input row in the struct `row`."""
+def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text", support: bool = False) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, and the input row in the struct `row`.
+
+    support: also the fit of a target that is 1 for the language's own rows and 0 for all others. Outputs of targets of
+    -1 and 1 rise to 0 for text like none of the learned; support falls to 0 there.
+    """
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
-    schema = base.drop("text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    given = {"lang_pred": F.lit(""), "score": F.lit(0.0)} | ({"support": F.lit(0.0)} if support else {})
+    schema = base.drop("text").withColumns(given).schema
     for f in schema.fields:
         f.nullable = True
-    return base.mapInArrow(_score(model), schema)
+    return base.mapInArrow(_score(model, support), schema)

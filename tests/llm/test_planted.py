@@ -134,3 +134,26 @@ def test_near_copies_between_80_and_85_percent_leave_the_pipeline(spark, sf):
     docs = frame(spark, texts)
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()) == list(range(0, 80, 2))
     assert near_duplicates(docs).where("NOT kept").isEmpty()  # op7 keeps its 85
+
+
+FOREIGN = [
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью",
+    "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα",
+    "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar",
+    "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti",
+]
+
+
+def test_unlearned_languages_leave_the_pipeline_and_clean_documents_stay(spark):
+    import corpus_pipeline
+    from ravelin.llm.common import table
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    planted = spark.createDataFrame([(10**6 + i, t, None, "h", len(t)) for i, t in enumerate(FOREIGN)], docs.schema)
+    stay = {r.doc_id for r in corpus_pipeline.languages(spark, docs.unionByName(planted), "").collect()}
+    assert not [t for i, t in enumerate(FOREIGN) if 10**6 + i in stay]
+    clean = {r.doc_id for r in docs.collect()}
+    assert len(clean & stay) > 0.99 * len(clean)
