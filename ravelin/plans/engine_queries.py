@@ -229,21 +229,21 @@ def daily_position(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("monte_carlo")
 def monte_carlo(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(L.monte_carlo(record(spark, sf), reps=200, chunk=50))
+    return rounded(L.monte_carlo(record(spark, sf)))
 
 
 @query("random_timing")
 def random_timing(spark: SparkSession, sf: str) -> DataFrame:
     t = targeted(spark, sf).withColumn("market", F.coalesce(F.col("close") / F.last("close", ignorenulls=True).over(before()) - 1, F.lit(0.0)))
     t = t.select(F.col("instrument").alias("key"), F.col("ts").alias("day"), F.coalesce(F.lag("target").over(P.own()), F.lit(0.0)).alias("position"), "market")
-    return rounded(L.random_timing(t, 200, 50))
+    return rounded(L.random_timing(t))
 
 
 @query("paired_t")
 def paired_t(spark: SparkSession, sf: str) -> DataFrame:
     c = config_records(spark, sf)
     a, b = c.where("config = 4").select("day", F.col("r").alias("a")), c.where("config <> 4").select(F.col("config").cast("string").alias("key"), "day", F.col("r").alias("b"))
-    return rounded(L.paired(b.join(a, "day"), reps=200, chunk=50))
+    return rounded(L.paired(b.join(a, "day")))
 
 
 @query("deflated_sharpe")

@@ -262,3 +262,14 @@ def test_streams_equal_batches(spark, sf):
     end = got.agg(F.max("ts")).first()[0]
     want = batch.where(F.col("ts") <= F.lit(end))
     assert got.count() > 0 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_luck_queries_have_the_operators_own_sizes(spark, sf, monkeypatch):
+    from ravelin.operators import luck
+    from ravelin.plans import engine_queries
+
+    for fn, query in (("monte_carlo", "monte_carlo"), ("random_timing", "random_timing"), ("paired", "paired_t")):
+        given = []
+        monkeypatch.setattr(luck, fn, lambda record, *a, **k: given.append((a, k)) or record)
+        getattr(engine_queries, query)(spark, sf)
+        assert given == [((), {})]
