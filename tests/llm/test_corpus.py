@@ -47,7 +47,6 @@ OPERATORS = {
     "chunks": chunk_dedup,
     "suffixes": suffix_dedup.suffix_dedup,
     "lm": lambda d: lm_scores(d, d.where("source = 'h'").select("doc_id")),
-    "lm_joined": lambda d: lm_scores(d, d.where("source = 'h'").select("doc_id"), most=0, most_targets=0),
     "sections": token_spans.section_tokens,
     "pieces": pieces.piece_digests,
     "decoded": lambda d: pieces.decode_pieces(pieces.encode_pieces(d)),
@@ -88,7 +87,6 @@ def test_packing_is_whole_and_tight(spark, sf):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     for doc, t in text_of(docs).items():
         ids = np.array([*own.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
         mine = out[out.doc_id == doc].sort_values("start")
@@ -113,11 +111,26 @@ def test_histogram_is_placed_once(counts):
     assert set(fill) == set(range(sequences)) and max(fill.values()) <= 1024
 
 
-def test_long_texts_have_the_ids_of_whole_texts():
+def test_ids_are_those_of_the_library():
+    """Long texts, added tokens and long white space, which are encoded in parts."""
     from tokenizers import Tokenizer
 
-    text = (LONG + ".\n\n") * 8
-    assert ids_of(text, default_vocabulary()).tolist() == Tokenizer.from_file(default_vocabulary()).encode(text, add_special_tokens=False).ids
+    own, eot = Tokenizer.from_file(default_vocabulary()), "<|endoftext|>"
+    texts = [(LONG + ".\n\n") * 8, eot, f"a {eot} b", f"  {eot}  x{eot}{eot}", "<|endoftext", " " * 4096, " " * 5000 + "x", "\n" * 5000 + "'s", "a" + " " * 6000 + "\n", "\t" * 4097 + eot + " " * 4097 + "é", "\u3000" * 5000 + "日本", "\x1c" * 5000 + "x"]
+    for t in texts:
+        assert ids_of(t, default_vocabulary()).tolist() == own.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", ["pack", "lm", "sections"])
+def test_two_million_blanks(spark, name):
+    docs = spark.createDataFrame([(1, " " * 2_000_000 + "x", "en", "h", 0), (2, "\n" * 2_000_000, "en", "h", 0)], DOCS)
+    rows = OPERATORS[name](docs).collect()
+    if name == "pack":
+        assert {r.doc_id: r.doc_tokens for r in rows} == {1: 2_000_001, 2: 1_000_001}
+    elif name == "lm":
+        assert {r.doc_id: r.n_tokens for r in rows} == {1: 2_000_000, 2: 1_000_000}
+    else:
+        assert {r.doc_id: r.doc_tokens for r in rows} == {1: 2_000_000, 2: 1_000_000} and sum(r.n_tokens for r in rows) == 3_000_000
 
 
 def test_near_duplicates(spark, sf):
@@ -206,6 +219,28 @@ def test_topk_awkward(spark):
     assert top_k(df.limit(0), df.limit(0), 5).collect() == []
 
 
+def test_topk_of_any_size(spark, monkeypatch):
+    """Components from small to 1e8, several shards and blocks, against whole numbers in plain Python."""
+    from ravelin.llm import topk
+
+    monkeypatch.setattr(topk, "LEAST_SHARD", 100)
+    monkeypatch.setattr(topk, "BLOCK", 60)
+    monkeypatch.setattr(topk, "FIRST", 20)
+    rng = np.random.default_rng(1)
+    for scale in (1.0, 1e4, 1e6, 1e7):
+        v = [[float(x) for x in row] for row in rng.normal(size=(400, 6)) * scale]
+        v[7] = v[8] = v[9]
+        rows = spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>")
+        got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in top_k(rows, rows.where("vec_id % 50 = 0"), 5).collect()}
+        whole = [[int(np.floor(256 * x)) for x in row] for row in v]
+        for q in range(0, 400, 50):
+            best = sorted((-sum(a * b for a, b in zip(whole[q], w)), c) for c, w in enumerate(whole) if c != q)[:5]
+            assert [got[q, k + 1] for k in range(5)] == [(c, -s) for s, c in best]
+    huge = spark.createDataFrame([(0, [1e9, 1e9]), (1, [1e9, 1e9])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64-bit"):
+        top_k(huge, huge, 5).collect()
+
+
 def test_language_on_held_out_rows(spark):
     from ravelin.llm.common import table
 
@@ -215,33 +250,31 @@ def test_language_on_held_out_rows(spark):
     assert n > 200 and right > 0.98 and 0 <= lo <= hi <= 1
 
 
-def test_lm_models_are_counts(spark):
-    rows = [(1, "good good text"), (2, "bad text"), (3, "good text"), (4, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    path, got = default_vocabulary(), {}
-    for most in (10**6, 0):
-        got[most] = {r.doc_id: r for r in lm_scores(docs, docs.where("doc_id = 1").select("doc_id"), most=most).collect()}
-    n = 50256
-    grams = {i: list(zip([n, *ids_of(t or "", path).tolist()[:-1]], ids_of(t or "", path).tolist())) for i, t in rows}
+@pytest.mark.parametrize("hold", [1 << 18, 3])
+def test_lm_models_are_counts(spark, sf, hold, monkeypatch):
+    from ravelin.llm import lm_score
 
-    def mean_loss(own, use):
-        pairs = Counter(g for i in use for g in grams[i])
+    monkeypatch.setattr(lm_score, "HOLD", hold)  # blocks of one batch of documents each, and larger ones
+    rows = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()] + [(9001, "good text"), (9001, "good text"), (9002, None), (None, "no id"), (9003, "<|endoftext|> " * 3)]
+    docs, path = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), default_vocabulary()
+    chosen = [i for i, _ in rows if i is not None and i % 3 == 0]
+    got = lm_scores(docs, spark.createDataFrame([(i,) for i in [*chosen, chosen[0], None]], "doc_id long")).collect()
+    n = 50257
+    grams = [(i, list(zip([n, *(ids := ids_of(t or "", path).tolist())[:-1]], ids))) for i, t in rows]
+
+    def model(use):
+        pairs = Counter(g for i, own in grams if use(i) for g in own)
         h, w = Counter(), Counter()
         for (a, b), c in pairs.items():
             h[a] += c
             w[b] += c
         total = sum(pairs.values())
-        return np.mean([-np.log((pairs[g] + 20 * (w[g[1]] + 1) / (total + n + 1)) / (h[g[0]] + 20)) for g in own])
-
-    from ravelin.llm.tokens import encoder
+        return lambda g: -np.log((pairs[g] + 20 * (w[g[1]] + 1) / (total + n)) / (h[g[0]] + 20))
 
-    assert encoder(path).n_vocab in (50256, 50257)
-    for got_ in got.values():
-        assert got_[4].n_tokens == 0 and got_[4].score is None
-        for i in (1, 2, 3):
-            x = mean_loss(grams[i], [1]) - mean_loss(grams[i], [1, 2, 3])
-            assert abs(got_[i].score - x) < 1e-4
-    assert got[0][2].score == pytest.approx(got[10**6][2].score, abs=1e-6)
+    target, background = model(set(chosen).__contains__), model(lambda i: True)
+    want = Counter((i, len(own), *((round(float(np.mean([m(g) for g in own])), 6) for m in (target, background)) if own else (None, None))) for i, own in grams)
+    assert Counter((r.doc_id, r.n_tokens, *(x if x is None else round(x, 6) for x in (r.target_loss, r.background_loss))) for r in got) == want
+    assert all(r.score is None if not r.n_tokens else abs(r.score - (r.target_loss - r.background_loss)) < 1e-12 for r in got)
 
 
 def test_sections(spark, sf):
