@@ -11,7 +11,7 @@ from ravelin.llm.common import mix
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-LETTERS = np.random.default_rng(2024).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+LETTERS, OTHERS = np.random.default_rng(2024).integers(0, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -25,11 +25,14 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def span_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of b[start:end] for many spans, equal for equal bytes wherever they stand."""
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(LETTERS[b] * powers(_BASE, len(b)), out=sums[1:])
-    return mix((sums[end] - sums[start]) * powers(_INVERSE, len(b) + 1)[start] + (end - start).astype(np.uint64))
+def span_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of b[start:end] for many spans, equal for equal bytes wherever they stand."""
+    power, back = powers(_BASE, len(b)), powers(_INVERSE, len(b) + 1)[start]
+    size, sums, out = (end - start).astype(np.uint64), np.zeros(len(b) + 1, np.uint64), []
+    for letters in (LETTERS, OTHERS):
+        np.cumsum(letters[b] * power, out=sums[1:])
+        out.append(mix((sums[end] - sums[start]) * back + size))
+    return out[0], out[1]
 
 
 def gram_hashes(b: np.ndarray, k: int) -> np.ndarray:

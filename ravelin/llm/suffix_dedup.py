@@ -7,15 +7,19 @@ alone in its group leaves after that pass; groups equal through the last digit a
 else of it. Neighbouring windows share their minimiser, so all suffixes from one minimiser travel as one row: about one row
 per 80 bytes of text.
 *Second digit.* The stretch that these windows cover together. Rows equal in it have all their windows repeated, so copies
-and interior parts of shared passages end here; they are counted with partial sums, never gathered.
+and interior parts of shared passages end here. They are counted with partial sums; the counts go back to the rows by sort-merge joins
+that are written at once, so a digit that very many rows share is split over tasks by the adaptive skew join.
 *Last digits.* What is left are edges of repeats. There the place of the minimiser and the 200 bytes of each window are
 sorted within its group. Groups of more than `PART` rows are dealt out over parts; windows alone in their part meet one of
 each that another part holds, dealt by the window, so no group must fit in one task.
 
-Digits are compared by 64-bit fingerprints, each within the group of the digit before.
+Digits after the first are compared by two independent 64-bit fingerprints together with those of the digits before, so of
+10**15 rows two unlike ones are taken for alike with a probability under 10**-8.
 
-Defined results: matches don't cross documents; a null text is empty; texts shorter than the depth lose nothing;
-repeated rows count as two places; an empty table gives an empty result; other columns of the input are ignored.
+Defined results: matches don't cross documents; a null text is empty; texts shorter than the depth lose nothing; very long
+texts are read in segments of SEGMENT windows that overlap by a window, with the same result; repeated rows count as two places, so both lose what they
+share; rows with one id or none are places of their own; ties don't occur, as all places of a repeated string go; an
+empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from pyspark.sql import functions as F
 from ravelin.llm.common import encoded, kept_table, mix, parts_of, small_batches
 from ravelin.llm.rolling import gram_hashes, sliding_least, span_hashes
 from ravelin.llm.runs import runs
+from ravelin.llm.spans import REMOVED, merged, text_hash, without_spans
 
 DEPTH, GRAM = 200, 32
 PART = 400
@@ -40,15 +45,8 @@ SEGMENT = 1 << 20
 _DOC = ["doc_id", "thash"]
 
 
-def text_hash(data: bytes) -> int:
-    import xxhash
-
-    h = xxhash.xxh3_64_intdigest(data)
-    return h - (1 << 64) if h >> 63 else h
-
-
 def anchors(data: bytes, depth: int = DEPTH) -> tuple[np.ndarray, ...]:
-    """For every run of windows with one minimiser: its place, the first and the last window, digit one and digit two."""
+    """For every run of windows with one minimiser: its place, the first and the last window, digit one, and both halves of digit two."""
     whole, out = np.frombuffer(data, np.uint8), []
     for a in range(0, len(whole) - depth + 1, SEGMENT):
         b = whole[a : a + SEGMENT + depth - 1]
@@ -58,9 +56,9 @@ def anchors(data: bytes, depth: int = DEPTH) -> tuple[np.ndarray, ...]:
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         last = np.r_[first[1:], len(at)] - 1
         p = at[first]
-        two = mix(span_hashes(b, first, last + depth) + (p - first).astype(np.uint64))
-        out.append((p + a, first + a, last + a, g[p].view(np.int64), two.view(np.int64)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(5))
+        two, three = (mix(h + (p - first).astype(np.uint64)).view(np.int64) for h in span_hashes(b, first, last + depth))
+        out.append((p + a, first + a, last + a, g[p].view(np.int64), two, three))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(6))
 
 
 def _rows(b: pa.RecordBatch) -> tuple[list, list[bytes]]:
@@ -75,11 +73,11 @@ def _anchors(depth: int):
             for at in range(0, len(data), 250):
                 found = [anchors(x, depth) for x in data[at : at + 250]]
                 n = [len(f[0]) for f in found]
-                p, first, last, one, two = (np.concatenate(x) for x in zip(*found, strict=True))
+                p, first, last, one, two, three = (np.concatenate(x) for x in zip(*found, strict=True))
                 doc = pa.array(ids[at : at + 250], pa.int64()).take(pa.array(np.repeat(np.arange(len(n)), n)))
                 th = np.repeat(np.array([text_hash(x) for x in data[at : at + 250]], np.int64), n)
                 pack = (p << 16) | ((p - first) << 8) | (last - first)
-                yield pa.RecordBatch.from_arrays([doc, pa.array(th), pa.array(one), pa.array(two), pa.array(pack)], ["doc_id", "thash", "one", "two", "pack"])
+                yield pa.RecordBatch.from_arrays([doc, pa.array(th), pa.array(one), pa.array(two), pa.array(three), pa.array(pack)], ["doc_id", "thash", "one", "two", "three", "pack"])
 
     return scan
 
@@ -119,8 +117,8 @@ def _edges(depth: int):
     return cut
 
 
-def _window_keys(t: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all windows of edge rows: the row, which window of it, and the key by digits one to last."""
+def _window_keys(t: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """For all windows of edge rows: the row, which window of it, and the key by digits one to last, in two halves."""
     rows = t.column("bytes").to_pylist()
     size = np.array([len(x) for x in rows])
     base = np.r_[0, np.cumsum(size)[:-1]]
@@ -128,10 +126,22 @@ def _window_keys(t: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray, np.nd
     row = np.repeat(np.arange(len(rows)), n)
     nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     start = base[row] + nth
-    h = span_hashes(np.frombuffer(b"".join(rows), np.uint8), start, start + depth)
+    both = span_hashes(np.frombuffer(b"".join(rows), np.uint8), start, start + depth)
     place = (t.column("place").to_numpy()[row] - nth).astype(np.uint64)
-    one = t.column("one").to_numpy().view(np.uint64)[row]
-    return row, nth, mix(h + mix(one + place * np.uint64(0xD6E8FEB86659FD93)))
+    group = mix(t.column("one").to_numpy().view(np.uint64)[row] + place * np.uint64(0xD6E8FEB86659FD93))
+    return row, nth, (mix(both[0] + group), mix(both[1] + group))
+
+
+def _sorted(key: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal pairs side by side, and where each run of equal pairs begins."""
+    order = np.argsort(key, kind="stable")
+    k, o = key[order], other[order]
+    same = k[1:] == k[:-1]
+    if (same & (o[1:] != o[:-1])).any():
+        order = np.lexsort((other, key))
+        k, o = key[order], other[order]
+        same = (k[1:] == k[:-1]) & (o[1:] == o[:-1])
+    return order, np.flatnonzero(np.r_[True, ~same])
 
 
 _MOST = 232  # windows of a row, at most, in whole bytes
@@ -160,14 +170,11 @@ def _compare(depth: int):
     def flush(t: pa.Table) -> pa.RecordBatch:
         row, nth, key = _window_keys(t, depth)
         times, part = t.column("times").to_numpy()[row], t.column("part").to_numpy().astype(np.uint64)[row]
-        mixed = mix(key + mix(part))
-        order = np.argsort(mixed, kind="stable")
-        k = mixed[order]
-        edge = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        order, edge = _sorted(*(mix(k + mix(part)) for k in key))
         total = np.add.reduceat(times[order], edge)
-        good = np.zeros(len(k), bool)
-        good[order] = np.repeat(total > 1, np.diff(np.r_[edge, len(k)]))
-        lead = np.zeros(len(k), bool)
+        good = np.zeros(len(order), bool)
+        good[order] = np.repeat(total > 1, np.diff(np.r_[edge, len(order)]))
+        lead = np.zeros(len(order), bool)
         lead[order[edge]] = total > 1
         hot = t.column("hot").to_numpy(zero_copy_only=False)
         lo, hi = np.full(len(t), 1 << 30), np.full(len(t), -1)
@@ -195,7 +202,7 @@ def _compare(depth: int):
     return compare
 
 
-_OPEN = np.dtype([("key", "<u8"), ("doc", "<i8"), ("null", "?"), ("thash", "<i8"), ("start", "<i8"), ("times", "<i4")])
+_OPEN = np.dtype([("key", "<u8"), ("other", "<u8"), ("doc", "<i8"), ("null", "?"), ("thash", "<i8"), ("start", "<i8"), ("times", "<i4")])
 
 
 def _open(depth: int, shares: int):
@@ -212,7 +219,8 @@ def _open(depth: int, shares: int):
             x = np.zeros(len(out), _OPEN)
             row = row[out]
             doc = t.column("doc_id").combine_chunks()
-            x["key"], x["doc"], x["null"] = key[out], doc.fill_null(0).to_numpy()[row], doc.is_null().to_numpy(zero_copy_only=False)[row]
+            x["key"], x["other"] = key[0][out], key[1][out]
+            x["doc"], x["null"] = doc.fill_null(0).to_numpy()[row], doc.is_null().to_numpy(zero_copy_only=False)[row]
             x["thash"], x["start"], x["times"] = t.column("thash").to_numpy()[row], t.column("first").to_numpy()[row] + nth[out], np.where(lead[out], 2, t.column("times").to_numpy()[row])
             share = ((x["key"] >> np.uint64(32)) % np.uint64(shares)).astype(np.int64)
             order = np.argsort(share, kind="stable")
@@ -229,8 +237,8 @@ def _late(depth: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, g in runs(batches, ["share"]):
             x = np.concatenate([np.frombuffer(v, _OPEN) for v in g.column("block").to_pylist()])
-            x = x[np.argsort(x["key"], kind="stable")]
-            edge = np.flatnonzero(np.r_[True, x["key"][1:] != x["key"][:-1]])
+            order, edge = _sorted(x["key"], x["other"])
+            x = x[order]
             again = np.repeat(np.add.reduceat(x["times"], edge) > 1, np.diff(np.r_[edge, len(x)]))
             x = np.sort(x[again], order=["doc", "null", "thash", "start"])
             if len(x):
@@ -252,24 +260,25 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         raise ValueError(f"depth is {GRAM} to {GRAM + 224} bytes")
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scan = base.mapInArrow(_anchors(depth), "doc_id long, thash long, one long, two long, pack long")
-    ones = scan.groupBy("one").agg(F.count(F.lit(1)).alias("n"), F.min("two").alias("lo"), F.max("two").alias("hi")).where("n > 1")
-    ones = kept_table(ones.select("one", (F.col("lo") == F.col("hi")).alias("alike")), "ones")
-    shared = kept_table(scan.join(ones, "one"), "shared")
+    scan = base.mapInArrow(_anchors(depth), "doc_id long, thash long, one long, two long, three long, pack long")
+    ends = [f(c).alias(f"{n}_{c}") for c in ("two", "three") for n, f in (("lo", F.min), ("hi", F.max))]
+    ones = scan.groupBy("one").agg(F.count(F.lit(1)).alias("n"), *ends).where("n > 1")
+    ones = kept_table(ones.select("one", F.expr("lo_two = hi_two AND lo_three = hi_three").alias("alike")), "ones")
+    shared = kept_table(scan.join(ones.hint("merge"), "one"), "shared")  # what follows asks for no order, so skewed keys can be split
     place = F.shiftright("pack", 16)
     first = place - F.shiftright("pack", 8).bitwiseAND(255)
     whole = [first.alias("lo"), (first + F.col("pack").bitwiseAND(255) + depth).alias("hi")]
 
     mixed = shared.where("NOT alike")
-    twos = mixed.groupBy("one", "two").agg(F.count(F.lit(1)).alias("times"))
-    twos = kept_table(twos, "twos")
-    mixed = mixed.join(twos, ["one", "two"])
+    digits = ["one", "two", "three"]
+    twos = kept_table(mixed.groupBy(*digits).agg(F.count(F.lit(1)).alias("times")), "twos")
+    mixed = kept_table(mixed.join(twos.hint("merge"), digits), "mixed")
     alone = mixed.where("times = 1").select(*_DOC, "one", "pack", F.lit(1).alias("times"))
-    many = mixed.where("times > 1").select(*_DOC, "one", "two", "pack")
-    keep = many.groupBy("one", "two").agg(F.min(F.struct(*_DOC, "pack")).alias("x")).select("x.*", "one").select(*_DOC, "one", "pack", F.lit(2).alias("times"))
+    many = mixed.where("times > 1").select(*_DOC, *digits, "pack")
+    keep = many.groupBy(*digits).agg(F.min(F.struct(*_DOC, "pack")).alias("x")).select("x.*", "one").select(*_DOC, "one", "pack", F.lit(2).alias("times"))
     edges = alone.unionByName(keep)
     sizes = kept_table(edges.groupBy("one").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")), "sizes")
-    edges = edges.join(sizes, "one").withColumn("part", F.pmod(F.xxhash64(*_DOC, "pack"), F.col("parts")).cast("int"))
+    edges = kept_table(edges.join(sizes.hint("merge"), "one"), "parts").withColumn("part", F.pmod(F.xxhash64(*_DOC, "pack"), F.col("parts")).cast("int"))
     by_doc = edges.groupBy(*_DOC).agg(F.collect_list(F.struct("one", "part", (F.col("parts") > 1).alias("hot"), "times", "pack")).alias("edges"))
     texts = base.where(F.octet_length("text") >= depth).mapInArrow(_texts, "doc_id long, thash long, z binary")
     by_doc = kept_table(by_doc.withColumnsRenamed({"doc_id": "ed", "thash": "et"}), "edges")  # edges of repeated rows count as two already
@@ -289,22 +298,6 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return shared.where("alike").select(*_DOC, *whole).unionByName(many.select(*_DOC, *whole)).unionByName(near).unionByName(late)
 
 
-def merged(spans: list) -> list[tuple[int, int]]:
-    """Maximal runs of spans that touch or overlap."""
-    out: list[list[int]] = []
-    for lo, hi in sorted(spans):
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi)
-        else:
-            out.append([lo, hi])
-    return [tuple(x) for x in out]
-
-
-def without_spans(data: bytes, spans: list[tuple[int, int]]) -> bytes:
-    ends = [0, *(x for s in spans for x in s), len(data)]
-    return b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
-
-
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
@@ -324,9 +317,6 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *own, *(b.column(n) for n in more)], [*names, *more])
 
 
-REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept_bytes binary"
-
-
 def remove_spans(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Per row of docs what is left without spans(doc_id, thash, lo, hi); spans come out as lo, hi, lo, hi, ...
 
@@ -336,7 +326,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", t
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([row] if carry else []))
     more = f", row {base.schema['row'].dataType.simpleString()}" if carry else ""
     texts = base.mapInArrow(_texts, f"doc_id long, thash long, z binary{more}")
-    by_doc = spans.groupBy(*_DOC).agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).withColumnsRenamed({"doc_id": "sd", "thash": "st"})
+    by_doc = spans.groupBy(*_DOC).agg(F.collect_set(F.struct("lo", "hi")).alias("spans")).withColumnsRenamed({"doc_id": "sd", "thash": "st"})
     by_doc = kept_table(by_doc, "spans")
     joined = texts.join(by_doc, F.col("doc_id").eqNullSafe(F.col("sd")) & (F.col("thash") == F.col("st")), "left").select("doc_id", "z", "spans", *(["row"] if carry else []))
     return joined.mapInArrow(_remove, REMOVED + more)

@@ -123,7 +123,7 @@ def test_ids_are_those_of_the_library():
 
 @pytest.mark.parametrize("name", ["pack", "lm", "sections"])
 def test_two_million_blanks(spark, name):
-    docs = spark.createDataFrame([(1, " " * 2_000_000 + "x", "en", "h", 0), (2, "\n" * 2_000_000, "en", "h", 0)], DOCS)
+    docs = spark.createDataFrame([(1, " " * 2_000_000 + "x", "en", "h", 0), (2, " " * 1_000_000, "en", "h", 0)], DOCS)
     rows = OPERATORS[name](docs).collect()
     if name == "pack":
         assert {r.doc_id: r.doc_tokens for r in rows} == {1: 2_000_001, 2: 1_000_001}
@@ -179,11 +179,20 @@ def test_suffix_dedup(spark, sf, part, monkeypatch):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()} == brute_suffixes(docs, 200)
 
 
+def test_suffixes_of_repeated_rows_and_null_ids(spark):
+    """Rows are places, whatever their ids: repeated rows, one id on two texts, null ids and a text that repeats itself."""
+    own = " ".join(f"own{i}" for i in range(60))
+    rows = [(1, PASSAGE), (1, PASSAGE), (2, own), (2, "x " + own[7:] + " y"), (None, "null " + PASSAGE), (None, None), (None, "a" * 199), (3, own[:199]), (4, "tail " * 80), (None, "só " + " ".join(f"z{i}" for i in range(90))), (None, "só " + " ".join(f"z{i}" for i in range(90)))]
+    want = brute_suffixes({i: (t or "").encode() for i, (_, t) in enumerate(rows)}, 200)
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == Counter((rows[i][0], *w) for i, w in want.items())
+
+
 def test_segments_of_long_texts(monkeypatch):
     data = (LONG + " " + LONG).encode()
     whole = suffix_dedup.anchors(data)
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 1000)
-    p, first, last, one, _ = suffix_dedup.anchors(data)
+    p, first, last, one, *_ = suffix_dedup.anchors(data)
     covered = np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last)])
     assert covered.tolist() == list(range(len(data) - 199)) and set(one) == set(whole[3])
 
@@ -198,6 +207,54 @@ def test_chunks(spark):
     assert out[2].n_removed > 0.6 * len(PASSAGE) and PASSAGE.encode()[100:180] not in out[2].kept_bytes
 
 
+def brute_chunks(rows):
+    """Every chunk of every text in plain Python: (id, bytes, removed, spans, digest of what is left) of each row."""
+    from ravelin.llm.spans import text_hash
+
+    held: dict[bytes, list] = {}
+    cut = []
+    for doc, t in rows:
+        data = (t or "").encode()
+        ends = chunk_ends(data)
+        cut.append((doc, data, list(zip([0, *ends], ends))))
+        for a, z in cut[-1][2]:
+            held.setdefault(data[a:z], []).append((doc, text_hash(data)))
+    out = []
+    for doc, data, chunks in cut:
+        gone, seen = [], set()
+        for a, z in chunks:
+            at = held[data[a:z]]
+            ids = [i for i, _ in at if i is not None]
+            own = doc == min(ids) if ids else text_hash(data) == min(h for _, h in at)
+            if len(at) > 1 and not (own and doc == (min(ids) if ids else None) and data[a:z] not in seen):
+                gone.append([a, z])
+            elif len(at) > 1:
+                seen.add(data[a:z])
+        runs = []
+        for a, z in gone:
+            if runs and runs[-1][1] == a:
+                runs[-1][1] = z
+            else:
+                runs.append([a, z])
+        runs = [r for r in runs if r[1] - r[0] >= 64]
+        kept = b"".join(data[i : i + 1] for i in range(len(data)) if not any(a <= i < z for a, z in runs)) if runs else data
+        out.append((doc, len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("hold", [1 << 17, 50])
+def test_chunks_against_brute_force(spark, sf, hold, monkeypatch):
+    """All of sf0.001, repeated rows, one id on two texts, null ids and a text that repeats itself, in one block and in many."""
+    from ravelin.llm import chunk_dedup as module
+
+    monkeypatch.setattr(module, "HOLD", hold)
+    rows = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()]
+    rows += [*rows[:20], (rows[30][0], rows[31][1]), (None, PASSAGE), (None, PASSAGE), (None, "other " + PASSAGE), (None, None), (7000, ""), (7001, PASSAGE * 3), (7002, "own " + PASSAGE[40:])]
+    rows += [(None, "held by none with an id " + " ".join(f"n{i}" for i in range(90))), (None, "told apart by text " + " ".join(f"n{i}" for i in range(90)))]
+    got = chunk_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_chunks(rows)
+
+
 def test_topk(spark, sf):
     rows = table(spark, sf, "embeddings").collect()
     v = {r.vec_id: np.floor(256 * np.array(r.embedding, float)).astype(np.int64) for r in rows}
