@@ -11,14 +11,20 @@ from math import erf, sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ravelin.operators.metrics import TARGETS
+
 YEAR = 365
 
 
-def normal_cdf(x: float) -> float:
-    return 0.5 * (1 + erf(x / sqrt(2)))
+def normal(z: Column) -> Column:
+    """The normal distribution function as an expression, to about 1e-7 (a rational approximation of the tail)."""
+    t = 1 / (1 + F.abs(z) * 0.2316419)
+    c = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)  # fixed values of the approximation
+    tail = F.exp(-z * z / 2) / F.lit(sqrt(2 * np.pi)) * t * (c[0] + t * (c[1] + t * (c[2] + t * (c[3] + t * c[4]))))
+    return F.when(z >= 0, 1 - tail).otherwise(tail)
 
 
 def sharpe_of(x: np.ndarray, axis: int = -1) -> np.ndarray:
@@ -41,7 +47,7 @@ def block_length(x: np.ndarray) -> float:
     flat = np.where(k / m <= 0.5, 1.0, 2 * (1 - k / m))
     g = 2 * np.sum(flat * k * acv[k])
     lr = acv[0] + 2 * np.sum(flat * acv[k])
-    return float(np.clip((2 * g * g / (2 * lr * lr)) ** (1 / 3) * n ** (1 / 3) if lr > 0 else 1.0, 1.0, max(3 * sqrt(n), n / 3)))
+    return float(np.clip((2 * g * g / (2 * lr * lr)) ** (1 / 3) * n ** (1 / 3) if lr > 0 else 1.0, 1.0, max(1.0, min(3 * sqrt(n), n / 3, n / 4))))
 
 
 def stationary(n: int, block: float, rng: np.random.Generator) -> np.ndarray:
@@ -53,16 +59,29 @@ def stationary(n: int, block: float, rng: np.random.Generator) -> np.ndarray:
     return (np.repeat(start[at], np.diff(np.r_[at, n])) + since) % n
 
 
-def path_figures(x: np.ndarray) -> tuple[float, ...]:
-    """Sharpe, yearly growth, greatest drawdown, average month, and share of months (30 days) that gain."""
-    eq = np.cumprod(1 + x)
-    dd = float((eq / np.maximum(np.maximum.accumulate(eq), 1) - 1).min())
-    n = len(x)
-    months = np.add.reduceat(np.log1p(np.maximum(x, -0.999999)), np.arange(0, n, 30))
-    return float(sharpe_of(x)), float(eq[-1] ** (YEAR / n) - 1), dd, float(eq[-1] ** (YEAR / 12 / n) - 1), float((months > 0).mean())
+def complete_months(day: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and one past last place of each whole calendar month of days in a row (days since 1970)."""
+    dates = day.astype("datetime64[D]")
+    month = dates.astype("datetime64[M]")
+    first = np.flatnonzero(np.r_[True, month[1:] != month[:-1]])
+    beyond = np.r_[first[1:], len(day)]
+    whole = (beyond - first) == ((month[first] + 1).astype("datetime64[D]") - month[first].astype("datetime64[D]")).astype(int)
+    return first[whole], beyond[whole]
+
 
+def path_figures(x: np.ndarray, first: np.ndarray, beyond: np.ndarray) -> tuple[float, ...]:
+    """FIGURES of a path; first and beyond are the places of its whole months."""
+    total = np.r_[0.0, np.cumsum(np.log1p(np.maximum(x, -0.999999)))]
+    equity = np.exp(total)
+    months = np.expm1(total[beyond] - total[first])
+    active = np.count_nonzero(np.abs(months) > 1e-15)
+    average = equity[-1] ** (YEAR / 12 / len(x)) - 1 if len(months) else np.nan
+    green = np.count_nonzero(months > 1e-15) / active if active else np.nan
+    return float(average), float(green), float((equity / np.maximum.accumulate(equity) - 1).min()), float(sharpe_of(x)), float(months.min()) if len(months) else np.nan
 
-FIGURES = ("sharpe", "cagr", "max_dd", "avg_monthly", "green")
+
+FIGURES = ("avg_monthly", "green_active", "max_dd", "sharpe", "worst_month")
+LEAST_DAYS, LEAST_BOOT = 30, 90  # fixed values: days that a test and a bootstrap ask for
 
 
 def as_arrays(record: DataFrame, *values: str) -> DataFrame:
@@ -70,56 +89,109 @@ def as_arrays(record: DataFrame, *values: str) -> DataFrame:
     return record.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("day", *values))).alias("x")).select("key", *(F.col(f"x.{v}").alias(v) for v in values))
 
 
-def replicated(arrays: DataFrame, reps: int, chunk: int, fn: Callable[..., dict[str, float]], schema: str) -> DataFrame:
-    """fn(row's arrays, rng) for each replicate. schema: its figures."""
+def replicated(arrays: DataFrame, reps: int, chunk: int, fn: Callable[..., dict[str, float]], schema: str, prepare: Callable[..., tuple] = lambda *x: x) -> DataFrame:
+    """fn(*prepare(row's arrays), rng) for each replicate; prepare runs once per row and chunk. schema: fn's figures."""
     names = [c for c in arrays.columns if c != "key"]
     dealt = arrays.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(chunk)))).repartition("key", "first")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.itertuples(index=False):
-                x = [np.asarray(getattr(row, v), float) for v in names]
-                out = [{"key": row.key, "rep": r} | fn(*x, np.random.default_rng([r, 97])) for r in range(row.first, min(row.first + chunk, reps))]
-                yield pd.DataFrame(out)
+                x = prepare(*(np.asarray(getattr(row, v), float) for v in names))
+                yield pd.DataFrame([{"key": row.key, "rep": r} | fn(*x, np.random.default_rng([r, 97])) for r in range(row.first, min(row.first + chunk, reps))])
 
     return dealt.mapInPandas(run, f"key string, rep int, {schema}")
 
 
 def monte_carlo(record: DataFrame, reps: int = 1000, chunk: int = 250) -> DataFrame:
-    """(key, figure, p5, p50, p95) over resampled paths."""
-
-    def one(r: np.ndarray, rng: np.random.Generator) -> dict[str, float]:
-        return dict(zip(FIGURES, path_figures(r[stationary(len(r), block_length(r), rng)]), strict=True))
-
-    paths = replicated(as_arrays(record, "r"), reps, chunk, one, ", ".join(f"{f} double" for f in FIGURES))
-    long_ = paths.select("key", F.explode(F.array(*(F.struct(F.lit(f).alias("figure"), F.col(f).alias("v")) for f in FIGURES))).alias("x")).select("key", "x.*")
-    p = F.expr("percentile(v, array(0.05D, 0.5D, 0.95D))")
-    return long_.groupBy("key", "figure").agg(p.alias("p")).select("key", "figure", F.col("p")[0].alias("p5"), F.col("p")[1].alias("p50"), F.col("p")[2].alias("p95"))
-
-
-def random_timing(record: DataFrame, rotations: int = 500, chunk: int = 250) -> DataFrame:
-    """(key, sharpe, null_median, null_p95, p) of positions turned against returns. record: key, day, position, market."""
-
-    def one(position: np.ndarray, market: np.ndarray, rng: np.random.Generator) -> dict[str, float]:
-        shift = int(rng.integers(1, max(len(position), 2)))
-        return {"own": float(sharpe_of(position * market)), "null": float(sharpe_of(np.roll(position, shift) * market))}
-
-    r = replicated(as_arrays(record, "position", "market"), rotations, chunk, one, "own double, null double")
+    """(key, figure, p5, p50, p95) over resampled paths, and in p50 of two more figures how often a target is missed.
+
+    Records of fewer than LEAST_BOOT days have none.
+    """
+
+    def prepare(day: np.ndarray, r: np.ndarray) -> tuple:
+        return r, block_length(r), *complete_months(day.astype(np.int64))
+
+    def one(r: np.ndarray, block: float, first: np.ndarray, beyond: np.ndarray, rng: np.random.Generator) -> dict[str, float]:
+        return dict(zip(FIGURES, path_figures(r[stationary(len(r), block, rng)], first, beyond), strict=True))
+
+    x = as_arrays(record.withColumn("n", F.datediff("day", F.lit("1970-01-01").cast("date")).cast("double")), "n", "r").where(F.size("r") >= LEAST_BOOT)
+    paths = replicated(x, reps, chunk, one, ", ".join(f"{f} double" for f in FIGURES), prepare)
+    missed = {"avg_monthly_missed": F.col("avg_monthly") < TARGETS["avg_monthly"], "max_dd_missed": F.col("max_dd") < TARGETS["max_dd"]}
+    values = [F.struct(F.lit(f).alias("figure"), F.when(~F.isnan(f), F.col(f)).alias("v"), F.lit(False).alias("share")) for f in FIGURES]
+    values += [F.struct(F.lit(f).alias("figure"), c.cast("double").alias("v"), F.lit(True).alias("share")) for f, c in missed.items()]
+    long_ = paths.select("key", F.explode(F.array(*values)).alias("x")).select("key", "x.*")
+    p = long_.groupBy("key", "figure", "share").agg(F.expr("percentile(v, array(0.05D, 0.5D, 0.95D))").alias("p"), F.avg("v").alias("mean"))
+    at = lambda i: F.when(~F.col("share"), F.col("p")[i])
+    return p.select("key", "figure", at(0).alias("p5"), F.when(F.col("share"), F.col("mean")).otherwise(F.col("p")[1]).alias("p50"), at(2).alias("p95"))
+
+
+def _book_values(w: np.ndarray, market: dict[str, np.ndarray], can: np.ndarray, fractions: np.ndarray | None, rate: float, borrow: float) -> np.ndarray:
+    """Sharpe ratios of a book's daily net returns, its own (fractions None) or with every name's weights turned.
+
+    Arrays are names x bars. A name's weights turn within the bars that it may be held on, all names by the same fraction.
+    """
+    runs = 1 if fractions is None else len(fractions)
+    total = np.zeros((runs, w.shape[1]))
+    for k in range(len(w)):
+        at = np.flatnonzero(can[k])
+        if not len(at):
+            continue
+        shift = np.zeros(runs, int) if fractions is None or len(at) < 2 else 1 + (fractions * (len(at) - 1)).astype(int)
+        x = np.zeros((runs, w.shape[1]))
+        x[:, at] = w[k, at[(np.arange(len(at)) + shift[:, None]) % len(at)]]
+        before = np.c_[np.zeros(runs), x[:, :-1]]
+        total += before * market["gap"][k] + x * market["session"][k] - np.abs(x - before) * rate - x * market["funding"][k] - np.maximum(-x, 0) * borrow / YEAR
+    return sharpe_of(np.maximum(total, -0.999999), axis=1)
+
+
+def random_timing(book: DataFrame, rotations: int = 500, chunk: int = 100, rate: float = 0.0005, borrow: float = 0.0, seed: int = 7) -> DataFrame:
+    """(key, sharpe, null_median, null_p95, p): a book against itself with the timing of its positions turned.
+
+    book: key, instrument, ts (days), weight held over the bar, gap (from the last close to the open), session (from open to
+    close), funding paid by a long, and member (whether the list has the name). A name may be held where it printed and is
+    a member, or where the book holds it. Books of fewer than LEAST_DAYS bars, or that hold nothing, have no row. A
+    chunk of rotations of a book is a group.
+    """
+    fields = ["weight", "gap", "session", "funding", "member"]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot(index="instrument", columns="ts", values=fields).sort_index()
+        x = {f: wide[f].to_numpy(float) for f in fields}
+        printed, w = ~np.isnan(x["session"]), np.nan_to_num(x["weight"])
+        held = (w != 0).any(axis=1)
+        first, size = int(pdf["first"].iloc[0]), w.shape[1]
+        if size < LEAST_DAYS or not held.any():
+            return pd.DataFrame({"key": [], "own": [], "turned": []})
+        can = (printed & ((np.nan_to_num(x["member"]) > 0) | (w != 0)))[held]
+        market = {f: np.nan_to_num(x[f])[held] for f in ("gap", "session", "funding")}
+        own = float(_book_values(w[held], market, can, None, rate, borrow)[0])
+        drawn = np.random.default_rng(seed).random(rotations)[first : first + chunk]
+        null = _book_values(w[held], market, can, drawn, rate, borrow)
+        return pd.DataFrame({"key": pdf["key"].iloc[0], "own": own, "turned": null})
+
+    dealt = book.select("key", "instrument", "ts", *(F.col(f).cast("double").alias(f) for f in fields)).withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(rotations - 1), F.lit(chunk))))
+    r = dealt.groupBy("key", "first").applyInPandas(one, "key string, own double, turned double")
     return r.groupBy("key").agg(
-        F.max("own").alias("sharpe"), F.expr("percentile(null, 0.5D)").alias("null_median"), F.expr("percentile(null, 0.95D)").alias("null_p95"),
-        ((1 + F.count_if(F.col("null") >= F.col("own"))) / (1 + F.count(F.lit(1)))).alias("p"),
+        F.max("own").alias("sharpe"), F.expr("percentile(turned, 0.5D)").alias("null_median"), F.expr("percentile(turned, 0.95D)").alias("null_p95"),
+        ((1 + F.count_if(F.col("turned") >= F.col("own"))) / (1 + F.count(F.lit(1)))).alias("p"),
     )
 
 
 def paired(record: DataFrame, block: float = 20.0, reps: int = 1000, chunk: int = 250) -> DataFrame:
-    """(key, mean, t): the mean of a - b over its bootstrap deviation. record: key, day, a, b."""
+    """(key, sharpe, sharpe_other, t): how far a's ratio lies over b's in deviations of the difference.
+
+    record: key, day, a, b. Both are resampled together, so what they share cancels. Under LEAST_DAYS days there is no row.
+    """
 
     def one(a: np.ndarray, b: np.ndarray, rng: np.random.Generator) -> dict[str, float]:
-        d = a - b
-        return {"own": float(d.mean()), "draw": float(d[stationary(len(d), block, rng)].mean())}
+        at = stationary(len(a), block, rng)
+        return {"own": float(sharpe_of(a)), "other": float(sharpe_of(b)), "draw": float(sharpe_of(a[at]) - sharpe_of(b[at]))}
 
-    r = replicated(as_arrays(record, "a", "b"), reps, chunk, one, "own double, draw double")
-    return r.groupBy("key").agg(F.max("own").alias("mean"), (F.max("own") / F.nullif(F.stddev_samp("draw"), F.lit(0.0))).alias("t"))
+    x = as_arrays(record.fillna(0.0, ["a", "b"]), "a", "b").where(F.size("a") >= LEAST_DAYS)
+    r = replicated(x, reps, chunk, one, "own double, other double, draw double")
+    edge = F.max("own") - F.max("other")
+    return r.groupBy("key").agg(F.max("own").alias("sharpe"), F.max("other").alias("sharpe_other"), (edge / F.nullif(F.stddev_samp("draw"), F.lit(0.0))).alias("t"))
 
 
 def expected_max(n: int) -> float:
@@ -142,11 +214,7 @@ def deflated(record: DataFrame, trials: int) -> DataFrame:
     var = (1 - skew * sr + (kurt + 2) / 4 * sr * sr) / (n - 1)
     bar = F.lit(best) / F.sqrt(n - 1)
 
-    @F.pandas_udf("double")
-    def phi(z: pd.Series) -> pd.Series:
-        return z.map(normal_cdf)
-
-    return m.select("key", (sr * F.lit(sqrt(YEAR))).alias("sharpe"), (bar * F.lit(sqrt(YEAR))).alias("bar"), phi((sr - bar) / F.sqrt(var)).alias("probability"))
+    return m.select("key", (sr * F.lit(sqrt(YEAR))).alias("sharpe"), (bar * F.lit(sqrt(YEAR))).alias("bar"), normal((sr - bar) / F.sqrt(var)).alias("probability"))
 
 
 def pair_scores(record: DataFrame, least: int = 60) -> DataFrame:

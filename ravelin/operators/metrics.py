@@ -118,6 +118,15 @@ def equal_risk(record: DataFrame, benchmark: DataFrame, window: int = 90, most:
     return out.withColumn("sized", F.col("r") * F.col("scale")).drop("_k")
 
 
+def with_cash(r: str, gross: str, rf: str, spread: float = 0.015, margined: bool = False) -> Column:
+    """A day's return with idle equity at the bill rate, and money borrowed past the equity at the rate and a yearly spread.
+
+    A margined book keeps all of its equity in bills and borrows nothing.
+    """
+    idle = 1 - F.col(gross)
+    return F.col(r) + F.col(rf) if margined else F.col(r) + idle * F.when(idle >= 0, F.col(rf)).otherwise(F.col(rf) + spread / YEAR)
+
+
 def cagr(r: str) -> Column:
     return F.pow(grown(r), YEAR / F.count(F.lit(1))) - 1
 

@@ -12,8 +12,14 @@ from ravelin.operators.metrics import YEAR, grown, ratio, safe
 FIRST, STEP, LEAST_DAYS = 365, 91, 60
 
 
-def folds(record: DataFrame, first: int = FIRST, step: int = STEP) -> DataFrame:
-    """(fold, train_start, test_start, test_end): training grows from the start, tests follow each other; ends are open."""
+def folds(record: DataFrame, first: int = FIRST, step: int = STEP, train: int | None = None) -> DataFrame:
+    """(fold, train_start, test_start, test_end): training grows from the start, tests follow each other; ends are open.
+
+    train: training is the last so many days only.
+    """
+    if train is not None:
+        start = F.timestamp_seconds(F.unix_seconds("test_start") - train * 86400)
+        return folds(record, first, step).withColumn("train_start", F.greatest("train_start", start))
     span = record.agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
     days = F.datediff("hi", "lo") + 1
     n = F.ceil((days - first) / step).cast("int")
@@ -55,14 +61,37 @@ def choose(record: DataFrame, fold: DataFrame, by: list[str] | None = None, digi
     return t.withColumn("nth", nth).where("nth = 1").select("fold", *(by or []), "config", "sharpe")
 
 
+def choose_within(record: DataFrame, fold: DataFrame, digits: int = 9) -> DataFrame:
+    """(fold, config) as choose, on training windows that need not begin with the record: a day is read once per window it is in."""
+    d = record.join(F.broadcast(fold.select("fold", "train_start", "test_start")), (F.col("day") >= F.col("train_start")) & (F.col("day") < F.col("test_start")))  # the calendar over the step
+    g = d.groupBy("fold", "config").agg(F.count("r").alias("days"), F.count_if(F.col("r") != 0).alias("active"), F.sum("r").alias("s1"), F.sum(F.col("r") * F.col("r")).alias("s2"))
+    mean = F.col("s1") / F.col("days")
+    dev = F.sqrt(F.greatest((F.col("s2") - F.col("days") * mean * mean) / (F.col("days") - 1), F.lit(0.0)))
+    t = g.where(F.col("active") >= LEAST_DAYS).withColumn("sharpe", F.round(ratio(mean, dev) * F.lit(float(YEAR) ** 0.5), digits))
+    nth = F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("sharpe"), "config"))
+    return t.withColumn("nth", nth).where("nth = 1").select("fold", "config")
+
+
+def window_sharpe(flat: float | None) -> Column:
+    """A ratio from sums over a window; flat where it has no deviation (null: never taken)."""
+    mean = F.col("s1") / F.nullif(F.col("days"), F.lit(0))
+    dev = F.sqrt(F.greatest((F.col("s2") - F.col("days") * mean * mean) / F.nullif(F.col("days") - 1, F.lit(0)), F.lit(0.0)))
+    return F.when((F.col("days") > 1) & (dev > 1e-15), mean / dev).otherwise(F.lit(flat).cast("double"))
+
+
 def beats_on_peers(record: DataFrame, hold: DataFrame, fold: DataFrame, share: float = 0.5, least: int = 3) -> DataFrame:
-    """(fold, config) that in training grew more than holding on at least a share of at least so many peers.
+    """(fold, config, judged) that may be chosen: in training their ratio was over holding's on at least a share of the peers.
 
-    record: peer, config, day, r; hold: peer, day, r."""
-    own = train_sums(record, fold, ["peer", "config"]).select("fold", "peer", "config", F.col("log").alias("own"))
-    held = train_sums(hold, fold, ["peer"]).select("fold", "peer", F.col("log").alias("held"))
-    both = own.join(held, ["fold", "peer"]).groupBy("fold", "config").agg(F.count(F.lit(1)).alias("peers"), F.avg((F.round(F.col("own") - F.col("held"), 9) > 0).cast("double")).alias("won"))
-    return both.where((F.col("peers") >= least) & (F.col("won") >= share)).select("fold", "config")
+    record: peer, config, day, r; hold: peer, day, r, a row for each day with a price. Peers with fewer than LEAST_DAYS such
+    days in the window don't judge; with fewer than `least` judges every configuration may be chosen and judged is 0.
+    """
+    own = train_sums(record, fold, ["peer", "config"]).select("fold", "peer", "config", window_sharpe(None).alias("own"))
+    held = train_sums(hold, fold, ["peer"]).where(F.col("days") >= LEAST_DAYS).select("fold", "peer", window_sharpe(0.0).alias("held"))
+    both = own.join(held, ["fold", "peer"], "left")
+    wins = F.count_if(F.round(F.col("own") - F.col("held"), 12) > 0)
+    judged = both.groupBy("fold", "config").agg(F.count("held").alias("judged"), wins.alias("wins"))
+    good = (F.col("judged") < least) | (F.col("wins") >= share * F.col("judged"))
+    return judged.where(good).select("fold", "config", F.when(F.col("judged") >= least, F.col("judged")).otherwise(0).alias("judged"))
 
 
 def stitched(record: DataFrame, fold: DataFrame, chosen: DataFrame, cost: float = 0.0) -> DataFrame:
@@ -77,9 +106,10 @@ def stitched(record: DataFrame, fold: DataFrame, chosen: DataFrame, cost: float
 
 
 def block_sums(record: DataFrame, blocks: int) -> DataFrame:
-    """(config, block, days, s1, s2) of equal blocks of days."""
+    """(config, block, days, s1, s2) of blocks of days in a row, the first ones a day longer if they don't come out even."""
     span = F.broadcast(record.agg(F.min("day").alias("lo"), (F.datediff(F.max("day"), F.min("day")) + 1).alias("n")))  # one row
-    block = F.floor(F.datediff("day", "lo") * blocks / F.col("n")).cast("int")
+    at, size, over = F.datediff("day", "lo"), F.floor(F.col("n") / blocks), F.col("n") % blocks
+    block = F.when(at < over * (size + 1), F.floor(at / (size + 1))).otherwise(over + F.floor((at - over * (size + 1)) / size)).cast("int")
     return record.join(span).groupBy("config", block.alias("block")).agg(F.count(F.lit(1)).alias("days"), F.sum("r").alias("s1"), F.sum(F.col("r") * F.col("r")).alias("s2"))
 
 
@@ -90,14 +120,17 @@ def splits(spark: SparkSession, blocks: int) -> DataFrame:
 
 
 def overfitting(record: DataFrame, blocks: int = 10) -> DataFrame:
-    """(split, config, rank_out, n_configs): of each split's best inside, its rank outside. Ties to the first configuration."""
+    """(split, config, rank_out, n_configs): of each split's best inside, its rank outside (1: the worst).
+
+    Of configurations that tie inside the first is the best; outside they share their mean rank."""
     s = block_sums(record, blocks).join(F.broadcast(splits(record.sparkSession, blocks)), "block")  # C(blocks, half) * blocks rows
     half = s.groupBy("split", "inside", "config").agg(F.sum("days").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
     mean = F.col("s1") / F.col("n")
     sharpe = F.round(ratio(mean, F.sqrt(F.greatest((F.col("s2") - F.col("n") * mean * mean) / (F.col("n") - 1), F.lit(0.0)))), 9)
     ranked = half.withColumn("sharpe", sharpe)
     best = F.row_number().over(Window.partitionBy("split", "inside").orderBy(F.desc("sharpe"), "config"))
-    low = F.row_number().over(Window.partitionBy("split", "inside").orderBy("sharpe", F.desc("config")))
+    ties = F.count(F.lit(1)).over(Window.partitionBy("split", "inside", "sharpe"))
+    low = F.rank().over(Window.partitionBy("split", "inside").orderBy("sharpe")) + (ties - 1) / 2
     ranked = ranked.withColumn("best", best).withColumn("low", low).withColumn("n_configs", F.count(F.lit(1)).over(Window.partitionBy("split", "inside")))
     inside = ranked.where("inside AND best = 1").select("split", "config")
     return ranked.where("NOT inside").join(inside, ["split", "config"]).select("split", "config", F.col("low").alias("rank_out"), "n_configs")
@@ -115,6 +148,19 @@ def eras(record: DataFrame, days: int = 730) -> DataFrame:
     return record.withColumn("lo", lo).groupBy("key", era.alias("era")).agg(F.count(F.lit(1)).alias("n"), (grown("r") - 1).alias("gain"))
 
 
+def consistency(record: DataFrame, days: int = 730, tail: int = 365, least: int = 3) -> DataFrame:
+    """(key, windows, rho): half the share of windows with a positive ratio, 0.3 of how little they spread, 0.2 of the worst one.
+
+    Windows are `days` long from a key's first day, the last one counts from `tail` days on; rho is null under `least` windows.
+    """
+    era = F.floor((F.row_number().over(Window.partitionBy("key").orderBy("day")) - 1) / days)
+    w = record.withColumn("era", era).groupBy("key", "era").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"))
+    w = w.where(F.col("n") >= tail).withColumn("sharpe", ratio(F.col("mean"), F.col("sd")) * F.lit(float(YEAR) ** 0.5))
+    spread = F.greatest(F.least(1 - F.stddev_samp("sharpe") / 2, F.lit(1.0)), F.lit(0.0))
+    rho = 0.5 * F.avg((F.col("sharpe") > 0).cast("double")) + 0.3 * spread + 0.2 / (1 + F.exp(-F.min("sharpe")))
+    return w.groupBy("key").agg(F.count(F.lit(1)).alias("windows"), F.when(F.count(F.lit(1)) >= least, F.greatest(F.least(rho, F.lit(1.0)), F.lit(0.0))).alias("rho"))
+
+
 def neighbours(configs: DataFrame, axes: list[str]) -> DataFrame:
     """(config, neighbour): configurations that differ by one step along one axis."""
     numbered = configs.select("config", *(F.dense_rank().over(Window.orderBy(a)).alias(a) for a in axes))  # a grid: a bounded table

@@ -234,9 +234,13 @@ def monte_carlo(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("random_timing")
 def random_timing(spark: SparkSession, sf: str) -> DataFrame:
-    t = targeted(spark, sf).withColumn("market", F.coalesce(F.col("close") / F.last("close", ignorenulls=True).over(before()) - 1, F.lit(0.0)))
-    t = t.select(F.col("instrument").alias("key"), F.col("ts").alias("day"), F.coalesce(F.lag("target").over(P.own()), F.lit(0.0)).alias("position"), "market")
-    return rounded(L.random_timing(t))
+    """The cross of averages on all names as one book, and on each name alone, against 500 turned timings of each."""
+    known = F.last("close", ignorenulls=True).over(before())
+    t = targeted(spark, sf).select(
+        F.lit("book").alias("key"), "instrument", "ts", F.coalesce(F.lag("target").over(P.own()), F.lit(0.0)).alias("weight"), (F.col("open") / known - 1).alias("gap"),
+        (F.col("close") / F.col("open") - 1).alias("session"), F.lit(0.0).alias("funding"), F.col("close").isNotNull().cast("double").alias("member"),
+    )
+    return rounded(L.random_timing(t.unionByName(t.withColumn("key", F.col("instrument")))))
 
 
 @query("paired_t")

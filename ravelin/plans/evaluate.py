@@ -1,67 +1,91 @@
-"""A strategy on a list, end to end: positions of every configuration, accounts, walk-forward, figures, targets and checks."""
+"""A strategy on a list, end to end: positions of every configuration, books, walk-forward, figures, targets and checks."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ravelin.operators import books as B
 from ravelin.operators import metrics as M
 from ravelin.operators import selection as S
 from ravelin.operators import walks as K
-from ravelin.operators.panel import grid, own
+from ravelin.operators.panel import own
 from ravelin.plans.strategies import Strategy
+from ravelin.sources.store import kept
 
 
 @dataclass
 class Evaluation:
+    strategy: Strategy
     configs: list[dict[str, Any]]
+    books: DataFrame  # the rows of every configuration's book
+    walks: DataFrame  # config, ts and the account's figures
     records: DataFrame  # config, day, r
     folds: DataFrame
     chosen: DataFrame
     out_of_sample: DataFrame  # key, day, r
     benchmark: DataFrame  # key, day, r
     card: DataFrame
+    costs: K.Costs
+    more: dict[str, Any] = field(default_factory=dict)
 
 
-def targets_of(bars: DataFrame, strategy: Strategy, params: dict[str, Any], **more: Any) -> DataFrame:
-    """The panel with targets: rules share the equity alike among the names that have begun; panels give weights themselves."""
-    p = strategy.positions(bars, **params, **more)
-    out = grid(bars).join(bars.select("instrument", "ts", "open", "high", "close"), ["instrument", "ts"], "left").join(p, ["instrument", "ts"], "left")
-    held = F.coalesce(F.last("position", ignorenulls=True).over(own()), F.lit(0.0))
-    out = out.withColumn("begun", (F.count("close").over(own()) > 0).cast("int")).withColumn("position", held)
-    at = Window.partitionBy("ts")
-    if strategy.kind == "panel":  # names that didn't print keep old weights; together they stay within the equity
-        return out.withColumn("target", F.col("position") / F.greatest(F.sum(F.abs("position")).over(at), F.lit(1.0)))
-    return out.withColumn("target", F.col("position") / F.greatest(F.sum("begun").over(at), F.lit(1)))
+def books_of(bars: DataFrame, strategy: Strategy, configs: list[dict[str, Any]], member: DataFrame | None = None, carry: DataFrame | None = None, **more: Any) -> DataFrame:
+    """The rows of every configuration's book: positions are made once for configurations that differ in the account's axes only."""
+    signals: dict[str, tuple[int, dict]] = {}
+    of = []
+    for c in configs:
+        own_ = strategy.signal(c)
+        of.append(signals.setdefault(repr(sorted(own_.items())), (len(signals), own_))[0])
+    each = [strategy.positions(bars, **params, **more).select(F.lit(i).alias("signal"), "instrument", "ts", "position") for i, params in signals.values()]
+    table = bars.sparkSession.createDataFrame(list(enumerate(of)), "config int, signal int")
+    return B.wanted_books(bars, reduce(DataFrame.unionByName, each), table, member, carry)
 
 
-def records_of(bars: DataFrame, strategy: Strategy, configs: list[dict[str, Any]], costs: K.Costs, **more: Any) -> DataFrame:
-    """(config, day, r): an account per configuration, each a group of its own."""
-    books = None
-    for i, params in enumerate(configs):
-        b = targets_of(bars, strategy, params, **more).select(F.lit(i).alias("config"), "ts", "instrument", "open", "high", "close", "target")
-        books = b if books is None else books.unionByName(b)
-    net = K.run_account(books, "config", costs, book=strategy.kind == "panel")
-    day = net.select(F.col("config").cast("string").alias("key"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"), F.col("net").alias("r"))
+def daily_of(walks: DataFrame, value: Any = "net") -> DataFrame:
+    """(config, day, r): an account's returns by UTC day; a daily bar closes at the end of its day."""
+    r = F.col(value) if isinstance(value, str) else value
+    day = walks.select(F.col("config").cast("string").alias("key"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"), r.alias("r"))
     return M.daily(day, "ts", "r").select(F.col("key").cast("int").alias("config"), "day", "r")
 
 
+def records_of(bars: DataFrame, strategy: Strategy, configs: list[dict[str, Any]], costs: K.Costs, **more: Any) -> DataFrame:
+    """(config, day, r) of each configuration's account."""
+    return daily_of(B.run_books(books_of(bars, strategy, configs, **more), strategy.kind, configs, costs))
+
+
+def stitch(e: Evaluation, records: DataFrame, scale: float = 1.0) -> DataFrame:
+    """(key, day, r) of other records of the same configurations over the same choices."""
+    if len(e.configs) == 1:
+        return records.select(F.lit(e.strategy.name).alias("key"), "day", "r")
+    return S.stitched(records, e.folds, e.chosen, e.costs.rate * scale).select(F.lit(e.strategy.name).alias("key"), "day", "r")
+
+
 def evaluate(bars: DataFrame, strategy: Strategy, configs: list[dict[str, Any]] | None = None, costs: K.Costs | None = None, **more: Any) -> Evaluation:
+    """The whole grid walked forward. more: member, carry, and what the strategy itself asks for.
+
+    Walks are written once to the shared folder; every figure and check reads them there.
+    """
     costs = costs or K.Costs(0.0005, 0.005)
-    configs = configs or strategy.configs()
-    bars = bars.cache()
-    records = records_of(bars, strategy, configs, costs, **more).cache()
+    names = bars.select("instrument").distinct().count()
+    configs = configs or strategy.configs(names)
+    books = kept(books_of(bars, strategy, configs, **more), "books")
+    walks = kept(B.run_books(books, strategy.kind, configs, costs), "walks")
+    records = kept(daily_of(walks), "records")
     folds = S.folds(records)
-    chosen = S.choose(records, folds)
-    oos = records.select(F.lit(strategy.name).alias("key"), "day", "r") if len(configs) == 1 else S.stitched(records, folds, chosen, costs.rate).select(F.lit(strategy.name).alias("key"), "day", "r")
+    chosen = kept(S.choose(records, folds), "chosen")
     hold = bars.withColumn("r", F.col("close") / F.lag("close").over(own()) - 1).groupBy(F.col("ts").alias("day")).agg(F.avg("r").alias("r")).select(F.lit(strategy.name).alias("key"), "day", F.coalesce("r", F.lit(0.0)).alias("r"))
-    hold = hold.join(oos.select("day"), "day", "left_semi")
-    card = M.core(oos).join(M.vs_hold(oos, hold), "key", "left").withColumn("beats_hold", F.coalesce(F.col("vs_hold") > 0, F.lit(False)))
-    card = M.targets(card).join(M.k_ratio(oos), "key", "left").join(M.best_year(oos).select("key", F.col("without").alias("without_best_year")), "key", "left")
-    return Evaluation(configs, records, folds, chosen, oos, hold, card)
+    e = Evaluation(strategy, configs, books, walks, records, folds, chosen, records, hold, records, costs, {"bars": bars} | more)
+    e.out_of_sample = kept(stitch(e, records), "oos")
+    e.benchmark = hold.join(e.out_of_sample.select("day"), "day", "left_semi")
+    oos = e.out_of_sample
+    card = M.core(oos).join(M.vs_hold(oos, e.benchmark), "key", "left").withColumn("beats_hold", F.coalesce(F.col("vs_hold") > 0, F.lit(False)))
+    e.card = M.targets(card).join(M.k_ratio(oos), "key", "left").join(M.best_year(oos).select("key", F.col("without").alias("without_best_year")), "key", "left")
+    return e
 
 
 def pick(records: DataFrame, cost: float = 0.0005) -> tuple[DataFrame, DataFrame]:

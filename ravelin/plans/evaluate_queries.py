@@ -18,7 +18,7 @@ from ravelin.operators import selection as S
 from ravelin.operators.joins import as_of
 from ravelin.operators.panel import own
 from ravelin.plans import strategies as T
-from ravelin.plans.evaluate import evaluate, pick, records_of
+from ravelin.plans.evaluate import daily_of, evaluate, pick
 from ravelin.plans.record_queries import SQL_CHOSEN, SQL_CONFIGS, rounded
 from ravelin.plans.registry import query
 from ravelin.plans.signal_queries import r6
@@ -29,59 +29,150 @@ from ravelin.sources import views as V
 W = "OVER (PARTITION BY instrument ORDER BY ts)"
 
 
+def card_of(spark: SparkSession, sf: str, name: str, bars: DataFrame, **more) -> DataFrame:
+    return rounded(evaluate(bars, T.STRATEGIES[name], **more).card)
+
+
 @query("evaluate_sma_cross")
 def evaluate_sma(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(evaluate(V.bars_region(spark, sf), T.STRATEGIES["sma_cross"], T.STRATEGIES["sma_cross"].configs()[:4]).card)
+    """The whole grid: shares among the names that have begun."""
+    return card_of(spark, sf, "sma_cross", V.bars_region(spark, sf))
 
 
 @query("evaluate_xs_momentum")
 def evaluate_xs(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(evaluate(V.bars_brand(spark, sf), T.STRATEGIES["xs_momentum"], T.STRATEGIES["xs_momentum"].configs()[:2]).card)
+    return card_of(spark, sf, "xs_momentum", V.bars_brand(spark, sf))
+
+
+@query("evaluate_ibs_slots")
+def evaluate_ibs(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole grid of a rule with slots, on monthly lists of the most traded names."""
+    bars = V.bars_brand(spark, sf)
+    return card_of(spark, sf, "ibs", bars, member=top_members(bars, 10))
+
+
+@query("evaluate_donchian_exits")
+def evaluate_donchian(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole grid of a rule with stops within bars."""
+    return card_of(spark, sf, "donchian_breakout", V.bars_region(spark, sf))
+
+
+@query("evaluate_funding_carry")
+def evaluate_funding(spark: SparkSession, sf: str) -> DataFrame:
+    """A panel on what positions pay: settlements enter the ranking, and the account by the bar they fall into."""
+    bars, paid = V.bars_nation(spark, sf), V.settlements(spark, sf)
+    carry = interval_sum(paid, bars)
+    return card_of(spark, sf, "funding_carry", bars, settlements=paid, carry=carry)
+
+
+def interval_sum(settlements: DataFrame, bars: DataFrame) -> DataFrame:
+    """(instrument, ts, funding, dividend): what settles within a bar."""
+    from ravelin.operators.joins import next_bar
+
+    at = next_bar(settlements.select("instrument", "settle", "rate"), bars.select("instrument", "ts"), "instrument", "settle", ["rate"])
+    return at.groupBy("instrument", F.col("bar_ts").alias("ts")).agg(F.sum("rate").alias("funding")).withColumn("dividend", F.lit(0.0))
+
+
+def top_members(bars: DataFrame, n: int) -> DataFrame:
+    """(instrument, ts, listed): the n names that traded most in the month before."""
+    month = bars.groupBy("instrument", F.date_trunc("month", "ts").alias("month")).agg(F.sum("dollar_volume").alias("money"))
+    rank = F.row_number().over(Window.partitionBy("month").orderBy(F.desc("money"), "instrument"))
+    listed = month.withColumn("rank", rank).select("instrument", (F.col("month") + F.expr("INTERVAL 1 MONTH")).alias("month"), (F.col("rank") <= n).alias("listed"))
+    out = bars.select("instrument", "ts", F.date_trunc("month", "ts").alias("month")).join(listed, ["instrument", "month"], "left")
+    return out.select("instrument", "ts", F.coalesce("listed", F.lit(False)).alias("listed"))
+
+
+@query("robustness_sma_cross")
+def robustness(spark: SparkSession, sf: str) -> DataFrame:
+    """Every check of a walk-forward on a Top-10 list, judged."""
+    from ravelin.plans import robust
+
+    bars = V.bars_brand(spark, sf)
+    e = evaluate(bars, T.STRATEGIES["sma_cross"], member=top_members(bars, 10))
+    lists = {n: top_members(bars, n) for n in robust.next_to(10)}
+    measured = robust.measure(e, 100, lists).withColumn("key", F.lit("sma_cross"))
+    return rounded(robust.judged(measured, e.card.select("key", "sharpe"), 2.0))
+
+
+@query("robustness_ibs_ml_filter")
+def robustness_model(spark: SparkSession, sf: str) -> DataFrame:
+    """The checks of a model: other seeds, and the rule without it."""
+    from ravelin.plans import robust
+
+    s = T.STRATEGIES["ibs_ml_filter"]
+    e = evaluate(V.bars_region(spark, sf), s, [s.configs()[0]])
+    measured = robust.measure(e, 100, base=robust.base_of(s.name)).withColumn("key", F.lit(s.name))
+    return rounded(robust.judged(measured, e.card.select("key", "sharpe"), 2.0))
+
+
+def alone(bars: DataFrame, names: list[str], costs: Costs | None = None) -> DataFrame:
+    """(key, config, day, r): the account of each strategy on each instrument alone; config is the place in names."""
+    from ravelin.operators import books as B
+
+    of = sorted(r.instrument for r in bars.select("instrument").distinct().collect())  # a list's names
+    s = [T.STRATEGIES[n] for n in names]
+    params = [x.configs()[0] for _ in of for x in s]
+    configs = bars.sparkSession.createDataFrame([(i * len(s) + k, k, n) for i, n in enumerate(of) for k in range(len(s))], "config int, signal int, instrument string")
+    each = reduce(DataFrame.unionByName, [x.positions(bars).select(F.lit(k).alias("signal"), "instrument", "ts", "position") for k, x in enumerate(s)])
+    books = B.wanted_books(bars, each, configs.withColumnRenamed("instrument", "_of")).where("instrument = _of").drop("_of")
+    walks = B.run_books(books, "rule", params, costs or Costs(0.0005, 0.005))
+    day = daily_of(walks).withColumnRenamed("config", "id").join(F.broadcast(configs.withColumnRenamed("config", "id")), "id")
+    return day.select(F.col("instrument").alias("key"), F.col("signal").alias("config"), "day", "r")
+
+
+CANDIDATES = ["sma_cross", "ema_trend", "ibs", "ibs_reversion", "rsi2_connors", "bollinger_reversion", "donchian_breakout", "keltner_breakout", "tsmom", "pocket_pivot"]
 
 
 @query("evaluate_alone")
 def evaluate_alone(spark: SparkSession, sf: str) -> DataFrame:
     """A rule on each instrument for itself: share of the best days, figures, targets."""
-    alone = _records_by_name(spark, sf, ["ibs"]).select("key", "day", "r")
-    card = M.core(alone).withColumn("beats_hold", F.lit(False))
-    return rounded(M.targets(card).join(M.best_days_share(alone), "key").select("key", "days", "sharpe", "cagr", "max_dd", "share", "targets_met"))
-
-
-def _records_by_name(spark: SparkSession, sf: str, names: list[str]) -> DataFrame:
-    """(key, config, day, r): each instrument's returns under each strategy's positions, a bar late."""
-    bars = V.bars_region(spark, sf).withColumn("m", F.log(F.col("close") / F.lag("close").over(own())) * 0.02)
-    one = [
-        T.STRATEGIES[n].positions(bars.select("instrument", "ts", "open", "high", "low", "close", "volume", "dollar_volume")).withColumn("config", F.lit(i)).withColumn("held", F.coalesce(F.lag("position").over(own()), F.lit(0.0)))
-        for i, n in enumerate(names)
-    ]
-    all_ = reduce(DataFrame.unionByName, one).join(bars.select("instrument", "ts", "m"), ["instrument", "ts"])
-    return all_.select(F.col("instrument").alias("key"), "config", F.col("ts").alias("day"), (F.col("held") * F.coalesce("m", F.lit(0.0))).alias("r"))
+    own_ = alone(V.bars_region(spark, sf), ["ibs"]).select("key", "day", "r")
+    card = M.core(own_).withColumn("beats_hold", F.lit(False))
+    return rounded(M.targets(card).join(M.best_days_share(own_), "key").select("key", "days", "sharpe", "cagr", "max_dd", "share", "targets_met"))
 
 
 @query("strategy_pick")
 def strategy_pick(spark: SparkSession, sf: str) -> DataFrame:
     """Which strategy a walk-forward over candidates takes, per instrument and window."""
-    chosen, _ = pick(_records_by_name(spark, sf, ["sma_cross", "ibs", "bollinger_reversion"]))
+    chosen, _ = pick(alone(V.bars_region(spark, sf), CANDIDATES))
     return rounded(chosen)
 
 
 @query("strategy_pick_record")
 def strategy_pick_record(spark: SparkSession, sf: str) -> DataFrame:
-    _, days = pick(_records_by_name(spark, sf, ["sma_cross", "ibs", "bollinger_reversion"]))
+    _, days = pick(alone(V.bars_region(spark, sf), CANDIDATES))
     return rounded(days.groupBy("key").agg(F.count(F.lit(1)).alias("days"), (M.grown("r") - 1).alias("gain"), F.count_distinct("config").alias("strategies")))
 
 
 @query("wf_choose_peers")
 def choose_peers(spark: SparkSession, sf: str) -> DataFrame:
-    """Configurations that beat holding on half of their peers, then the best of them."""
-    rec = _records_by_name(spark, sf, ["sma_cross", "ibs", "bollinger_reversion"]).withColumnRenamed("key", "peer")
-    hold = V.bars_region(spark, sf).select(F.col("instrument").alias("peer"), F.col("ts").alias("day"), F.coalesce(F.log(F.col("close") / F.lag("close").over(own())) * 0.02, F.lit(0.0)).alias("r"))
+    """Configurations whose ratio beat holding's on half of their peers, then the best of them."""
+    bars = V.bars_region(spark, sf)
+    rec = alone(bars, CANDIDATES).withColumnRenamed("key", "peer")
+    hold = bars.select(F.col("instrument").alias("peer"), F.col("ts").alias("day"), F.coalesce(F.col("close") / F.lag("close").over(own()) - 1, F.lit(0.0)).alias("r"))
     whole = rec.groupBy("config", "day").agg(F.avg("r").alias("r"))
     fold = S.folds(whole)
     good = S.beats_on_peers(rec, hold, fold)
     t = S.train_sharpe(whole, fold).join(good, ["fold", "config"]).withColumn("sharpe", F.round("sharpe", 9))
     nth = F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("sharpe"), "config"))
-    return rounded(t.withColumn("nth", nth).where("nth = 1").select("fold", "config", "sharpe"))
+    return rounded(t.withColumn("nth", nth).where("nth = 1").select("fold", "config", "sharpe", "judged"))
+
+
+_PEERS = """rec AS (SELECT instrument AS peer, config, ts AS day, held * r - abs(held - before) * 0.0002 AS r FROM h), hold AS (SELECT DISTINCT instrument AS peer, ts AS day, r FROM smas),
+  rt AS (SELECT fold, peer, config, count(*) AS d, sum(rec.r) AS s1, sum(rec.r * rec.r) AS s2 FROM folds JOIN rec ON day < test_start GROUP BY 1, 2, 3), ht AS (SELECT fold, peer, count(*) AS d, sum(hold.r) AS s1, sum(hold.r * hold.r) AS s2 FROM folds JOIN hold ON day < test_start GROUP BY 1, 2),
+  rq AS (SELECT fold, peer, config, CASE WHEN sqrt(greatest((s2 - s1 * s1 / d) / (d - 1), 0)) > 1e-15 THEN s1 / d / sqrt(greatest((s2 - s1 * s1 / d) / (d - 1), 0)) END AS own FROM rt),
+  hq AS (SELECT fold, peer, CASE WHEN sqrt(greatest((s2 - s1 * s1 / d) / (d - 1), 0)) > 1e-15 THEN s1 / d / sqrt(greatest((s2 - s1 * s1 / d) / (d - 1), 0)) ELSE 0 END AS held FROM ht WHERE d >= 60),
+  j AS (SELECT fold, config, count(held) AS judged, count(*) FILTER (round(own - held, 12) > 0) AS wins FROM rq LEFT JOIN hq USING (fold, peer) GROUP BY 1, 2)"""
+
+
+@query("peers_eligible", f"{SQL_CONFIGS}, {_PEERS} SELECT fold, config, CASE WHEN judged >= 3 THEN judged ELSE 0 END AS judged FROM j WHERE judged < 3 OR wins >= 0.2 * judged")
+def peers_eligible(spark: SparkSession, sf: str) -> DataFrame:
+    """Which configurations a window may choose from, judged by their ratios against holding on every region."""
+    from ravelin.plans.record_queries import config_nets
+
+    rec = config_nets(spark, sf)
+    hold = rec.where("config = 0").select("peer", "day", F.col("market").alias("r"))
+    return S.beats_on_peers(rec.select("peer", "config", "day", "r"), hold, S.folds(rec.select("day")), share=0.2).select("fold", "config", F.col("judged").cast("long").alias("judged"))
 
 
 @query("switch_costs", f"""{SQL_CONFIGS}, {SQL_CHOSEN}, w AS (SELECT fold, config, (config + 1 + fold) % 9 AS before FROM chosen), s AS (SELECT w.fold, f.test_start, w.config, w.before FROM w JOIN folds f USING (fold) WHERE w.config <> w.before),
@@ -105,17 +196,14 @@ def switch_costs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("neighbour_lists")
 def neighbour_lists(spark: SparkSession, sf: str) -> DataFrame:
-    """The same rule on lists of different length: whether a result hangs on one of them."""
-    bars = V.bars_brand(spark, sf)
-    money = bars.groupBy("instrument").agg(F.sum("dollar_volume").alias("money"))
-    rank = money.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("money"), "instrument")))  # names, not bars
-    out = None
-    for n in (5, 10, 15):
-        listed = bars.join(rank.where(F.col("rank") <= n).select("instrument"), "instrument", "left_semi")
-        rec = records_of(listed, T.STRATEGIES["sma_cross"], [{"fast": 5, "slow": 20, "long_only": True}], Costs(0.0005))
-        one = rec.agg((M.grown("r") - 1).alias("gain"), F.count(F.lit(1)).alias("days")).withColumn("names", F.lit(n))
-        out = one if out is None else out.unionByName(one)
-    return rounded(out)
+    """A walk-forward on the lists next to a Top-10 list: whether its result hangs on the names at the list's edge."""
+    from ravelin.plans.robust import next_to
+
+    bars, out = V.bars_brand(spark, sf), []
+    for n in next_to(10):
+        e = evaluate(bars, T.STRATEGIES["gtaa_faber"], member=top_members(bars, n))
+        out.append(M.core(e.out_of_sample).select(F.lit(n).alias("names"), "days", "sharpe", "cagr"))
+    return rounded(reduce(DataFrame.unionByName, out))
 
 
 @query("half_held_start", f"WITH {V.SQL_NATION}, c AS (SELECT ts, count(*) AS n FROM bars GROUP BY 1) SELECT min(ts) AS start FROM c WHERE n >= ceil((SELECT count(DISTINCT instrument) FROM bars) / 2)")
@@ -212,16 +300,22 @@ def vol_ratio(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("look_ahead_check")
 def look_ahead(spark: SparkSession, sf: str) -> DataFrame:
-    """Positions on bars cut at a date against those on all bars: a difference would be a look ahead."""
-    bars = V.bars_region(spark, sf)
-    early = bars.where(F.col("ts") < F.lit("1999-01-01").cast("timestamp"))
-    out = None
-    for n in ("sma_cross", "ibs", "bollinger_reversion", "vol_managed", "gtaa_faber"):
-        s = T.STRATEGIES[n]
-        a, b = s.positions(bars), s.positions(early).withColumnRenamed("position", "cut")
-        one = b.join(a, ["instrument", "ts"]).agg(F.count(F.lit(1)).alias("bars"), F.count_if(F.abs(F.col("position") - F.col("cut")) > 1e-9).alias("differ")).withColumn("strategy", F.lit(n))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Positions on bars cut at two dates against those on all bars, for every strategy: a difference would be a look ahead."""
+    from ravelin.sources.store import kept
+
+    region, brand, nation = (kept(f(spark, sf), "bars") for f in (V.bars_region, V.bars_brand, V.bars_nation))
+    paid = V.settlements(spark, sf)
+    out = []
+    for name, s in sorted(T.STRATEGIES.items()):
+        bars, more = (nation, {"settlements": paid}) if name == "funding_carry" else (brand, {}) if s.kind == "panel" else (region, {})
+        whole = s.positions(bars, **more)
+        for cut in ("1996-01-01", "1998-06-01"):
+            before = F.col("ts") < F.lit(cut).cast("timestamp")
+            early = s.positions(bars.where(before), **more).withColumnRenamed("position", "cut")
+            both = early.join(whole.where(before), ["instrument", "ts"])
+            out.append(both.agg(F.count(F.lit(1)).alias("bars"), F.count_if(F.abs(F.col("position") - F.col("cut")) > 1e-9).alias("differ")).select(F.lit(name).alias("strategy"), F.lit(cut).alias("cut"), "bars", "differ"))
+    parts = [kept(reduce(DataFrame.unionByName, out[i : i + 10]), "ahead") for i in range(0, len(out), 10)]  # a plan of seventy would be long to make
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("period_last_closes", f"WITH {V.SQL_REGION} SELECT instrument, date_trunc('month', ts)::TIMESTAMP AS month, arg_max(close, ts) AS close, count(*) AS bars FROM bars GROUP BY 1, 2")

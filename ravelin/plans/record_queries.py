@@ -11,6 +11,7 @@ from ravelin.operators import selection as S
 from ravelin.plans.registry import query
 from ravelin.plans.signal_queries import _frame, r6
 from ravelin.sources import views as V
+from ravelin.sources.store import kept
 
 W = "PARTITION BY instrument ORDER BY ts"
 K = "PARTITION BY key ORDER BY day"
@@ -118,13 +119,19 @@ def best_days(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(M.best_days_share(record(spark, sf)))
 
 
-@query("eras_rho", f"""WITH {SQL_RECORD}, x AS (SELECT *, min(day) OVER (PARTITION BY key) AS lo FROM record), e AS (SELECT key, floor(date_diff('day', lo, day) / 730) AS era, count(*) AS n, exp(sum(ln(1 + r))) - 1 AS gain FROM x GROUP BY 1, 2)
+@query("eras_gain", f"""WITH {SQL_RECORD}, x AS (SELECT *, min(day) OVER (PARTITION BY key) AS lo FROM record), e AS (SELECT key, floor(date_diff('day', lo, day) / 730) AS era, count(*) AS n, exp(sum(ln(1 + r))) - 1 AS gain FROM x GROUP BY 1, 2)
   SELECT key, count(*) AS eras, round(avg((gain > 0)::INT), 6) AS good, round(min(gain), 6) AS worst FROM e WHERE n >= 365 GROUP BY key""")
-def eras(spark: SparkSession, sf: str) -> DataFrame:
+def eras_gain(spark: SparkSession, sf: str) -> DataFrame:
     e = S.eras(record(spark, sf)).where("n >= 365")
     return rounded(e.groupBy("key").agg(F.count(F.lit(1)).alias("eras"), F.avg((F.col("gain") > 0).cast("double")).alias("good"), F.min("gain").alias("worst")))
 
 
+@query("eras_rho", f"""WITH {SQL_RECORD}, x AS (SELECT *, floor((row_number() OVER (PARTITION BY key ORDER BY day) - 1) / 730) AS era FROM record), w AS (SELECT key, era, coalesce(avg(r) / nullif(stddev_samp(r), 0), 0) * sqrt(365) AS s FROM x GROUP BY 1, 2 HAVING count(*) >= 365)
+  SELECT key, count(*) AS windows, round(CASE WHEN count(*) >= 3 THEN greatest(least(0.5 * avg((s > 0)::INT) + 0.3 * greatest(least(1 - stddev_samp(s) / 2, 1), 0) + 0.2 / (1 + exp(-min(s))), 1), 0) END, 6) AS rho FROM w GROUP BY key""")
+def eras(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(S.consistency(record(spark, sf)))
+
+
 @query("curve_weekly", f"""WITH {SQL_RECORD}, {SQL_PATH}, w AS (SELECT key, date_trunc('week', day)::TIMESTAMP AS week, arg_max(equity, day) AS equity, min(drawdown) AS low FROM path GROUP BY 1, 2),
   n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY week) - 1 AS i, count(*) OVER (PARTITION BY key) AS c FROM w) SELECT key, week, round(equity, 6) AS equity, round(low, 6) AS low FROM n WHERE i % ceil(c / 100) = 0 OR i = c - 1""")
 def curve_weekly(spark: SparkSession, sf: str) -> DataFrame:
@@ -186,8 +193,8 @@ GRID = [(i, f, s) for i, (f, s) in enumerate((f, s) for f in FASTS for s in SLOW
 COST = 0.0002
 
 
-def config_records(spark: SparkSession, sf: str) -> DataFrame:
-    """(config, day, r): a configuration's mean over regions of yesterday's side times the day's damped return, less costs."""
+def config_nets(spark: SparkSession, sf: str) -> DataFrame:
+    """(peer, config, day, market, r): on each region, yesterday's side times the day's damped return (market), less costs."""
     b = V.bars_region(spark, sf).withColumn("r", F.coalesce((F.col("close") / F.lag("close").over(I.own()) - 1) * 0.02, F.lit(0.0)))
     b = b.select("instrument", "ts", "r", *(I.sma("close", n).alias(f"s{n}") for n in FASTS + SLOWS))
     side = [F.struct(F.lit(i).alias("config"), F.coalesce(F.signum(F.col(f"s{f}") - F.col(f"s{s}")), F.lit(0.0)).alias("side")) for i, f, s in GRID]
@@ -196,7 +203,12 @@ def config_records(spark: SparkSession, sf: str) -> DataFrame:
     held = F.coalesce(F.lag("side").over(w), F.lit(0.0))
     net = long_.withColumn("held", held).withColumn("before", F.coalesce(F.lag("side", 2).over(w), F.lit(0.0)))
     net = net.withColumn("net", F.col("held") * F.col("r") - F.abs(F.col("held") - F.col("before")) * COST)
-    return net.groupBy("config", F.col("ts").alias("day")).agg(F.avg("net").alias("r"))
+    return net.select(F.col("instrument").alias("peer"), "config", F.col("ts").alias("day"), F.col("r").alias("market"), F.col("net").alias("r"))
+
+
+def config_records(spark: SparkSession, sf: str) -> DataFrame:
+    """(config, day, r): a configuration's mean over regions. Written once: folds, sums, choices and stitching all read it."""
+    return kept(config_nets(spark, sf).groupBy("config", "day").agg(F.avg("r").alias("r")), "configs")
 
 
 _SIDES = " UNION ALL ".join(f"SELECT instrument, ts, r, {i} AS config, coalesce(sign(s{f} - s{s}), 0)::DOUBLE AS side FROM smas" for i, f, s in GRID)
@@ -236,14 +248,15 @@ def wf_stitch(spark: SparkSession, sf: str) -> DataFrame:
     return S.stitched(rec, fold, S.choose(rec, fold), 0.001).select("day", "fold", "config", F.round("r", 8).alias("r"))
 
 
-@query("pbo_cscv", f"""{SQL_CONFIGS}, b AS (SELECT config, floor(date_diff('day', lo, day) * 6 / (date_diff('day', lo, hi) + 1))::INTEGER AS block, r FROM configs, sp), s AS (SELECT config, block, count(*) AS n, sum(r) AS s1, sum(r * r) AS s2 FROM b GROUP BY 1, 2),
-  m AS (SELECT unnest(range(0, 64)) AS mask), k AS (SELECT mask FROM m WHERE bit_count(mask::INTEGER) = 3),
+@query("pbo_cscv", f"""{SQL_CONFIGS}, pos AS (SELECT config, r, date_diff('day', lo, day) AS i, (date_diff('day', lo, hi) + 1) // 10 AS q, (date_diff('day', lo, hi) + 1) % 10 AS o FROM configs, sp),
+  b AS (SELECT config, (CASE WHEN i < o * (q + 1) THEN i // (q + 1) ELSE o + (i - o * (q + 1)) // q END)::INTEGER AS block, r FROM pos), s AS (SELECT config, block, count(*) AS n, sum(r) AS s1, sum(r * r) AS s2 FROM b GROUP BY 1, 2),
+  m AS (SELECT unnest(range(0, 1024)) AS mask), k AS (SELECT mask FROM m WHERE bit_count(mask::INTEGER) = 5),
   hv AS (SELECT mask, ((mask >> block) & 1) = 1 AS inside, config, sum(n) AS n, sum(s1) AS s1, sum(s2) AS s2 FROM k, s GROUP BY 1, 2, 3),
   q AS (SELECT *, round(coalesce(s1 / n / nullif(sqrt(greatest((s2 - s1 * s1 / n) / (n - 1), 0)), 0), 0), 9) AS sh FROM hv),
-  z AS (SELECT *, row_number() OVER (PARTITION BY mask, inside ORDER BY sh DESC, config) AS best, row_number() OVER (PARTITION BY mask, inside ORDER BY sh, config DESC) AS low, count(*) OVER (PARTITION BY mask, inside) AS c FROM q)
+  z AS (SELECT *, row_number() OVER (PARTITION BY mask, inside ORDER BY sh DESC, config) AS best, rank() OVER (PARTITION BY mask, inside ORDER BY sh) + (count(*) OVER (PARTITION BY mask, inside, sh) - 1) / 2 AS low, count(*) OVER (PARTITION BY mask, inside) AS c FROM q)
   SELECT count(*) AS splits, round(avg((o.low / (o.c + 1) <= 0.5)::INT), 6) AS pbo FROM z i JOIN z o ON o.mask = i.mask AND o.config = i.config WHERE i.inside AND i.best = 1 AND NOT o.inside""")
 def pbo(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(S.overfitting_share(config_records(spark, sf), 6))
+    return rounded(S.overfitting_share(config_records(spark, sf)))
 
 
 @query("plateau_neighbours", f"""{SQL_CONFIGS}, g AS (SELECT * FROM (VALUES {', '.join(f'({i}, {FASTS.index(f)}, {SLOWS.index(s)})' for i, f, s in GRID)}) t(config, a, b)),

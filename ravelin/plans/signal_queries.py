@@ -94,40 +94,63 @@ def mfi(spark: SparkSession, sf: str) -> DataFrame:
 _NUM = "n AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY ts) AS rn FROM bars)"
 
 
-def _smoothed(source: str, x: str, n: int, first: int, step: str) -> str:
-    """A recursive CTE e(instrument, rn, v): the mean of x over n rows from row `first`, then step."""
+def smoothed(source: str, x: str, n: int, first: int, step: str, name: str = "e") -> str:
+    """A recursive CTE (instrument, rn, v): the mean of x over n rows from row `first`, then step, in which @ is the CTE."""
     last = first + n - 1
-    return f"""e AS (SELECT instrument, {last}::BIGINT AS rn, avg({x}) AS v FROM {source} WHERE rn BETWEEN {first} AND {last} GROUP BY instrument HAVING count(*) = {n}
-    UNION ALL SELECT s.instrument, s.rn, {step} FROM e JOIN {source} AS s ON s.instrument = e.instrument AND s.rn = e.rn + 1)"""
+    return f"""{name} AS (SELECT instrument, {last}::BIGINT AS rn, avg({x}) AS v FROM {source} WHERE rn BETWEEN {first} AND {last} GROUP BY instrument HAVING count(*) = {n}
+    UNION ALL SELECT s.instrument, s.rn, {step.replace("@", name)} FROM {name} JOIN {source} AS s ON s.instrument = {name}.instrument AND s.rn = {name}.rn + 1)"""
+
+
+def ema_sql(n: int, name: str = "e", source: str = "n", x: str = "close", first: int = 1) -> str:
+    return smoothed(source, x, n, first, f"@.v + (s.{x} - @.v) * 2.0 / ({n} + 1)", name)
+
+
+def wilder_sql(source: str, x: str, n: int, name: str = "e", first: int = 2) -> str:
+    return smoothed(source, x, n, first, f"(@.v * {n - 1} + s.{x}) / {n}", name)
+
+
+def rsi_sql(n: int) -> str:
+    """CTEs up to rsi(instrument, rn, rsi)."""
+    return f"""rm AS (SELECT *, close - lag(close) OVER ({W}) AS d FROM n), rt AS (SELECT *, greatest(d, 0) AS u, greatest(-d, 0) AS w FROM rm),
+  {wilder_sql("rt", "u", n, "ru")}, {wilder_sql("rt", "w", n, "rw")},
+  rsi AS (SELECT instrument, rn, CASE WHEN ru.v + rw.v = 0 THEN 0 ELSE 100 * ru.v / (ru.v + rw.v) END AS rsi FROM ru JOIN rw USING (instrument, rn))"""
+
+
+def adx_sql(n: int) -> str:
+    """CTEs up to adx(instrument, rn, v)."""
+    return f"""am AS (SELECT *, high - lag(high) OVER ({W}) AS up, lag(low) OVER ({W}) - low AS dn FROM n),
+  ad AS (SELECT *, CASE WHEN up > dn AND up > 0 THEN up ELSE 0 END AS pl, CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0 END AS mi FROM am),
+  ax AS (SELECT instrument, {n}::BIGINT AS rn, sum(pl) AS p, sum(mi) AS q FROM ad WHERE rn BETWEEN 2 AND {n} GROUP BY instrument HAVING count(*) = {n - 1}
+    UNION ALL SELECT s.instrument, s.rn, ax.p - ax.p / {n} + s.pl, ax.q - ax.q / {n} + s.mi FROM ax JOIN ad AS s ON s.instrument = ax.instrument AND s.rn = ax.rn + 1),
+  dx AS (SELECT instrument, rn, CASE WHEN p + q > 0 THEN 100 * abs(p - q) / (p + q) ELSE 0 END AS dx FROM ax WHERE rn > {n}),
+  {wilder_sql("dx", "dx", n, "adx", n + 1)}"""
 
 
-_EMA = "e.v + (s.close - e.v) * 2.0 / ({n} + 1)"
 _RR = R.replace("WITH", "WITH RECURSIVE")
 
 
-@query("ind_ema", f"{_RR}, {_NUM}, {_smoothed('n', 'close', 20, 1, _EMA.format(n=20))} SELECT instrument, ts, round(v, 6) AS ema FROM n LEFT JOIN e USING (instrument, rn)")
+@query("ind_ema", f"{_RR}, {_NUM}, {ema_sql(20)} SELECT instrument, ts, round(v, 6) AS ema FROM n LEFT JOIN e USING (instrument, rn)")
 def ema(spark: SparkSession, sf: str) -> DataFrame:
     return X.recursive(_bars(spark, sf), ema=("ema", 20)).select("instrument", "ts", r6("ema").alias("ema"))
 
 
-@query("ind_atr", f"{_RR}, {_NUM}, t AS (SELECT *, {_TR} AS tr FROM n), {_smoothed('t', 'tr', 14, 2, '(e.v * 13 + s.tr) / 14')} SELECT instrument, ts, round(v, 6) AS atr FROM n LEFT JOIN e USING (instrument, rn)")
+@query("ind_atr", f"{_RR}, {_NUM}, t AS (SELECT *, {_TR} AS tr FROM n), {wilder_sql('t', 'tr', 14)} SELECT instrument, ts, round(v, 6) AS atr FROM n LEFT JOIN e USING (instrument, rn)")
 def atr(spark: SparkSession, sf: str) -> DataFrame:
     return X.recursive(_bars(spark, sf), atr=("atr", 14)).select("instrument", "ts", r6("atr").alias("atr"))
 
 
-@query("ind_rsi", f"""{_RR}, {_NUM}, m AS (SELECT *, close - lag(close) OVER ({W}) AS d FROM n), t AS (SELECT *, greatest(d, 0) AS u, greatest(-d, 0) AS w FROM m),
-  {_smoothed('t', 'u', 14, 2, '(e.v * 13 + s.u) / 14')}, {_smoothed('t', 'w', 14, 2, '(e.v * 13 + s.w) / 14').replace('e AS', 'g AS').replace('FROM e ', 'FROM g ').replace('e.', 'g.')}
-  SELECT instrument, ts, round(CASE WHEN e.v + g.v = 0 THEN 0 ELSE 100 * e.v / (e.v + g.v) END, 6) AS rsi FROM n LEFT JOIN e USING (instrument, rn) LEFT JOIN g USING (instrument, rn)""")
+@query("ind_rsi", f"{_RR}, {_NUM}, {rsi_sql(14)} SELECT instrument, ts, round(rsi, 6) AS rsi FROM n LEFT JOIN rsi USING (instrument, rn)")
 def rsi(spark: SparkSession, sf: str) -> DataFrame:
     return X.recursive(_bars(spark, sf), rsi=("rsi", 14)).select("instrument", "ts", r6("rsi").alias("rsi"))
 
 
-@query("ind_adx")
+@query("ind_adx", f"{_RR}, {_NUM}, {adx_sql(14)} SELECT instrument, ts, round(v, 6) AS adx FROM n LEFT JOIN adx USING (instrument, rn)")
 def adx(spark: SparkSession, sf: str) -> DataFrame:
     return X.recursive(_bars(spark, sf), adx=("adx", 14)).select("instrument", "ts", r6("adx").alias("adx"))
 
 
-@query("ind_macd")
+@query("ind_macd", f"""{_RR}, {_NUM}, {ema_sql(12, "f", first=15)}, {ema_sql(26, "g")}, l AS (SELECT instrument, rn, f.v - g.v AS line FROM f JOIN g USING (instrument, rn)), {ema_sql(9, "h", "l", "line", 26)}
+  SELECT instrument, ts, round(CASE WHEN h.v IS NOT NULL THEN line END, 6) AS macd, round(h.v, 6) AS macd_signal, round(line - h.v, 6) AS macd_hist FROM n LEFT JOIN l USING (instrument, rn) LEFT JOIN h USING (instrument, rn)""")
 def macd(spark: SparkSession, sf: str) -> DataFrame:
     return X.recursive(_bars(spark, sf), macd=("macd", 12, 26, 9)).select("instrument", "ts", *(r6(c).alias(c) for c in ("macd", "macd_signal", "macd_hist")))
 
@@ -174,7 +197,8 @@ def vol_state(spark: SparkSession, sf: str) -> DataFrame:
     return v.select("instrument", "ts", S.vol_state("v", 250, 125).alias("state"))
 
 
-@query("trend_state")
+@query("trend_state", f"""{_RR}, {_NUM}, {adx_sql(14)}, {ema_sql(50)}, j AS (SELECT n.*, adx.v AS a, e.v - lag(e.v) OVER (PARTITION BY n.instrument ORDER BY ts) AS d FROM n LEFT JOIN adx USING (instrument, rn) LEFT JOIN e USING (instrument, rn))
+  SELECT instrument, ts, CASE WHEN a IS NULL OR d IS NULL THEN NULL WHEN a > 25 THEN sign(d) ELSE 0 END::INTEGER AS state FROM j""")
 def trend_state(spark: SparkSession, sf: str) -> DataFrame:
     b = X.recursive(_bars(spark, sf), adx=("adx", 14), ema=("ema", 50))
     slope = F.signum(F.col("ema") - F.lag("ema").over(I.own()))

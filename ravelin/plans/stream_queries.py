@@ -6,22 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.plans.registry import query
+from ravelin.sources import views as V
 from ravelin.streaming import bars as S
 
 
-@query("stream_bars")
+@query("stream_bars", f"WITH {V.sql_event('1 hour')} SELECT instrument, ts, open, high, low, close, volume FROM bars")
 def stream_bars(spark: SparkSession, sf: str) -> DataFrame:
-    return S.drained(S.hourly_bars(S.events(spark, sf)))
+    return S.whole(spark, sf, S.hourly_bars)
 
 
-@query("stream_sliding_volume")
+@query("stream_sliding_volume", """WITH w AS (SELECT event_type AS instrument, value, time_bucket(INTERVAL 6 HOURS, ts) - INTERVAL 6 HOURS * k AS start FROM events, (SELECT unnest(range(0, 4)) AS k))
+  SELECT instrument, start, start + INTERVAL 24 HOURS AS "end", count(*) AS n, median(value) AS median FROM w GROUP BY instrument, start""")
 def stream_sliding(spark: SparkSession, sf: str) -> DataFrame:
-    return S.drained(S.sliding_volume(S.events(spark, sf)))
+    return S.whole(spark, sf, S.sliding_volume)
 
 
-@query("stream_sessions")
+@query("stream_sessions", """WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+  SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTES AS "end", count(*) AS n, round(sum(value), 6) AS value FROM s GROUP BY user_id, k""")
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    return S.drained(S.sessions(S.events(spark, sf))).withColumn("value", F.round("value", 6))
+    return S.whole(spark, sf, S.sessions).withColumn("value", F.round("value", 6))
 
 
 @query("stream_positions", """WITH e AS (SELECT event_type AS instrument, ts, event_id, last_value(CASE WHEN value < 20 THEN 1.0 WHEN value > 80 THEN 0.0 END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS p FROM events),

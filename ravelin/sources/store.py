@@ -6,6 +6,7 @@ A store is a folder of Parquet partitioned by timeframe and instrument, so a ser
 from __future__ import annotations
 
 import lzma
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints"
 
 
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """df written once to the shared folder and read again: what several plans read is made once, and lineage ends there."""
+    path = f"{shared_dir(df.sparkSession)}/ravelin/{tag}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def faults(bars: DataFrame) -> DataFrame:
     """(fault, n): what forbids writing bars. One pass: missing keys or prices, an order of prices that can't be, and moments twice."""
     twice = F.count(F.lit(1)).over(Window.partitionBy("instrument", "ts")) > 1
@@ -117,3 +125,62 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def packed_candles(files: DataFrame) -> DataFrame:
     """Candles of LZMA files: path, start (of the file's span) and content, as of the binaryFile source."""
     return files.select("path", "start", "content").mapInPandas(_decode, "path string, ts timestamp, open double, high double, low double, close double, volume double")
+
+
+def write_meta(meta: DataFrame, root: str, version: int) -> None:
+    """Adds what is known of series: (instrument, timeframe, ...); the highest version of a series counts."""
+    meta.withColumn("version", F.lit(version)).coalesce(1).write.mode("append").parquet(root)
+
+
+def read_meta(spark: SparkSession, root: str) -> DataFrame:
+    nth = F.row_number().over(Window.partitionBy("instrument", "timeframe").orderBy(F.desc("version")))
+    return spark.read.parquet(root).withColumn("_n", nth).where("_n = 1").drop("_n", "version")
+
+
+def write_trades(trades: DataFrame, root: str) -> None:
+    """Trades by time, in the columnar form's own dictionaries, compressed."""
+    trades.sortWithinPartitions("ts").write.option("compression", "zstd").mode("overwrite").parquet(root)
+
+
+def upsert_results(results: DataFrame, root: str, keys: list[str]) -> None:
+    """Adds a run's results as a new generation; readers take the last one of every key, so a run that breaks off changes nothing."""
+    spark = results.sparkSession
+    have = [p.name for p in _folders(spark, root)]
+    number = 1 + max((int(n.split("=")[1]) for n in have if n.startswith("generation=")), default=0)
+    results.withColumn("keys", F.array(*(F.col(k).cast("string") for k in keys))).write.parquet(f"{root}/generation={number}")
+
+
+def _folders(spark: SparkSession, root: str) -> list:
+    from types import SimpleNamespace
+
+    jvm = spark._jvm.org.apache.hadoop.fs
+    path = jvm.Path(root)
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return [SimpleNamespace(name=s.getPath().getName()) for s in fs.listStatus(path)] if fs.exists(path) else []
+
+
+def read_results(spark: SparkSession, root: str) -> DataFrame:
+    nth = F.row_number().over(Window.partitionBy("keys").orderBy(F.desc("generation")))
+    return spark.read.parquet(root).withColumn("_n", nth).where("_n = 1").drop("_n", "keys", "generation")
+
+
+def read_zipped(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV table in zip files, unpacked inside tasks, one file at a time."""
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+        import zipfile
+
+        for b in batches:
+            for content in b["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for name in z.namelist():
+                        with z.open(name) as f:
+                            yield pd.DataFrame({"value": f.read().decode().splitlines()[1:]})
+
+    lines = spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, "value string")
+    return lines.select(F.from_csv("value", schema).alias("x")).select("x.*")
+
+
+def read_market_caps(spark: SparkSession, path: str) -> DataFrame:
+    """A snapshot of market values: symbol, name, cap; rows without a value are left out."""
+    return spark.read.schema("symbol string, name string, cap double").option("header", True).csv(path).where("cap > 0")

@@ -1,13 +1,14 @@
 """Streams over events: tumbling bars, sliding medians, sessions, hysteresis positions and a change feed.
 
 A stream is read to its end (availableNow) into a Parquet sink with its checkpoint in the shared folder, so a run that is
-cut short goes on where it was, and every window is written once. Windows open at the last watermark are held back.
+cut short goes on where it was, and every window is written once. At the end of a bounded input a mark of a far later time is
+read by the same query, so the watermark passes all windows that were open and they are written too.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,20 +20,41 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 LATE = "2 hours"
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+END = "2200-01-01"
+
+
+def events(spark: SparkSession, sf_dir: str, marks: str | None = None) -> DataFrame:
+    """The events as a stream; marks: a folder of events that mark the input's end."""
     path = f"{sf_dir}/events.parquet"
     reader = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 64)
     single = any(f.endswith("/events.parquet") for f in spark.read.schema(EVENTS).parquet(path).inputFiles()[:1])
     raw = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir) if single else reader.parquet(path)
+    raw = raw.unionByName(spark.readStream.schema(EVENTS).parquet(marks)) if marks else raw
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE)
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """What a stream has written when its input is at an end."""
+def _run(stream: DataFrame, root: str) -> None:
+    w = stream.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
+    w.start().awaitTermination()
+
+
+def drained(stream: DataFrame) -> DataFrame:
+    """What a stream without windows has written when its input is at an end."""
     spark = stream.sparkSession
     root = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
-    w = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
-    w.start().awaitTermination()
+    _run(stream, root)
+    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+def whole(spark: SparkSession, sf_dir: str, plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All windows of a bounded input: those closed on the way, then, past the mark of its end, those still open."""
+    root = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    mark = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(END).cast("timestamp_ntz").alias("ts"), *(F.lit(None).cast(t).alias(c) for c, t in (("user_id", "long"), ("event_type", "string"), ("value", "double"), ("props", "string"))))
+    mark.limit(0).write.parquet(f"{root}/marks")
+    for _ in range(2):
+        stream = plan(events(spark, sf_dir, f"{root}/marks"))
+        _run(stream, root)
+        mark.write.mode("append").parquet(f"{root}/marks")
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 

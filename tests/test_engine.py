@@ -20,7 +20,7 @@ from ravelin.operators import metrics as M
 from ravelin.operators import panel as P
 from ravelin.operators import selection as S
 from ravelin.operators import walks as K
-from ravelin.plans.strategies import STRATEGIES, second_close_out, trailed
+from ravelin.plans.strategies import STRATEGIES, _har, until_nth
 from ravelin.sources import store
 from ravelin.sources import views as V
 
@@ -116,9 +116,24 @@ def test_recursive_indicators():
 
 
 def test_rules_with_memory():
-    assert second_close_out(np.array([1, 0, 0, 0, 0]), np.array([0, 1, 0, 1, 0])).tolist() == [1, 1, 1, 0, 0]
-    c, best, avg, on = np.array([5, 3, 4, 9, 9.0]), np.array([8, 8, 8, 8, 8.0]), np.array([4, 4, 4, 4, 4.0]), np.array([1, 1, 1, 1, 0], bool)
-    assert trailed(c, best, avg, on).tolist() == [1, 0, 0, 1, 0]
+    held = lambda entry, below: until_nth("e", "b", 2, "x")(pd.DataFrame({"e": entry, "b": below}, dtype=bool))["x"].tolist()
+    assert held([1, 0, 0, 0, 0], [0, 1, 0, 1, 0]) == [1, 1, 1, 0, 0]
+    assert held([1, 0, 1, 1, 0], [1, 1, 0, 1, 0]) == [1, 1, 1, 1, 1]  # signs on the entry's bar don't count; in again on the bar it is out
+    assert held([0, 0, 0], [1, 1, 1]) == [0, 0, 0]
+
+
+def test_har_is_least_squares_on_the_past():
+    rng = np.random.default_rng(0)
+    close, horizon = np.exp(np.cumsum(rng.normal(size=700) * 0.02)), 10
+    got = _har(horizon)(pd.DataFrame({"close": close}))["har"] / 365
+    r2 = pd.Series(np.r_[np.nan, np.diff(np.log(close))] ** 2)
+    x = np.column_stack([np.ones(700), *(r2.rolling(w).mean() for w in (1, 5, 22))])
+    y = np.array([r2[i + 1 : i + 1 + horizon].mean() if i + horizon < 700 else np.nan for i in range(700)])
+    for refit in (250, 341, 523):
+        learn = [i for i in range(refit - horizon + 1) if np.isfinite(x[i]).all() and np.isfinite(y[i])]
+        want = np.maximum(x[refit] @ np.linalg.lstsq(x[learn], y[learn], rcond=None)[0], 1e-10)
+        assert np.isclose(got[refit], want, rtol=1e-6)
+    assert np.isnan(got[:250]).all()
 
 
 def test_boosting_finds_an_edge_and_none():
@@ -155,7 +170,7 @@ def test_look_ahead_is_not_in_the_strategies(spark, sf):
     bars = V.bars_region(spark, sf).cache()
     cut = datetime(1999, 1, 1)
     early = bars.where(F.col("ts") < F.lit(cut))
-    for name in ("sma_cross", "rsi2_connors", "calm_trend", "market_regime", "pocket_pivot", "vol_managed_har", "ml_direction", "gtaa_faber"):
+    for name in ("sma_cross", "rsi2_connors", "calm_trend", "market_regime", "pocket_pivot", "regime_ema_trail", "vol_managed_har", "ml_direction", "gtaa_faber"):
         s = STRATEGIES[name]
         a = s.positions(bars).where(F.col("ts") < F.lit(cut)).toPandas().sort_values(["instrument", "ts"])
         b = s.positions(early).toPandas().sort_values(["instrument", "ts"])
@@ -163,7 +178,7 @@ def test_look_ahead_is_not_in_the_strategies(spark, sf):
 
 
 def test_grid_leaves_out_more_picks_than_names():
-    assert {c["top_k"] for c in STRATEGIES["dual_momentum"].configs(4)} == {3}
+    assert {c["top_k"] for c in STRATEGIES["dual_momentum"].configs(4)} == {1, 2, 3, 4}
 
 
 def test_as_of_and_next_bar(spark):
@@ -199,7 +214,7 @@ def test_bootstrap_and_luck(spark):
     assert np.isclose(L.expected_max(2), 1 / np.sqrt(np.pi), atol=1e-4)
     up = record(spark, *(0.001 + rng.normal(0, 0.01, 400)))
     a, b = (L.monte_carlo(up, 40, 20).orderBy("figure").collect() for _ in range(2))
-    assert a == b and all(r.p5 <= r.p50 <= r.p95 for r in a)
+    assert a == b and all(r.p5 <= r.p50 <= r.p95 for r in a if not r.figure.endswith('missed')) and len(a) == 7
     k = L.at_target_drawdown(record(spark, 0.1, -0.05, 0.1)).first()
     assert np.isclose(k.multiple, 2, atol=1e-6)
     keys = [f"r{i}" for i in range(20)]
@@ -254,13 +269,11 @@ def test_vendor_files(spark, tmp_path):
 
 
 def test_streams_equal_batches(spark, sf):
-    """Closed windows of the stream are those of a batch over the same events."""
+    """Windows of the stream, those open at its end too, are those of a batch over the same events."""
     from ravelin.streaming import bars as T
 
-    got = T.drained(T.hourly_bars(T.events(spark, sf))).select("instrument", "ts", "open", "high", "low", "close", "volume")
-    batch = V.bars_event(spark, sf).select(*got.columns)
-    end = got.agg(F.max("ts")).first()[0]
-    want = batch.where(F.col("ts") <= F.lit(end))
+    got = T.whole(spark, sf, T.hourly_bars).select("instrument", "ts", "open", "high", "low", "close", "volume")
+    want = V.bars_event(spark, sf).select(*got.columns)
     assert got.count() > 0 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
 
 
