@@ -9,7 +9,8 @@ the target.
 Texts are encoded once. The scan deals documents into blocks of bounded size and counts each block's bigrams, so that a
 bigram travels once per block, however many documents hold it: to its sum over all blocks, and with its losses back to
 the blocks in which it occurs. There a block's losses lie in memory while its documents, as ids, stream by. The plan is
-the same at every size, and nothing but the 50,000 counts of single ids is broadcast.
+the same at every size; broadcast are the counts of single ids (at most as many as the vocabulary) and MARKS hashes of target
+ids at most, which keep documents that are surely no targets from being shuffled to find the targets' counts.
 
 Defined results: a null or empty text has no tokens and null losses; a very long text may make its block larger by its own
 distinct bigrams; rows with one id or equal rows are scored one by one, and each counts; an id given twice as a target
@@ -32,7 +33,9 @@ from ravelin.llm.tokens import default_vocabulary, ids_of, vocabulary_size
 
 PRIOR = 20.0
 #: Distinct bigrams of a block, about.
-HOLD = 1 << 18
+HOLD = 1 << 17
+#: Target ids are first met by a hash of so many values, whose table is broadcast: its size is bounded, whatever the targets.
+MARKS = 1 << 20
 _CODED = "block long, doc_id long, n_tokens long, ids binary, key long, n long"
 
 
@@ -164,7 +167,10 @@ def lm_scores(docs: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", te
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     coded = kept_table(base.mapInArrow(_code(path), _CODED), "coded")
     documents, grams = coded.where("ids IS NOT NULL").select("block", "doc_id", "n_tokens", "ids"), coded.where("key IS NOT NULL").select("block", "key", "n")
-    chosen = documents.join(targets.select(F.col(targets.columns[0]).cast("long").alias("doc_id")), "doc_id", "left_semi")
+    wanted = targets.select(F.col(targets.columns[0]).cast("long").alias("doc_id"))
+    mark = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)).alias("mark")
+    marked = documents.select("doc_id", "ids", mark).join(F.broadcast(wanted.select(mark).distinct()), "mark", "left_semi")  # few others are left
+    chosen = marked.join(wanted, "doc_id", "left_semi")
     of_targets = chosen.select("ids").mapInArrow(_count(path), "key long, n long").select("key", F.lit(0).cast("long").alias("n"), F.col("n").alias("n_target"))
     counts = grams.select("key", "n", F.lit(0).cast("long").alias("n_target")).unionByName(of_targets)
     counts = kept_table(counts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")), "bigrams")
