@@ -186,7 +186,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id"
     v = kept_table(whole_vectors(rows, id_col, vector_col, scale), "vectors")
     q = kept_table(whole_vectors(queries, id_col, vector_col, scale).withColumn("query", F.monotonically_increasing_id()), "queries")
     size = v.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("wide")).first()
-    shards = max(-(-size.n // SHARD), min(parts, -(-size.n // LEAST_SHARD)), 1)
+    shards = max(-(-size.n // SHARD), min(4 * parts, -(-size.n // LEAST_SHARD)), 1)
     wide = max(size.wide or 0, q.agg(F.max(F.size("v"))).first()[0] or 0)
     left = v.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("shard"), F.lit(None).cast("long").alias("query"), "vec_id", "v")
     right = q.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "query", "vec_id", "v")
