@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ravelin.llm.common import encoded, kept_table, parts_of, small_batches
+from ravelin.llm.common import encoded, kept_table, parts_of, sliced
 from ravelin.llm.runs import runs
 from ravelin.llm.spans import REMOVED, merged, text_hash, without_spans
 
@@ -154,7 +154,7 @@ def _chunks(bits: int, smallest: int, largest: int, shares: int, more: list[pa.F
 
         digest, squeeze = xxhash.xxh3_128_digest, zstandard.ZstdCompressor(level=3)
         number, block = TaskContext.get().partitionId() << 32, _Block()
-        for b in batches:
+        for b in sliced(batches):
             data = encoded(b.column("text"))
             for at in range(0, len(data), 250):
                 part, rows = data[at : at + 250], b.slice(at, 250)
@@ -252,7 +252,6 @@ def chunk_dedup(
 
     carry: also the other columns of docs, in the struct `row`.
     """
-    small_batches(docs.sparkSession)
     parts, row = parts_of(docs.sparkSession), [F.struct(*(c for c in docs.columns if c != text_col)).alias("row")] if carry else []
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *row)
     kind = f", row {base.schema['row'].dataType.simpleString()}" if carry else ""

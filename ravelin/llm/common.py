@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACES = b" \t\n\r\x0b\x0c"  # fixed values: the bytes \x20 and \x09-\x0D; bytes.split() cuts at just these
 
-#: Rows in an Arrow batch: whole texts travel in them, so fewer than Spark's default.
-BATCH_ROWS = 2000
+#: Rows and bytes of texts that a worker looks at together, but a text is never split. Spark bounds its Arrow batches by bytes itself.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,45 +24,70 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Where it is unset (tests, a single machine) a local one is set.
+    Where it is unset and Spark runs in one process (tests), a folder of this session's own is set; a cluster must name one.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-    return "file:///tmp/checkpoints"
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(f"/tmp/checkpoints/{context.applicationId}")
+    return context.getCheckpointDir().rstrip("/")
+
+
+#: Tables kept by this process and not deleted yet, oldest first.
+_kept: list[DataFrame] = []
 
 
 def kept_table(df: DataFrame, tag: str) -> DataFrame:
-    """df written once to the shared folder and read again: lineage ends there and lost executors cost nothing."""
+    """df written once to the shared folder and read again: lineage ends there and lost executors cost nothing.
+
+    A result that an operator returns may read such tables; release() deletes them once it has been used.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ravelin/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_path = path
+    _kept.append(out)
     return out
 
 
 def forget(*tables: DataFrame) -> None:
     """Deletes kept tables that nothing reads any more."""
     for t in tables:
+        _kept[:] = [k for k in _kept if k is not t]
         jvm, path = t.sparkSession._jvm, t._kept_path
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+def release(since: int = 0, but: DataFrame | None = None) -> int:
+    """Deletes tables that operators kept after the first `since` ones, all but one; how many are left.
+
+    To be called when results have been written or collected: `n = release_mark(); ...; release(n)`.
+    """
+    forget(*(t for t in _kept[since:] if t is not but))
+    return len(_kept)
+
+
+def release_mark() -> int:
+    return len(_kept)
+
+
 def row_key(*cols: str | Column) -> Column:
     """128 bits that tell rows apart by their values; equal rows have one key."""
     return F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit(1), *reversed(cols)).alias("b"))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches of whole texts small. Read when a plan is made."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of at most BATCH_ROWS rows and about BATCH_BYTES bytes, without copies."""
+    for b in batches:
+        step = max(1, min(BATCH_ROWS, b.num_rows * BATCH_BYTES // max(b.nbytes, 1)))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
 
 
 def parts_of(spark: SparkSession) -> int:
@@ -105,6 +132,4 @@ class WordHash:
 
 def encoded(batch_column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column; null is empty."""
-    import pyarrow as pa
-
     return [x or b"" for x in batch_column.cast(pa.binary()).to_pylist()]

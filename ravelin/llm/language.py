@@ -9,8 +9,9 @@ The classifier is fitted on at most `per_lang` labelled rows of each language, c
 parameter). It is applied to every whole text.
 
 Defined results: `und` with score 0 if the text is null or has no letter, or if there is nothing to learn from; a row with
-a null id is never learned from and not held out; repeated rows get the same result; other columns are ignored. At most
-MOST_LANGS languages can be learned; more raise an error.
+a null id is never learned from and not held out; very long texts are read whole, and a text's result depends on nothing else; of
+languages that tie the first by name is told; repeated rows get the same result; an empty table gives an empty result;
+other columns are ignored. At most MOST_LANGS languages can be learned; more raise an error.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import small_batches
+from ravelin.llm.common import sliced
 
 NGRAMS, BUCKETS = 4, 1 << 15
 PER_LANG, LANDMARKS, RIDGE = 400, 256, 1e-2
@@ -62,7 +63,7 @@ def held_out(id_col: str) -> Column:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches):
         bits = []
         for text in b.column("text").to_pylist():
             row = np.zeros(BUCKETS, np.uint8)
@@ -88,7 +89,6 @@ def sample(docs: DataFrame, per_lang: int, *, id_col: str, text_col: str, lang_c
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
     """The classifier; None if no row can be learned from."""
-    small_batches(docs.sparkSession)
     rows = sample(docs, per_lang, id_col=id_col, text_col=text_col, lang_col=lang_col).toArrow().to_pandas()
     if not len(rows):
         return None
@@ -115,7 +115,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 
 def _score(model: Model | None, support: bool):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column("text").to_pylist()
             lang, value, held = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
             able = [i for i, t in enumerate(texts) if model is not None and has_letter(t)]
@@ -146,7 +146,6 @@ def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", te
     support: also the fit of a target that is 1 for the language's own rows and 0 for all others. Outputs of targets of
     -1 and 1 rise to 0 for text like none of the learned; support falls to 0 there.
     """
-    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
     given = {"lang_pred": F.lit(""), "score": F.lit(0.0)} | ({"support": F.lit(0.0)} if support else {})
     schema = base.drop("text").withColumns(given).schema

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import kept_table, parts_of, small_batches
+from ravelin.llm.common import kept_table, parts_of, sliced
 from ravelin.llm.tokens import default_vocabulary, ids_of, vocabulary_size
 
 PRIOR = 20.0
@@ -69,7 +69,7 @@ def _code(path: str):
             no = [pa.nulls(len(keys), x) for x in (pa.int64(), pa.int64(), pa.binary())]
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block)), *no, pa.array(keys), pa.array(counts)], names)
 
-        for b in batches:
+        for b in sliced(batches):
             docs, texts = b.column("doc_id"), b.column("text").to_pylist()
             for at in range(0, len(texts), 500):
                 own = [ids_of(t or "", path) for t in texts[at : at + 500]]
@@ -163,7 +163,6 @@ def _score(path: str):
 def lm_scores(docs: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score. targets: one column, the ids of the target documents."""
     spark, path = docs.sparkSession, vocabulary or default_vocabulary()
-    small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     coded = kept_table(base.mapInArrow(_code(path), _CODED), "coded")
     documents, grams = coded.where("ids IS NOT NULL").select("block", "doc_id", "n_tokens", "ids"), coded.where("key IS NOT NULL").select("block", "key", "n")

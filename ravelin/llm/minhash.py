@@ -17,7 +17,7 @@ a true pair falls short with a probability of about 1e-7), and all lists that ho
 Every candidate is confirmed on the full sets of both documents. No list is cut and no pair is left out; copies are never
 expanded into pairs.
 
-Defined results: null, empty or blank texts have an empty set and are linked with nothing; rows with one id are separate
+Defined results: very long texts are shingled whole, at about 8 bytes a shingle; ties for a class or a component go to the smallest id; null, empty or blank texts have an empty set and are linked with nothing; rows with one id are separate
 members of the class of their text; a null id never becomes a component's id unless all of it are null; an empty table
 gives an empty result; other columns of the input are ignored.
 """
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import WordHash, encoded, forget, kept_table, mix, small_batches
+from ravelin.llm.common import encoded, forget, kept_table, mix, sliced, WordHash
 from ravelin.llm.components import components, relabelled
 from ravelin.llm.runs import runs
 
@@ -125,7 +125,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     squeeze = zstandard.ZstdCompressor(level=1)
     place = np.arange(COORDS, dtype=np.int64) << 32
-    for b in batches:
+    for b in sliced(batches):
         n, digest, coords, z = [], [], [], []
         for data in encoded(b.column("text")):
             s = shingles(data)
@@ -143,7 +143,7 @@ def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     expand = zstandard.ZstdDecompressor()
-    for b in batches:
+    for b in sliced(batches):
         sig = [signature(shingles(expand.decompress(z)), FINE, 13).astype(np.uint8).tobytes() for z in b.column("z").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(sig, pa.binary())], ["cid", "sig"])
 
@@ -229,7 +229,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     matches, _, _ = thresholds(percent)
     if matches < 1:
         raise ValueError(f"{COORDS} coordinates cannot find pairs at {percent} %")
-    small_batches(docs.sparkSession)
     rid = F.col(rid_col) if rid_col else F.monotonically_increasing_id()
     base = docs.select(rid.alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = kept_table(base.mapInArrow(_sets, _SETS), "sets")

@@ -3,7 +3,7 @@
 The others (token ids, kernels, chunk hashes, whole texts by byte) are tested against brute force in tests/llm.
 """
 
-from ravelin.llm.quality_lines import LEAST_LEFT, MIN_DOCS, SHARE
+from ravelin.llm.quality_lines import LEAST_LEFT, MIN_DOCS, MOST, SHARE
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -51,7 +51,7 @@ lines AS (
 docs_of AS (SELECT coalesce(source, '') AS host, count(DISTINCT md5(t)) AS host_docs FROM d GROUP BY 1),
 often AS (
   SELECT host, k FROM keyed JOIN docs_of USING (host) GROUP BY host, k, host_docs
-  HAVING count(DISTINCT text_key) > {MIN_DOCS} AND host_docs > {MIN_DOCS} AND count(DISTINCT text_key) > {SHARE} * host_docs
+  HAVING count(DISTINCT text_key) > {MIN_DOCS} AND host_docs > {MIN_DOCS} AND count(DISTINCT text_key) > least({SHARE} * host_docs, {MOST})
 ), removed AS (SELECT doc_id, sum(n)::BIGINT AS n_removed_words FROM keyed JOIN often USING (host, k) GROUP BY doc_id),
 dup AS (SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines FROM keyed GROUP BY doc_id),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '{_WORD}') AS w FROM d),

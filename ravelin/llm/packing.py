@@ -7,8 +7,9 @@ first, each into the shortest pack that takes it, counting how often every patte
 to the pieces by their rank among the pieces of the same length. Ranks come from counts by (length, salt), so a length
 that most pieces share is spread over many tasks.
 
-Defined results: a null or empty text is the closing id alone; rows with the same id are packed separately; an empty
-table gives an empty result; other columns of the input are ignored.
+Defined results: a null or empty text is the closing id alone; a very long text becomes as many full sequences as it fills; rows with
+the same id, repeated ones too, are packed separately; pieces of one length are ranked by id, start and row, so ties are settled;
+an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import kept_table, parts_of, salt, small_batches
+from ravelin.llm.common import kept_table, parts_of, salt, sliced
 from ravelin.llm.tokens import default_vocabulary, ids_of
 
 SIZE, GRAIN, SALTS = 1024, 64, 64
@@ -92,7 +93,7 @@ def pack_histogram(counts: dict[int, int], size: int) -> tuple[list[Run], int]:
 
 def _encode(path: str, size: int, grain: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             rows: list[tuple] = []
             for rid, doc, text in zip(*(b.column(x).to_pylist() for x in ("rid", "doc_id", "text")), strict=True):
                 ids = np.append(ids_of(text or "", path), np.uint32(0)).astype("<u4")
@@ -106,7 +107,6 @@ def _encode(path: str, size: int, grain: int):
 
 def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, size: int = SIZE, grain: int = GRAIN) -> DataFrame:
     """The pieces that documents are cut into; rid tells rows with one id apart."""
-    small_batches(docs.sparkSession)
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return base.mapInArrow(_encode(vocabulary or default_vocabulary(), size, grain), _PIECES)
 

@@ -10,7 +10,8 @@ sentencepiece library.
 
 Decoding joins pieces and bytes. It gives the text back, but that U+2581 in a text comes back as a space.
 
-Defined results: a null or empty text has no ids and decodes to an empty text; repeated rows are encoded one by one; an
+Defined results: a null or empty text has no ids and decodes to an empty text; a very long text is cut into units like any other; of
+edges that tie the leftmost is applied first; repeated rows are encoded one by one; an
 empty table gives an empty result; other columns of the input are ignored.
 """
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import small_batches
+from ravelin.llm.common import sliced
 
 SPACE = "▁"
 #: Units of more characters are relaxed with a heap, one by one.
@@ -246,7 +247,7 @@ def decode(ids: np.ndarray, v: Vocabulary) -> str:
 def _encode(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for b in batches:
+        for b in sliced(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
             ids = encode_batch(texts, v)
             flat = np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)
@@ -269,7 +270,6 @@ def _decode(path: str):
 
 def encode_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
     """doc_id, text, ids."""
-    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return base.mapInArrow(_encode(model or default_model()), "doc_id long, text string, ids array<int>")
 
@@ -285,7 +285,7 @@ def _digest(path: str):
         v = vocabulary(path)
         plain = np.zeros(len(v.surface), bool)
         plain[v.of_byte] = True
-        for b in batches:
+        for b in sliced(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
             ids = encode_batch(texts, v)
             cols = (
@@ -300,6 +300,5 @@ def _digest(path: str):
 
 def piece_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
     """doc_id, n_pieces, n_byte_pieces, ids_crc32, and whether decoding gives the text back: encoding and decoding in one scan."""
-    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return base.mapInArrow(_digest(model or default_model()), "doc_id long, n_pieces long, n_byte_pieces long, ids_crc32 long, round_trip boolean")

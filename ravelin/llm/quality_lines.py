@@ -3,10 +3,11 @@
 Lines are normalised (A-Z lower-cased, white space made single) and hashed. For every host the number of distinct
 documents that hold a line is counted; documents of one host with the same text are one document, so copies alone
 never make a line frequent. A line is removed where its count exceeds both `min_docs` and `share` of the host's
-distinct documents. A document is rejected if it fails a base rule, or if the removed lines leave less than
+distinct documents, or where more than `most` documents of the host hold it, however large the host. A document is rejected if it fails a base rule, or if the removed lines leave less than
 `least_left` of its words.
 
-Defined results: a null text is an empty one; rows with the same id are judged one by one; a null host is a host of its
+Defined results: a null text is an empty one, and an empty one fails the base rules; very long texts are measured whole; a line at a
+limit is not over it (so ties stay); rows with the same id are judged one by one, rows equal in all columns alike; a null host is a host of its
 own; an empty table gives an empty result; other columns of the input are ignored.
 """
 
@@ -19,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import SPACES, encoded, kept_table, row_key, small_batches
+from ravelin.llm.common import encoded, kept_table, row_key, sliced, SPACES
 
 SYMBOLS = b"#*$%&|<>"  # fixed values of the base measure
 
-MIN_DOCS, SHARE, LEAST_LEFT = 30, 0.1, 0.3
+MIN_DOCS, SHARE, MOST, LEAST_LEFT = 30, 0.1, 10_000, 0.3
 
 _SCHEMA = (
     "rid long, doc_id long, host string, digest long, n_words long, word_chars long, n_symbols long, "
@@ -75,7 +76,7 @@ def measured(data: bytes) -> tuple:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64()] * 6 + [pa.list_(pa.int64()), pa.list_(pa.int32())]
-    for b in batches:
+    for b in sliced(batches):
         rows = list(zip(*map(measured, encoded(b.column("text"))), strict=True)) or [()] * 8
         digest, *rest = [pa.array(x, k) for x, k in zip(rows, kinds, strict=True)]
         yield pa.RecordBatch.from_arrays(
@@ -84,24 +85,23 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def frequent_lines(measures: DataFrame, min_docs: int, share: float) -> DataFrame:
-    """(host, line, docs): lines in more distinct documents of their host than both limits allow."""
+def frequent_lines(measures: DataFrame, min_docs: int, share: float, most: int) -> DataFrame:
+    """(host, line, docs): lines in more distinct documents of their host than min_docs and than the share of it, or `most`."""
     texts = measures.select("host", "digest", "lines").groupBy("host", "digest").agg(F.first("lines").alias("lines"))
     hosts = texts.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     lines = texts.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"))
     over = lines.where(F.col("docs") > min_docs).join(hosts.where(F.col("host_docs") > min_docs), "host")
-    return over.where(F.col("docs") > share * F.col("host_docs")).select("host", "line", "docs")
+    return over.where(F.col("docs") > F.least(share * F.col("host_docs"), F.lit(float(most)))).select("host", "line", "docs")
 
 
 def line_rules(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-    min_docs: int = MIN_DOCS, share: float = SHARE, least_left: float = LEAST_LEFT, carry: bool = False,
+    min_docs: int = MIN_DOCS, share: float = SHARE, most: int = MOST, least_left: float = LEAST_LEFT, carry: bool = False,
 ) -> DataFrame:
     """One row per input row: the base measures, words removed as frequent lines, base_failed and kept.
 
     carry: only kept rows, with the input's other columns in a struct `row` and the text without its frequent lines in `clean_text`.
     """
-    small_batches(docs.sparkSession)
     rid, kind = (row_key(F.col(id_col), F.col(text_col)), "struct<a:long,b:long>") if carry else (F.monotonically_increasing_id(), "long")
     base = docs.select(
         rid.alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
@@ -110,7 +110,7 @@ def line_rules(
     )
     measures = base.select("rid", "doc_id", "host", "text").mapInArrow(_measure, _SCHEMA.replace("rid long", f"rid {kind}"))
     measures = kept_table(measures.dropDuplicates(["rid", "host"]) if carry else measures, "lines")
-    often = kept_table(frequent_lines(measures, min_docs, share), "often")
+    often = kept_table(frequent_lines(measures, min_docs, share, most), "often")
     own = ["rid", "host"] if carry else ["rid"]  # equal rows of one host share a verdict
     posted = measures.select("rid", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
     hit = posted.select("rid", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("w")).join(often.select("host", "line"), ["host", "line"])
@@ -132,7 +132,7 @@ def line_rules(
 
 def _cut(names: list[str]):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             clean = [strip_lines(t, set(f)) for t, f in zip(encoded(b.column("text")), b.column("frequent").to_pylist(), strict=True)]
             given = {"clean_text": pa.array([x.decode("utf-8", "replace") for x in clean], pa.string())}
             yield pa.RecordBatch.from_arrays([given[n] if n in given else b.column(n) for n in names], names)

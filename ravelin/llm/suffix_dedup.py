@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import encoded, kept_table, mix, parts_of, small_batches
+from ravelin.llm.common import encoded, forget, kept_table, mix, parts_of, sliced
 from ravelin.llm.rolling import gram_hashes, sliding_least, span_hashes
 from ravelin.llm.runs import runs
 from ravelin.llm.spans import REMOVED, merged, text_hash, without_spans
@@ -68,7 +68,7 @@ def _rows(b: pa.RecordBatch) -> tuple[list, list[bytes]]:
 
 def _anchors(depth: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             ids, data = _rows(b)
             for at in range(0, len(data), 250):
                 found = [anchors(x, depth) for x in data[at : at + 250]]
@@ -86,7 +86,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     squeeze = zstandard.ZstdCompressor(level=3)
-    for b in batches:
+    for b in sliced(batches):
         data = encoded(b.column("text"))
         th, z = [text_hash(x) for x in data], [squeeze.compress(x) for x in data]
         more = [n for n in b.schema.names if n not in ("doc_id", "text")]
@@ -103,7 +103,7 @@ def _edges(depth: int):
         expand = zstandard.ZstdDecompressor()
         names = ["one", "part", "hot", "times", "doc_id", "thash", "first", "place", "bytes"]
         kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        for b in batches:
+        for b in sliced(batches):
             out: list[list] = [[] for _ in names]
             for doc, th, z, rows in zip(*(b.column(x).to_pylist() for x in ("doc_id", "thash", "z", "edges")), strict=True):
                 data = expand.decompress(z)
@@ -258,13 +258,13 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     if not GRAM <= depth <= GRAM + 224:
         raise ValueError(f"depth is {GRAM} to {GRAM + 224} bytes")
-    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     scan = base.mapInArrow(_anchors(depth), "doc_id long, thash long, one long, two long, three long, pack long")
     ends = [f(c).alias(f"{n}_{c}") for c in ("two", "three") for n, f in (("lo", F.min), ("hi", F.max))]
     ones = scan.groupBy("one").agg(F.count(F.lit(1)).alias("n"), *ends).where("n > 1")
     ones = kept_table(ones.select("one", F.expr("lo_two = hi_two AND lo_three = hi_three").alias("alike")), "ones")
     shared = kept_table(scan.join(ones.hint("merge"), "one"), "shared")  # what follows asks for no order, so skewed keys can be split
+    forget(ones)
     place = F.shiftright("pack", 16)
     first = place - F.shiftright("pack", 8).bitwiseAND(255)
     whole = [first.alias("lo"), (first + F.col("pack").bitwiseAND(255) + depth).alias("hi")]
@@ -273,12 +273,15 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     digits = ["one", "two", "three"]
     twos = kept_table(mixed.groupBy(*digits).agg(F.count(F.lit(1)).alias("times")), "twos")
     mixed = kept_table(mixed.join(twos.hint("merge"), digits), "mixed")
+    forget(twos)
     alone = mixed.where("times = 1").select(*_DOC, "one", "pack", F.lit(1).alias("times"))
     many = mixed.where("times > 1").select(*_DOC, *digits, "pack")
     keep = many.groupBy(*digits).agg(F.min(F.struct(*_DOC, "pack")).alias("x")).select("x.*", "one").select(*_DOC, "one", "pack", F.lit(2).alias("times"))
     edges = alone.unionByName(keep)
     sizes = kept_table(edges.groupBy("one").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")), "sizes")
-    edges = kept_table(edges.join(sizes.hint("merge"), "one"), "parts").withColumn("part", F.pmod(F.xxhash64(*_DOC, "pack"), F.col("parts")).cast("int"))
+    parts = kept_table(edges.join(sizes.hint("merge"), "one"), "parts")
+    forget(sizes)
+    edges = parts.withColumn("part", F.pmod(F.xxhash64(*_DOC, "pack"), F.col("parts")).cast("int"))
     by_doc = edges.groupBy(*_DOC).agg(F.collect_list(F.struct("one", "part", (F.col("parts") > 1).alias("hot"), "times", "pack")).alias("edges"))
     texts = base.where(F.octet_length("text") >= depth).mapInArrow(_texts, "doc_id long, thash long, z binary")
     by_doc = kept_table(by_doc.withColumnsRenamed({"doc_id": "ed", "thash": "et"}), "edges")  # edges of repeated rows count as two already
@@ -304,7 +307,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     expand = zstandard.ZstdDecompressor()
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary()]
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_bytes"]
-    for b in batches:
+    for b in sliced(batches):
         out = []
         for z, spans in zip(b.column("z").to_pylist(), b.column("spans").to_pylist(), strict=True):
             data = expand.decompress(z)

@@ -5,7 +5,9 @@ sections' spans attributes it. A token that crosses a boundary goes by the rule:
 (`start`), of its last (`end`), or to the one that holds most of its characters (`most`; ties to the earlier). A character
 is the token's if any of its bytes is. Sections here are a text's lines, each with the line break that ends it.
 
-Defined results: a null or empty text has one empty section; repeated rows are counted one by one; an empty table gives an empty result; other columns of the input are ignored.
+Defined results: a null or empty text has one empty section; a very long text is encoded whole, with a row for each of its lines; repeated
+rows are counted one by one; ties of `most` go to the earlier section; an empty table gives an empty result; other columns of the input
+are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import small_batches
+from ravelin.llm.common import sliced
 from ravelin.llm.tokens import byte_lengths, default_vocabulary, ids_of
 
 RULES = ("start", "end", "most")
@@ -58,7 +60,7 @@ def attribute(first: np.ndarray, end: np.ndarray, sections: np.ndarray, rule: st
 
 def _counts(path: str, rule: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             cols: list[list[np.ndarray]] = [[] for _ in range(6)]
             for text in b.column("text").to_pylist():
                 text = text or ""
@@ -82,7 +84,6 @@ def section_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """doc_id, section, char_start, char_end, n_tokens, n_crossing (of these, tokens over a boundary), doc_tokens."""
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
-    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, section long, char_start long, char_end long, n_tokens long, n_crossing long, doc_tokens long"
     return base.mapInArrow(_counts(vocabulary or default_vocabulary(), rule), schema)
