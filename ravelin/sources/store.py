@@ -20,13 +20,16 @@ TIMEFRAMES = ("1m", "1h", "4h", "1d")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one where none is set and Spark runs on one machine."""
+    """The folder that driver and executors share; one of this session's own where none is set and Spark runs in one process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file:///tmp/checkpoints"
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(f"/tmp/checkpoints/{context.applicationId}")
+    return context.getCheckpointDir().rstrip("/")
 
 
 def kept(df: DataFrame, tag: str) -> DataFrame:
