@@ -237,11 +237,66 @@ def luck_of(scores: pd.DataFrame, keys: list[str], draws: int = 20_000, seed: in
     root = vector * np.sqrt(np.clip(value, 0, None))
     root /= np.linalg.norm(root, axis=1, keepdims=True)
     best = (np.random.default_rng(seed).standard_normal((draws, n)) @ root.T).max(axis=1)
-    mean, lo, hi = best.mean(), 1, max(n, 2)
-    while lo < hi:  # the greatest number of independent tries whose best isn't better
+    return n, as_independent(float(best.mean()), n), float(np.quantile(best, 0.95))
+
+
+DRAWS = 20_000
+
+
+def scores_of(x: np.ndarray, least: int = 60) -> np.ndarray:
+    """How alike records are (days x keys, NaN where one has no day): correlations on shared days times the share of days shared.
+
+    Four matrix products give all pairs.
+    """
+    has = ~np.isnan(x)
+    m, v = has.astype(float), np.where(has, x, 0.0)
+    n, s = m.T @ m, v.T @ m  # s[a, b]: the sum of a on days shared with b
+    square = (v * v).T @ m
+    cov = v.T @ v - s * s.T / np.maximum(n, 1)
+    var = square - s * s / np.maximum(n, 1)
+    rho = cov / np.sqrt(np.maximum(var * var.T, 1e-300))
+    size = m.sum(axis=0)
+    out = np.where(n < least, 0.0, rho * n / np.sqrt(np.outer(size, size)))
+    np.fill_diagonal(out, 1.0)
+    return out
+
+
+def luck_of_blocks(record: DataFrame, extra: int = 0, draws: int = DRAWS, seed: int = 7) -> tuple[int, float, float]:
+    """(tries, independent tries, 95th percentile of the best) of records in blocks that are independent of each other.
+
+    record: block, key, day, r; extra: tries whose records aren't known, independent of everything. A block is a group, so
+    only pairs within a block are looked at; what leaves it is the best of each draw, and the best over all blocks is a
+    maximum per draw.
+    """
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.pivot(index="day", columns="key", values="r").to_numpy(float)
+        value, vector = np.linalg.eigh(scores_of(x))
+        root = vector * np.sqrt(np.clip(value, 0, None))
+        root /= np.linalg.norm(root, axis=1, keepdims=True)
+        rng = np.random.default_rng([seed, int.from_bytes(str(pdf["block"].iloc[0]).encode()[:8], "big")])
+        top = np.concatenate([(rng.standard_normal((1000, len(root))) @ root.T).max(axis=1) for _ in range(draws // 1000)])
+        return pd.DataFrame({"draw": np.arange(len(top)), "best": top, "tries": x.shape[1]})
+
+    each = record.select("block", "key", "day", "r").groupBy("block").applyInPandas(best, "draw int, best double, tries int")
+    top = each.groupBy("draw").agg(F.max("best").alias("best"), F.sum("tries").alias("tries")).toPandas()  # one row per draw
+    n = extra + (int(top["tries"].iloc[0]) if len(top) else 0)
+    if n < 2:
+        return n, float(n), 1.6448536269514722  # one try: the one-sided 5 % point
+    found = top["best"].to_numpy() if len(top) else np.full(draws, -np.inf)
+    if extra:
+        rng = np.random.default_rng([seed, 1])
+        found = np.maximum(found, np.concatenate([rng.standard_normal((100, extra)).max(axis=1) for _ in range(len(found) // 100)]))
+    return n, as_independent(float(found.mean()), n), float(np.quantile(found, 0.95))
+
+
+def as_independent(mean: float, n: int) -> float:
+    """How many independent tries, n at most, have a best that is no better on average."""
+    lo, hi = 1, max(n, 2)
+    while lo < hi:
         mid = (lo + hi + 1) // 2
         lo, hi = (mid, hi) if expected_max(mid) <= mean else (lo, mid - 1)
-    return n, float(lo), float(np.quantile(best, 0.95))
+    return float(lo)
 
 
 def at_target_drawdown(record: DataFrame, wanted: float = -0.1) -> DataFrame:

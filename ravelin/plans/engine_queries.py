@@ -15,7 +15,7 @@ from ravelin.operators import panel as P
 from ravelin.operators import states as S
 from ravelin.operators import walks as K
 from ravelin.plans.bar_queries import PANEL
-from ravelin.plans.record_queries import SQL_RECORD, config_records, record, rounded
+from ravelin.plans.record_queries import FASTS, GRID, SLOWS, SQL_RECORD, config_records, record, rounded
 from ravelin.plans.registry import query
 from ravelin.plans.signal_queries import _frame, r6
 from ravelin.sources import views as V
@@ -85,11 +85,10 @@ def account_walk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("account_walk_grid")
 def account_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """Books of several configurations, each an own group."""
-    books = None
-    for fast, slow in ((5, 40), (10, 80), (20, 120)):
-        b = targeted(spark, sf, fast, slow).withColumn("book", F.lit(f"{fast}/{slow}")).select("book", "ts", "instrument", "open", "high", "close", "target")
-        books = b if books is None else books.unionByName(b)
+    """Books of the whole grid, each an own group: bars and averages are made once, and rows fan out to the books last."""
+    b = V.bars_region(spark, sf).select("instrument", "ts", "open", "high", "close", *(I.sma("close", n).alias(f"s{n}") for n in FASTS + SLOWS))
+    each = [F.struct(F.lit(f"{f}/{s}").alias("book"), (F.coalesce(F.signum(F.col(f"s{f}") - F.col(f"s{s}")), F.lit(0.0)) / 5).alias("target")) for _, f, s in GRID]
+    books = b.select("ts", "instrument", "open", "high", "close", F.explode(F.array(*each)).alias("x")).select("x.book", "ts", "instrument", "open", "high", "close", "x.target")
     a = K.run_account(books, "book", K.Costs(0.0005, 0.005))
     return rounded(a.groupBy("book").agg(F.count(F.lit(1)).alias("bars"), (M.grown("net") - 1).alias("gain"), F.sum("cost").alias("cost"), F.max("exposure").alias("exposure")))
 
@@ -155,14 +154,14 @@ def _slot_pass(pdf: pd.DataFrame) -> pd.DataFrame:
 def slots(spark: SparkSession, sf: str) -> DataFrame:
     b = V.bars_brand(spark, sf).withColumn("w", F.avg("close").over(I.rows(5)) - F.avg("close").over(I.rows(20)))
     money = b.groupBy("instrument").agg(F.sum("dollar_volume").alias("money"))
-    t = S.spans(b, "w").join(money, "instrument").withColumn("book", F.lit("all"))
+    t = S.spans(b, "w").join(money, "instrument").withColumn("book", F.substring("instrument", 1, 7))  # a list per maker; its trades, not its bars
     return t.groupBy("book").applyInPandas(_slot_pass, "instrument string, side int, start timestamp, end timestamp, taken boolean")
 
 
 def _buffer_pass(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.rename(columns={"month": "ts"})
     ts, names, (rank, money) = K.matrix(pdf, "rank", "money")
-    out = K.buffered_top(np.where(np.isnan(rank), 1e9, rank), np.nan_to_num(money) > 0, 10)
+    out = K.buffered_top(np.where(np.isnan(rank), 1e9, rank), np.nan_to_num(money) > 0, 3)
     t, j = np.nonzero(out)
     return pd.DataFrame({"month": ts[t], "instrument": names[j]})
 
@@ -170,7 +169,8 @@ def _buffer_pass(pdf: pd.DataFrame) -> pd.DataFrame:
 @query("topn_buffered")
 def topn_buffered(spark: SparkSession, sf: str) -> DataFrame:
     m = V.bars_brand(spark, sf).groupBy("instrument", F.date_trunc("month", "ts").alias("month")).agg(F.expr("percentile(dollar_volume, 0.5D)").alias("money"))
-    m = m.withColumn("rank", F.row_number().over(Window.partitionBy("month").orderBy(F.desc("money"), "instrument")).cast("double")).withColumn("book", F.lit("top10"))
+    m = m.withColumn("book", F.substring("instrument", 1, 7))  # a list per maker, the three most traded names of each
+    m = m.withColumn("rank", F.row_number().over(Window.partitionBy("book", "month").orderBy(F.desc("money"), "instrument")).cast("double"))
     return m.groupBy("book").applyInPandas(_buffer_pass, "month timestamp, instrument string")
 
 
@@ -263,9 +263,8 @@ def pair_scores(spark: SparkSession, sf: str) -> DataFrame:
 @query("luck_of")
 def luck(spark: SparkSession, sf: str) -> DataFrame:
     """One row: how many tries, as how many independent ones they count, and the best that luck gives 19 times in 20."""
-    rec = record(spark, sf)
-    keys = sorted(r.key for r in rec.select("key").distinct().collect())  # results, not rows
-    n, independent, best = L.luck_of(L.pair_scores(rec).toPandas(), keys)
+    rec = record(spark, sf).withColumn("block", F.substring("key", 1, 1))
+    n, independent, best = L.luck_of_blocks(rec)
     return spark.createDataFrame([(n, independent, round(best, 6))], "saved int, independent double, best_95 double")
 
 

@@ -152,7 +152,7 @@ def choose_peers(spark: SparkSession, sf: str) -> DataFrame:
     hold = bars.select(F.col("instrument").alias("peer"), F.col("ts").alias("day"), F.coalesce(F.col("close") / F.lag("close").over(own()) - 1, F.lit(0.0)).alias("r"))
     whole = rec.groupBy("config", "day").agg(F.avg("r").alias("r"))
     fold = S.folds(whole)
-    good = S.beats_on_peers(rec, hold, fold)
+    good = S.beats_on_peers(rec, hold, fold, share=0.2)
     t = S.train_sharpe(whole, fold).join(good, ["fold", "config"]).withColumn("sharpe", F.round("sharpe", 9))
     nth = F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("sharpe"), "config"))
     return rounded(t.withColumn("nth", nth).where("nth = 1").select("fold", "config", "sharpe", "judged"))

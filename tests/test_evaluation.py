@@ -149,6 +149,21 @@ def test_random_timing_values_the_book(spark):
     assert np.isclose(got.sharpe, net.mean() / net.std(ddof=1) * 365**0.5) and got.p == 0.01 and got.null_p95 < got.sharpe
 
 
+def test_luck_of_blocks_counts_copies_once(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(0, 0.01, (200, 6))
+    rows = [("a", f"k{c}", DAY + timedelta(days=t), float(base[t, 0] + (0.0001 * rng.normal()))) for c in range(5) for t in range(200)]
+    rows += [("b", f"z{c}", DAY + timedelta(days=t), float(base[t, c])) for c in range(1, 6) for t in range(200)]
+    r = spark.createDataFrame(rows, "block string, key string, day timestamp, r double")
+    n, independent, best = L.luck_of_blocks(r, draws=4000)
+    assert n == 10 and 5 <= independent <= 7 and 2.0 < best < 2.6
+    x = r.toPandas().pivot(index="day", columns="key", values="r")
+    pairs = {(p.a, p.b): p.score for p in L.pair_scores(r.select("key", "day", "r")).collect()}
+    s = pd.DataFrame(L.scores_of(x.to_numpy()), index=x.columns, columns=x.columns)
+    assert all(np.isclose(s.loc[a, b], v, atol=1e-9) for (a, b), v in pairs.items()) and len(pairs) == 45
+    assert L.luck_of_blocks(r.limit(0), extra=1) == (1, 1.0, 1.6448536269514722)
+
+
 def test_overfitting_against_plain_python(spark):
     rng = np.random.default_rng(8)
     m = rng.normal(0, 0.01, (203, 5))
