@@ -309,6 +309,54 @@ def test_language_on_held_out_rows(spark):
     assert n > 200 and right > 0.98 and 0 <= lo <= hi <= 1
 
 
+def test_language_equals_explicit_kernels(spark):
+    """Folding landmarks and weights into one matrix changes no score: ridge regression on explicit Nystroem features."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    model = language.fit(docs, per_lang=40, landmarks=24)
+    rows = language.sample(docs, 40, id_col="doc_id", text_col="text", lang_col="lang").toPandas().sort_values(["nth", "lang"], kind="stable")
+    bits = np.unpackbits(np.frombuffer(b"".join(rows.bits), np.uint8).reshape(len(rows), -1), axis=1).astype(float)
+    kernel = lambda a, b: a @ b.T / np.sqrt(a.sum(axis=1)[:, None] * b.sum(axis=1)[None, :])
+    marks, langs = bits[:24], sorted(rows.lang.unique())
+    value, vector = np.linalg.eigh(kernel(marks, marks))
+    good = value > 1e-6 * value.max()
+    root = vector[:, good] / np.sqrt(value[good])
+    x, y = kernel(bits, marks) @ root, np.where(rows.lang.to_numpy()[:, None] == np.array(langs)[None, :], 1.0, -1.0)
+    weight = 1 / (len(langs) * rows.groupby("lang").lang.transform("count").to_numpy())
+    w = np.linalg.solve(x.T @ (x * weight[:, None]) + language.RIDGE / len(langs) * np.eye(x.shape[1]) / len(rows), x.T @ (y * weight[:, None]))
+    out = language.identify(docs.select("doc_id", "text"), model).drop("row").toPandas().set_index("doc_id")
+    texts = {r.doc_id: r.text for r in docs.collect() if language.has_letter(r.text)}
+    for doc, t in texts.items():
+        own = np.zeros(language.BUCKETS, np.uint8)
+        language.presence(t, own)
+        f = (kernel(own[None].astype(float), marks) @ root @ w)[0]
+        assert abs(out.score[doc] - np.clip((1 + f.max()) / 2, 0, 1)) < 1e-3
+        assert out.lang_pred[doc] == langs[int(f.argmax())] or np.sort(f)[-1] - np.sort(f)[-2] < 1e-3
+
+
+def test_tokens_are_attributed_by_the_librarys_offsets(spark, sf):
+    """The section of every token by its characters, from the offsets that the tokenizers library gives."""
+    from tokenizers import Tokenizer, processors
+
+    own = Tokenizer.from_file(default_vocabulary())
+    own.post_processor = processors.ByteLevel(trim_offsets=False)
+    docs = {r.doc_id: r.text or "" for r in table(spark, sf, "documents").collect()}
+    docs |= {9001: "one\ntwo  \n\n three <|endoftext|>\n四 五\n🙂\n", 9002: "a\n" * 50 + "日本\n語" * 9}
+    for rule in token_spans.RULES:
+        got = token_spans.section_tokens(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), rule=rule)
+        have = {(r.doc_id, r.section): (r.n_tokens, r.n_crossing) for r in got.collect()}
+        want: dict = {}
+        for doc, text in docs.items():
+            line = np.cumsum([0, *(c == "\n" for c in text)])[: len(text)] if text else np.zeros(0, int)
+            for k in range(int(line[-1]) + 1 if len(line) else 1):
+                want[doc, k] = [0, 0]
+            for a, z in own.encode(text, add_special_tokens=False).offsets:
+                held = Counter(int(x) for x in line[a:z])
+                k = {"start": int(line[a]), "end": int(line[z - 1]), "most": min(held, key=lambda s: (-held[s], s))}[rule]
+                want[doc, k][0] += 1
+                want[doc, k][1] += len(held) > 1
+        assert have == {k: tuple(v) for k, v in want.items()}, rule
+
+
 @pytest.mark.parametrize("hold", [1 << 18, 3])
 def test_lm_models_are_counts(spark, sf, hold, monkeypatch):
     from ravelin.llm import lm_score
