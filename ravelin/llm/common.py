@@ -77,6 +77,11 @@ def release_mark() -> int:
     return len(_kept)
 
 
+def kept_since(mark: int) -> list[DataFrame]:
+    """Tables kept after a mark and not deleted yet."""
+    return _kept[mark:]
+
+
 def row_key(*cols: str | Column) -> Column:
     """128 bits that tell rows apart by their values; equal rows have one key."""
     return F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit(1), *reversed(cols)).alias("b"))
