@@ -144,20 +144,6 @@ def strategy_pick_record(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(days.groupBy("key").agg(F.count(F.lit(1)).alias("days"), (M.grown("r") - 1).alias("gain"), F.count_distinct("config").alias("strategies")))
 
 
-@query("wf_choose_peers")
-def choose_peers(spark: SparkSession, sf: str) -> DataFrame:
-    """Configurations whose ratio beat holding's on half of their peers, then the best of them."""
-    bars = V.bars_region(spark, sf)
-    rec = alone(bars, CANDIDATES).withColumnRenamed("key", "peer")
-    hold = bars.select(F.col("instrument").alias("peer"), F.col("ts").alias("day"), F.coalesce(F.col("close") / F.lag("close").over(own()) - 1, F.lit(0.0)).alias("r"))
-    whole = rec.groupBy("config", "day").agg(F.avg("r").alias("r"))
-    fold = S.folds(whole)
-    good = S.beats_on_peers(rec, hold, fold, share=0.2)
-    t = S.train_sharpe(whole, fold).join(good, ["fold", "config"]).withColumn("sharpe", F.round("sharpe", 9))
-    nth = F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("sharpe"), "config"))
-    return rounded(t.withColumn("nth", nth).where("nth = 1").select("fold", "config", "sharpe", "judged"))
-
-
 _PEERS = """rec AS (SELECT instrument AS peer, config, ts AS day, held * r - abs(held - before) * 0.0002 AS r FROM h), hold AS (SELECT DISTINCT instrument AS peer, ts AS day, r FROM smas),
   rt AS (SELECT fold, peer, config, count(*) AS d, sum(rec.r) AS s1, sum(rec.r * rec.r) AS s2 FROM folds JOIN rec ON day < test_start GROUP BY 1, 2, 3), ht AS (SELECT fold, peer, count(*) AS d, sum(hold.r) AS s1, sum(hold.r * hold.r) AS s2 FROM folds JOIN hold ON day < test_start GROUP BY 1, 2),
   rq AS (SELECT fold, peer, config, CASE WHEN sqrt(greatest((s2 - s1 * s1 / d) / (d - 1), 0)) > 1e-15 THEN s1 / d / sqrt(greatest((s2 - s1 * s1 / d) / (d - 1), 0)) END AS own FROM rt),
@@ -175,6 +161,21 @@ def peers_eligible(spark: SparkSession, sf: str) -> DataFrame:
     return S.beats_on_peers(rec.select("peer", "config", "day", "r"), hold, S.folds(rec.select("day")), share=0.2).select("fold", "config", F.col("judged").cast("long").alias("judged"))
 
 
+@query("wf_choose_peers", f"""{SQL_CONFIGS}, {_PEERS}, el AS (SELECT fold, config, CASE WHEN judged >= 3 THEN judged ELSE 0 END AS judged FROM j WHERE judged < 3 OR wins >= 0.2 * judged), {SQL_CHOSEN},
+  pk AS (SELECT q.fold, q.config, q.sharpe, el.judged, row_number() OVER (PARTITION BY q.fold ORDER BY q.sharpe DESC, q.config) AS nth FROM q JOIN el USING (fold, config)) SELECT fold, config, round(sharpe, 6) AS sharpe, judged FROM pk WHERE nth = 1""")
+def choose_peers(spark: SparkSession, sf: str) -> DataFrame:
+    """The best configuration of each window among those whose ratios beat holding's on a fifth of the regions."""
+    from ravelin.plans.record_queries import config_nets, config_records
+
+    rec, whole = config_nets(spark, sf), config_records(spark, sf)
+    hold = rec.where("config = 0").select("peer", "day", F.col("market").alias("r"))
+    fold = S.folds(whole)
+    good = S.beats_on_peers(rec.select("peer", "config", "day", "r"), hold, fold, share=0.2)
+    t = S.train_sharpe(whole, fold).where(F.col("n") >= S.LEAST_DAYS).join(good, ["fold", "config"]).withColumn("sharpe", F.round("sharpe", 9))
+    nth = F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("sharpe"), "config"))
+    return rounded(t.withColumn("nth", nth).where("nth = 1").select("fold", "config", "sharpe", F.col("judged").cast("long").alias("judged")))
+
+
 @query("switch_costs", f"""{SQL_CONFIGS}, {SQL_CHOSEN}, w AS (SELECT fold, config, (config + 1 + fold) % 9 AS before FROM chosen), s AS (SELECT w.fold, f.test_start, w.config, w.before FROM w JOIN folds f USING (fold) WHERE w.config <> w.before),
   a AS (SELECT s.fold, x.instrument, arg_max(x.side, x.ts) AS a FROM s JOIN sides x ON x.config = s.config AND x.ts < s.test_start GROUP BY 1, 2), b AS (SELECT s.fold, x.instrument, arg_max(x.side, x.ts) AS b FROM s JOIN sides x ON x.config = s.before AND x.ts < s.test_start GROUP BY 1, 2)
   SELECT fold, round(sum(abs(a - b)) / 5 * 0.0005, 8) AS cost FROM a JOIN b USING (fold, instrument) GROUP BY 1""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ravelin.plans.registry import query
 from ravelin.sources import views as V
 from ravelin.streaming import bars as S
+from ravelin.streaming import upkeep as U
 
 
 @query("stream_bars", f"WITH {V.sql_event('1 hour')} SELECT instrument, ts, open, high, low, close, volume FROM bars")
@@ -36,3 +37,30 @@ def stream_positions(spark: SparkSession, sf: str) -> DataFrame:
 @query("stream_change_feed", "SELECT event_type AS kind, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1")
 def stream_changes(spark: SparkSession, sf: str) -> DataFrame:
     return S.change_feed(spark, sf).groupBy("kind").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+
+
+@query("stream_restated", f"""WITH {V.SQL_REGION}, a AS (SELECT 1 AS batch, instrument, ts, close FROM bars WHERE ts < TIMESTAMP '1995-01-01' UNION ALL SELECT 2, instrument, ts, CASE WHEN instrument IN ('ASIA', 'EUROPE') THEN close * 2 ELSE close END FROM bars WHERE CASE WHEN instrument IN ('ASIA', 'EUROPE') THEN ts < TIMESTAMP '1997-01-01' ELSE ts >= TIMESTAMP '1994-12-01' AND ts < TIMESTAMP '1997-01-01' END)
+  SELECT instrument, count(DISTINCT ts) AS bars, round(sum(close), 4) AS total FROM (SELECT * FROM a WHERE batch = 2 UNION ALL SELECT * FROM a WHERE batch = 1 AND instrument NOT IN ('ASIA', 'EUROPE') AND ts < TIMESTAMP '1994-12-01') GROUP BY 1""")
+def stream_restated(spark: SparkSession, sf: str) -> DataFrame:
+    """Two arrivals that overlap: two series come again at another level and replace what was stored, the others go on."""
+    b = V.bars_region(spark, sf).select("instrument", "ts", "close")
+    again, at = F.col("instrument").isin("ASIA", "EUROPE"), lambda d: F.lit(d).cast("timestamp")
+    one = b.where(F.col("ts") < at("1995-01-01")).withColumn("batch", F.lit(1))
+    two = b.where((F.col("ts") < at("1997-01-01")) & (again | (F.col("ts") >= at("1994-12-01")))).withColumn("close", F.when(again, F.col("close") * 2).otherwise(F.col("close"))).withColumn("batch", F.lit(2))
+    out = U.restated(spark, one.unionByName(two))
+    return out.groupBy("instrument").agg(F.count_distinct("ts").alias("bars"), F.round(F.sum("close"), 4).alias("total"))
+
+
+@query("stream_silent_runs", """WITH e AS (SELECT user_id::VARCHAR || '-' || strftime(ts, '%Y%m%d%H') AS run, ts FROM events), g AS (SELECT run, ts, lead(ts) OVER (PARTITION BY run ORDER BY ts) AS nx FROM e)
+  SELECT run, ts AS last_beat, nx IS NULL AS interrupted FROM g WHERE nx IS NULL OR epoch_us(nx) - epoch_us(ts) > 120000000""")
+def stream_silent(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs without a sign for two minutes, those silent at the end of the input too."""
+    run = F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMddHH"))  # the mark of the end has a run of its own; a filter would take it from the watermark
+    return S.whole(spark, sf, lambda e: U.silent(e.select(run.alias("run"), "ts")))
+
+
+@query("change_log_kept", "SELECT event_type AS kind, count(*) AS n, min(event_id) AS first_id FROM events WHERE epoch(ts)::BIGINT > (SELECT max(epoch(ts)::BIGINT) FROM events) - 86400 GROUP BY 1")
+def change_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Changes of the last day, by kind."""
+    e = V.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return U.recent_changes(e).groupBy(F.col("event_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
