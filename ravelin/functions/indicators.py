@@ -93,3 +93,69 @@ def money_flow(n: int) -> Callable[[DataFrame], DataFrame]:
         return step.withColumn("mfi", full(F.when(up + down < 1, 0.0).otherwise(100 * up / (up + down)), "up", n, rows(n)))
 
     return add
+
+
+def momentum(c: str, n: int) -> Column:
+    return F.col(c) - F.lag(c, n).over(own())
+
+
+def wma(c: str, n: int) -> Column:
+    """Mean with weights that rise by one from the oldest bar to this one."""
+    return sum((F.lag(c, i).over(own()) * (n - i) for i in range(1, n)), F.col(c) * n) / (n * (n + 1) / 2)
+
+
+def cci(n: int) -> Callable[[DataFrame], DataFrame]:
+    """The typical price's distance from its mean in mean absolute deviations, by 0.015."""
+
+    def add(bars: DataFrame) -> DataFrame:
+        b = bars.withColumn("typical", (F.col("high") + F.col("low") + F.col("close")) / 3).withColumn("_m", sma("typical", n)).withColumn("_l", F.collect_list("typical").over(rows(n)))
+        dev = F.aggregate("_l", F.lit(0.0), lambda a, x: a + F.abs(x - F.col("_m"))) / n
+        return b.withColumn("cci", F.when(F.col("_m").isNotNull(), F.coalesce((F.col("typical") - F.col("_m")) / (0.015 * F.nullif(dev, F.lit(0.0))), F.lit(0.0)))).drop("_m", "_l")
+
+    return add
+
+
+def aroon(n: int) -> Callable[[DataFrame], DataFrame]:
+    """How lately the greatest high and the least low of n + 1 bars were, in percent of n; the latest of equal ones counts."""
+
+    def add(bars: DataFrame) -> DataFrame:
+        b = bars.withColumn("_i", F.row_number().over(own()))
+        w = rows(n + 1)
+        last = lambda f, key: f(F.struct(key, "_i")).over(w)["_i"]
+        up, down = last(F.max, F.col("high")), last(F.max, (-F.col("low")).alias("k"))
+        return b.withColumns({"aroon_up": full(100.0 * (n - (F.col("_i") - up)) / n, "high", n + 1, w), "aroon_down": full(100.0 * (n - (F.col("_i") - down)) / n, "low", n + 1, w)}).drop("_i")
+
+    return add
+
+
+def slope(c: str, n: int) -> Callable[[DataFrame], DataFrame]:
+    """Of the least-squares line through the last n bars, per bar."""
+
+    def add(bars: DataFrame) -> DataFrame:
+        b = bars.withColumn("_x", F.row_number().over(own()).cast("double"))
+        return b.withColumn("linearreg_slope", full(F.regr_slope(c, "_x").over(rows(n)), c, n, rows(n))).drop("_x")
+
+    return add
+
+
+#: Indicators by name: functions of a DataFrame of bars and a period.
+LIBRARY: dict[str, Callable[[DataFrame, int], DataFrame]] = {
+    "sma": lambda b, n: b.withColumn("sma", sma("close", n)),
+    "roc": lambda b, n: b.withColumn("roc", roc("close", n)),
+    "mom": lambda b, n: b.withColumn("mom", momentum("close", n)),
+    "wma": lambda b, n: b.withColumn("wma", full(wma("close", n), "close", n, rows(n))),
+    "willr": lambda b, n: b.withColumn("willr", williams_r(n)),
+    "cci": lambda b, n: cci(n)(b),
+    "aroon": lambda b, n: aroon(n)(b),
+    "mfi": lambda b, n: money_flow(n)(b),
+    "linearreg_slope": lambda b, n: slope("close", n)(b),
+    "stddev": lambda b, n: b.withColumn("stddev", full(F.stddev_pop("close").over(rows(n)), "close", n, rows(n))),
+    "midpoint": lambda b, n: b.withColumn("midpoint", full((F.max("close").over(rows(n)) + F.min("close").over(rows(n))) / 2, "close", n, rows(n))),
+}
+
+
+def call(bars: DataFrame, name: str, n: int) -> DataFrame:
+    """bars with an indicator by its name."""
+    if name not in LIBRARY:
+        raise ValueError(f"no indicator {name}: {', '.join(LIBRARY)}")
+    return LIBRARY[name](bars, n)

@@ -155,6 +155,22 @@ def macd(spark: SparkSession, sf: str) -> DataFrame:
     return X.recursive(_bars(spark, sf), macd=("macd", 12, 26, 9)).select("instrument", "ts", *(r6(c).alias(c) for c in ("macd", "macd_signal", "macd_hist")))
 
 
+_W10 = " + ".join(f"lag(close, {i}) OVER ({W}) * {10 - i}" for i in range(1, 10))
+
+
+@query("ind_by_name", f"""{R}, n AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY ts) AS rn, (high + low + close) / 3 AS tp FROM bars), a AS (SELECT *, {_full(f'avg(tp) OVER {_frame(20)}', 'tp', 20)} AS m, array_agg(tp) OVER {_frame(20)} AS l,
+    count(*) OVER {_frame(15)} AS c15, arg_max(rn, (high, rn)) OVER {_frame(15)} AS hi, arg_max(rn, (-low, rn)) OVER {_frame(15)} AS lo FROM n)
+  SELECT instrument, ts, round(close - lag(close, 10) OVER ({W}), 6) AS mom, round(({_W10} + close * 10) / 55, 6) AS wma, round(CASE WHEN m IS NOT NULL THEN coalesce((tp - m) / (0.015 * nullif(list_sum(list_transform(l, lambda x: abs(x - m))) / 20, 0)), 0) END, 4) AS cci,
+    round(CASE WHEN c15 = 15 THEN 100.0 * (14 - (rn - hi)) / 14 END, 6)::DOUBLE AS aroon_up, round(CASE WHEN c15 = 15 THEN 100.0 * (14 - (rn - lo)) / 14 END, 6)::DOUBLE AS aroon_down, round({_full(f'regr_slope(close, rn) OVER {_frame(14)}', 'close', 14)}, 6) AS linearreg_slope,
+    round({_full(f'stddev_pop(close) OVER {_frame(10)}', 'close', 10)}, 6) AS stddev, round({_full(f'(max(close) OVER {_frame(10)} + min(close) OVER {_frame(10)}) / 2', 'close', 10)}, 6) AS midpoint FROM a""")
+def by_name(spark: SparkSession, sf: str) -> DataFrame:
+    """Indicators called by their names."""
+    b = _bars(spark, sf)
+    for name, n in (("mom", 10), ("wma", 10), ("cci", 20), ("aroon", 14), ("linearreg_slope", 14), ("stddev", 10), ("midpoint", 10)):
+        b = I.call(b, name, n)
+    return b.select("instrument", "ts", *(r6(c).alias(c) for c in ("mom", "wma", "aroon_up", "aroon_down", "linearreg_slope", "stddev", "midpoint")), F.round("cci", 4).alias("cci"))
+
+
 # States.
 
 _IBS = "CASE WHEN (close - low) / nullif(high - low, 0) < 0.2 THEN 1.0 WHEN (close - low) / nullif(high - low, 0) > 0.8 THEN 0.0 END"
