@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ravelin.operators import conditioning as C
 from ravelin.operators import metrics as M
 from ravelin.operators.panel import own
-from ravelin.plans.record_queries import SQL_CORE, record, rounded
+from ravelin.plans.record_queries import SQL_CORE, SQL_RECORD, record, rounded
 from ravelin.plans.registry import query
 from ravelin.plans.signal_queries import r6
 from ravelin.sources import store
@@ -175,10 +175,10 @@ def company_names(spark: SparkSession, sf: str) -> DataFrame:
 # Results.
 
 
-@query("results_series_roundtrip", f"{SQL_CORE} SELECT key, days::INTEGER AS days FROM card")
+@query("results_series_roundtrip", f"WITH {SQL_RECORD} SELECT key, day, round(r, 8) AS r FROM record")
 def series_codec(spark: SparkSession, sf: str) -> DataFrame:
-    back = store.decode_series(store.encode_series(record(spark, sf)))
-    return back.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("days"))
+    """Every value of every record after a trip through the codec."""
+    return store.decode_series(store.encode_series(record(spark, sf))).select("key", "day", F.round("r", 8).alias("r"))
 
 
 @query("results_frame", f"""{SQL_CORE}, s AS (SELECT key, 'sma_cross' AS strategy FROM card), b AS (SELECT key, max(days) AS bench_days FROM card GROUP BY 1)
