@@ -205,3 +205,27 @@ def test_grids_keep_the_account_axes_apart():
     assert len(s.configs()) == 3 * 3 * 3 * 4 and len(s.configs(5)) == 3 * 3 * 3 * 2
     assert s.signal({"n_in": 20, "n_out": 10, "stop_atr": 2.0, "slots": 5}) == {"n_in": 20, "n_out": 10}
     assert s.fn.__name__ == "donchian_breakout" and F is not None
+
+
+def test_zipped_tables_and_market_values(spark, tmp_path):
+    import zipfile
+
+    from ravelin.sources import store
+
+    for k in (1, 2):
+        with zipfile.ZipFile(tmp_path / f"t{k}.zip", "w") as z:
+            z.writestr("t.csv", f"ticker,date,close\nA{k},2024-01-0{k},1.5\nB{k},2024-01-0{k},\n")
+    rows = store.read_zipped(spark, f"file://{tmp_path}/*.zip", "ticker string, date date, close double").orderBy("ticker").collect()
+    assert [(r.ticker, r.date.day, r.close) for r in rows] == [("A1", 1, 1.5), ("A2", 2, 1.5), ("B1", 1, None), ("B2", 2, None)]
+    (tmp_path / "caps.csv").write_text("symbol,name,cap\nAAA,Alpha,5.5\nBBB,Beta,\nCCC,Gamma,0\n")
+    assert [tuple(r) for r in store.read_market_caps(spark, f"file://{tmp_path}/caps.csv").collect()] == [("AAA", "Alpha", 5.5)]
+
+
+def test_stored_results_and_meta_by_generation(spark, tmp_path):
+    from ravelin.sources import store
+
+    root = f"file://{tmp_path}/results"
+    one = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "key string, v double")
+    store.upsert_results(one, root, ["key"])
+    store.upsert_results(one.where("key = 'b'").withColumn("v", F.lit(9.0)), root, ["key"])
+    assert {r.key: r.v for r in store.read_results(spark, root).collect()} == {"a": 1.0, "b": 9.0}
