@@ -40,7 +40,7 @@ from ravelin.llm.runs import runs
 
 WORDS = 5
 COORDS, FINE, FIRST = 32, 2048, 64  # the first of the fine ones are compared before the others
-BLOCK = 1500
+BLOCK = 700
 #: Links are pairs with 100 * |intersection| >= PERCENT * |union|.
 PERCENT = 85
 #: At most so probable is it that a pair just at the wanted similarity has too few equal coordinates: of COORDS, FINE and FIRST.
