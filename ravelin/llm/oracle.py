@@ -3,6 +3,7 @@
 The others (token ids, kernels, chunk hashes, whole texts by byte) are tested against brute force in tests/llm.
 """
 
+from ravelin.llm.divergence import LEAST_DOCS, PRIOR, SCALE, TOP
 from ravelin.llm.quality_lines import LEAST_LEFT, MIN_DOCS, MOST, SHARE
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -69,4 +70,38 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM base
 """
 
-ORACLE: dict[str, str] = {"op3_topk": _TOPK, "op7_minhash": _NEAR, "op9_line_frequency": _LINES}
+_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+_AUDIT = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TERM}') AS w FROM documents
+), words AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT rid) >= {LEAST_DOCS}),
+counted AS (SELECT lang, source, term, count(*) AS c FROM words SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+whole AS (SELECT lang, term, sum(c) AS c FROM counted GROUP BY lang, term),
+sizes AS (SELECT lang, count(*) AS v, sum(c) AS n FROM whole GROUP BY lang),
+groups AS (
+  SELECT g.lang, g.source, coalesce(n, 0) AS n, coalesce(v, 0) AS v
+  FROM (SELECT DISTINCT lang, source FROM d) AS g LEFT JOIN (SELECT lang, source, sum(c) AS n FROM counted GROUP BY lang, source) USING (lang, source)
+    LEFT JOIN (SELECT lang, v FROM sizes) USING (lang)
+), grid AS (
+  SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c, 1 + ({SCALE}::HUGEINT * (coalesce(c, 0) + {PRIOR})) // (n + {PRIOR} * v) AS p
+  FROM groups AS g JOIN kept AS k USING (lang) LEFT JOIN counted AS x ON x.lang = g.lang AND x.source = g.source AND x.term = k.term
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM grid AS a JOIN grid AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY a.lang, a.source, b.source
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups AS a JOIN groups AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair AS x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+), terms AS (
+  SELECT g.lang, g.source, 'term' AS part, g.term AS item, (p - (1 + ({SCALE}::HUGEINT * (w.c + {PRIOR})) // (s.n + {PRIOR} * s.v)))::BIGINT AS value
+  FROM grid AS g JOIN whole AS w USING (lang, term) JOIN sizes AS s ON s.lang = g.lang WHERE g.c > 0
+), ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms WHERE value > 0)
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= {TOP}
+"""
+
+ORACLE: dict[str, str] = {"op3_topk": _TOPK, "op7_minhash": _NEAR, "op9_line_frequency": _LINES, "op12_source_divergence": _AUDIT}

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ravelin.llm import language
 from ravelin.llm.chunk_dedup import chunk_dedup
 from ravelin.llm.common import table
+from ravelin.llm.conversation import repair
+from ravelin.llm.divergence import audit
 from ravelin.llm.lm_score import lm_scores
 from ravelin.llm.minhash import near_duplicates
 from ravelin.llm.packing import pack
@@ -62,6 +64,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("spans", "kept_bytes")
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_packing": op2_packing,
@@ -73,4 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_line_frequency": op9_line_frequency,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_conversation_repair": op13_conversation_repair,
 }
