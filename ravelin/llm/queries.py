@@ -14,6 +14,7 @@ from ravelin.llm.divergence import audit
 from ravelin.llm.lm_score import lm_scores
 from ravelin.llm.minhash import near_duplicates
 from ravelin.llm.packing import pack
+from ravelin.llm.personal import identifiers
 from ravelin.llm.pieces import piece_digests
 from ravelin.llm.quality_lines import line_rules
 from ravelin.llm.suffix_dedup import suffix_dedup
@@ -64,6 +65,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("spans", "kept_bytes")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identifiers(table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"))
 
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_line_frequency": op9_line_frequency,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_personal_data": op11_personal_data,
     "op12_source_divergence": op12_source_divergence,
     "op13_conversation_repair": op13_conversation_repair,
 }
