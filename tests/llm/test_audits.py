@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 import zlib
 from collections import defaultdict
 from functools import cache
@@ -211,6 +212,7 @@ def cheapest(rows):
                 found += [(2 + more + x[0], "R" + x[1]) for c in "ua" if may(state, c) and (x := go(i + 1, c, 0))]
         return min(found) if found else (10**9, "")
 
+    sys.setrecursionlimit(max(10_000, 8 * len(rows)))
     cost, letters = go(0, "", 0)
     state, out, i = "", [], 0
     for e in letters:
