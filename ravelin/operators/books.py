@@ -13,22 +13,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.functions.recursion import atr_of
-from ravelin.operators.walks import Account, Costs, Exits, account, exits, forward, matrix, seats, slots
+from ravelin.operators.walks import Account, Costs, Exits, account, exits, forward, hold, matrix, seats, slots
 
-EXIT_KEYS = ("stop", "take", "trail", "stop_atr", "trail_atr")
+EXIT_KEYS = ("stop", "take", "trail", "stop_atr", "trail_atr", "take_atr")
 ATR, SEASON = 14, 90  # bars of the ATR that exits are measured in, and of the liquidity that seats and slots are given by
-_VALUES = ("open", "high", "low", "close", "position", "listed", "money", "funding", "dividend")
+_VALUES = ("open", "high", "low", "close", "position", "listed", "money", "funding", "dividend", "quoted")
 
 
 def cut_by_exits(x: dict[str, np.ndarray], wanted: np.ndarray, rule: Exits) -> tuple[np.ndarray, np.ndarray]:
     """What is wanted, flat from an exit until the side changes, and the exits' prices. Names are walked on their own bars."""
     out, px = wanted.copy(), np.full(wanted.shape, np.nan)
+    inside = "held" in x  # exits walked through minutes before: held sides and prices come with the bars
     for k in range(wanted.shape[1]):
         at = np.flatnonzero(~np.isnan(x["close"][:, k]))
         if len(at) < 2:
             continue
         o, h, lo, c = (x[f][at, k] for f in ("open", "high", "low", "close"))
-        left, held = exits(o, h, lo, np.sign(wanted[at, k]), rule, atr_of(h, lo, c, ATR))
+        if inside:
+            left, held = x["exit_px"][at, k], np.nan_to_num(x["held"][at, k])
+        else:
+            left, held = exits(o, h, lo, np.sign(wanted[at, k]), rule, atr_of(h, lo, c, ATR))
         px[at, k] = left
         now = np.r_[held[1:], 0.0 if not np.isnan(left[-1]) else np.sign(wanted[at[-1], k])]  # what is held after each decision
         keep = np.full(len(wanted), np.nan)
@@ -56,21 +60,28 @@ def with_slots(raw: np.ndarray, money: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def rule_of(params: dict[str, Any]) -> Exits:
+    return Exits(**{k: params[k] for k in EXIT_KEYS if params.get(k) is not None})
+
+
 def target_of(x: dict[str, np.ndarray], kind: str, params: dict[str, Any]) -> tuple[np.ndarray, np.ndarray | None]:
     """The weights decided at each close, and prices of exits within bars. x: arrays of bars x names.
 
-    A rule's names share the equity alike among the seats taken, or among slots; a panel gives weights itself. A name
-    trades from its first bar to its last and while it is listed (a rule's trade is kept to its end).
+    A rule's names share the equity alike among the seats taken, or among slots; a panel gives weights itself, and so do
+    units (a panel whose positions are held each by itself, with exits of their own). A name trades from its first bar to
+    its last and while it is listed (a rule's trade is kept to its end).
     """
     printed = ~np.isnan(x["close"])
     last = len(printed) - 1 - printed[::-1].argmax(axis=0)
     live = (np.cumsum(printed, axis=0) > 0) & (np.arange(len(printed))[:, None] <= last)
     listed = live & (np.nan_to_num(forward(x["listed"], 1.0)) > 0)
     wanted = np.where(live, np.clip(np.nan_to_num(forward(x["position"], 0.0)), -1, 1), 0.0)
-    if kind == "panel":
+    rule, px = rule_of(params), None
+    if kind == "units" and rule != Exits():
+        wanted, px = cut_by_exits(x, wanted, rule)
+    if kind in ("panel", "units"):
         weights = np.where(listed, wanted, 0.0)
-        return weights / np.maximum(np.abs(weights).sum(axis=1, keepdims=True), 1.0), None
-    rule, px = Exits(**{k: params[k] for k in EXIT_KEYS if params.get(k) is not None}), None
+        return weights / np.maximum(np.abs(weights).sum(axis=1, keepdims=True), 1.0), px
     if rule != Exits():
         wanted, px = cut_by_exits(x, wanted, rule)
     seated = listed if kind == "exposure" else seats(listed, np.sign(wanted), x["money"])
@@ -81,27 +92,56 @@ def target_of(x: dict[str, np.ndarray], kind: str, params: dict[str, Any]) -> tu
 
 
 def walked(pdf: pd.DataFrame, kind: str, params: dict[str, Any], costs: Costs, delay: int = 0) -> tuple[pd.Index, pd.Index, dict[str, np.ndarray], Account]:
-    ts, names, arrays = matrix(pdf, *_VALUES)
-    x = dict(zip(_VALUES, arrays, strict=True))
+    inside = [c for c in ("exit_px", "held") if c in pdf.columns]
+    ts, names, arrays = matrix(pdf, *_VALUES, *inside)
+    x = dict(zip((*_VALUES, *inside), arrays, strict=True))
+    if delay:  # a decision comes later, and its exits are walked from the later fill, on bars
+        x = {k: v for k, v in x.items() if k not in inside}
+        x["position"] = np.vstack([np.zeros((delay, len(names))), forward(x["position"], 0.0)[:-delay]])[: len(ts)]
     target, px = target_of(x, kind, params)
-    if delay:
-        target, px = np.vstack([np.zeros((delay, target.shape[1])), target[:-delay]]), None
-    book = np.ones(target.shape, bool) if kind == "panel" and params.get("book", True) else None
+    book = np.ones(target.shape, bool) if kind == "panel" else None
     more = {n: np.nan_to_num(x[n]) if np.nansum(np.abs(x[n])) else None for n in ("funding", "dividend")}
-    return ts, names, x, account(x["open"], x["high"], x["close"], target, costs, book=book, exit_px=px, **more)
+    quoted = x["quoted"] if (~np.isnan(x["quoted"])).any() else None
+    return ts, names, x, account(x["open"], x["high"], x["close"], target, costs, book=book, exit_px=px, quoted=quoted, **more)
 
 
-def wanted_books(bars: DataFrame, positions: DataFrame, configs: DataFrame, member: DataFrame | None = None, carry: DataFrame | None = None) -> DataFrame:
-    """The rows of every configuration's book. positions: signal, instrument, ts, position; configs: config, signal.
+def wanted_books(
+    bars: DataFrame, positions: DataFrame, configs: DataFrame, member: DataFrame | None = None, carry: DataFrame | None = None, quotes: DataFrame | None = None,
+    inside: DataFrame | None = None,
+) -> DataFrame:
+    """The rows of every configuration's book. positions: signal, instrument, ts, position; configs: config, signal[, variant].
 
-    member: instrument, ts, listed; carry: instrument, ts, funding, dividend. Without them all names are listed and pay nothing.
+    member: instrument, ts, listed; carry: instrument, ts, funding, dividend; quotes: instrument, ts, rate. Without them all
+    names are listed, pay nothing and cost the flat rate. inside: instrument, ts, variant, exit_px, held, from minutes.
     """
     from ravelin.operators.states import liquidity
 
     base = liquidity(bars, SEASON).select("instrument", "ts", "open", "high", "low", "close", F.col("liquidity").alias("money"))
-    base = base.join(member.select("instrument", "ts", F.col("listed").cast("double").alias("listed")), ["instrument", "ts"], "left") if member is not None else base.withColumn("listed", F.lit(None).cast("double"))
-    base = base.join(carry.select("instrument", "ts", "funding", "dividend"), ["instrument", "ts"], "left") if carry is not None else base.withColumns({c: F.lit(None).cast("double") for c in ("funding", "dividend")})
-    return base.join(positions, ["instrument", "ts"]).join(F.broadcast(configs), "signal").drop("signal")  # a grid: as many rows as configurations
+    given = [(member, {"listed": "listed"}), (carry, {"funding": "funding", "dividend": "dividend"}), (quotes, {"rate": "quoted"})]
+    for table, names in given:
+        if table is None:
+            base = base.withColumns({c: F.lit(None).cast("double") for c in names.values()})
+        else:
+            base = base.join(table.select("instrument", "ts", *(F.col(c).cast("double").alias(to) for c, to in names.items())), ["instrument", "ts"], "left")
+    books = base.join(positions, ["instrument", "ts"]).join(F.broadcast(configs), "signal").drop("signal")  # a grid: as many rows as configurations
+    if inside is None:
+        return books.drop("variant")
+    return books.join(inside.select("instrument", "ts", "variant", "exit_px", "held"), ["instrument", "ts", "variant"], "left").drop("variant")
+
+
+def bought_and_held(bars: DataFrame, rate: float, since: Any, member: DataFrame | None = None) -> DataFrame:
+    """(ts, net) of equal money in the list's members from a moment on: the account that a strategy is measured against."""
+    base = bars.select("instrument", "ts", "open", "close")
+    base = base.join(member.select("instrument", "ts", F.col("listed").cast("double").alias("listed")), ["instrument", "ts"], "left") if member is not None else base.withColumn("listed", F.lit(1.0))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        ts, _, (o, c, listed) = matrix(pdf, "open", "close", "listed")
+        printed = ~np.isnan(c)
+        last = len(printed) - 1 - printed[::-1].argmax(axis=0)
+        live = (np.cumsum(printed, axis=0) > 0) & (np.arange(len(printed))[:, None] < np.where(last == len(printed) - 1, len(printed), last)[None, :])
+        return pd.DataFrame({"ts": ts, "net": hold(o, c, live & (forward(listed, 0.0) > 0) & np.asarray(ts >= since)[:, None], rate)})
+
+    return base.groupBy(F.lit("list").alias("book")).applyInPandas(lambda pdf: one(pdf), "ts timestamp, net double")  # a list's account couples its names
 
 
 def run_books(books: DataFrame, kind: str, params: list[dict[str, Any]], costs: Costs, delay: int = 0) -> DataFrame:

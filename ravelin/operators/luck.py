@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from math import erf, sqrt
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -126,23 +127,30 @@ def monte_carlo(record: DataFrame, reps: int = 1000, chunk: int = 250) -> DataFr
     return p.select("key", "figure", at(0).alias("p5"), F.when(F.col("share"), F.col("mean")).otherwise(F.col("p")[1]).alias("p50"), at(2).alias("p95"))
 
 
-def _book_values(w: np.ndarray, market: dict[str, np.ndarray], can: np.ndarray, fractions: np.ndarray | None, rate: float, borrow: float) -> np.ndarray:
-    """Sharpe ratios of a book's daily net returns, its own (fractions None) or with every name's weights turned.
-
-    Arrays are names x bars. A name's weights turn within the bars that it may be held on, all names by the same fraction.
-    """
-    runs = 1 if fractions is None else len(fractions)
-    total = np.zeros((runs, w.shape[1]))
-    for k in range(len(w)):
-        at = np.flatnonzero(can[k])
-        if not len(at):
-            continue
-        shift = np.zeros(runs, int) if fractions is None or len(at) < 2 else 1 + (fractions * (len(at) - 1)).astype(int)
-        x = np.zeros((runs, w.shape[1]))
-        x[:, at] = w[k, at[(np.arange(len(at)) + shift[:, None]) % len(at)]]
-        before = np.c_[np.zeros(runs), x[:, :-1]]
-        total += before * market["gap"][k] + x * market["session"][k] - np.abs(x - before) * rate - x * market["funding"][k] - np.maximum(-x, 0) * borrow / YEAR
-    return sharpe_of(np.maximum(total, -0.999999), axis=1)
+class Holdable:
+    """A book's places that can be held, name after name, as flat arrays; bars x names come in as names x bars."""
+
+    def __init__(self, w: np.ndarray, market: dict[str, np.ndarray], can: np.ndarray, rate: float, borrow: float) -> None:
+        name, self.bar = np.nonzero(can)
+        self.bars, self.rate, self.borrow = w.shape[1], rate, borrow
+        self.weight, self.size = w[can], np.bincount(name, minlength=len(w))[name]
+        self.first = np.r_[0, np.cumsum(np.bincount(name, minlength=len(w)))][name]
+        self.place = np.arange(len(name)) - self.first
+        self.follows = np.r_[False, (name[1:] == name[:-1]) & (self.bar[1:] == self.bar[:-1] + 1)]  # held on the bar before as well
+        self.ends = ~np.r_[self.follows[1:], False] & (self.bar + 1 < self.bars)  # sold at the next open, with its gap
+        self.earns = (market["session"] - market["funding"])[can]
+        gap = np.c_[market["gap"][:, 1:], np.zeros(len(w))][can]
+        self.later = np.where(self.bar + 1 < self.bars, gap, 0.0)
+
+    def sharpe(self, fraction: float | None = None) -> float:
+        """Of the daily net returns, with every name's weights turned by the fraction of its own places (None: as they are)."""
+        turn = 0 if fraction is None else np.where(self.size > 1, 1 + (fraction * (self.size - 1)).astype(int), 0)
+        x = self.weight[self.first + (self.place + turn) % self.size]
+        change = np.abs(x - np.where(self.follows, np.r_[0.0, x[:-1]], 0.0))
+        today = x * self.earns - change * self.rate - np.maximum(-x, 0) * self.borrow / YEAR
+        after = x * self.later - np.where(self.ends, np.abs(x), 0.0) * self.rate
+        total = np.bincount(self.bar, today, self.bars) + np.bincount(np.minimum(self.bar + 1, self.bars - 1), np.where(self.bar + 1 < self.bars, after, 0.0), self.bars)
+        return float(sharpe_of(np.maximum(total, -0.999999)))
 
 
 def random_timing(book: DataFrame, rotations: int = 500, chunk: int = 100, rate: float = 0.0005, borrow: float = 0.0, seed: int = 7) -> DataFrame:
@@ -165,10 +173,9 @@ def random_timing(book: DataFrame, rotations: int = 500, chunk: int = 100, rate:
             return pd.DataFrame({"key": [], "own": [], "turned": []})
         can = (printed & ((np.nan_to_num(x["member"]) > 0) | (w != 0)))[held]
         market = {f: np.nan_to_num(x[f])[held] for f in ("gap", "session", "funding")}
-        own = float(_book_values(w[held], market, can, None, rate, borrow)[0])
+        places = Holdable(w[held], market, can, rate, borrow)
         drawn = np.random.default_rng(seed).random(rotations)[first : first + chunk]
-        null = _book_values(w[held], market, can, drawn, rate, borrow)
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "own": own, "turned": null})
+        return pd.DataFrame({"key": pdf["key"].iloc[0], "own": places.sharpe(), "turned": [places.sharpe(f) for f in drawn]})
 
     dealt = book.select("key", "instrument", "ts", *(F.col(f).cast("double").alias(f) for f in fields)).withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(rotations - 1), F.lit(chunk))))
     r = dealt.groupBy("key", "first").applyInPandas(one, "key string, own double, turned double")
@@ -194,7 +201,7 @@ def paired(record: DataFrame, block: float = 20.0, reps: int = 1000, chunk: int
     return r.groupBy("key").agg(F.max("own").alias("sharpe"), F.max("other").alias("sharpe_other"), (edge / F.nullif(F.stddev_samp("draw"), F.lit(0.0))).alias("t"))
 
 
-def expected_max(n: int) -> float:
+def expected_max(n: float) -> float:
     """Mean of the greatest of n standard normals."""
     if n <= 1:
         return 0.0
@@ -204,7 +211,7 @@ def expected_max(n: int) -> float:
     return float(np.trapezoid(x * n * dens * np.power(cdf, n - 1), x))
 
 
-def deflated(record: DataFrame, trials: int) -> DataFrame:
+def deflated(record: DataFrame, trials: float) -> DataFrame:
     """(key, sharpe, bar, probability): whether a daily ratio beats the best of so many tries without merit."""
     best = expected_max(trials)
     m = record.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"), F.skewness("r").alias("g1"), F.kurtosis("r").alias("g2"))
@@ -226,68 +233,82 @@ def pair_scores(record: DataFrame, least: int = 60) -> DataFrame:
     return c.select("a", "b", F.when(F.col("shared") < least, 0.0).otherwise(F.coalesce("rho", F.lit(0.0)) * F.col("shared") / F.sqrt(F.col("na") * F.col("nb"))).alias("score"))
 
 
-def luck_of(scores: pd.DataFrame, keys: list[str], draws: int = 20_000, seed: int = 7) -> tuple[int, float, float]:
-    """(tries, independent tries, 95th percentile of the best) for correlated tries without merit; keys are results, not rows."""
-    n = len(keys)
-    at = {k: i for i, k in enumerate(keys)}
-    c = np.eye(n)
-    for a, b, s in scores.itertuples(index=False):
-        c[at[a], at[b]] = c[at[b], at[a]] = s
-    value, vector = np.linalg.eigh(c)
-    root = vector * np.sqrt(np.clip(value, 0, None))
-    root /= np.linalg.norm(root, axis=1, keepdims=True)
-    best = (np.random.default_rng(seed).standard_normal((draws, n)) @ root.T).max(axis=1)
-    return n, as_independent(float(best.mean()), n), float(np.quantile(best, 0.95))
+DRAWS, BATCH = 20_000, 500
+ONE_TRY = 1.6448536269514722  # fixed value: the one-sided 5 % point of a single try
+ALL = "*"  # the row of all families together
 
 
-DRAWS = 20_000
+def _multipliers(seed: int, family: str, batch: int, days: np.ndarray, known: dict) -> np.ndarray:
+    """A normal number for each day (since 1970) and draw; the same wherever it is asked for, as each span of days has a seed."""
+    out, span = np.empty((len(days), BATCH)), days // 256
+    for s in np.unique(span):
+        key = (family, batch, int(s))
+        if key not in known:
+            if len(known) > 64:
+                known.clear()
+            known[key] = np.random.default_rng([seed, batch, int(s) + 2**31, *family.encode()]).standard_normal((256, BATCH))
+        here = span == s
+        out[here] = known[key][days[here] % 256]
+    return out
 
 
-def scores_of(x: np.ndarray, least: int = 60) -> np.ndarray:
-    """How alike records are (days x keys, NaN where one has no day): correlations on shared days times the share of days shared.
+def best_of_draws(record: DataFrame, extra: int, draws: int, seed: int) -> DataFrame:
+    """(family, draw, best, tries): the best score of each family in each draw of a world without merit.
 
-    Four matrix products give all pairs.
+    The multiplier bootstrap: a draw gives every day of a family one normal number, and a record's score is the mean of its
+    standardised returns weighted with them, over its deviation. So scores are normal and correlate as the records do on the
+    days that they share, times the share of days shared, and no pair of records is ever looked at. Families are independent.
     """
-    has = ~np.isnan(x)
-    m, v = has.astype(float), np.where(has, x, 0.0)
-    n, s = m.T @ m, v.T @ m  # s[a, b]: the sum of a on days shared with b
-    square = (v * v).T @ m
-    cov = v.T @ v - s * s.T / np.maximum(n, 1)
-    var = square - s * s / np.maximum(n, 1)
-    rho = cov / np.sqrt(np.maximum(var * var.T, 1e-300))
-    size = m.sum(axis=0)
-    out = np.where(n < least, 0.0, rho * n / np.sqrt(np.outer(size, size)))
-    np.fill_diagonal(out, 1.0)
-    return out
+    day = F.datediff("day", F.lit("1970-01-01").cast("date")).alias("n")
+    rows = record.select(F.coalesce(F.col("family").cast("string"), F.lit("")).alias("family"), F.col("key").cast("string").alias("key"), day, "r")
+    each = rows.groupBy("family", "key").agg(F.array_sort(F.collect_list(F.struct("n", "r"))).alias("x"))
+    dealt = each.select("family", F.col("x.n").alias("n"), F.col("x.r").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(-(-draws // BATCH) - 1))).alias("batch")).repartition("family", "batch", F.size("n") % 8)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict = {}
+        for b in batches:
+            for (family, batch), g in b.groupby(["family", "batch"]):
+                best = np.full(BATCH, -np.inf)
+                for days, r in zip(g["n"], g["r"], strict=True):
+                    x = np.asarray(r, float) - np.mean(r)
+                    size = sqrt(float(x @ x))
+                    numbers = _multipliers(seed, family, int(batch), np.asarray(days, np.int64), known)
+                    best = np.maximum(best, (x / size if size > 0 else np.full(len(x), 1 / sqrt(len(x)))) @ numbers)
+                yield pd.DataFrame({"family": [family], "batch": [batch], "best": [best], "tries": [len(g)]})
+
+    found = dealt.mapInPandas(run, "family string, batch int, best array<double>, tries int")
+    if extra:
+        def unknown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for batch in b["id"]:
+                    top = np.random.default_rng([seed, int(batch), 1]).random(BATCH) ** (1 / extra)  # of so many uniform numbers the greatest
+                    yield pd.DataFrame({"family": [None], "batch": [batch], "best": [[NormalDist().inv_cdf(min(max(u, 1e-300), 1 - 1e-16)) for u in top]], "tries": [extra]})
+
+        found = found.unionByName(record.sparkSession.range(-(-draws // BATCH)).mapInPandas(unknown, "family string, batch int, best array<double>, tries int"))
+    flat = found.select("family", "batch", "tries", F.posexplode("best").alias("i", "best"))
+    return flat.groupBy("family", (F.col("batch") * BATCH + F.col("i")).alias("draw")).agg(F.max("best").alias("best"), F.sum("tries").alias("tries")).where(F.col("draw") < draws)
 
 
-def luck_of_blocks(record: DataFrame, extra: int = 0, draws: int = DRAWS, seed: int = 7) -> tuple[int, float, float]:
-    """(tries, independent tries, 95th percentile of the best) of records in blocks that are independent of each other.
+def luck_of(record: DataFrame, extra: int = 0, draws: int = DRAWS, seed: int = 7) -> DataFrame:
+    """(family, tries, independent, best_95): a row per family, and one of all (ALL), from the same draws.
 
-    record: block, key, day, r; extra: tries whose records aren't known, independent of everything. A block is a group, so
-    only pairs within a block are looked at; what leaves it is the best of each draw, and the best over all blocks is a
-    maximum per draw.
+    record: family, key, day, r. extra: tries whose records aren't known, independent of everything, which only ALL counts.
+    independent: how many independent tries have a best that is as good on average; best_95: what the best reaches by
+    luck one time in twenty (a familywise test by the greatest statistic).
     """
+    best = best_of_draws(record, extra, draws, seed)
+    whole = best.groupBy("draw").agg(F.max("best").alias("best"), F.sum("tries").alias("tries")).withColumn("family", F.lit(ALL))
+    rows = best.where("family IS NOT NULL").unionByName(whole.select(best.columns))
+    made = rows.groupBy("family").agg(F.max("tries").cast("int").alias("tries"), F.avg("best").alias("mean"), F.expr("percentile(best, 0.95D)").alias("best_95"))
 
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.pivot(index="day", columns="key", values="r").to_numpy(float)
-        value, vector = np.linalg.eigh(scores_of(x))
-        root = vector * np.sqrt(np.clip(value, 0, None))
-        root /= np.linalg.norm(root, axis=1, keepdims=True)
-        rng = np.random.default_rng([seed, int.from_bytes(str(pdf["block"].iloc[0]).encode()[:8], "big")])
-        top = np.concatenate([(rng.standard_normal((1000, len(root))) @ root.T).max(axis=1) for _ in range(draws // 1000)])
-        return pd.DataFrame({"draw": np.arange(len(top)), "best": top, "tries": x.shape[1]})
-
-    each = record.select("block", "key", "day", "r").groupBy("block").applyInPandas(best, "draw int, best double, tries int")
-    top = each.groupBy("draw").agg(F.max("best").alias("best"), F.sum("tries").alias("tries")).toPandas()  # one row per draw
-    n = extra + (int(top["tries"].iloc[0]) if len(top) else 0)
-    if n < 2:
-        return n, float(n), 1.6448536269514722  # one try: the one-sided 5 % point
-    found = top["best"].to_numpy() if len(top) else np.full(draws, -np.inf)
-    if extra:
-        rng = np.random.default_rng([seed, 1])
-        found = np.maximum(found, np.concatenate([rng.standard_normal((100, extra)).max(axis=1) for _ in range(len(found) // 100)]))
-    return n, as_independent(float(found.mean()), n), float(np.quantile(found, 0.95))
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            one = b["tries"] < 2
+            b["independent"] = [1.0 if o else as_independent(m, n) for o, m, n in zip(one, b["mean"], b["tries"], strict=True)]
+            b["best_95"] = b["best_95"].where(~one, ONE_TRY)
+            yield b[["family", "tries", "independent", "best_95"]]
+
+    return made.mapInPandas(count, "family string, tries int, independent double, best_95 double")
 
 
 def as_independent(mean: float, n: int) -> float:

@@ -43,15 +43,27 @@ def forward(x: np.ndarray, start: float = np.nan) -> np.ndarray:
     return np.where(at < 0, start, out)
 
 
+def nearest(quoted: np.ndarray, flat: float) -> np.ndarray:
+    """Rates by bar and name: a missing one is that of the nearest bar that has one, the earlier of two as near; without any, flat."""
+    n = len(quoted)
+    row, has = np.arange(n)[:, None], ~np.isnan(quoted)
+    last = np.maximum.accumulate(np.where(has, row, -n), axis=0)
+    following = np.minimum.accumulate(np.where(has, row, 2 * n)[::-1], axis=0)[::-1]
+    at = np.where(row - last <= following - row, last, following)
+    return np.where(has.any(axis=0), np.take_along_axis(quoted, np.clip(at, 0, n - 1), axis=0), flat)
+
+
 def account(
     opn: np.ndarray, high: np.ndarray, close: np.ndarray, target: np.ndarray, costs: Costs, *, book: np.ndarray | None = None,
-    exit_px: np.ndarray | None = None, funding: np.ndarray | None = None, dividend: np.ndarray | None = None,
+    exit_px: np.ndarray | None = None, funding: np.ndarray | None = None, dividend: np.ndarray | None = None, quoted: np.ndarray | None = None,
 ) -> Account:
     """Weights decided at a close are filled at the next open and held in units.
 
     book: bars at which the whole book is filled anew (a panel strategy); without it each instrument trades when its own
     target changes. exit_px: a price at which a position leaves within the bar. funding: what a long pays on its value at
-    the bar's close; dividend: paid per unit of the previous close. A short that doubles is liquidated at twice its entry.
+    the bar's close; dividend: paid per unit of the previous close. quoted: a rate per bar and name at the open; where it
+    is missing the nearest one of the name counts, before it its first, and without any the flat rate. A short that
+    doubles is liquidated at twice its entry.
     """
     n, m = close.shape
     out = {k: np.zeros(n) for k in ("net", "gross", "cost", "carry", "turnover", "exposure", "unfunded")}
@@ -60,6 +72,7 @@ def account(
     if np.abs(target).sum(axis=1).max(initial=0) > 1 + 1e-9:
         raise ValueError("targets over the whole equity")
     known, printed = forward(close), ~np.isnan(opn) & ~np.isnan(close)
+    rates = np.full((n, m), costs.rate) if quoted is None else nearest(quoted, costs.rate)
     w, entry, done = np.zeros(m), np.full(m, np.nan), np.zeros(m)  # done: the target last filled
     for t in range(1, n):
         ok = printed[t] & ~np.isnan(known[t - 1])
@@ -71,7 +84,7 @@ def account(
         paid = float(np.sum(w * dividend[t] / base)) if dividend is not None else 0.0
         grow = 1 + float(np.sum(w * gap))
         pre = np.where(burst, 0.0, w * (1 + gap) / grow)
-        cost = float(np.sum(np.abs(w * (1 + gap) / grow)[burst])) * costs.rate
+        cost = float(np.sum((np.abs(w * (1 + gap) / grow) * rates[t])[burst]))
         gone[t] |= burst
         due = ok & ((target[t - 1] != done) if book is None else book[t - 1])
         want = np.where(due, target[t - 1], pre)
@@ -98,7 +111,7 @@ def account(
         leaves = ok & ~np.isnan(out_px) & (want != 0)
         r = np.where(ok, np.where(leaves, out_px, end) / np.where(ok, opn[t], 1.0) - 1, 0.0)
         gone[t] |= dies & (want != 0)
-        cost += float(np.sum(filled)) * costs.rate + float(np.sum(np.abs(want * (1 + r))[leaves])) * costs.rate
+        cost += float(np.sum(filled * rates[t])) + float(np.sum((np.abs(want * (1 + r)) * rates[t])[leaves]))
         session = float(np.sum(want * r))
         fund = float(np.sum(np.where(leaves, 0.0, want * (1 + r)) * funding[t])) if funding is not None else 0.0
         borrow = float(np.sum(np.abs(want[short]))) * costs.borrow * costs.years
@@ -123,6 +136,7 @@ class Exits:
     trail: float | None = None
     stop_atr: float | None = None
     trail_atr: float | None = None
+    take_atr: float | None = None
 
 
 def exits(opn: np.ndarray, high: np.ndarray, low: np.ndarray, side: np.ndarray, rule: Exits, atr: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -157,6 +171,8 @@ def exits(opn: np.ndarray, high: np.ndarray, low: np.ndarray, side: np.ndarray,
             stops.append(best - now * rule.trail_atr * atr[t - 1])
         if rule.take is not None:
             takes.append(entry * (1 + now * rule.take))
+        if rule.take_atr is not None and not np.isnan(unit):
+            takes.append(entry + now * rule.take_atr * unit)
         at = np.nan
         if stops:
             level = max(stops) if now > 0 else min(stops)
@@ -165,7 +181,7 @@ def exits(opn: np.ndarray, high: np.ndarray, low: np.ndarray, side: np.ndarray,
             elif now < 0 and high[t] >= level:
                 at = max(opn[t], level)
         if np.isnan(at) and takes:
-            level = takes[0]
+            level = min(takes) if now > 0 else max(takes)
             if now > 0 and high[t] >= level:
                 at = max(opn[t], level)
             elif now < 0 and low[t] <= level:
@@ -252,12 +268,12 @@ def matrix(pdf: pd.DataFrame, *values: str) -> tuple[pd.Index, pd.Index, list[np
 
 
 def run_account(panel: DataFrame, key: str, costs: Costs, *, book: bool = False) -> DataFrame:
-    """Per key and bar the account's figures. panel: key, ts, instrument, open, high, close, target[, exit_px]."""
-    more = "exit_px" in panel.columns
+    """Per key and bar the account's figures. panel: key, ts, instrument, open, high, close, target[, exit_px][, quoted]."""
+    more = [c for c in ("exit_px", "quoted") if c in panel.columns]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ts, _, x = matrix(pdf, "open", "high", "close", "target", *(["exit_px"] if more else []))
-        a = account(*x[:4], costs, book=np.ones((len(ts), x[0].shape[1]), bool) if book else None, exit_px=x[4] if more else None)
+        ts, _, x = matrix(pdf, "open", "high", "close", "target", *more)
+        a = account(*x[:4], costs, book=np.ones((len(ts), x[0].shape[1]), bool) if book else None, **dict(zip(more, x[4:], strict=True)))
         return pd.DataFrame({key: pdf[key].iloc[0], "ts": ts, "net": a.net, "gross": a.gross, "cost": a.cost, "carry": a.carry, "turnover": a.turnover, "exposure": a.exposure, "unfunded": a.unfunded})
 
     kind = dict(panel.dtypes)[key]

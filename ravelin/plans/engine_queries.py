@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ravelin.functions import indicators as I
+from ravelin.functions import recursion as X
 from ravelin.functions.recursion import atr_of
 from ravelin.operators import luck as L
 from ravelin.operators import metrics as M
 from ravelin.operators import panel as P
 from ravelin.operators import states as S
 from ravelin.operators import walks as K
+from ravelin.operators.intrabar import exits_inside
 from ravelin.plans.bar_queries import PANEL
 from ravelin.plans.record_queries import FASTS, GRID, SLOWS, SQL_RECORD, config_records, record, rounded
 from ravelin.plans.registry import query
@@ -107,6 +109,108 @@ def exit_walk(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("instrument", "ts", r6(F.when(~F.isnan("exit_px"), F.col("exit_px"))).alias("exit_px"), "held")
 
 
+_STEP = "OVER (PARTITION BY instrument ORDER BY ts)"
+_INSIDE = f"""WITH {V.sql_event()}, minutes AS ({{minutes}}),
+  s AS (SELECT *, coalesce(sign(CASE WHEN count(close) OVER {_frame(20)} = 20 THEN avg(close) OVER {_frame(5)} - avg(close) OVER {_frame(20)} END), 0)::DOUBLE AS side FROM bars),
+  d AS (SELECT instrument, ts, open, lag(side) {_STEP} AS want FROM s), c AS (SELECT *, CASE WHEN want IS DISTINCT FROM lag(want) {_STEP} THEN 1 ELSE 0 END AS turned FROM d),
+  i AS (SELECT *, sum(turned) {_STEP} AS island FROM c), e AS (SELECT *, first_value(open) OVER (PARTITION BY instrument, island ORDER BY ts) AS entry FROM i WHERE want <> 0),
+  tried AS (
+    SELECT e.instrument, e.island, e.ts, m.ts AS tick_ts, CASE
+      WHEN want > 0 AND low <= entry * 0.95 THEN least(m.open, entry * 0.95) WHEN want < 0 AND high >= entry * 1.05 THEN greatest(m.open, entry * 1.05)
+      WHEN want > 0 AND high >= entry * 1.1 THEN greatest(m.open, entry * 1.1) WHEN want < 0 AND low <= entry * 0.9 THEN least(m.open, entry * 0.9) END AS px
+    FROM e JOIN minutes AS m ON m.instrument = e.instrument AND m.bar = e.ts),
+  x AS (SELECT instrument, island, min(tick_ts) AS tick_ts, arg_min(px, tick_ts) AS px, arg_min(ts, tick_ts) AS ts FROM tried WHERE px IS NOT NULL GROUP BY 1, 2)
+  SELECT e.instrument, e.ts, round(CASE WHEN x.ts = e.ts THEN x.px END, 6) AS exit_px, CASE WHEN x.ts = e.ts THEN x.tick_ts - INTERVAL 1 MINUTE END AS exit_at, e.want AS held
+  FROM e LEFT JOIN x USING (instrument, island) WHERE x.ts IS NULL OR e.ts <= x.ts"""
+_MINUTES = f"SELECT *, time_bucket(INTERVAL '1 hour', ts - INTERVAL 1 MICROSECOND, TIMESTAMP '1970-01-01') + INTERVAL 1 HOUR AS bar FROM (WITH {V.sql_event('1 minute')} SELECT * FROM bars)"
+_ON_BARS = "SELECT *, ts AS bar FROM bars"
+
+
+def _hours(spark: SparkSession, sf: str, variants: int) -> DataFrame:
+    """Hourly bars with the side of a cross of averages for each variant, and the ATR."""
+    b = V.bars_event(spark, sf)
+    side = F.coalesce(F.signum(I.sma("close", 5) - I.sma("close", 20)), F.lit(0.0))
+    b = X.recursive(b.select("instrument", "ts", "open", "high", "low", "close"), atr=("atr", 14))
+    return b.withColumn("sides", F.array_repeat(side, variants))
+
+
+def _left(out: DataFrame) -> DataFrame:
+    return out.select("instrument", "ts", r6("exit_px").alias("exit_px"), "exit_at", "held")
+
+
+@query("exits_inside_bars", _INSIDE.replace("{minutes}", _MINUTES))
+def exits_by_minutes(spark: SparkSession, sf: str) -> DataFrame:
+    """Stops and takes of hourly positions where the minutes inside the bars reach them first."""
+    return _left(exits_inside(_hours(spark, sf, 1), V.bars_event(spark, sf, "1 minute"), [K.Exits(stop=0.05, take=0.1)], ["bar"]))
+
+
+@query("exits_on_bars", _INSIDE.replace("{minutes}", _ON_BARS).replace("x.tick_ts - INTERVAL 1 MINUTE", "NULL::TIMESTAMP"))
+def exits_by_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """The same exits where no minutes are stored: by the bars' own prices."""
+    return _left(exits_inside(_hours(spark, sf, 1), None, [K.Exits(stop=0.05, take=0.1)], ["bar"]))
+
+
+@query("trail_every_minute")
+def trail_every(spark: SparkSession, sf: str) -> DataFrame:
+    """A trailing stop of an ATR set anew each bar and each minute: exits of either."""
+    rules = [K.Exits(trail_atr=2.0)] * 2
+    out = exits_inside(_hours(spark, sf, 2), V.bars_event(spark, sf, "1 minute"), rules, ["bar", "minute"])
+    name = F.element_at(F.array(F.lit("bar"), F.lit("minute")), F.col("variant") + 1).alias("trail_every")
+    return out.where("exit_px IS NOT NULL").select("instrument", "ts", name, r6("exit_px").alias("exit_px"), "exit_at", "held")
+
+
+@query("books_inside_bars")
+def books_inside(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole grid of a breakout with a trailing stop on hours with their minutes: each configuration's account."""
+    from ravelin.plans import strategies as T
+    from ravelin.plans.evaluate import books_of
+    from ravelin.operators import books as B
+
+    bars, s = V.bars_event(spark, sf), T.STRATEGIES["breakout_trail"]
+    configs = s.configs(5)
+    books = books_of(bars, s, configs, minutes=V.bars_event(spark, sf, "1 minute"))
+    a = B.run_books(books, s.kind, configs, K.Costs(0.0005, 0.005, 1 / (365 * 24)))
+    names = spark.createDataFrame([(i, str(c["n_in"]), str(c["trail_atr"]), c["trail_every"], str(c["slots"]), c["long_only"]) for i, c in enumerate(configs)], "config int, n_in string, trail_atr string, trail_every string, slots string, long_only boolean")
+    return rounded(a.groupBy("config").agg((M.grown("net") - 1).alias("gain"), F.sum("turnover").alias("turnover")).join(F.broadcast(names), "config"))
+
+
+_QUOTED = f"""{R.replace("WITH ", "WITH RECURSIVE ", 1)}, {_TGT}, x AS (
+    SELECT dense_rank() OVER (ORDER BY ts) - 1 AS t, tgt.instrument, ts, tgt.open AS o, tgt.close AS c, greatest(target, 0) AS g,
+      CASE WHEN day(ts) % 3 = 0 THEN round((b.high - b.low) / b.close * 0.001, 8) END AS q
+    FROM tgt LEFT JOIN bars AS b USING (instrument, ts)),
+  n AS (
+    SELECT *, last_value(c IGNORE NULLS) {PREV} AS k, lag(g) {W} AS was, last_value(CASE WHEN q IS NOT NULL THEN t END IGNORE NULLS) {W} AS t0,
+      first_value(CASE WHEN q IS NOT NULL THEN t END IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS t1 FROM x),
+  rated AS (SELECT n.*, coalesce(y.q, 0.0005) AS rate FROM n LEFT JOIN x AS y ON y.instrument = n.instrument AND y.t = CASE WHEN t1 IS NULL OR n.t - t0 <= t1 - n.t THEN t0 ELSE t1 END),
+  rows_ AS (
+    SELECT t, any_value(ts) AS ts, list(CASE WHEN o IS NOT NULL AND c IS NOT NULL AND k IS NOT NULL THEN o / k - 1 END ORDER BY instrument) AS gap, list(c / o - 1 ORDER BY instrument) AS r,
+      list(was ORDER BY instrument) AS g, list(rate ORDER BY instrument) AS q, list(o IS NOT NULL AND c IS NOT NULL AND k IS NOT NULL ORDER BY instrument) AS ok FROM rated GROUP BY t),
+  walk AS (
+    SELECT 0::BIGINT AS t, list_transform(ok, lambda z: 0.0::DOUBLE) AS w, list_transform(ok, lambda z: 0.0::DOUBLE) AS done, 0.0::DOUBLE AS net, 0.0::DOUBLE AS cost, 0.0::DOUBLE AS turnover, 0.0::DOUBLE AS exposure
+    FROM rows_ WHERE t = 0
+    UNION ALL
+    SELECT t, list_transform(range(1, len(w) + 1), lambda i: want[i] * (1 + r0[i]) / (1 + session)), done, grow * (1 - cost) * (1 + session) - 1, cost, turnover, exposure FROM (
+      SELECT *, list_sum(list_transform(range(1, len(w) + 1), lambda i: want[i] * r0[i])) AS session, list_sum(list_transform(range(1, len(w) + 1), lambda i: abs(want[i] - pre[i]) * q[i])) AS cost,
+        list_sum(list_transform(range(1, len(w) + 1), lambda i: abs(want[i] - pre[i]))) AS turnover, list_sum(want) AS exposure FROM (
+        SELECT *, list_transform(range(1, len(w) + 1), lambda i: CASE WHEN asked[i] > pre[i] AND kept + added > 1 THEN pre[i] + (asked[i] - pre[i]) * greatest(1 - kept, 0) / added ELSE asked[i] END) AS want FROM (
+          SELECT *, list_sum(list_transform(range(1, len(w) + 1), lambda i: least(asked[i], pre[i]))) AS kept, list_sum(list_transform(range(1, len(w) + 1), lambda i: greatest(asked[i] - pre[i], 0))) AS added FROM (
+            SELECT * EXCLUDE (done), list_transform(range(1, len(w) + 1), lambda i: CASE WHEN ok[i] AND g[i] <> done[i] THEN g[i] ELSE pre[i] END) AS asked,
+              list_transform(range(1, len(w) + 1), lambda i: CASE WHEN ok[i] AND g[i] <> done[i] THEN g[i] ELSE done[i] END) AS done, list_transform(range(1, len(w) + 1), lambda i: CASE WHEN ok[i] THEN r[i] ELSE 0 END) AS r0 FROM (
+              SELECT *, list_transform(range(1, len(w) + 1), lambda i: w[i] * (1 + coalesce(gap[i], 0)) / grow) AS pre FROM (
+                SELECT rows_.t, w, done, gap, r, g, q, ok, 1 + list_sum(list_transform(range(1, len(w) + 1), lambda i: w[i] * coalesce(gap[i], 0))) AS grow FROM walk JOIN rows_ ON rows_.t = walk.t + 1))))))
+  )
+  SELECT rows_.ts, round(net, 8) AS net, round(cost, 8) AS cost, round(turnover, 6) AS turnover, round(exposure, 6) AS exposure FROM walk JOIN rows_ USING (t)"""
+
+
+@query("account_quoted", _QUOTED)
+def account_quoted(spark: SparkSession, sf: str) -> DataFrame:
+    """The account of a long book whose fills pay quoted rates: on days without a quote the nearest one of the name."""
+    quotes = V.bars_region(spark, sf).where(F.dayofmonth("ts") % 3 == 0).select("instrument", "ts", F.round((F.col("high") - F.col("low")) / F.col("close") * 0.001, 8).alias("quoted"))
+    book = targeted(spark, sf).withColumn("target", F.greatest("target", F.lit(0.0))).join(quotes, ["instrument", "ts"], "left").withColumn("book", F.lit("long"))
+    a = K.run_account(book.select("book", "ts", "instrument", "open", "high", "close", "target", "quoted"), "book", K.Costs(0.0005))
+    return a.select("ts", F.round("net", 8).alias("net"), F.round("cost", 8).alias("cost"), r6("turnover").alias("turnover"), r6("exposure").alias("exposure"))
+
+
 def _hold_pass(pdf: pd.DataFrame) -> pd.DataFrame:
     ts, _, (o, c, member) = K.matrix(pdf, "open", "close", "member")
     return pd.DataFrame({"book": pdf["book"].iloc[0], "ts": ts, "net": K.hold(o, c, np.nan_to_num(member) > 0, 0.0005)})
@@ -262,10 +366,10 @@ def pair_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("luck_of")
 def luck(spark: SparkSession, sf: str) -> DataFrame:
-    """One row: how many tries, as how many independent ones they count, and the best that luck gives 19 times in 20."""
-    rec = record(spark, sf).withColumn("block", F.substring("key", 1, 1))
-    n, independent, best = L.luck_of_blocks(rec)
-    return spark.createDataFrame([(n, independent, round(best, 6))], "saved int, independent double, best_95 double")
+    """Tries of each region's records and of all: as how many independent ones they count, and the best that luck gives one time in twenty."""
+    nation, region = V.table(spark, sf, "nation"), V.table(spark, sf, "region")
+    of = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("key"), F.col("r_name").alias("family"))
+    return rounded(L.luck_of(record(spark, sf).join(of, "key")))
 
 
 @query("at_target_dd")

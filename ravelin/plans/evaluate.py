@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import datetime, timedelta
 from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ravelin.functions import recursion as X
 from ravelin.operators import books as B
 from ravelin.operators import metrics as M
 from ravelin.operators import selection as S
 from ravelin.operators import walks as K
-from ravelin.operators.panel import own
+from ravelin.operators.intrabar import exits_inside
 from ravelin.plans.strategies import Strategy
 from ravelin.sources.store import kept
 
@@ -34,28 +36,45 @@ class Evaluation:
     more: dict[str, Any] = field(default_factory=dict)
 
 
-def books_of(bars: DataFrame, strategy: Strategy, configs: list[dict[str, Any]], member: DataFrame | None = None, carry: DataFrame | None = None, **more: Any) -> DataFrame:
-    """The rows of every configuration's book: positions are made once for configurations that differ in the account's axes only."""
+def books_of(
+    bars: DataFrame, strategy: Strategy, configs: list[dict[str, Any]], member: DataFrame | None = None, carry: DataFrame | None = None, quotes: DataFrame | None = None,
+    minutes: DataFrame | None = None, **more: Any,
+) -> DataFrame:
+    """The rows of every configuration's book: positions are made once for configurations that differ in the account's axes only.
+
+    minutes: bars of a minute; with them exits are walked inside bars, once per signal and set of exits.
+    """
     signals: dict[str, tuple[int, dict]] = {}
+    variants: dict[tuple, int] = {}
     of = []
     for c in configs:
         own_ = strategy.signal(c)
-        of.append(signals.setdefault(repr(sorted(own_.items())), (len(signals), own_))[0])
+        signal = signals.setdefault(repr(sorted(own_.items())), (len(signals), own_))[0]
+        rule = B.rule_of(c)
+        of.append((signal, None if rule == K.Exits() or minutes is None else variants.setdefault((signal, rule, c.get("trail_every") or "bar"), len(variants))))
     each = [strategy.positions(bars, **params, **more).select(F.lit(i).alias("signal"), "instrument", "ts", "position") for i, params in signals.values()]
-    table = bars.sparkSession.createDataFrame(list(enumerate(of)), "config int, signal int")
-    return B.wanted_books(bars, reduce(DataFrame.unionByName, each), table, member, carry)
-
-
-def daily_of(walks: DataFrame, value: Any = "net") -> DataFrame:
-    """(config, day, r): an account's returns by UTC day; a daily bar closes at the end of its day."""
+    positions = reduce(DataFrame.unionByName, each)
+    table = bars.sparkSession.createDataFrame([(i, s, v) for i, (s, v) in enumerate(of)], "config int, signal int, variant int")
+    inside = None
+    if variants:
+        positions = kept(positions, "positions")
+        sides = positions.groupBy("instrument", "ts").agg(F.map_from_entries(F.collect_list(F.struct("signal", F.signum("position").alias("side")))).alias("of"))  # as many as signals
+        sides = sides.select("instrument", "ts", F.array(*(F.coalesce(F.col("of")[s], F.lit(0.0)) for s, _, _ in variants)).alias("sides"))
+        measured = X.recursive(bars.select("instrument", "ts", "open", "high", "low", "close"), atr=("atr", B.ATR)).join(sides, ["instrument", "ts"], "left")
+        inside = kept(exits_inside(measured, minutes, [r for _, r, _ in variants], [e for _, _, e in variants]), "inside")
+    return B.wanted_books(bars, positions, table, member, carry, quotes, inside)
+
+
+def daily_of(walks: DataFrame, value: Any = "net", length: str = "1 day") -> DataFrame:
+    """(config, day, r): an account's returns by UTC day of the bars' closes. length: how long after its stamp a bar closes."""
     r = F.col(value) if isinstance(value, str) else value
-    day = walks.select(F.col("config").cast("string").alias("key"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"), r.alias("r"))
+    day = walks.select(F.col("config").cast("string").alias("key"), (F.col("ts") + F.expr(f"INTERVAL {length}")).alias("ts"), r.alias("r"))
     return M.daily(day, "ts", "r").select(F.col("key").cast("int").alias("config"), "day", "r")
 
 
-def records_of(bars: DataFrame, strategy: Strategy, configs: list[dict[str, Any]], costs: K.Costs, **more: Any) -> DataFrame:
+def records_of(bars: DataFrame, strategy: Strategy, configs: list[dict[str, Any]], costs: K.Costs, length: str = "1 day", **more: Any) -> DataFrame:
     """(config, day, r) of each configuration's account."""
-    return daily_of(B.run_books(books_of(bars, strategy, configs, **more), strategy.kind, configs, costs))
+    return daily_of(B.run_books(books_of(bars, strategy, configs, **more), strategy.kind, configs, costs), length=length)
 
 
 def stitch(e: Evaluation, records: DataFrame, scale: float = 1.0) -> DataFrame:
@@ -65,8 +84,19 @@ def stitch(e: Evaluation, records: DataFrame, scale: float = 1.0) -> DataFrame:
     return S.stitched(records, e.folds, e.chosen, e.costs.rate * scale).select(F.lit(e.strategy.name).alias("key"), "day", "r")
 
 
-def evaluate(bars: DataFrame, strategy: Strategy, configs: list[dict[str, Any]] | None = None, costs: K.Costs | None = None, **more: Any) -> Evaluation:
-    """The whole grid walked forward. more: member, carry, and what the strategy itself asks for.
+def benchmark(e: Evaluation) -> DataFrame:
+    """(key, day, r) of the list's members bought alike and held from the record's first day, by the same account's costs."""
+    first = e.out_of_sample.agg(F.min("day")).first()[0]
+    since = (first or datetime(1970, 1, 1)) - timedelta(days=1)
+    held = B.bought_and_held(e.more["bars"], e.costs.rate, since, e.more.get("member"))
+    day = daily_of(held.withColumn("config", F.lit(0)), length=e.more["length"])
+    return day.select(F.lit(e.strategy.name).alias("key"), "day", "r").join(e.out_of_sample.select("day"), "day", "left_semi").select("key", "day", "r")
+
+
+def evaluate(bars: DataFrame, strategy: Strategy, configs: list[dict[str, Any]] | None = None, costs: K.Costs | None = None, length: str = "1 day", **more: Any) -> Evaluation:
+    """The whole grid walked forward. more: member, carry, quotes, minutes, and what the strategy itself asks for.
+
+    length: how long after its stamp a bar closes (daily bars are stamped at their start; "0 hours" for bars stamped at their end).
 
     Walks are written once to the shared folder; every figure and check reads them there.
     """
@@ -75,13 +105,12 @@ def evaluate(bars: DataFrame, strategy: Strategy, configs: list[dict[str, Any]]
     configs = configs or strategy.configs(names)
     books = kept(books_of(bars, strategy, configs, **more), "books")
     walks = kept(B.run_books(books, strategy.kind, configs, costs), "walks")
-    records = kept(daily_of(walks), "records")
+    records = kept(daily_of(walks, length=length), "records")
     folds = S.folds(records)
     chosen = kept(S.choose(records, folds), "chosen")
-    hold = bars.withColumn("r", F.col("close") / F.lag("close").over(own()) - 1).groupBy(F.col("ts").alias("day")).agg(F.avg("r").alias("r")).select(F.lit(strategy.name).alias("key"), "day", F.coalesce("r", F.lit(0.0)).alias("r"))
-    e = Evaluation(strategy, configs, books, walks, records, folds, chosen, records, hold, records, costs, {"bars": bars} | more)
+    e = Evaluation(strategy, configs, books, walks, records, folds, chosen, records, records, records, costs, {"bars": bars, "length": length} | more)
     e.out_of_sample = kept(stitch(e, records), "oos")
-    e.benchmark = hold.join(e.out_of_sample.select("day"), "day", "left_semi")
+    e.benchmark = kept(benchmark(e), "benchmark")
     oos = e.out_of_sample
     card = M.core(oos).join(M.vs_hold(oos, e.benchmark), "key", "left").withColumn("beats_hold", F.coalesce(F.col("vs_hold") > 0, F.lit(False)))
     e.card = M.targets(card).join(M.k_ratio(oos), "key", "left").join(M.best_year(oos).select("key", F.col("without").alias("without_best_year")), "key", "left")

@@ -90,8 +90,9 @@ def robustness(spark: SparkSession, sf: str) -> DataFrame:
     bars = V.bars_brand(spark, sf)
     e = evaluate(bars, T.STRATEGIES["sma_cross"], member=top_members(bars, 10))
     lists = {n: top_members(bars, n) for n in robust.next_to(10)}
-    measured = robust.measure(e, 100, lists).withColumn("key", F.lit("sma_cross"))
-    return rounded(robust.judged(measured, e.card.select("key", "sharpe"), 2.0))
+    tries, bar = robust.luck_bars(e)
+    measured = robust.measure(e, tries, lists).withColumn("key", F.lit("sma_cross"))
+    return rounded(robust.judged(measured, e.card.select("key", "sharpe"), bar))
 
 
 @query("robustness_ibs_ml_filter")
@@ -101,8 +102,9 @@ def robustness_model(spark: SparkSession, sf: str) -> DataFrame:
 
     s = T.STRATEGIES["ibs_ml_filter"]
     e = evaluate(V.bars_region(spark, sf), s, [s.configs()[0]])
-    measured = robust.measure(e, 100, base=robust.base_of(s.name)).withColumn("key", F.lit(s.name))
-    return rounded(robust.judged(measured, e.card.select("key", "sharpe"), 2.0))
+    tries, bar = robust.luck_bars(e)
+    measured = robust.measure(e, tries, base=robust.base_of(s.name)).withColumn("key", F.lit(s.name))
+    return rounded(robust.judged(measured, e.card.select("key", "sharpe"), bar))
 
 
 def alone(bars: DataFrame, names: list[str], costs: Costs | None = None) -> DataFrame:

@@ -74,13 +74,22 @@ def replayed(e: Evaluation, strategy: Strategy, configs: list[dict], delay: int
     """The out-of-sample record of the same choices under other books."""
     from ravelin.plans.evaluate import books_of
 
-    more = {k: v for k, v in e.more.items() if k != "bars"}
+    more = {k: v for k, v in e.more.items() if k not in ("bars", "length")}
     books = books if books is not None else books_of(e.more["bars"], strategy, configs, **more)
     used = books.join(e.chosen.select("config").distinct(), "config", "left_semi") if len(e.configs) > 1 else books
-    return stitch(e, daily_of(B.run_books(used, strategy.kind, configs, e.costs, delay)))
+    return stitch(e, daily_of(B.run_books(used, strategy.kind, configs, e.costs, delay), length=e.more["length"]))
 
 
-def measure(e: Evaluation, tries: int = 100, lists: dict[int, DataFrame] | None = None, base: Strategy | None = None) -> DataFrame:
+def luck_bars(e: Evaluation, extra: int = 0, draws: int = L.DRAWS) -> tuple[float, float]:
+    """(independent tries, t that their best reaches one time in twenty by luck) of a grid: the tries from its records, the t from
+    what they earn over holding, which is less alike."""
+    own = e.records.select(F.lit(e.strategy.name).alias("family"), F.col("config").alias("key"), "day", "r")
+    over = own.join(e.benchmark.select("day", F.col("r").alias("b")), "day").select("family", "key", "day", (F.col("r") - F.col("b")).alias("r"))
+    every = [L.luck_of(x, extra, draws).where(F.col("family") == L.ALL).first() for x in (own, over)]
+    return (every[0].independent if every[0] else 1.0), (every[1].best_95 if every[1] else L.ONE_TRY)
+
+
+def measure(e: Evaluation, tries: float = 100, lists: dict[int, DataFrame] | None = None, base: Strategy | None = None) -> DataFrame:
     """(check, figure, value) of every check that applies. tries: evaluations made, which the luck check counts.
 
     lists: memberships of the neighbouring lists by length; base: the rule under a model.
@@ -108,7 +117,7 @@ def measure(e: Evaluation, tries: int = 100, lists: dict[int, DataFrame] | None
     made = held.withColumn("made", before * F.coalesce("gap", F.lit(0.0)) + F.col("weight") * (F.coalesce("session", F.lit(0.0)) - F.col("funding")) - F.abs(F.col("weight") - before) * e.costs.rate)
     traded = made.groupBy("instrument").agg(F.sum("made").alias("made"), F.max(F.abs("weight")).alias("most")).where("most > 0")
     out.append(figures(traded.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("made") > 0).cast("double")).alias("share")), "names", share=F.col("share"), names=F.col("n")))
-    stressed = daily_of(e.walks, (1 + F.col("gross")) * (1 - COST_MULTIPLE * F.col("cost")) - 1 - F.col("carry"))
+    stressed = daily_of(e.walks, (1 + F.col("gross")) * (1 - COST_MULTIPLE * F.col("cost")) - 1 - F.col("carry"), e.more["length"])
     out.append(figures(earnings(stitch(e, stressed, COST_MULTIPLE)), "costs", sharpe=F.col("sharpe"), cagr=F.col("cagr")))
     out.append(figures(earnings(replayed(e, e.strategy, e.configs, 1, e.books)), "delay", sharpe=F.col("sharpe"), cagr=F.col("cagr")))
     for n, member in (lists or {}).items():

@@ -217,10 +217,6 @@ def test_bootstrap_and_luck(spark):
     assert a == b and all(r.p5 <= r.p50 <= r.p95 for r in a if not r.figure.endswith('missed')) and len(a) == 7
     k = L.at_target_drawdown(record(spark, 0.1, -0.05, 0.1)).first()
     assert np.isclose(k.multiple, 2, atol=1e-6)
-    keys = [f"r{i}" for i in range(20)]
-    same = pd.DataFrame([(a, b, 0.999) for i, a in enumerate(keys) for b in keys[i + 1 :]], columns=["a", "b", "score"])
-    apart = same.assign(score=0.0)
-    assert L.luck_of(same, keys, 4000)[1] < 3 < 15 < L.luck_of(apart, keys, 4000)[1]
 
 
 def test_stale_runs_are_replaced(spark):

@@ -5,12 +5,14 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from ravelin.operators import books as B
 from ravelin.operators import luck as L
 from ravelin.operators import selection as S
-from ravelin.operators.walks import Costs
+from ravelin.operators.intrabar import exits_inside
+from ravelin.operators.walks import Costs, Exits, account, exits, nearest
 from ravelin.plans import robust
 from ravelin.plans.strategies import STRATEGIES, graded, grades, own_trades
 
@@ -27,7 +29,7 @@ def bars_of(spark, names, opens, closes, positions=None):
 
 def pdf_of(bars, **more):
     pdf = bars.toPandas()
-    for c in ("listed", "money", "funding", "dividend"):
+    for c in ("listed", "money", "funding", "dividend", "quoted"):
         pdf[c] = more.get(c, np.nan)
     return pdf
 
@@ -149,19 +151,191 @@ def test_random_timing_values_the_book(spark):
     assert np.isclose(got.sharpe, net.mean() / net.std(ddof=1) * 365**0.5) and got.p == 0.01 and got.null_p95 < got.sharpe
 
 
-def test_luck_of_blocks_counts_copies_once(spark):
+def test_luck_counts_copies_once(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(0, 0.01, (200, 6))
     rows = [("a", f"k{c}", DAY + timedelta(days=t), float(base[t, 0] + (0.0001 * rng.normal()))) for c in range(5) for t in range(200)]
     rows += [("b", f"z{c}", DAY + timedelta(days=t), float(base[t, c])) for c in range(1, 6) for t in range(200)]
-    r = spark.createDataFrame(rows, "block string, key string, day timestamp, r double")
-    n, independent, best = L.luck_of_blocks(r, draws=4000)
-    assert n == 10 and 5 <= independent <= 7 and 2.0 < best < 2.6
-    x = r.toPandas().pivot(index="day", columns="key", values="r")
-    pairs = {(p.a, p.b): p.score for p in L.pair_scores(r.select("key", "day", "r")).collect()}
-    s = pd.DataFrame(L.scores_of(x.to_numpy()), index=x.columns, columns=x.columns)
-    assert all(np.isclose(s.loc[a, b], v, atol=1e-9) for (a, b), v in pairs.items()) and len(pairs) == 45
-    assert L.luck_of_blocks(r.limit(0), extra=1) == (1, 1.0, 1.6448536269514722)
+    r = spark.createDataFrame(rows, "family string, key string, day timestamp, r double")
+    got = {x.family: x for x in L.luck_of(r, draws=4000).collect()}
+    assert {k: x.tries for k, x in got.items()} == {"a": 5, "b": 5, L.ALL: 10}
+    assert got["a"].independent <= 2 and 4 <= got["b"].independent <= 5 and 5 <= got[L.ALL].independent <= 7
+    assert 1.5 < got["a"].best_95 < 1.9 < got["b"].best_95 < got[L.ALL].best_95 < 2.6
+    assert got == {x.family: x for x in L.luck_of(r.repartition(7), draws=4000).collect()}
+    more = {x.family: x for x in L.luck_of(r, extra=50, draws=4000).collect()}
+    assert more["a"] == got["a"] and more[L.ALL].tries == 60 and 50 <= more[L.ALL].independent <= 60 and 2.9 < more[L.ALL].best_95 < 3.4
+    alone = L.luck_of(r.where("key = 'k0'"), draws=1000).collect()
+    assert {(x.family, x.tries, x.independent, x.best_95) for x in alone} == {("a", 1, 1.0, L.ONE_TRY), (L.ALL, 1, 1.0, L.ONE_TRY)}
+    assert L.luck_of(r.limit(0)).collect() == []
+
+
+def test_scores_correlate_as_records_do(spark):
+    """Draws of two records: their correlation is that on shared days, times the share of days shared."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 0.01, (300, 2)) @ np.array([[1, 0.6], [0, 0.8]])
+    rows = [("f", "ab"[k], DAY + timedelta(days=t), float(x[t, k])) for k in range(2) for t in range(0 if k == 0 else 100, 300 if k else 250)]
+    r = spark.createDataFrame(rows, "family string, key string, day timestamp, r double")
+    one, two = (dict((b.draw, b.best) for b in L.best_of_draws(r.where(f"key = '{k}'"), 0, 4000, 7).collect()) for k in "ab")
+    got = np.corrcoef([one[i] for i in range(4000)], [two[i] for i in range(4000)])[0, 1]
+    shared = x[100:250]
+    want = np.corrcoef(shared.T)[0, 1] * 150 / np.sqrt(250 * 200)
+    assert abs(got - want) < 0.06
+
+
+def plain_exits(bars, sides, minutes, atr, rule, every):
+    """One position walked by hand. bars: (open, high, low, close); minutes: per bar a list of (open, high, low)."""
+    out, now, barred, entry, best, unit = {}, 0, 0, None, None, None
+    for k in range(1, len(bars)):
+        want = sides[k - 1]
+        if barred and want == barred:
+            want = 0
+        else:
+            barred = 0
+        if want != now:
+            entry = best = bars[k][0]
+            unit, now = atr[k - 1], want
+        if not now:
+            continue
+        side, px = now, None
+        for o, h, lo in minutes[k] or [bars[k][:3]]:
+            stops = [entry * (1 - side * rule.stop)] * (rule.stop is not None) if rule.stop else []
+            stops += [best * (1 - side * rule.trail)] if rule.trail else []
+            stops += [best - side * rule.trail_atr * atr[k - 1]] if rule.trail_atr and not np.isnan(atr[k - 1]) else []
+            takes = [entry * (1 + side * rule.take)] if rule.take else []
+            takes += [entry + side * rule.take_atr * unit] if rule.take_atr and not np.isnan(unit) else []
+            level = (max if side > 0 else min)(stops) if stops else None
+            goal = (min if side > 0 else max)(takes) if takes else None
+            if level is not None and (lo <= level if side > 0 else h >= level):
+                px = min(o, level) if side > 0 else max(o, level)
+            elif goal is not None and (h >= goal if side > 0 else lo <= goal):
+                px = max(o, goal) if side > 0 else min(o, goal)
+            if px is not None:
+                break
+            if every == "minute" and minutes[k]:
+                best = max(best, h) if side > 0 else min(best, lo)
+        if px is None and not (every == "minute" and minutes[k]):
+            best = max(best, bars[k][1]) if side > 0 else min(best, bars[k][2])
+        out[k] = (px, side)
+        if px is not None:
+            barred, now = side, 0
+    return out
+
+
+RULES = [Exits(stop=0.004), Exits(take=0.003), Exits(trail=0.004), Exits(trail=0.004), Exits(trail_atr=1.0), Exits(trail_atr=1.0), Exits(stop=0.006, take=0.005, trail=0.003), Exits(take_atr=0.8, trail=0.01)]
+EVERY = ["bar", "bar", "bar", "minute", "bar", "minute", "minute", "bar"]
+
+
+def test_exits_inside_bars_by_hand(spark):
+    rng = np.random.default_rng(5)
+    minute = 100 * np.exp(np.cumsum(rng.normal(0, 0.001, (60 * 60, 4)), axis=0)[:, 0])
+    names, bars, mins, sides, atr = ["a", "b"], {}, {}, {}, {}
+    for n in names:
+        m = minute if n == "a" else minute[::-1]
+        o, c = m[:-1], m[1:]
+        ohl = [(float(x), float(max(x, y)) * 1.0002, float(min(x, y)) * 0.9998) for x, y in zip(o, c)]
+        hours = [ohl[h * 60 : (h + 1) * 60] for h in range(59)]
+        bars[n] = [(x[0][0], max(t[1] for t in x), min(t[2] for t in x), float(c[h * 60 + 59])) for h, x in enumerate(hours)]
+        mins[n] = [[] if h % 7 == 3 else x for h, x in enumerate(hours)]  # some hours have no minutes
+        sides[n] = [[0, 1, 1, 1, -1, -1, 1, 1, 0, -1][(h + (n == "b")) % 10] for h in range(59)]
+        atr[n] = [float("nan") if h < 3 else 0.4 + 0.01 * h for h in range(59)]
+    at = lambda h, m=60: DAY + timedelta(hours=h, minutes=m)
+    b = spark.createDataFrame([(n, at(h), *bars[n][h], atr[n][h], [float(sides[n][h])] * len(RULES)) for n in names for h in range(59)], "instrument string, ts timestamp, open double, high double, low double, close double, atr double, sides array<double>")
+    m = spark.createDataFrame([(n, at(h, i + 1), *t) for n in names for h in range(59) for i, t in enumerate(mins[n][h])], "instrument string, ts timestamp, open double, high double, low double")
+    got = {(r.instrument, r.variant, r.ts): (r.exit_px, r.held, r.exit_at) for r in exits_inside(b.repartition(3), m.repartition(5), RULES, EVERY).collect()}
+    total = 0
+    for n in names:
+        for v, (rule, every) in enumerate(zip(RULES, EVERY)):
+            want = plain_exits(bars[n], sides[n], mins[n], atr[n], rule, every)
+            have = {k: got.get((n, v, at(k))) for k in range(59)}
+            assert {k for k, x in have.items() if x} == set(want), (n, v)
+            for k, (px, side) in want.items():
+                assert have[k][1] == side and (px is None) == (have[k][0] is None) and (px is None or np.isclose(px, have[k][0]))
+                assert (have[k][2] is not None) == (px is not None and bool(mins[n][k]))
+                total += px is not None
+    assert total > 60
+    trails = [{k: x for k, x in got.items() if k[1] == v and x[0] is not None} for v in (2, 3)]
+    assert {(k[0], k[2]) for k in trails[0]} != {(k[0], k[2]) for k in trails[1]}  # a stop set anew each minute leaves elsewhere
+    on_bars = exits_inside(b, None, RULES, EVERY).where("exit_px IS NOT NULL").count()
+    assert on_bars != total and exits_inside(b.limit(0), m, RULES, EVERY).collect() == []
+
+
+def test_walk_on_bars_is_the_walk_without_minutes(spark):
+    """Without minutes both walks are one: the streamed one and the pass over arrays."""
+    rng = np.random.default_rng(9)
+    c = 100 * np.exp(np.cumsum(rng.normal(0, 0.02, 300)))
+    o = np.r_[c[0], c[:-1]] * np.exp(rng.normal(0, 0.003, 300))
+    h, lo = np.maximum(o, c) * 1.004, np.minimum(o, c) * 0.996
+    side = np.sign(np.sin(np.arange(300) / 9)).round()
+    rule, atr = Exits(stop=0.05, take=0.06, trail_atr=3.0), np.full(300, 2.0)
+    px, held = exits(o, h, lo, side, rule, atr)
+    rows = [("a", DAY + timedelta(days=i), *map(float, (o[i], h[i], lo[i], c[i], atr[i])), [float(side[i])]) for i in range(300)]
+    b = spark.createDataFrame(rows, "instrument string, ts timestamp, open double, high double, low double, close double, atr double, sides array<double>")
+    got = {r.ts: r for r in exits_inside(b, None, [rule], ["minute"]).collect()}
+    for i in range(300):
+        r = got.get(DAY + timedelta(days=i))
+        assert (held[i] != 0) == (r is not None) and (r is None or r.held == held[i])
+        assert r is None or (np.isnan(px[i]) if r.exit_px is None else np.isclose(px[i], r.exit_px))
+
+
+def test_quoted_costs_reach_the_walk():
+    """Two names, ten bars, by hand: each fill pays its own bar's rate, or the nearest one quoted."""
+    n = 10
+    price = np.full((n, 2), 100.0)
+    target = np.zeros((n, 2))
+    target[2:6, 0], target[4:8, 1] = 0.5, 0.4
+    quoted = np.full((n, 2), np.nan)
+    quoted[[1, 5], 0], quoted[9, 1] = [0.001, 0.003], 0.002
+    a = account(price, price, price, target, Costs(0.5), quoted=quoted)
+    want = np.zeros(n)
+    want[3], want[5], want[7], want[9] = 0.5 * 0.001, 0.4 * 0.002, 0, 0  # bar 3 is as near to bar 1 as to bar 5: the earlier
+    assert np.allclose(a.cost[:6], want[:6])
+    equity = np.prod(1 - a.cost[:7])
+    assert np.isclose(a.cost[7], 0.5 / 1 * 0.003, rtol=2e-3) and a.cost[9] > 0 and equity < 1
+    assert np.allclose(nearest(np.full((3, 1), np.nan), 0.7), 0.7) and np.allclose(nearest(np.array([[np.nan], [2.0], [np.nan]]), 0.7), 2.0)
+    assert np.allclose(account(price, price, price, target, Costs(0.001)).cost, account(price, price, price, target, Costs(0.5), quoted=np.full((n, 2), 0.001)).cost)
+
+
+def test_trails_of_positions_held_each_by_itself():
+    """Two names of a panel of units: a near trail leaves where a far one holds on, and neither is rebalanced."""
+    n = 40
+    ts = pd.date_range("2024-01-01", periods=n)
+    rise = 100 * 1.01 ** np.arange(n)
+    dips = rise.copy()
+    dips[20:] *= 0.93
+    rows = []
+    for name, c in (("a", rise), ("b", dips)):
+        for i in range(n):
+            rows.append({"instrument": name, "ts": ts[i], "open": c[i - 1] if i else c[0], "high": max(c[i], c[i - 1] if i else c[0]), "low": min(c[i], c[i - 1] if i else c[0]), "close": c[i], "position": 0.4 if i >= 16 else 0.0,
+                         "listed": np.nan, "money": 1.0, "funding": np.nan, "dividend": np.nan, "quoted": np.nan})
+    pdf = pd.DataFrame(rows)
+    near, far, whole = (B.walked(pdf, kind, p, Costs(0.001))[3] for kind, p in (("units", {"trail_atr": 0.5}), ("units", {"trail_atr": 30.0}), ("panel", {})))
+    assert near.weights[25, 1] == 0 and far.weights[25, 1] > 0.3 and not np.allclose(near.net, far.net)
+    assert np.count_nonzero(far.turnover) == 1 and np.count_nonzero(whole.turnover) > 10  # held, against rebalanced at every bar
+    grown = 0.4 * rise[30] / rise[16] / (0.2 + 0.4 * rise[30] / rise[16] + 0.4 * dips[30] / dips[16])
+    assert np.isclose(far.weights[31, 0], grown, rtol=1e-3)
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 100, 249, 260])
+def test_models_on_short_series(spark, n):
+    rng = np.random.default_rng(n)
+    c = 100 * np.exp(np.cumsum(rng.normal(0, 0.01, n)))
+    rows = [("a", DAY + timedelta(days=i), float(x), float(x) * 1.01, float(x) * 0.99, float(x), 1.0 + i % 3, float(x)) for i, x in enumerate(c)]
+    bars = spark.createDataFrame(rows, "instrument string, ts timestamp, open double, high double, low double, close double, volume double, dollar_volume double")
+    for name in ("vol_managed_har", "ml_direction", "ml_feature_search"):
+        assert STRATEGIES[name].positions(bars).count() == n
+
+
+def test_the_list_bought_and_held(spark):
+    """Equal money from the first day on, dealt anew only when membership changes: the benchmark of an evaluation."""
+    px = {"a": [10, 10, 20, 20, 20, 40], "b": [10, 10, 10, 5, 5, 5]}
+    listed = {"a": [1] * 6, "b": [1, 1, 1, 0, 0, 0]}
+    ts = [DAY + timedelta(days=i) for i in range(6)]
+    bars = spark.createDataFrame([(n, ts[i], float(x), float(x)) for n, p in px.items() for i, x in enumerate(p)], "instrument string, ts timestamp, open double, close double")
+    member = spark.createDataFrame([(n, ts[i], bool(x)) for n, p in listed.items() for i, x in enumerate(p)], "instrument string, ts timestamp, listed boolean")
+    got = [r.net for r in B.bought_and_held(bars, 0.0, ts[0], member).orderBy("ts").collect()]
+    assert np.allclose(got, [0, 0, 0.5, -1 / 6, 0, 1.0])
+    late = [r.net for r in B.bought_and_held(bars, 0.0, ts[2], member).orderBy("ts").collect()]
+    assert np.allclose(late, [0, 0, 0, 0, 0, 1.0])
 
 
 def test_overfitting_against_plain_python(spark):
