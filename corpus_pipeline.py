@@ -1,22 +1,21 @@
 """A corpus from raw documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again as the next
-stage's docs; the tables that a stage keeps for itself are deleted when the next one begins. All but the last give the
-columns of docs, whatever their names; n_chars follows the text. An empty table goes through every stage as an empty
-table; very long texts go through whole.
+stage's docs. A stage's result is lazy: what the stage keeps for itself lasts as long as a DataFrame reads it, so stages
+can be composed, repeated and run side by side. All but the last give the columns of docs, whatever their names; n_chars
+follows the text. An empty table goes through every stage as an empty table; very long texts go through whole. Of ties
+the first in the stated order stays: the smallest id in near-dedup and substring dedup; where ids are equal, rows keep alike
+in substring dedup, and one of them stays in near-dedup.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.llm import language
 from ravelin.llm.chunk_dedup import chunk_dedup
-from ravelin.llm.common import forget, kept_since, kept_table, release, release_mark, table
+from ravelin.llm.common import kept_table, sweep, table
 from ravelin.llm.minhash import near_duplicates
 from ravelin.llm.packing import pack
 from ravelin.llm.quality_lines import line_rules
@@ -27,32 +26,12 @@ LEAST_SUPPORT = 0.38
 NEAR_PERCENT = 80
 
 
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_last: list[DataFrame] = []
-
-
-def _after_another(stage: Stage) -> Stage:
-    """A stage that first deletes the tables that the stage before it kept for itself: its output is written by now."""
-
-    @wraps(stage)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        here = kept_since(0)
-        forget(*(t for t in _last if any(t is k for k in here)))
-        mark = release_mark()
-        out = stage(spark, docs, sf_dir)
-        _last[:] = kept_since(mark)
-        return out
-
-    return run_stage
-
-
 def _columns(docs: DataFrame, row: str, text: Column, **given: Column) -> list[Column]:
     """The columns of docs in their order, from a struct of the others and a new text."""
     made = {"text": text, "n_chars": F.char_length(text).cast("long"), **given}
     return [(made[c] if c in made else F.col(f"{row}.`{c}`")).alias(c) for c in docs.columns]
 
 
-@_after_another
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that fail the line rules (null and empty texts among them); removes frequent lines from the others.
 
@@ -62,7 +41,6 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*_columns(docs, "row", F.col("clean_text")))
 
 
-@_after_another
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in no language that can be told (null texts and those without a letter among them); lang becomes the one told.
 
@@ -72,7 +50,6 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return told.select(*_columns(docs, "row", F.col("row.text"), lang=F.col("lang_pred")))
 
 
-@_after_another
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id; of rows with it, repeated ones too, one.
 
@@ -86,7 +63,6 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return base.join(stay, "rid", "left_semi").select("row.*")
 
 
-@_after_another
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated passages but for their first place: in the document with the smallest id.
 
@@ -96,7 +72,6 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return cut.select(*_columns(docs, "row", F.col("kept_bytes").cast("string")))
 
 
-@_after_another
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in sequences of at most 1024. Repeated rows and rows without an id are packed one by one; a null text is its closing id."""
     return pack(docs)
@@ -107,10 +82,9 @@ STAGES = [("quality rules", quality), ("language ID", languages), ("MinHash near
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    before = release_mark()
     for name, stage in STAGES[:-1]:
         docs = kept_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        release(before, but=docs)  # what the stage kept for itself, and the stage before it
+        sweep(spark, now=True)  # what the stage kept for itself, and what the stage before it gave
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

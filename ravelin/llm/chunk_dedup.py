@@ -38,6 +38,8 @@ AVERAGE_BITS, SMALLEST, LARGEST = 5, 16, 512
 LEAST = 64
 #: Distinct chunks of a block, about.
 HOLD = 1 << 17
+#: Bytes of text whose digests meet in one share, which a worker holds at once: about a million digests.
+SHARE_BYTES = 48 << 20
 
 GEAR = np.random.default_rng(64).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -252,13 +254,16 @@ def chunk_dedup(
 
     carry: also the other columns of docs, in the struct `row`.
     """
-    parts, row = parts_of(docs.sparkSession), [F.struct(*(c for c in docs.columns if c != text_col)).alias("row")] if carry else []
+    whole = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    parts = parts_of(docs.sparkSession)
+    shares = max(parts, int(whole // SHARE_BYTES) + 1)
+    row = [F.struct(*(c for c in docs.columns if c != text_col)).alias("row")] if carry else []
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *row)
     kind = f", row {base.schema['row'].dataType.simpleString()}" if carry else ""
     more = [pa.field("row", to_arrow_type(base.schema["row"].dataType))] if carry else []
     schema = f"block long, doc_id long, z binary, sizes binary, numbers binary{kind}, share int, digests binary"
-    coded = kept_table(base.mapInArrow(_chunks(bits, smallest, largest, parts, more), schema), "chunks")
-    dealt = coded.where("share IS NOT NULL").select("share", "block", "digests").repartition(parts, "share").sortWithinPartitions("share")
+    coded = kept_table(base.mapInArrow(_chunks(bits, smallest, largest, shares, more), schema), "chunks")
+    dealt = coded.where("share IS NOT NULL").select("share", "block", "digests").repartition(shares, "share").sortWithinPartitions("share")
     answers = dealt.mapInArrow(_meet, "block long, answer binary")
     both = answers.unionByName(coded.where("share IS NULL").drop("share", "digests"), allowMissingColumns=True)
     by_block = both.repartition(parts, "block").sortWithinPartitions("block", F.col("answer").isNull())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -37,51 +38,52 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-#: Tables kept by this process and not deleted yet, oldest first.
-_kept: list[DataFrame] = []
+#: Paths of kept tables, each with a weak reference to what Spark's plans read it by.
+_kept: dict[str, object] = {}
 
 
 def kept_table(df: DataFrame, tag: str) -> DataFrame:
     """df written once to the shared folder and read again: lineage ends there and lost executors cost nothing.
 
-    A result that an operator returns may read such tables; release() deletes them once it has been used.
+    A table belongs to the plans that read it, whoever made them: `sweep` deletes those that no plan can read any more.
     """
     spark = df.sparkSession
+    sweep(spark)
     path = f"{shared_dir(spark)}/ravelin/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_path = path
-    _kept.append(out)
+    files = out._jdf.queryExecution().analyzed().relation().location()
+    _kept[path] = spark._jvm.java.lang.ref.WeakReference(files)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    _kept.pop(path, None)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def forget(*tables: DataFrame) -> None:
-    """Deletes kept tables that nothing reads any more."""
+    """Deletes kept tables that their maker knows to be read no more."""
     for t in tables:
-        _kept[:] = [k for k in _kept if k is not t]
-        jvm, path = t.sparkSession._jvm, t._kept_path
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+        _delete(t.sparkSession, t._kept_path)
 
 
-def release(since: int = 0, but: DataFrame | None = None) -> int:
-    """Deletes tables that operators kept after the first `since` ones, all but one; how many are left.
+def sweep(spark: SparkSession, now: bool = False) -> int:
+    """Deletes kept tables that no DataFrame reads any more, and says how many are left.
 
-    To be called when results have been written or collected: `n = release_mark(); ...; release(n)`.
+    Spark clears shuffles and broadcasts in the same way: once their owner is gone from the JVM. now: collect garbage first.
     """
-    forget(*(t for t in _kept[since:] if t is not but))
+    if now:
+        gc.collect()
+        spark._jvm.System.gc()
+    for path, files in list(_kept.items()):
+        if files.get() is None:
+            _delete(spark, path)
     return len(_kept)
 
 
-def release_mark() -> int:
-    return len(_kept)
-
-
-def kept_since(mark: int) -> list[DataFrame]:
-    """Tables kept after a mark and not deleted yet."""
-    return _kept[mark:]
-
-
 def row_key(*cols: str | Column) -> Column:
     """128 bits that tell rows apart by their values; equal rows have one key."""
     return F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit(1), *reversed(cols)).alias("b"))

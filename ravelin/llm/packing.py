@@ -17,16 +17,18 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import kept_table, parts_of, salt, sliced
+from ravelin.llm.common import kept_table, parts_of, sliced
 from ravelin.llm.tokens import default_vocabulary, ids_of
 
-SIZE, GRAIN, SALTS = 1024, 64, 64
+SIZE, GRAIN = 1024, 64
+SALTS, SALT_ROWS = 64, 200_000  # a length's pieces are ranked in so many tasks at least, of so many rows
 _PIECES = "rid long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -105,6 +107,11 @@ def _encode(path: str, size: int, grain: int):
     return encode
 
 
+def salts_of(n: int) -> int:
+    """Into how many tasks the pieces of a length are dealt to be ranked: none ranks many more than SALT_ROWS."""
+    return max(SALTS, -(-n // SALT_ROWS))
+
+
 def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, size: int = SIZE, grain: int = GRAIN) -> DataFrame:
     """The pieces that documents are cut into; rid tells rows with one id apart."""
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -117,13 +124,16 @@ def pack(
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; one row per piece."""
     spark = docs.sparkSession
     cut = kept_table(pieces(docs, id_col=id_col, text_col=text_col, vocabulary=vocabulary, size=size, grain=grain), "pieces")
-    cut = cut.withColumn("salt", salt("doc_id", "start", "rid", n=SALTS))
-    counts = cut.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).collect()  # at most size * SALTS rows
-    by: dict[int, list[int]] = {}
+    sizes = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}  # at most size rows
+    many = {length: salts_of(n) for length, n in sizes.items()}
+    lengths = F.broadcast(spark.createDataFrame(list(many.items()), "length long, salts int"))
+    cut = cut.join(lengths, "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "rid"), F.col("salts")).cast("int")).drop("salts")
+    counts = cut.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per salt: SALT_ROWS pieces or more, or one of SALTS
+    by = {length: [0] * n for length, n in many.items()}
     for r in counts:
-        by.setdefault(r.length, [0] * SALTS)[r.salt] = r.n
-    before = [(length, s, sum(n[:s])) for length, n in by.items() for s in range(SALTS) if n[s]]
-    runs, _ = pack_histogram({length: sum(n) for length, n in by.items()}, size)
+        by[r.length][r.salt] = r.n
+    before = [(length, s, first) for length, n in by.items() for s, first in enumerate([0, *accumulate(n)][:-1]) if n[s]]
+    runs, _ = pack_histogram(sizes, size)
     offsets = F.broadcast(spark.createDataFrame(before, "length long, salt int, first long"))
     placed = F.broadcast(spark.createDataFrame([tuple(vars(r).values()) for r in runs], "r_length long, lo long, hi long, each long, r_offset long, sequence long"))
     within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "rid"))

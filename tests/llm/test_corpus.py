@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ravelin.llm import language, packing, pieces, suffix_dedup, token_spans
+from ravelin.llm import chunk_dedup as chunk_module
+from ravelin.llm import common, language, packing, pieces, suffix_dedup, token_spans
 from ravelin.llm.chunk_dedup import chunk_dedup, chunk_ends
 from ravelin.llm.common import table
 from ravelin.llm.lm_score import lm_scores
@@ -81,6 +82,45 @@ def test_stages_on_awkward_and_empty(spark, sf, stage):
     assert run(spark, docs.limit(0), sf).collect() == []
 
 
+def test_stages_compose_lazily_and_side_by_side(spark, sf):
+    """A stage's result stays readable whatever runs before it is read."""
+    docs = table(spark, sf, "documents")
+    (_, quality), (_, languages), (_, near), *_ = corpus_pipeline.STAGES
+    want = sorted(r.doc_id for r in common.kept_table(languages(spark, common.kept_table(quality(spark, docs, sf), "q"), sf), "l").collect())
+    lazy = languages(spark, quality(spark, docs, sf), sf)
+    first, second = quality(spark, docs, sf), quality(spark, docs.limit(50), sf)
+    common.sweep(spark, now=True)
+    near(spark, docs.limit(20), sf).count()
+    assert sorted(r.doc_id for r in lazy.collect()) == want and first.count() >= second.count() > 0
+
+
+def test_kept_tables_go_when_nothing_reads_them(spark):
+    from pathlib import Path
+
+    kept = common.kept_table(spark.range(5).toDF("n"), "five")
+    path, derived = Path(kept._kept_path), kept.where("n > 1")
+    del kept
+    common.sweep(spark, now=True)
+    assert path.exists() and derived.count() == 3
+    del derived
+    for _ in range(20):
+        common.sweep(spark, now=True)
+        if not path.exists():
+            break
+    assert not path.exists()
+
+
+def test_shares_and_salts_follow_the_data(spark, monkeypatch):
+    """Whatever their number, results are the same; none grows with the input."""
+    docs = awkward(spark)
+    want = [sorted(map(repr, f(docs).drop("spans", "kept_bytes", "sequence_id", "offset").collect())) for f in (chunk_dedup, packing.pack)]
+    monkeypatch.setattr(chunk_module, "SHARE_BYTES", 1000)
+    monkeypatch.setattr(packing, "SALTS", 1)
+    monkeypatch.setattr(packing, "SALT_ROWS", 3)
+    assert packing.salts_of(10) == 4 and packing.salts_of(100) == 34
+    assert [sorted(map(repr, f(docs).drop("spans", "kept_bytes", "sequence_id", "offset").collect())) for f in (chunk_dedup, packing.pack)] == want
+
+
 def test_packing_is_whole_and_tight(spark, sf):
     docs, path = table(spark, sf, "documents"), default_vocabulary()
     out = QUERIES["op2_packing"](spark, sf).toPandas()
