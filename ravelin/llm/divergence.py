@@ -152,7 +152,8 @@ def distances(items: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, source, part, item, value) for every ordered pair of a language's sources."""
     path = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("size"), "source", "count", "p", "z")))
     paths = items.groupBy("lang", "term").agg(path.alias("path")).groupBy("lang", "path").agg(F.count(F.lit(1)).alias("times"))
-    dealt = paths.repartitionByRange("lang", "path").sortWithinPartitions("lang", "path")
+    head = F.transform(F.slice("path", 1, 4), lambda x: F.struct(x["size"], x["source"], x["count"]))  # so that a sample of ranges stays small
+    dealt = paths.repartitionByRange("lang", head, F.xxhash64("path")).sortWithinPartitions("lang", "path")
     tree = kept_table(dealt.mapInArrow(_tree(), "lang string, a string, b string, p long, value long"), "tree")
     both = tree.where("b IS NOT NULL").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     shares = tree.where("b IS NULL").groupBy("lang", "a", "p").agg(F.sum("value").alias("times"))
