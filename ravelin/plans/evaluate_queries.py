@@ -324,3 +324,53 @@ def look_ahead(spark: SparkSession, sf: str) -> DataFrame:
 @query("period_last_closes", f"WITH {V.SQL_REGION} SELECT instrument, date_trunc('month', ts)::TIMESTAMP AS month, arg_max(close, ts) AS close, count(*) AS bars FROM bars GROUP BY 1, 2")
 def last_closes(spark: SparkSession, sf: str) -> DataFrame:
     return P.resampled(V.bars_region(spark, sf), F.date_trunc("month", "ts")).select("instrument", F.date_trunc("month", "ts").alias("month"), "close", F.col("n_bars").alias("bars"))
+
+
+_BOOK = f"""{SQL_CONFIGS.replace("avg(held * r", "sum(held * r").replace(") AS r FROM h GROUP", ") / 5 AS r FROM h GROUP").replace("coalesce((close / lag(close) OVER (", "coalesce((ln(close / lag(close) OVER (").replace(") - 1) * 0.02, 0)", "))) * 0.02, 0)")}, {SQL_CHOSEN},
+  turns AS (SELECT f.fold, c.config, lag(c.config) OVER (ORDER BY f.fold) AS last_config, test_start, test_end FROM folds f LEFT JOIN chosen c USING (fold)),
+  b AS (SELECT fold, h.config, last_config, instrument, ts, held / 5 AS weight, before / 5 AS had, held * r / 5 AS made, abs(held - before) / 5 * 0.0002 AS paid,
+      row_number() OVER (PARTITION BY fold, instrument ORDER BY ts) AS nth FROM h JOIN turns ON turns.config = h.config AND ts >= test_start AND ts < test_end),
+  book AS (SELECT b.*, CASE WHEN nth = 1 AND last_config <> b.config THEN abs(had - coalesce(o.before, 0) / 5) * 0.001 ELSE 0 END AS switch
+    FROM b LEFT JOIN h o ON o.config = b.last_config AND o.instrument = b.instrument AND o.ts = b.ts),
+  rec AS (SELECT ts, sum(made - paid - switch) AS r FROM book GROUP BY ts), eq AS (SELECT ts, coalesce(exp(sum(ln(1 + r)) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS equity FROM rec),
+  m AS (SELECT book.*, equity, sign(weight)::INTEGER AS side, lag(sign(weight)::INTEGER) OVER w AS was, lag(abs(weight)) OVER w AS wl FROM book JOIN eq USING (ts) WINDOW w AS (PARTITION BY instrument ORDER BY ts)),
+  i AS (SELECT *, sum(CASE WHEN side IS DISTINCT FROM was THEN 1 ELSE 0 END) OVER (PARTITION BY instrument ORDER BY ts) AS island, CASE WHEN side IS DISTINCT FROM was THEN coalesce(wl / nullif(wl + abs(weight), 0), 0) ELSE 0 END AS closes FROM m),
+  x AS (SELECT instrument, island, side, ts, fold, equity * made - equity * (paid + switch) * (1 - closes) AS made FROM i UNION ALL SELECT instrument, island - 1, NULL, NULL, NULL, -equity * (paid + switch) * closes FROM i WHERE closes > 0),
+  ledger AS (SELECT instrument, max(side) AS side, min(ts) AS entry_time, max(ts) AS exit_time, count(ts) AS bars, count(DISTINCT fold) AS folds, sum(made) AS made FROM x GROUP BY instrument, island HAVING max(side) <> 0 OR abs(sum(made)) > 1e-15)"""
+
+
+def chosen_book(spark: SparkSession, sf: str) -> DataFrame:
+    """The stitched book of the grid of crosses on all regions, each a fifth of the equity."""
+    from ravelin.operators.stitch import stitched_book
+    from ravelin.plans.record_queries import COST, FASTS, GRID, SLOWS
+    from ravelin.sources.store import kept
+
+    b = V.bars_region(spark, sf).withColumn("r", F.coalesce(F.log(F.col("close") / F.lag("close").over(I.own())) * 0.02, F.lit(0.0)))
+    b = b.select("instrument", "ts", "r", *(I.sma("close", n).alias(f"s{n}") for n in FASTS + SLOWS))
+    side = [F.struct(F.lit(i).alias("config"), F.coalesce(F.signum(F.col(f"s{f}") - F.col(f"s{s}")), F.lit(0.0)).alias("side")) for i, f, s in GRID]
+    w = Window.partitionBy("config", "instrument").orderBy("ts")
+    p = b.select("instrument", "ts", "r", F.explode(F.array(*side)).alias("c")).select("instrument", "ts", "r", "c.config", "c.side")
+    p = p.withColumns({"held": F.coalesce(F.lag("side").over(w), F.lit(0.0)), "had": F.coalesce(F.lag("side", 2).over(w), F.lit(0.0))})
+    parts = p.select("config", "instrument", "ts", (F.col("held") / 5).alias("weight"), (F.col("held") * F.col("r") / 5).alias("made"), (F.abs(F.col("held") - F.col("had")) / 5 * COST).alias("paid"))
+    parts = kept(parts, "parts")
+    rec = parts.groupBy("config", F.col("ts").alias("day")).agg(F.sum(F.col("made") - F.col("paid")).alias("r"))
+    fold = S.folds(rec)
+    return kept(stitched_book(parts, fold, S.choose(rec, fold), 0.001), "book")
+
+
+@query("stitched_ledger", f"{_BOOK} SELECT instrument, side, entry_time, exit_time, bars, folds, round(made, 8) AS made FROM ledger")
+def stitched_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """The walk-forward's trades as one account has them, switches charged to the trades that they close or open."""
+    from ravelin.operators.stitch import ledger
+
+    return ledger(chosen_book(spark, sf)).withColumn("made", F.round("made", 8))
+
+
+@query("stitched_sums", f"{_BOOK} SELECT instrument, round(sum(made), 8) AS made, count(*) AS trades, (SELECT round(exp(sum(ln(1 + r))) - 1, 8) FROM rec) AS record FROM ledger GROUP BY instrument")
+def stitched_sums(spark: SparkSession, sf: str) -> DataFrame:
+    """What each name made, beside the record's whole gain: the names' sums are the record."""
+    from ravelin.operators.stitch import ledger, record_of
+
+    book = chosen_book(spark, sf)
+    gain = record_of(book).agg(F.round(F.exp(F.sum(F.log1p("r"))) - 1, 8).alias("record"))  # one row
+    return ledger(book).groupBy("instrument").agg(F.round(F.sum("made"), 8).alias("made"), F.count(F.lit(1)).alias("trades")).join(F.broadcast(gain))

@@ -403,3 +403,25 @@ def test_stored_results_and_meta_by_generation(spark, tmp_path):
     store.upsert_results(one, root, ["key"])
     store.upsert_results(one.where("key = 'b'").withColumn("v", F.lit(9.0)), root, ["key"])
     assert {r.key: r.v for r in store.read_results(spark, root).collect()} == {"a": 1.0, "b": 9.0}
+
+
+def test_stitched_trades_make_the_record(spark):
+    """Two names, two windows, a switch between them, by hand: one name runs on as one trade, the other turns at the switch."""
+    from ravelin.operators import stitch
+
+    weights = {(0, "a"): [0.5] * 6, (0, "b"): [0.5] * 6, (1, "a"): [0.3] * 6, (1, "b"): [-0.2] * 6}
+    rows = [(c, n, DAY + timedelta(days=t), float(x), float(x) * 0.01 * (1 if n == "a" else 2), 0.0) for (c, n), w in weights.items() for t, x in enumerate(w)]
+    parts = spark.createDataFrame(rows, "config int, instrument string, ts timestamp, weight double, made double, paid double")
+    fold = spark.createDataFrame([(0, DAY, DAY + timedelta(days=3)), (1, DAY + timedelta(days=3), DAY + timedelta(days=6))], "fold int, test_start timestamp, test_end timestamp")
+    book = stitch.stitched_book(parts, fold, spark.createDataFrame([(0, 0), (1, 1)], "fold int, config int"), 0.01)
+    got = {(r.instrument, r.side): r for r in stitch.ledger(book).collect()}
+    assert set(got) == {("a", 1), ("b", 1), ("b", -1)} and got["a", 1].bars == 6 and got["a", 1].folds == 2 and got["b", 1].bars == 3
+    first = [1.0, 1.015, 1.015**2, 1.015**3]  # before each bar
+    last = 0.3 * 0.01 - 0.2 * 0.02
+    turn = last - 0.01 * (0.2 + 0.7)
+    after = [first[3], first[3] * (1 + turn), first[3] * (1 + turn) * (1 + last)]
+    assert np.isclose(got["b", 1].made, 0.01 * sum(first[:3]) - first[3] * 0.007 * 0.5 / 0.7)
+    assert np.isclose(got["b", -1].made, -0.004 * sum(after) - first[3] * 0.007 * 0.2 / 0.7)
+    assert np.isclose(got["a", 1].made, 0.005 * sum(first[:3]) + 0.003 * sum(after) - first[3] * 0.002)
+    record = stitch.record_of(book).orderBy("ts").collect()
+    assert np.isclose(sum(r.made for r in got.values()), np.prod([1 + r.r for r in record]) - 1) and np.isclose(record[3].r, turn)
