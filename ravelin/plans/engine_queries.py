@@ -16,6 +16,7 @@ from ravelin.operators import panel as P
 from ravelin.operators import states as S
 from ravelin.operators import walks as K
 from ravelin.operators.intrabar import exits_inside
+from ravelin.operators.sums import exact_sum
 from ravelin.plans.bar_queries import PANEL
 from ravelin.plans.record_queries import FASTS, GRID, SLOWS, SQL_RECORD, config_records, record, rounded
 from ravelin.plans.registry import query
@@ -79,6 +80,14 @@ def cost_rates(spark: SparkSession, sf: str) -> DataFrame:
     return r.join(F.broadcast(k), "class").select(F.col("r_name").alias("instrument"), "class", F.round((F.col("c") + F.col("s")) / 1e4, 8).alias("rate"), F.round(F.col("b") / 1e4, 8).alias("borrow"))
 
 
+@query("exact_sums", "SELECT event_type AS kind, (event_id % 97)::INTEGER AS k, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def exact_sums(spark: SparkSession, sf: str) -> DataFrame:
+    """Sums of values among others that cancel out, sixteen digits greater: what plain sums lose."""
+    v = F.col("value")
+    t = V.table(spark, sf, "events").select(F.col("event_type").alias("kind"), (F.col("event_id") % 97).cast("int").alias("k"), F.explode(F.array(v, v * 1e16, -v * 1e16, -v / 3, v / 3)).alias("x"))
+    return exact_sum(t, ["kind", "k"], "x").withColumn("total", r6("total"))
+
+
 @query("account_walk")
 def account_walk(spark: SparkSession, sf: str) -> DataFrame:
     book = targeted(spark, sf).withColumn("book", F.lit("sma_cross")).select("book", "ts", "instrument", "open", "high", "close", "target")

@@ -282,3 +282,23 @@ def test_luck_queries_have_the_operators_own_sizes(spark, sf, monkeypatch):
         monkeypatch.setattr(luck, fn, lambda record, *a, **k: given.append((a, k)) or record)
         getattr(engine_queries, query)(spark, sf)
         assert given == [((), {})]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_exact_sums_in_any_partitioning(spark, parts):
+    from math import fsum
+
+    from ravelin.operators.sums import exact_sum
+
+    rng = np.random.default_rng(3)
+    wide = [float(x) for x in rng.normal(size=400) * 10.0 ** rng.integers(-12, 18, 400)]
+    groups = {"cancel": [1e16, 1.0, -1e16], "tiny": [1e-300, 1.0, -1.0, 5e-324], "wide": wide, "back": [*wide, *(-x for x in reversed(wide)), 0.125], "none": [None], "zero": [0.0, -0.0], "huge": [1e300, -1e300, 2.5], "cents": [0.1] * 1000}
+    rows = [(k, x) for k, v in groups.items() for x in v]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(parts)
+    got = {r.k: r.total for r in exact_sum(df, ["k"], "x").collect()}
+    want = {k: fsum(x for x in v if x is not None) for k, v in groups.items() if k != "none"}
+    assert set(got) == set(want) and got["cancel"] == 1.0 and got["back"] == 0.125
+    assert all(abs(got[k] - want[k]) <= abs(want[k]) * 2.3e-16 for k in want), {k: (got[k], want[k]) for k in want}
+    odd = spark.createDataFrame([("n", float("nan")), ("n", 1.0), ("i", float("inf")), ("i", 1.0)], df.schema)
+    x = {r.k: r.total for r in exact_sum(odd, ["k"], "x").collect()}
+    assert np.isnan(x["n"]) and x["i"] == float("inf")
