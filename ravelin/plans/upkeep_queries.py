@@ -238,3 +238,60 @@ def nearest_rate(spark: SparkSession, sf: str) -> DataFrame:
     b = V.bars_region(spark, sf).withColumn("rate", rate)
     ahead = F.first("rate", ignorenulls=True).over(own().rowsBetween(0, Window.unboundedFollowing))
     return b.select("instrument", "ts", r6(F.coalesce(F.last("rate", ignorenulls=True).over(own()), ahead, F.lit(0.0))).alias("rate"))
+
+
+# Ranked lists: the suppliers of each region by what they traded, a silent one replaced at once.
+
+LIST_SIZE = 5
+_NAMES = f"""WITH RECURSIVE {V.SQL_TRADES}, bars AS (
+    SELECT r_name AS list, s_name AS instrument, ts, round(sum(money), 4) AS dollar_volume
+    FROM trades JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2, 3),
+  money AS (SELECT *, round(avg(dollar_volume) OVER (PARTITION BY list, instrument ORDER BY ts ROWS BETWEEN 89 PRECEDING AND CURRENT ROW), 4) AS money, lead(ts) OVER (PARTITION BY list, instrument ORDER BY ts) AS after FROM bars),
+  last AS (SELECT list, instrument, date_trunc('month', ts) + INTERVAL 1 MONTH AS month, max(ts) AS ts, arg_max(money, ts) AS money FROM money GROUP BY 1, 2, 3),
+  months AS (SELECT list, month AS moment, list(instrument ORDER BY money DESC, instrument) AS ranked FROM last WHERE ts + INTERVAL 14 DAY > month GROUP BY 1, 2),
+  ends AS (SELECT list, max(ts) AS last FROM bars GROUP BY 1),
+  silent AS (SELECT list, instrument, ts + INTERVAL 14 DAY AS moment, after AS until FROM money JOIN ends USING (list) WHERE (after IS NULL OR after > ts + INTERVAL 14 DAY) AND ts + INTERVAL 14 DAY <= last),
+  days AS (SELECT list, moment, list(instrument ORDER BY instrument) AS gone FROM silent GROUP BY 1, 2),
+  quiet AS (SELECT d.list, d.moment, any_value(gone) AS gone, list(s.instrument) AS mute FROM days d JOIN silent s ON s.list = d.list AND s.moment <= d.moment AND (s.until IS NULL OR s.until > d.moment) GROUP BY 1, 2),
+  events AS (SELECT *, row_number() OVER (PARTITION BY list ORDER BY moment, kind) AS k FROM (
+    SELECT list, moment, 0 AS kind, NULL::VARCHAR[] AS ranked, gone, mute FROM quiet UNION ALL SELECT list, moment, 1, ranked, NULL, NULL FROM months)),
+  walk AS (
+    SELECT list, 0::BIGINT AS k, NULL::TIMESTAMP AS moment, []::VARCHAR[] AS members, []::VARCHAR[] AS ranked FROM ends
+    UNION ALL
+    SELECT list, k, moment, CASE WHEN kind = 1 THEN kept || list_filter(ranked, lambda x: NOT list_contains(kept, x))[1:{{n}} - len(kept)]
+        ELSE stay || list_filter(ranked, lambda x: NOT list_contains(stay, x) AND NOT list_contains(mute, x))[1:len(members) - len(stay)] END, ranked FROM (
+      SELECT e.list, e.k, e.moment::TIMESTAMP AS moment, e.kind, w.members, coalesce(e.ranked, w.ranked) AS ranked, e.mute, list_filter(w.members, lambda x: NOT list_contains(coalesce(e.gone, []), x)) AS stay,
+        (e.ranked[1:{{core}}] || list_filter(e.ranked[{{core}} + 1:{{edge}}], lambda x: list_contains(w.members, x)))[1:{{n}}] AS kept
+      FROM walk w JOIN events e ON e.list = w.list AND e.k = w.k + 1)),
+  held AS (SELECT list, k, moment, unnest(members) AS instrument FROM walk),
+  runs AS (SELECT *, k - row_number() OVER (PARTITION BY list, instrument ORDER BY k) AS island FROM held),
+  spans AS (SELECT list, instrument, island, min(moment) AS start, max(k) + 1 AS over FROM runs GROUP BY 1, 2, 3)
+  SELECT s.list, s.instrument, s.start, e.moment::TIMESTAMP AS "end" FROM spans s LEFT JOIN events e ON e.list = s.list AND e.k = s.over""".format(n=LIST_SIZE, core=int(LIST_SIZE / 1.5), edge=int(LIST_SIZE * 1.5))
+
+
+def region_suppliers(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily bars of suppliers; the region is the list that a supplier belongs to."""
+    supplier = V.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("instrument"), F.col("s_nationkey").alias("n_nationkey"))
+    region = V.table(spark, sf, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("list"))
+    of = supplier.join(V.table(spark, sf, "nation").select("n_nationkey", "n_regionkey"), "n_nationkey").join(region, "n_regionkey").select("l_suppkey", "instrument", "list")
+    return V.ohlcv(V.trades(spark, sf).join(of, "l_suppkey"), "list", "instrument", "ts")
+
+
+@query("list_members", _NAMES)
+def list_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Who is among the five most traded suppliers of each region, and from when to when."""
+    from ravelin.operators.membership import spans_of_members
+
+    return spans_of_members(region_suppliers(spark, sf), LIST_SIZE)
+
+
+@query("list_by_name")
+def list_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    """An evaluation of a list by its name: the whole grid of a cross on the five most traded suppliers of a region."""
+    from ravelin.operators.membership import resolved
+    from ravelin.plans.evaluate import evaluate
+    from ravelin.plans.strategies import STRATEGIES
+
+    bars, member = resolved(f"EUROPE_top{LIST_SIZE}", region_suppliers(spark, sf))
+    e = evaluate(bars, STRATEGIES["sma_cross"], member=member)
+    return rounded(e.card.select("key", "days", "sharpe", "cagr", "max_dd", "vs_hold", "targets_met"))

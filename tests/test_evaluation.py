@@ -425,3 +425,28 @@ def test_stitched_trades_make_the_record(spark):
     assert np.isclose(got["a", 1].made, 0.005 * sum(first[:3]) + 0.003 * sum(after) - first[3] * 0.002)
     record = stitch.record_of(book).orderBy("ts").collect()
     assert np.isclose(sum(r.made for r in got.values()), np.prod([1 + r.r for r in record]) - 1) and np.isclose(record[3].r, turn)
+
+
+def test_members_of_a_list_by_hand(spark):
+    """A silent member is replaced in mid-month by the next in rank that prints; the edge keeps who is in."""
+    from ravelin.operators import membership as Q
+
+    days = pd.date_range("2024-01-01", "2024-04-30")
+    money = {"a": 9.0, "b": 8.0, "c": 7.0, "d": 6.0}
+    rows = [("L", n, d.to_pydatetime(), m + (2.5 if n == "c" and d >= pd.Timestamp("2024-03-01") else 0)) for n, m in money.items() for d in days if not (n == "b" and pd.Timestamp("2024-02-06") < d < pd.Timestamp("2024-03-20"))]
+    bars = spark.createDataFrame(rows, "list string, instrument string, ts timestamp, dollar_volume double")
+    at = lambda d: pd.Timestamp(d).to_pydatetime()
+    got = {(r.instrument, r.start, r.end) for r in Q.spans_of_members(bars, 2, season=20).collect()}
+    assert got == {("a", at("2024-02-01"), None), ("b", at("2024-02-01"), at("2024-02-20")), ("c", at("2024-02-20"), None)}
+    spans = Q.spans_of_members(bars, 2, season=20)
+    listed = {(r.instrument, r.ts): r.listed for r in Q.members_by_day(bars, spans).collect()}
+    assert len(listed) == len(rows) and sum(listed.values()) == sum(1 for _, n, d, _ in rows if n != "d" and d >= at("2024-02-01") and (n != "b" or d < at("2024-02-20")) and (n != "c" or d >= at("2024-02-20")))
+    assert Q.spelled("EUROPE_top10") == Q.Spec("EUROPE", 10) and Q.spelled("fx_majors") == Q.Spec("fx_majors")
+    for bad in ("", "_top5", "top5", "x_top0", "x_top"):
+        with pytest.raises(ValueError):
+            Q.spelled(bad)
+    own, member = Q.resolved("L_top2", bars)
+    assert "list" not in own.columns and member.where("listed").count() == sum(listed.values())
+    assert Q.resolved("L", bars)[1] is None
+    with pytest.raises(ValueError):
+        Q.resolved("M_top2", bars)
