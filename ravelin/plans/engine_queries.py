@@ -208,7 +208,7 @@ _QUOTED = f"""{R.replace("WITH ", "WITH RECURSIVE ", 1)}, {_TGT}, x AS (
               SELECT *, list_transform(range(1, len(w) + 1), lambda i: w[i] * (1 + coalesce(gap[i], 0)) / grow) AS pre FROM (
                 SELECT rows_.t, w, done, gap, r, g, q, ok, 1 + list_sum(list_transform(range(1, len(w) + 1), lambda i: w[i] * coalesce(gap[i], 0))) AS grow FROM walk JOIN rows_ ON rows_.t = walk.t + 1))))))
   )
-  SELECT rows_.ts, round(net, 8) AS net, round(cost, 8) AS cost, round(turnover, 6) AS turnover, round(exposure, 6) AS exposure FROM walk JOIN rows_ USING (t)"""
+  SELECT rows_.ts, round(net, 8) + 0.0 AS net, round(cost, 8) + 0.0 AS cost, round(turnover, 6) + 0.0 AS turnover, round(exposure, 6) + 0.0 AS exposure FROM walk JOIN rows_ USING (t)"""
 
 
 @query("account_quoted", _QUOTED)
@@ -217,7 +217,8 @@ def account_quoted(spark: SparkSession, sf: str) -> DataFrame:
     quotes = V.bars_region(spark, sf).where(F.dayofmonth("ts") % 3 == 0).select("instrument", "ts", F.round((F.col("high") - F.col("low")) / F.col("close") * 0.001, 8).alias("quoted"))
     book = targeted(spark, sf).withColumn("target", F.greatest("target", F.lit(0.0))).join(quotes, ["instrument", "ts"], "left").withColumn("book", F.lit("long"))
     a = K.run_account(book.select("book", "ts", "instrument", "open", "high", "close", "target", "quoted"), "book", K.Costs(0.0005))
-    return a.select("ts", F.round("net", 8).alias("net"), F.round("cost", 8).alias("cost"), r6("turnover").alias("turnover"), r6("exposure").alias("exposure"))
+    plain = lambda c, digits: (F.round(c, digits) + F.lit(0.0)).alias(c)  # noqa: E731  # no negative zeros
+    return a.select("ts", plain("net", 8), plain("cost", 8), plain("turnover", 6), plain("exposure", 6))
 
 
 def _hold_pass(pdf: pd.DataFrame) -> pd.DataFrame:
