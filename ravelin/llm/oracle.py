@@ -3,6 +3,7 @@
 The others (token ids, kernels, chunk hashes, whole texts by byte) are tested against brute force in tests/llm.
 """
 
+from ravelin.llm.conversation import BROKEN_OFF, DELETE, INSERT, KEEP, REROLE
 from ravelin.llm.divergence import LEAST_DOCS, PRIOR, SCALE, TOP
 from ravelin.llm.quality_lines import LEAST_LEFT, MIN_DOCS, MOST, SHARE
 
@@ -104,4 +105,58 @@ groups AS (
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= {TOP}
 """
 
-ORACLE: dict[str, str] = {"op3_topk": _TOPK, "op7_minhash": _NEAR, "op9_line_frequency": _LINES, "op12_source_divergence": _AUDIT}
+
+def _repair() -> str:
+    """Edits from the last row back: of each state the least cost and, of those as cheap, the least letters, as one string."""
+
+    def add(cost: str, letters: str, rest: str) -> str:
+        return f"lpad((substr({rest}, 1, 10)::BIGINT + {cost})::VARCHAR, 10, '0') || '{letters}' || substr({rest}, 11)"
+
+    onward = (2, 2, 3, 2)  # states: 0 start, 1 system, 2 user, 3 assistant
+    kept = ({"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2})
+    row, put = [], []
+    for x in range(4):
+        keep = " ".join(f"WHEN c = '{c}' THEN {add(f'({KEEP} + {BROKEN_OFF} * t)', 'K', f'w{to}')}" for c, to in kept[x].items())
+        other = f"CASE WHEN NOT gone THEN CASE {keep} END END, CASE WHEN NOT gone THEN {add(f'({REROLE} + {BROKEN_OFF} * t)', 'R', f'w{onward[x]}')} END"
+        row.append(f"least({add(str(DELETE), 'D', f'w{x}')}, {other}) AS h{x}")
+        put.append(f"least(h{x}, {add(str(INSERT), 'I', f'h{onward[x]}')}, {add(str(2 * INSERT), 'II', f'h{onward[onward[x]]}')}) AS w{x}")
+    white = " || ".join(f"chr({b})" for b in (32, 9, 10, 11, 12, 13))
+    return f"""
+WITH RECURSIVE tab AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc
+), keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+), dealt AS (
+  SELECT keyed.*, xor(list_reduce([4294967295]::BIGINT[] || list_transform(string_split(k, ''), lambda b: ascii(b)::BIGINT), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS h FROM keyed, tab
+), harmed AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS again FROM dealt WHERE h <> 0
+), placed AS (
+  SELECT *, coalesce(conv_id::VARCHAR, '') AS cid, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS i, count(*) OVER (PARTITION BY conv_id) AS size,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, again) AS nth, trim(text, {white}) AS inside FROM harmed
+), faults AS (
+  SELECT *, CASE WHEN inside = '' THEN 1 WHEN nth > 1 THEN 2 WHEN right(inside, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault, lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS past FROM placed
+), back AS (
+  SELECT DISTINCT cid, size + 1 AS i, '0000000000' AS w0, '{2 * INSERT:010d}II' AS w1, '{INSERT:010d}I' AS w2, '0000000000' AS w3 FROM faults
+  UNION ALL
+  SELECT cid, i, {", ".join(put)} FROM (
+    SELECT cid, i, {", ".join(row)} FROM (
+      SELECT f.cid, f.i, left(f.role, 1) AS c, (f.fault = 3)::INTEGER AS t, f.fault IN (1, 2) AS gone, w0, w1, w2, w3 FROM back JOIN faults AS f ON f.cid = back.cid AND f.i = back.i - 1))
+), best AS (SELECT cid, substr(w0, 1, 10)::BIGINT AS cost, substr(w0, 11) AS audit FROM back WHERE i = 1),
+repaired AS (
+  SELECT cid, 0 AS k, 1::BIGINT AS i, 0 AS state, NULL::VARCHAR AS line, audit FROM best
+  UNION ALL
+  SELECT r.cid, r.k + 1, r.i + CASE WHEN e = 'I' THEN 0 ELSE 1 END, CASE WHEN e = 'D' THEN state WHEN e = 'K' THEN CASE left(f.role, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END WHEN state = 2 THEN 3 ELSE 2 END,
+    CASE WHEN e = 'K' THEN f.role || ':' || f.text WHEN e IN ('I', 'R') THEN CASE WHEN state = 2 THEN 'assistant:' ELSE 'user:' END || CASE WHEN e = 'R' THEN f.text ELSE '' END END, audit
+  FROM (SELECT *, substr(audit, k + 1, 1) AS e FROM repaired WHERE k < length(audit)) AS r LEFT JOIN faults AS f ON f.cid = r.cid AND f.i = r.i
+), texts AS (SELECT cid, string_agg(line, chr(10) ORDER BY k) FILTER (WHERE line IS NOT NULL) AS whole FROM repaired GROUP BY cid),
+counts AS (
+  SELECT cid, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+    count(*) FILTER (past IS NOT NULL AND left(past, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY cid
+), every AS (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, '') AS cid FROM conversations)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM every LEFT JOIN counts USING (cid) LEFT JOIN best USING (cid) LEFT JOIN texts USING (cid)
+"""
+
+
+ORACLE: dict[str, str] = {"op3_topk": _TOPK, "op7_minhash": _NEAR, "op9_line_frequency": _LINES, "op12_source_divergence": _AUDIT, "op13_conversation_repair": _repair()}

@@ -277,6 +277,14 @@ def test_repair_of_conversations(spark, sf):
     assert {r.conv_id: tuple(r)[1:] for r in QUERIES["op13_conversation_repair"](spark, sf).collect()} == want
 
 
+def test_repair_equals_its_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    want = con.sql(ORACLE["op13_conversation_repair"])
+    got = QUERIES["op13_conversation_repair"](spark, sf)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
 def test_repair_of_nothing(spark):
     assert conversation.repair(spark.createDataFrame([], CONVERSATIONS)).collect() == []
 
