@@ -248,11 +248,11 @@ def _seat_pass(pdf: pd.DataFrame) -> pd.DataFrame:
 
 @query("seats")
 def seats(spark: SparkSession, sf: str) -> DataFrame:
-    """Who sits among the three most traded names of a month; books are groups."""
+    """Who sits among the three names most traded in the month before; books are groups."""
     b = V.bars_region(spark, sf)
     month = b.groupBy("instrument", F.trunc("ts", "MM").alias("m")).agg(F.sum("dollar_volume").alias("money"))
     rank = F.row_number().over(Window.partitionBy("m").orderBy(F.desc("money"), "instrument"))
-    listed = month.withColumn("listed", (rank <= 3).cast("double"))
+    listed = month.withColumn("listed", (rank <= 3).cast("double")).withColumn("m", F.add_months("m", 1))  # known when the month begins
     side = F.coalesce(F.signum(I.sma("close", 5) - I.sma("close", 20)), F.lit(0.0))
     x = b.select("instrument", "ts", F.trunc("ts", "MM").alias("m"), side.alias("side")).join(listed, ["instrument", "m"]).withColumn("book", F.lit("top3"))
     return x.groupBy("book").applyInPandas(_seat_pass, "ts timestamp, instrument string")
@@ -267,8 +267,8 @@ def _slot_pass(pdf: pd.DataFrame) -> pd.DataFrame:
 @query("slots")
 def slots(spark: SparkSession, sf: str) -> DataFrame:
     b = V.bars_brand(spark, sf).withColumn("w", F.avg("close").over(I.rows(5)) - F.avg("close").over(I.rows(20)))
-    money = b.groupBy("instrument").agg(F.sum("dollar_volume").alias("money"))
-    t = S.spans(b, "w").join(money, "instrument").withColumn("book", F.substring("instrument", 1, 7))  # a list per maker; its trades, not its bars
+    money = b.select("instrument", F.col("ts").alias("start"), F.avg("dollar_volume").over(P.own().rowsBetween(-20, -1)).alias("money"))  # of the bars before a trade
+    t = S.spans(b, "w").join(money, ["instrument", "start"], "left").fillna(0.0, ["money"]).withColumn("book", F.substring("instrument", 1, 7))  # a list per maker; its trades, not its bars
     return t.groupBy("book").applyInPandas(_slot_pass, "instrument string, side int, start timestamp, end timestamp, taken boolean")
 
 
