@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ravelin.functions import indicators as I
 from ravelin.plans.registry import query
+from ravelin.sources.store import read_bars, shared_dir
 from ravelin.sources import views as V
 from ravelin.streaming import bars as S
+from ravelin.streaming import refresh as R
 from ravelin.streaming import upkeep as U
 
 
@@ -64,3 +69,40 @@ def change_log(spark: SparkSession, sf: str) -> DataFrame:
     """Changes of the last day, by kind."""
     e = V.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return U.recent_changes(e).groupBy(F.col("event_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
+
+
+FIRST_RUN = "2024-01-17 12:30:00"  # events up to here arrive before the first run of the refresh
+
+
+@query("store_refresh", f"WITH {V.sql_event('1 hour')} SELECT instrument, ts, open, high, low, close, volume FROM bars WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 2 HOURS")
+def store_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """A store of hourly bars after two runs of its refresh: the hour that the first run left open is closed by the second."""
+    root = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    events = V.table(spark, sf, "events")
+    for late in (False, True):
+        events.where((F.col("ts") >= F.lit(FIRST_RUN).cast("timestamp_ntz")) == late).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(S.EVENTS).parquet(f"{root}/in").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", R.LATE)
+        R.refresh(S.hourly_bars(stream), f"{root}/store", "1h")
+    return read_bars(spark, f"{root}/store", "1h", columns=["open", "high", "low", "close", "volume"])
+
+
+def _plan_sql() -> str:
+    avg = lambda n: f"CASE WHEN count(close) OVER (PARTITION BY instrument ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) = {n} THEN avg(close) OVER (PARTITION BY instrument ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END"
+    return f"""WITH {V.SQL_REGION}, t AS (SELECT instrument, ts, coalesce(sign({avg(10)} - {avg(100)}), 0)::INT AS side FROM bars), p AS (SELECT max(ts) AS ts FROM bars GROUP BY year(ts)),
+  o AS (SELECT ts, lag(ts) OVER (ORDER BY ts) AS before FROM p), m AS (SELECT t.instrument, t.ts, t.side AS to_side, coalesce(b.side, 0) AS from_side FROM t JOIN o USING (ts) LEFT JOIN t b ON b.instrument = t.instrument AND b.ts = o.before)
+  SELECT instrument, ts, from_side, to_side, nth::INT AS nth, CASE WHEN to_side > from_side THEN 'BUY' ELSE 'SELL' END AS action FROM m, (SELECT unnest([0, 1]) AS nth) WHERE nth < abs(to_side - from_side)"""
+
+
+@query("forward_plans", _plan_sql())
+def forward_plans(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders of a plan per year's last bar, each against the sides that the plan before saved; every second plan is run twice."""
+    from ravelin.sources.store import kept
+
+    root = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    gap = I.sma("close", 10) - I.sma("close", 100)
+    t = kept(V.bars_region(spark, sf).select("instrument", "ts", F.coalesce(F.signum(gap), F.lit(0.0)).alias("weight")), "targets")
+    ends = t.groupBy(F.year("ts").alias("year")).agg(F.max("ts").alias("ts"))
+    for i, row in enumerate(sorted(ends.collect(), key=lambda r: r.ts)):  # a year's last bar each
+        for _ in range(1 + i % 2):
+            R.plan(t, root, row.ts)
+    return R.read_orders(spark, root).drop("weight")
