@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timedelta
 from functools import reduce
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +17,8 @@ from ravelin.operators import metrics as M
 from ravelin.operators import selection as S
 from ravelin.operators import walks as K
 from ravelin.operators.intrabar import exits_inside
-from ravelin.plans.strategies import Strategy
+from ravelin.operators.joins import as_of
+from ravelin.plans.strategies import DAILY, Strategy
 from ravelin.sources.store import kept
 
 
@@ -72,8 +74,9 @@ def daily_of(walks: DataFrame, value: Any = "net", length: str = "1 day") -> Dat
     return M.daily(day, "ts", "r").select(F.col("key").cast("int").alias("config"), "day", "r")
 
 
-def records_of(bars: DataFrame, strategy: Strategy, configs: list[dict[str, Any]], costs: K.Costs, length: str = "1 day", **more: Any) -> DataFrame:
+def records_of(bars: DataFrame, strategy: Strategy, configs: list[dict[str, Any]], costs: K.Costs, length: str | None = None, **more: Any) -> DataFrame:
     """(config, day, r) of each configuration's account."""
+    length = length or more.get("market", DAILY).length
     return daily_of(B.run_books(books_of(bars, strategy, configs, **more), strategy.kind, configs, costs), length=length)
 
 
@@ -93,14 +96,15 @@ def benchmark(e: Evaluation) -> DataFrame:
     return day.select(F.lit(e.strategy.name).alias("key"), "day", "r").join(e.out_of_sample.select("day"), "day", "left_semi").select("key", "day", "r")
 
 
-def evaluate(bars: DataFrame, strategy: Strategy, configs: list[dict[str, Any]] | None = None, costs: K.Costs | None = None, length: str = "1 day", **more: Any) -> Evaluation:
-    """The whole grid walked forward. more: member, carry, quotes, minutes, and what the strategy itself asks for.
+def evaluate(bars: DataFrame, strategy: Strategy, configs: list[dict[str, Any]] | None = None, costs: K.Costs | None = None, length: str | None = None, **more: Any) -> Evaluation:
+    """The whole grid walked forward. more: member, carry, quotes, minutes, market, and what the strategy itself asks for.
 
-    length: how long after its stamp a bar closes (daily bars are stamped at their start; "0 hours" for bars stamped at their end).
+    market: class and timeframe of the bars, by which spans in days and months are turned into bars. length: how long
+    after its stamp a bar closes, if it isn't as the market says.
 
     Walks are written once to the shared folder; every figure and check reads them there.
     """
-    costs = costs or K.Costs(0.0005, 0.005)
+    costs, length = costs or K.Costs(0.0005, 0.005), length or more.get("market", DAILY).length
     names = bars.select("instrument").distinct().count()
     configs = configs or strategy.configs(names)
     books = kept(books_of(bars, strategy, configs, **more), "books")
@@ -117,16 +121,66 @@ def evaluate(bars: DataFrame, strategy: Strategy, configs: list[dict[str, Any]]
     return e
 
 
+def alone(bars: DataFrame, strategy: Strategy, costs: K.Costs | None = None, **more: Any) -> DataFrame:
+    """(key, config, day, r, position): every configuration of a rule's grid on each instrument alone; position is what a day's last bar held.
+
+    Axes that choose among names (slots), or that need minutes, have one value here.
+    """
+    costs, length = costs or K.Costs(0.0005, 0.005), more.get("market", DAILY).length
+    grid = {k: [None] if k == "slots" else ["bar"] if k == "trail_every" else v for k, v in strategy.grid.items()}
+    params = replace(strategy, grid=grid).configs()
+    signals: dict[str, tuple[int, dict]] = {}
+    of = [signals.setdefault(repr(sorted(own.items())), (len(signals), own))[0] for own in map(strategy.signal, params)]
+    each = [strategy.positions(bars, **p, **more).select(F.lit(i).alias("signal"), "instrument", "ts", "position") for i, p in signals.values()]
+    table = bars.sparkSession.createDataFrame(list(enumerate(of)), "config int, signal int")
+    books = B.wanted_books(bars, reduce(DataFrame.unionByName, each), table)
+
+    def one(pdf: Any) -> Any:
+        ts, names, _, a = B.walked(pdf, strategy.kind, params[int(pdf["config"].iloc[0])], costs)
+        return pd.DataFrame({"key": names[0], "config": pdf["config"].iloc[0], "ts": ts, "net": a.net, "position": a.weights.sum(axis=1)})
+
+    spread = books.repartition(4 * bars.sparkSession.sparkContext.defaultParallelism, "instrument", "config")  # little data, much work: not to be coalesced
+    walks = kept(spread.groupBy("instrument", "config").applyInPandas(one, "key string, config int, ts timestamp, net double, position double"), "alone")
+    walks = walks.withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {length}")).withColumn("both", F.struct("key", "config"))
+    held = walks.groupBy("both", F.date_trunc("day", F.col("ts") - F.expr("INTERVAL 1 MICROSECOND")).alias("day")).agg(F.max_by("position", "ts").alias("position"))
+    r = M.daily(walks.select(F.col("both").alias("key"), "ts", F.col("net").alias("r")), "ts", "r").withColumnRenamed("key", "both")
+    return r.join(held, ["both", "day"], "left").select("both.*", "day", "r", "position")
+
+
 def pick(records: DataFrame, cost: float = 0.0005) -> tuple[DataFrame, DataFrame]:
-    """Per key, candidates' records (key, config, day, r) walked forward: (choices, key/day/config/r of the chosen).
+    """Per key, candidates' records (key, config, day, r, position) walked forward: (choices, key/day/config/r/position of the chosen).
 
-    A switch of candidate pays the cost on the first day it holds."""
+    A switch pays the cost of turning what the candidate before held, the day before, into what the new one held then. A
+    window in which no candidate can be chosen holds nothing.
+    """
     folds = S.folds(records)
     chosen = S.choose(records, folds, ["key"])
-    dated = chosen.join(F.broadcast(folds), "fold")  # the calendar over the step
     w = Window.partitionBy("key").orderBy("fold")
-    dated = dated.withColumn("switch", F.coalesce(F.lag("config").over(w) != F.col("config"), F.lit(False)))
-    days = dated.select("key", "config", "switch", F.col("test_start").alias("first"), F.explode(F.sequence("test_start", F.expr("test_end - INTERVAL 1 DAY"), F.expr("INTERVAL 1 DAY"))).alias("day"))
-    out = days.join(records, ["key", "config", "day"], "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
-    paid = F.when(F.col("switch") & (F.col("day") == F.col("first")), (1 + F.col("r")) * (1 - cost) - 1).otherwise(F.col("r"))
-    return chosen, out.select("key", "day", "config", paid.alias("r"))
+    dated = records.select("key").distinct().join(F.broadcast(folds))  # the calendar over the step, for each key
+    dated = dated.join(chosen.select("key", "fold", "config"), ["key", "fold"], "left").withColumns({"before": F.lag("config").over(w), "nth": F.row_number().over(w)})
+    turns = dated.where("nth > 1 AND NOT config <=> before").select("key", F.col("test_start").alias("day"), "config", "before")
+    at = lambda c: F.struct("key", F.col(c).alias("config"))
+    held = records.where("position IS NOT NULL").select(F.struct("key", "config").alias("of"), "day", "position")
+    asks = turns.select("key", "day", F.explode(F.array(F.struct(at("config").alias("of"), F.lit(1).alias("sign")), F.struct(at("before").alias("of"), F.lit(-1).alias("sign")))).alias("x")).select("key", "day", "x.*")
+    turned = as_of(asks, held, "of", "day", "day", ["position"], strict=True).groupBy("key", "day")
+    turned = turned.agg(F.abs(F.sum(F.col("sign") * F.coalesce("position", F.lit(0.0)))).alias("turned"))
+    days = dated.select("key", "config", F.explode(F.sequence("test_start", F.expr("test_end - INTERVAL 1 DAY"), F.expr("INTERVAL 1 DAY"))).alias("day"))
+    out = days.join(records, ["key", "config", "day"], "left").join(turned, ["key", "day"], "left")
+    paid = (1 + F.coalesce("r", F.lit(0.0))) * (1 - cost * F.coalesce("turned", F.lit(0.0))) - 1
+    last = F.coalesce(F.last("position", ignorenulls=True).over(Window.partitionBy("key", "config").orderBy("day")), F.lit(0.0))
+    return chosen, out.select("key", "day", "config", paid.alias("r"), F.when(F.col("config").isNotNull(), last).otherwise(0.0).alias("position"))
+
+
+LEAST_BARS, LEAST_MONTHS = 100, 6  # fixed values: what an instrument must have to be scored alone
+
+
+def walked_alone(bars: DataFrame, strategy: Strategy, **more: Any) -> DataFrame:
+    """(key, day, config, r, position): a rule's grid walked forward on each instrument for itself.
+
+    Instruments of fewer than 100 bars, and records of fewer than six whole months, are left out.
+    """
+    enough = bars.where("close IS NOT NULL").groupBy("instrument").agg(F.count(F.lit(1)).alias("_bars")).where(F.col("_bars") >= LEAST_BARS)
+    _, days = pick(kept(alone(bars.join(enough.select("instrument"), "instrument", "left_semi"), strategy, **more), "candidates"))
+    days = kept(days, "walked")
+    scored = M.monthly(days.select("key", "day", "r")).groupBy("key").agg(F.count(F.lit(1)).alias("months")).where(F.col("months") >= LEAST_MONTHS)
+    return days.join(scored.select("key"), "key", "left_semi")

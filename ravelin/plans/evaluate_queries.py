@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import inspect
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import pandas as pd
@@ -18,13 +19,13 @@ from ravelin.operators import selection as S
 from ravelin.operators.joins import as_of
 from ravelin.operators.panel import own
 from ravelin.plans import strategies as T
-from ravelin.plans.evaluate import daily_of, evaluate, pick
+from ravelin.plans.evaluate import evaluate, pick, walked_alone
 from ravelin.plans.record_queries import SQL_CHOSEN, SQL_CONFIGS, rounded
 from ravelin.plans.registry import query
 from ravelin.plans.signal_queries import r6
-from ravelin.operators.walks import Costs
 from ravelin.sources import calendars
 from ravelin.sources import views as V
+from ravelin.sources.store import kept
 
 W = "OVER (PARTITION BY instrument ORDER BY ts)"
 
@@ -107,42 +108,35 @@ def robustness_model(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(robust.judged(measured, e.card.select("key", "sharpe"), bar))
 
 
-def alone(bars: DataFrame, names: list[str], costs: Costs | None = None) -> DataFrame:
-    """(key, config, day, r): the account of each strategy on each instrument alone; config is the place in names."""
-    from ravelin.operators import books as B
-
-    of = sorted(r.instrument for r in bars.select("instrument").distinct().collect())  # a list's names
-    s = [T.STRATEGIES[n] for n in names]
-    params = [x.configs()[0] for _ in of for x in s]
-    configs = bars.sparkSession.createDataFrame([(i * len(s) + k, k, n) for i, n in enumerate(of) for k in range(len(s))], "config int, signal int, instrument string")
-    each = reduce(DataFrame.unionByName, [x.positions(bars).select(F.lit(k).alias("signal"), "instrument", "ts", "position") for k, x in enumerate(s)])
-    books = B.wanted_books(bars, each, configs.withColumnRenamed("instrument", "_of")).where("instrument = _of").drop("_of")
-    walks = B.run_books(books, "rule", params, costs or Costs(0.0005, 0.005))
-    day = daily_of(walks).withColumnRenamed("config", "id").join(F.broadcast(configs.withColumnRenamed("config", "id")), "id")
-    return day.select(F.col("instrument").alias("key"), F.col("signal").alias("config"), "day", "r")
-
-
 CANDIDATES = ["sma_cross", "ema_trend", "ibs", "ibs_reversion", "rsi2_connors", "bollinger_reversion", "donchian_breakout", "keltner_breakout", "tsmom", "pocket_pivot"]
 
 
 @query("evaluate_alone")
 def evaluate_alone(spark: SparkSession, sf: str) -> DataFrame:
-    """A rule on each instrument for itself: share of the best days, figures, targets."""
-    own_ = alone(V.bars_region(spark, sf), ["ibs"]).select("key", "day", "r")
+    """A rule on each instrument for itself, its grid walked forward: share of the best days, figures, targets."""
+    own_ = walked_alone(kept(V.bars_region(spark, sf), "bars"), T.STRATEGIES["ibs"]).select("key", "day", "r")
     card = M.core(own_).withColumn("beats_hold", F.lit(False))
     return rounded(M.targets(card).join(M.best_days_share(own_), "key").select("key", "days", "sharpe", "cagr", "max_dd", "share", "targets_met"))
 
 
+def picked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Every candidate walked forward over its whole grid on each region, then chosen among by its record so far."""
+    bars = kept(V.bars_region(spark, sf), "bars")
+    walked = lambda n: walked_alone(bars, T.STRATEGIES[n])
+    with ThreadPoolExecutor(4) as jobs:  # candidates know nothing of each other, and each is many short jobs
+        each = [d.select("key", F.lit(i).alias("config"), "day", "r", "position") for i, d in enumerate(jobs.map(walked, CANDIDATES))]
+    return pick(kept(reduce(DataFrame.unionByName, each), "records"))
+
+
 @query("strategy_pick")
 def strategy_pick(spark: SparkSession, sf: str) -> DataFrame:
     """Which strategy a walk-forward over candidates takes, per instrument and window."""
-    chosen, _ = pick(alone(V.bars_region(spark, sf), CANDIDATES))
-    return rounded(chosen)
+    return rounded(picked(spark, sf)[0])
 
 
 @query("strategy_pick_record")
 def strategy_pick_record(spark: SparkSession, sf: str) -> DataFrame:
-    _, days = pick(alone(V.bars_region(spark, sf), CANDIDATES))
+    days = picked(spark, sf)[1]
     return rounded(days.groupBy("key").agg(F.count(F.lit(1)).alias("days"), (M.grown("r") - 1).alias("gain"), F.count_distinct("config").alias("strategies")))
 
 
@@ -304,8 +298,6 @@ def vol_ratio(spark: SparkSession, sf: str) -> DataFrame:
 @query("look_ahead_check")
 def look_ahead(spark: SparkSession, sf: str) -> DataFrame:
     """Positions on bars cut at two dates against those on all bars, for every strategy: a difference would be a look ahead."""
-    from ravelin.sources.store import kept
-
     region, brand, nation = (kept(f(spark, sf), "bars") for f in (V.bars_region, V.bars_brand, V.bars_nation))
     paid = V.settlements(spark, sf)
     out = []
@@ -343,8 +335,6 @@ def chosen_book(spark: SparkSession, sf: str) -> DataFrame:
     """The stitched book of the grid of crosses on all regions, each a fifth of the equity."""
     from ravelin.operators.stitch import stitched_book
     from ravelin.plans.record_queries import COST, FASTS, GRID, SLOWS
-    from ravelin.sources.store import kept
-
     b = V.bars_region(spark, sf).withColumn("r", F.coalesce(F.log(F.col("close") / F.lag("close").over(I.own())) * 0.02, F.lit(0.0)))
     b = b.select("instrument", "ts", "r", *(I.sma("close", n).alias(f"s{n}") for n in FASTS + SLOWS))
     side = [F.struct(F.lit(i).alias("config"), F.coalesce(F.signum(F.col(f"s{f}") - F.col(f"s{s}")), F.lit(0.0)).alias("side")) for i, f, s in GRID]
