@@ -27,6 +27,15 @@ def sma(c: Column | str, n: int) -> Column:
     return full(F.avg(c).over(rows(n)), c, n, rows(n))
 
 
+SAME = 1e-12  # fixed value: averages no further apart than this share of the slow one are equal, for sums of doubles are no closer
+
+
+def cross(fast: Column | str, slow: Column | str) -> Column:
+    """The side of one average against another: 1, -1, or 0 where they differ by rounding only."""
+    fast, slow = (F.col(c) if isinstance(c, str) else c for c in (fast, slow))
+    return F.when(F.abs(fast - slow) <= SAME * F.abs(slow), 0.0).otherwise(F.signum(fast - slow))
+
+
 def bollinger(c: Column | str, n: int, k: float) -> tuple[Column, Column, Column]:
     """Lower, middle and upper band; the deviation is the population's."""
     middle, dev = F.avg(c).over(rows(n)), F.stddev_pop(c).over(rows(n))

@@ -39,7 +39,7 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
 def targeted(spark: SparkSession, sf: str, fast: int = 10, slow: int = 50) -> DataFrame:
     """The panel with the target of a cross of averages, shared alike by five names; a missed bar keeps its target."""
     b = V.bars_region(spark, sf)
-    side = F.coalesce(F.signum(I.sma("close", fast) - I.sma("close", slow)), F.lit(0.0))
+    side = F.coalesce(I.cross(I.sma("close", fast), I.sma("close", slow)), F.lit(0.0))
     own = b.withColumn("target", side / 5)
     return P.grid(b).join(own, ["instrument", "ts"], "left").withColumn("target", F.coalesce(F.last("target", ignorenulls=True).over(P.own()), F.lit(0.0)))
 
@@ -98,7 +98,7 @@ def account_walk(spark: SparkSession, sf: str) -> DataFrame:
 def account_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Books of the whole grid, each an own group: bars and averages are made once, and rows fan out to the books last."""
     b = V.bars_region(spark, sf).select("instrument", "ts", "open", "high", "close", *(I.sma("close", n).alias(f"s{n}") for n in FASTS + SLOWS))
-    each = [F.struct(F.lit(f"{f}/{s}").alias("book"), (F.coalesce(F.signum(F.col(f"s{f}") - F.col(f"s{s}")), F.lit(0.0)) / 5).alias("target")) for _, f, s in GRID]
+    each = [F.struct(F.lit(f"{f}/{s}").alias("book"), (F.coalesce(I.cross(f"s{f}", f"s{s}"), F.lit(0.0)) / 5).alias("target")) for _, f, s in GRID]
     books = b.select("ts", "instrument", "open", "high", "close", F.explode(F.array(*each)).alias("x")).select("x.book", "ts", "instrument", "open", "high", "close", "x.target")
     a = K.run_account(books, "book", K.Costs(0.0005, 0.005))
     return rounded(a.groupBy("book").agg(F.count(F.lit(1)).alias("bars"), (M.grown("net") - 1).alias("gain"), F.sum("cost").alias("cost"), F.max("exposure").alias("exposure")))
@@ -113,7 +113,7 @@ def _exit_pass(pdf: pd.DataFrame) -> pd.DataFrame:
 
 @query("exit_walk")
 def exit_walk(spark: SparkSession, sf: str) -> DataFrame:
-    b = V.bars_region(spark, sf).withColumn("side", F.coalesce(F.signum(I.sma("close", 5) - I.sma("close", 20)), F.lit(0.0)))
+    b = V.bars_region(spark, sf).withColumn("side", F.coalesce(I.cross(I.sma("close", 5), I.sma("close", 20)), F.lit(0.0)))
     out = b.groupBy("instrument").applyInPandas(_exit_pass, "instrument string, ts timestamp, exit_px double, held double")
     return out.select("instrument", "ts", r6(F.when(~F.isnan("exit_px"), F.col("exit_px"))).alias("exit_px"), "held")
 
@@ -138,7 +138,7 @@ _ON_BARS = "SELECT *, ts AS bar FROM bars"
 def _hours(spark: SparkSession, sf: str, variants: int) -> DataFrame:
     """Hourly bars with the side of a cross of averages for each variant, and the ATR."""
     b = V.bars_event(spark, sf)
-    side = F.coalesce(F.signum(I.sma("close", 5) - I.sma("close", 20)), F.lit(0.0))
+    side = F.coalesce(I.cross(I.sma("close", 5), I.sma("close", 20)), F.lit(0.0))
     b = X.recursive(b.select("instrument", "ts", "open", "high", "low", "close"), atr=("atr", 14))
     return b.withColumn("sides", F.array_repeat(side, variants))
 
@@ -253,7 +253,7 @@ def seats(spark: SparkSession, sf: str) -> DataFrame:
     month = b.groupBy("instrument", F.trunc("ts", "MM").alias("m")).agg(F.sum("dollar_volume").alias("money"))
     rank = F.row_number().over(Window.partitionBy("m").orderBy(F.desc("money"), "instrument"))
     listed = month.withColumn("listed", (rank <= 3).cast("double")).withColumn("m", F.add_months("m", 1))  # known when the month begins
-    side = F.coalesce(F.signum(I.sma("close", 5) - I.sma("close", 20)), F.lit(0.0))
+    side = F.coalesce(I.cross(I.sma("close", 5), I.sma("close", 20)), F.lit(0.0))
     x = b.select("instrument", "ts", F.trunc("ts", "MM").alias("m"), side.alias("side")).join(listed, ["instrument", "m"]).withColumn("book", F.lit("top3"))
     return x.groupBy("book").applyInPandas(_seat_pass, "ts timestamp, instrument string")
 

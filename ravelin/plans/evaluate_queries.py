@@ -183,7 +183,7 @@ def switch_costs(spark: SparkSession, sf: str) -> DataFrame:
     fold = S.folds(rec)
     chosen = S.choose(rec, fold).withColumn("before", (F.col("config") + 1 + F.col("fold")) % len(GRID)).where("before <> config").join(fold.select("fold", "test_start"), "fold")
     b = V.bars_region(spark, sf).select("instrument", "ts", *(I.sma("close", n).alias(f"s{n}") for n in FASTS + SLOWS))
-    side = F.array(*(F.coalesce(F.signum(F.col(f"s{f}") - F.col(f"s{s}")), F.lit(0.0)) for _, f, s in GRID))
+    side = F.array(*(F.coalesce(I.cross(f"s{f}", f"s{s}"), F.lit(0.0)) for _, f, s in GRID))
     b = b.select("instrument", "ts", side.alias("sides"))
     asks = chosen.join(b.select("instrument").distinct())  # switches of the calendar, for each name
     last = as_of(asks, b, "instrument", "test_start", "ts", ["sides"], strict=True)
@@ -337,7 +337,7 @@ def chosen_book(spark: SparkSession, sf: str) -> DataFrame:
     from ravelin.plans.record_queries import COST, FASTS, GRID, SLOWS
     b = V.bars_region(spark, sf).withColumn("r", F.coalesce(F.log(F.col("close") / F.lag("close").over(I.own())) * 0.02, F.lit(0.0)))
     b = b.select("instrument", "ts", "r", *(I.sma("close", n).alias(f"s{n}") for n in FASTS + SLOWS))
-    side = [F.struct(F.lit(i).alias("config"), F.coalesce(F.signum(F.col(f"s{f}") - F.col(f"s{s}")), F.lit(0.0)).alias("side")) for i, f, s in GRID]
+    side = [F.struct(F.lit(i).alias("config"), F.coalesce(I.cross(f"s{f}", f"s{s}"), F.lit(0.0)).alias("side")) for i, f, s in GRID]
     w = Window.partitionBy("config", "instrument").orderBy("ts")
     p = b.select("instrument", "ts", "r", F.explode(F.array(*side)).alias("c")).select("instrument", "ts", "r", "c.config", "c.side")
     p = p.withColumns({"held": F.coalesce(F.lag("side").over(w), F.lit(0.0)), "had": F.coalesce(F.lag("side", 2).over(w), F.lit(0.0))})

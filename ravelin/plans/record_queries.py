@@ -197,7 +197,7 @@ def config_nets(spark: SparkSession, sf: str) -> DataFrame:
     """(peer, config, day, market, r): on each region, yesterday's side times the day's damped return (market), less costs."""
     b = V.bars_region(spark, sf).withColumn("r", F.coalesce((F.col("close") / F.lag("close").over(I.own()) - 1) * 0.02, F.lit(0.0)))
     b = b.select("instrument", "ts", "r", *(I.sma("close", n).alias(f"s{n}") for n in FASTS + SLOWS))
-    side = [F.struct(F.lit(i).alias("config"), F.coalesce(F.signum(F.col(f"s{f}") - F.col(f"s{s}")), F.lit(0.0)).alias("side")) for i, f, s in GRID]
+    side = [F.struct(F.lit(i).alias("config"), F.coalesce(I.cross(f"s{f}", f"s{s}"), F.lit(0.0)).alias("side")) for i, f, s in GRID]
     long_ = b.select("instrument", "ts", "r", F.explode(F.array(*side)).alias("c")).select("instrument", "ts", "r", "c.config", "c.side")
     w = Window.partitionBy("config", "instrument").orderBy("ts")
     held = F.coalesce(F.lag("side").over(w), F.lit(0.0))

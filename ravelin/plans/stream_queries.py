@@ -99,8 +99,8 @@ def forward_plans(spark: SparkSession, sf: str) -> DataFrame:
     from ravelin.sources.store import kept
 
     root = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
-    gap = I.sma("close", 10) - I.sma("close", 100)
-    t = kept(V.bars_region(spark, sf).select("instrument", "ts", F.coalesce(F.signum(gap), F.lit(0.0)).alias("weight")), "targets")
+    side = I.cross(I.sma("close", 10), I.sma("close", 100))
+    t = kept(V.bars_region(spark, sf).select("instrument", "ts", F.coalesce(side, F.lit(0.0)).alias("weight")), "targets")
     ends = t.groupBy(F.year("ts").alias("year")).agg(F.max("ts").alias("ts"))
     for i, row in enumerate(sorted(ends.collect(), key=lambda r: r.ts)):  # a year's last bar each
         for _ in range(1 + i % 2):
