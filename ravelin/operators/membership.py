@@ -3,15 +3,18 @@
 A month begins with a ranking by what was traded before it: names that are well inside stay or come, members near the edge
 stay, and the list is filled from the best. A member that stops printing in mid-month is replaced by the best of the month's
 ranking that is neither a member nor silent. Rankings and silences are made by windows on each name's own bars; only they
-(a row per name and month, and per silence), not bars, meet in a list's group.
+(a row per name and month, and per silence), not bars, meet in a list's stream, which is read in order of time.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import datetime
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,41 +57,75 @@ def silences(bars: DataFrame, quiet: int = QUIET) -> DataFrame:
     return b.where("end IS NULL OR end > start").join(F.broadcast(last), "list").where("start <= last").drop("last")  # a row per list
 
 
+class Members:
+    """One list, from moment to moment: a ranking's names in order, or names that fell silent, each with its end.
+
+    It holds the names of the month and the last silence of each name, not their histories.
+    """
+
+    def __init__(self, name: str, n: int, band: float) -> None:
+        self.name, self.n, self.core, self.edge = name, n, int(n / band), int(n * band)
+        self.members, self.since, self.order, self.silent_to = [], {}, [], {}
+
+    def turn(self, at: datetime, ranks: bool, group: list[tuple[str, datetime | None]]) -> list[tuple]:
+        """Memberships that end at a moment."""
+        if ranks:
+            self.order = [x for x, _ in group]
+            core = self.order[: self.core]
+            new = (core + [x for x in self.order[len(core) : self.edge] if x in self.members])[: self.n]
+            return self._become(new + list(islice((x for x in self.order if x not in new), self.n - len(new))), at)
+        self.silent_to.update(group)
+        gone = {x for x, _ in group}.intersection(self.members)
+        if not gone:
+            return []
+        stay = [x for x in self.members if x not in gone]
+        return self._become(stay + list(islice((x for x in self.order if x not in stay and not self._silent(x, at)), len(gone))), at)
+
+    def rest(self) -> list[tuple]:
+        """Memberships that last."""
+        return [(self.name, x, self.since[x], None) for x in self.members]
+
+    def _silent(self, x: str, at: datetime) -> bool:
+        return x in self.silent_to and (self.silent_to[x] is None or self.silent_to[x] > at)
+
+    def _become(self, new: list[str], at: datetime) -> list[tuple]:
+        over = [(self.name, x, self.since.pop(x), at) for x in self.members if x not in new]
+        self.since.update({x: at for x in new if x not in self.since})
+        self.members = new
+        return over
+
+
+def _spans(rows: list[tuple]) -> pa.RecordBatch:
+    stamp = pa.timestamp("us", tz="UTC")
+    columns = zip(*rows, strict=True) if rows else ((),) * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), stamp, stamp), strict=True)], ["list", "instrument", "start", "end"])
+
+
 def spans_of_members(bars: DataFrame, n: int, band: float = BAND, season: int = SEASON, quiet: int = QUIET) -> DataFrame:
     """(list, instrument, start, end) of memberships in each list's n; end is null while they last. bars: list, instrument, ts, dollar_volume."""
     none = lambda c, t: F.lit(None).cast(t).alias(c)
     ranked = rankings(bars, season, quiet).select("list", "instrument", F.col("month").alias("at"), "rank", none("until", "timestamp"))
     silent = silences(bars, quiet).select("list", "instrument", F.col("start").alias("at"), none("rank", "int"), F.col("end").alias("until"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(first=pdf["rank"].notna()).sort_values(["at", "first", "rank", "instrument"], kind="stable")
-        members, since, order, silent_to, out = [], {}, [], {}, []
-
-        def become(new: list, at: pd.Timestamp) -> None:
-            nonlocal members
-            out.extend((name, since.pop(name), at) for name in members if name not in new)
-            since.update({name: at for name in new if name not in since})
-            members = new
-
-        for (at, ranks), g in pdf.groupby(["at", "first"], sort=True):
-            if ranks:
-                order = g["instrument"].tolist()
-                core = order[: int(n / band)]
-                new = (core + [x for x in order[len(core) : int(n * band)] if x in members])[:n]
-                become(new + [x for x in order if x not in new][: n - len(new)], at)
-                continue
-            for name, until in zip(g["instrument"], g["until"], strict=True):
-                silent_to[name] = until
-            gone = [x for x in g["instrument"] if x in members]
-            stay = [x for x in members if x not in gone]
-            free = [x for x in order if x not in stay and not (x in silent_to and (pd.isna(silent_to[x]) or silent_to[x] > at))]
-            become(stay + free[: len(gone)], at) if gone else None
-        rows = [*out, *((x, since[x], pd.NaT) for x in members)]
-        made = pd.DataFrame(rows, columns=["instrument", "start", "end"]).assign(list=pdf["list"].iloc[0])
-        return made.astype({"start": "datetime64[us]", "end": "datetime64[us]"})[["list", "instrument", "start", "end"]]
-
-    events = ranked.unionByName(silent)
-    return events.groupBy("list").applyInPandas(run, "list string, instrument string, start timestamp, end timestamp")  # a list's names by month, not its bars
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group, machine = None, [], None
+        for b in batches:
+            out: list[tuple] = []
+            for of, at, first, instrument, until in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (of, at, first) != now:
+                    if now:
+                        out.extend(machine.turn(now[1], now[2], group))
+                        out.extend(machine.rest() if now[0] != of else ())
+                    machine = Members(of, n, band) if not now or now[0] != of else machine
+                    now, group = (of, at, first), []
+                group.append((instrument, until))
+            yield _spans(out)
+        if now:
+            yield _spans([*machine.turn(now[1], now[2], group), *machine.rest()])
+
+    events = ranked.unionByName(silent).withColumn("first", F.col("rank").isNotNull())
+    ordered = events.repartition("list").sortWithinPartitions("list", "at", "first", "rank", "instrument")
+    return ordered.select("list", "at", "first", "instrument", "until").mapInArrow(run, "list string, instrument string, start timestamp, end timestamp")
 
 
 def members_by_day(bars: DataFrame, spans: DataFrame) -> DataFrame:

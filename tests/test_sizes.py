@@ -1,4 +1,4 @@
-"""What larger tables and odd moments showed: equal averages, and seconds at the edge of a span."""
+"""What larger tables and odd moments showed: equal averages, seconds at the edge of a span, lists of many names."""
 
 from datetime import datetime, timedelta
 
@@ -6,6 +6,7 @@ import duckdb
 import pandas as pd
 
 from ravelin.functions import indicators as I
+from ravelin.plans.catalog import ORACLE, QUERIES
 
 DAY = datetime(2024, 1, 1)
 
@@ -21,7 +22,6 @@ def test_averages_that_differ_by_rounding_give_no_side(spark):
 
 def test_change_log_is_cut_at_the_nearest_second(spark):
     """The newest is at .7 of a second; a day before it .3 and .5 are of an even second, .5 and .6 of the next."""
-    from ravelin.plans.catalog import ORACLE
     from ravelin.streaming.upkeep import recent_changes
 
     micros = [0, 300_000, 500_000, 700_000, 999_999, 1_000_000, 1_300_000, 1_500_000, 1_700_000, 2_500_000]
@@ -31,3 +31,22 @@ def test_change_log_is_cut_at_the_nearest_second(spark):
     (want,) = duckdb.query(ORACLE["change_log_kept"]).fetchall()
     ids = sorted(r.event_id for r in got.collect())
     assert (len(ids), ids[0]) == want[1:]
+
+
+def test_members_are_streamed_and_lists_kept_apart(spark, sf):
+    """No list's events meet in one pandas group, and lists that share a task, over batches of few rows, give what SQL gives."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        out = QUERIES["list_members"](spark, sf)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        got = sorted((r.list, r.instrument, r.start, r.end is None, r.end) for r in out.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    duck = duckdb.connect()
+    for t in ("lineitem", "supplier", "nation", "region"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = sorted((a, b, s, e is None, e) for a, b, s, e in duck.execute(ORACLE["list_members"]).fetchall())
+    assert "FlatMapGroupsInPandas" not in plan and got == want and len(want) > 5
