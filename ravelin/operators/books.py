@@ -107,16 +107,18 @@ def walked(pdf: pd.DataFrame, kind: str, params: dict[str, Any], costs: Costs, d
 
 def wanted_books(
     bars: DataFrame, positions: DataFrame, configs: DataFrame, member: DataFrame | None = None, carry: DataFrame | None = None, quotes: DataFrame | None = None,
-    inside: DataFrame | None = None,
+    inside: DataFrame | None = None, names: DataFrame | None = None,
 ) -> DataFrame:
     """The rows of every configuration's book. positions: signal, instrument, ts, position; configs: config, signal[, variant].
 
     member: instrument, ts, listed; carry: instrument, ts, funding, dividend; quotes: instrument, ts, rate. Without them all
     names are listed, pay nothing and cost the flat rate. inside: instrument, ts, variant, exit_px, held, from minutes.
+    names: the instruments that a book may hold; others don't come into it, but their days do.
     """
     from ravelin.operators.states import liquidity
 
-    base = liquidity(bars, SEASON).select("instrument", "ts", "open", "high", "low", "close", F.col("liquidity").alias("money"))
+    of = bars if names is None else bars.join(names, "instrument", "left_semi")
+    base = liquidity(of, SEASON).select("instrument", "ts", "open", "high", "low", "close", F.col("liquidity").alias("money"))
     given = [(member, {"listed": "listed"}), (carry, {"funding": "funding", "dividend": "dividend"}), (quotes, {"rate": "quoted"})]
     for table, names in given:
         if table is None:
@@ -124,15 +126,40 @@ def wanted_books(
         else:
             base = base.join(table.select("instrument", "ts", *(F.col(c).cast("double").alias(to) for c, to in names.items())), ["instrument", "ts"], "left")
     books = base.join(positions, ["instrument", "ts"]).join(F.broadcast(configs), "signal").drop("signal")  # a grid: as many rows as configurations
-    if inside is None:
-        return books.drop("variant")
-    return books.join(inside.select("instrument", "ts", "variant", "exit_px", "held"), ["instrument", "ts", "variant"], "left").drop("variant")
+    if inside is not None:
+        books = books.join(inside.select("instrument", "ts", "variant", "exit_px", "held"), ["instrument", "ts", "variant"], "left")
+    if names is not None:
+        days = other_days(bars).join(F.broadcast(configs.select("config")))  # the calendar, for each configuration
+        books = books.unionByName(days, allowMissingColumns=True)
+    return books.drop("variant")
+
+
+def ever_listed(bars: DataFrame, member: DataFrame) -> DataFrame:
+    """(instrument): names that are listed on any of their bars, or of which a bar has no membership."""
+    on = bars.select("instrument", "ts").join(member.select("instrument", "ts", F.col("listed").cast("double").alias("listed")), ["instrument", "ts"], "left")
+    return on.groupBy("instrument").agg(F.max(F.coalesce("listed", F.lit(1.0))).alias("most")).where("most > 0").select("instrument")
+
+
+def held_by(bars: DataFrame, member: DataFrame) -> DataFrame:
+    """(instrument): names that a list's book may hold, and the first of all, which carries the calendar."""
+    return ever_listed(bars, member).union(bars.agg(F.min("instrument"))).distinct()
+
+
+def other_days(bars: DataFrame) -> DataFrame:
+    """(instrument, ts): days without a bar of the first name of all, under that name. With a name's own bars they make the whole calendar."""
+    first = bars.agg(F.min("instrument").alias("instrument"))  # one row
+    days = bars.groupBy("ts").agg(F.min("instrument").alias("_least"))
+    return days.join(F.broadcast(first)).where("_least <> instrument").select("instrument", "ts")
 
 
 def bought_and_held(bars: DataFrame, rate: float, since: Any, member: DataFrame | None = None) -> DataFrame:
     """(ts, net) of equal money in the list's members from a moment on: the account that a strategy is measured against."""
     base = bars.select("instrument", "ts", "open", "close")
-    base = base.join(member.select("instrument", "ts", F.col("listed").cast("double").alias("listed")), ["instrument", "ts"], "left") if member is not None else base.withColumn("listed", F.lit(1.0))
+    if member is None:
+        base = base.withColumn("listed", F.lit(1.0))
+    else:
+        named = base.join(held_by(bars, member), "instrument", "left_semi").join(member.select("instrument", "ts", F.col("listed").cast("double").alias("listed")), ["instrument", "ts"], "left")
+        base = named.unionByName(other_days(bars), allowMissingColumns=True)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         ts, _, (o, c, listed) = matrix(pdf, "open", "close", "listed")

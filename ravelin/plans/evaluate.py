@@ -18,7 +18,7 @@ from ravelin.operators import selection as S
 from ravelin.operators import walks as K
 from ravelin.operators.intrabar import exits_inside
 from ravelin.operators.joins import as_of
-from ravelin.plans.strategies import DAILY, Strategy
+from ravelin.plans.strategies import ALONE, DAILY, Strategy
 from ravelin.sources.store import kept
 
 
@@ -46,6 +46,8 @@ def books_of(
 
     minutes: bars of a minute; with them exits are walked inside bars, once per signal and set of exits.
     """
+    names = kept(B.held_by(bars, member), "names") if member is not None else None
+    own = bars.join(names, "instrument", "left_semi") if names is not None and strategy.name in ALONE else bars
     signals: dict[str, tuple[int, dict]] = {}
     variants: dict[tuple, int] = {}
     of = []
@@ -54,7 +56,7 @@ def books_of(
         signal = signals.setdefault(repr(sorted(own_.items())), (len(signals), own_))[0]
         rule = B.rule_of(c)
         of.append((signal, None if rule == K.Exits() or minutes is None else variants.setdefault((signal, rule, c.get("trail_every") or "bar"), len(variants))))
-    each = [strategy.positions(bars, **params, **more).select(F.lit(i).alias("signal"), "instrument", "ts", "position") for i, params in signals.values()]
+    each = [strategy.positions(own, **params, **more).select(F.lit(i).alias("signal"), "instrument", "ts", "position") for i, params in signals.values()]
     positions = reduce(DataFrame.unionByName, each)
     table = bars.sparkSession.createDataFrame([(i, s, v) for i, (s, v) in enumerate(of)], "config int, signal int, variant int")
     inside = None
@@ -62,9 +64,9 @@ def books_of(
         positions = kept(positions, "positions")
         sides = positions.groupBy("instrument", "ts").agg(F.map_from_entries(F.collect_list(F.struct("signal", F.signum("position").alias("side")))).alias("of"))  # as many as signals
         sides = sides.select("instrument", "ts", F.array(*(F.coalesce(F.col("of")[s], F.lit(0.0)) for s, _, _ in variants)).alias("sides"))
-        measured = X.recursive(bars.select("instrument", "ts", "open", "high", "low", "close"), atr=("atr", B.ATR)).join(sides, ["instrument", "ts"], "left")
+        measured = X.recursive(own.select("instrument", "ts", "open", "high", "low", "close"), atr=("atr", B.ATR)).join(sides, ["instrument", "ts"], "left")
         inside = kept(exits_inside(measured, minutes, [r for _, r, _ in variants], [e for _, _, e in variants]), "inside")
-    return B.wanted_books(bars, positions, table, member, carry, quotes, inside)
+    return B.wanted_books(bars, positions, table, member, carry, quotes, inside, names)
 
 
 def daily_of(walks: DataFrame, value: Any = "net", length: str = "1 day") -> DataFrame:
@@ -102,8 +104,11 @@ def evaluate(bars: DataFrame, strategy: Strategy, configs: list[dict[str, Any]]
     market: class and timeframe of the bars, by which spans in days and months are turned into bars. length: how long
     after its stamp a bar closes, if it isn't as the market says.
 
-    Walks are written once to the shared folder; every figure and check reads them there.
+    Bars, what is given with them and walks are written once to the shared folder; every signal, figure and check reads them
+    there. Minutes are read where they lie.
     """
+    bars = kept(bars, "bars")
+    more = {k: kept(v, k) if isinstance(v, DataFrame) and k != "minutes" else v for k, v in more.items()}
     costs, length = costs or K.Costs(0.0005, 0.005), length or more.get("market", DAILY).length
     names = bars.select("instrument").distinct().count()
     configs = configs or strategy.configs(names)

@@ -48,7 +48,7 @@ def evaluate_xs(spark: SparkSession, sf: str) -> DataFrame:
 @query("evaluate_ibs_slots")
 def evaluate_ibs(spark: SparkSession, sf: str) -> DataFrame:
     """The whole grid of a rule with slots, on monthly lists of the most traded names."""
-    bars = V.bars_brand(spark, sf)
+    bars = kept(V.bars_brand(spark, sf), "bars")
     return card_of(spark, sf, "ibs", bars, member=top_members(bars, 10))
 
 
@@ -61,7 +61,7 @@ def evaluate_donchian(spark: SparkSession, sf: str) -> DataFrame:
 @query("evaluate_funding_carry")
 def evaluate_funding(spark: SparkSession, sf: str) -> DataFrame:
     """A panel on what positions pay: settlements enter the ranking, and the account by the bar they fall into."""
-    bars, paid = V.bars_nation(spark, sf), V.settlements(spark, sf)
+    bars, paid = kept(V.bars_nation(spark, sf), "bars"), kept(V.settlements(spark, sf), "settlements")
     carry = interval_sum(paid, bars)
     return card_of(spark, sf, "funding_carry", bars, settlements=paid, carry=carry)
 
@@ -88,9 +88,9 @@ def robustness(spark: SparkSession, sf: str) -> DataFrame:
     """Every check of a walk-forward on a Top-10 list, judged."""
     from ravelin.plans import robust
 
-    bars = V.bars_brand(spark, sf)
+    bars = kept(V.bars_brand(spark, sf), "bars")
     e = evaluate(bars, T.STRATEGIES["sma_cross"], member=top_members(bars, 10))
-    lists = {n: top_members(bars, n) for n in robust.next_to(10)}
+    lists = {n: kept(top_members(bars, n), "member") for n in robust.next_to(10)}
     tries, bar = robust.luck_bars(e)
     measured = robust.measure(e, tries, lists).withColumn("key", F.lit("sma_cross"))
     return rounded(robust.judged(measured, e.card.select("key", "sharpe"), bar))
@@ -196,7 +196,7 @@ def neighbour_lists(spark: SparkSession, sf: str) -> DataFrame:
     """A walk-forward on the lists next to a Top-10 list: whether its result hangs on the names at the list's edge."""
     from ravelin.plans.robust import next_to
 
-    bars, out = V.bars_brand(spark, sf), []
+    bars, out = kept(V.bars_brand(spark, sf), "bars"), []
     for n in next_to(10):
         e = evaluate(bars, T.STRATEGIES["gtaa_faber"], member=top_members(bars, n))
         out.append(M.core(e.out_of_sample).select(F.lit(n).alias("names"), "days", "sharpe", "cagr"))
