@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravelin.operators.joins import as_of
+from ravelin.sources.store import kept
 
 SEASON, QUIET, BAND = 90, 14, 1.5  # bars of the money that ranks; days without a bar that end a membership; how far members may fall
 
@@ -140,7 +141,7 @@ def members_by_day(bars: DataFrame, spans: DataFrame) -> DataFrame:
 def resolved(name: str, bars: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(bars of the list's names, their membership or None for all names at all times) of a spelled list. bars: list, instrument, ts, ..."""
     spec = spelled(name)
-    own = bars.where(F.col("list") == spec.base)
+    own = kept(bars.where(F.col("list") == spec.base), "list")
     if own.isEmpty():
         raise ValueError(f"no list is named {spec.base!r}")
     if spec.top is None:

@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 import duckdb
 import pandas as pd
+from pyspark.sql import functions as F
 
 from ravelin.functions import indicators as I
 from ravelin.plans.catalog import ORACLE, QUERIES
@@ -50,3 +51,24 @@ def test_members_are_streamed_and_lists_kept_apart(spark, sf):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = sorted((a, b, s, e is None, e) for a, b, s, e in duck.execute(ORACLE["list_members"]).fetchall())
     assert "FlatMapGroupsInPandas" not in plan and got == want and len(want) > 5
+
+
+def test_names_that_are_never_listed_leave_the_books_but_not_the_calendar(spark):
+    from ravelin.operators import books as B
+    from ravelin.operators.walks import Costs
+    from ravelin.plans.evaluate import books_of
+    from ravelin.plans.strategies import STRATEGIES
+
+    days = [DAY + timedelta(days=i) for i in range(12)]
+    prints = {"a": range(0, 12, 3), "b": [i for i in range(12) if i != 5], "c": range(12), "d": range(12)}  # a and d are never listed; b alone is from day 3 on
+    rows = [(n, days[i], 10.0 + i, 11.0 + i, 9.0 + i, 10.0 + (i * 7 % 5), 1.0, 10.0) for n, at in prints.items() for i in at]
+    bars = spark.createDataFrame(rows, "instrument string, ts timestamp, open double, high double, low double, close double, volume double, dollar_volume double")
+    member = bars.select("instrument", "ts", ((F.col("instrument") == "b") & (F.col("ts") >= days[3])).alias("listed"))
+    s = STRATEGIES["ibs"]
+    configs = s.configs()[:2]
+    books = books_of(bars, s, configs, member)
+    assert {r.instrument for r in books.where("close IS NOT NULL").select("instrument").distinct().collect()} == {"a", "b"}  # a, the first of all, carries the calendar
+    got = B.run_books(books, s.kind, configs, Costs())
+    whole = B.wanted_books(bars, s.positions(bars).withColumn("signal", F.lit(0)), spark.createDataFrame([(0, 0), (1, 0)], "config int, signal int"), member)
+    as_rows = lambda d: [(r.config, r.ts, round(r.net, 12)) for r in d.orderBy("config", "ts").collect()]
+    assert as_rows(got) == as_rows(B.run_books(whole, s.kind, configs, Costs())) and got.count() == 24
