@@ -24,8 +24,8 @@ def folds(record: DataFrame, first: int = FIRST, step: int = STEP, train: int |
     days = F.datediff("hi", "lo") + 1
     n = F.ceil((days - first) / step).cast("int")
     return span.where(days > first).select("lo", "hi", F.explode(F.sequence(F.lit(0), n - 1)).alias("fold")).select(
-        "fold", F.col("lo").alias("train_start"), F.timestamp_seconds(F.unix_seconds("lo") + (first + F.col("fold") * step) * 86400).alias("test_start"),
-        F.least(F.timestamp_seconds(F.unix_seconds("lo") + (first + (F.col("fold") + 1) * step) * 86400), F.timestamp_seconds(F.unix_seconds("hi") + 86400)).alias("test_end"),
+        "fold", F.col("lo").alias("train_start"), F.timestamp_seconds(F.unix_seconds("lo") + (first + F.col("fold").cast("long") * step) * 86400).alias("test_start"),
+        F.least(F.timestamp_seconds(F.unix_seconds("lo") + (first + (F.col("fold").cast("long") + 1) * step) * 86400), F.timestamp_seconds(F.unix_seconds("hi") + 86400)).alias("test_end"),
     )
 
 

@@ -5,6 +5,7 @@ Each check is a small DataFrame (check, figure, value); `judged` turns the figur
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -71,13 +72,13 @@ def plateau(e: Evaluation) -> DataFrame:
 
 
 def replayed(e: Evaluation, strategy: Strategy, configs: list[dict], delay: int = 0, books: DataFrame | None = None) -> DataFrame:
-    """The out-of-sample record of the same choices under other books."""
+    """The out-of-sample record of the same choices under other books; their accounts' days are written once."""
     from ravelin.plans.evaluate import books_of
 
     more = {k: v for k, v in e.more.items() if k not in ("bars", "length")}
     books = books if books is not None else books_of(e.more["bars"], strategy, configs, **more)
     used = books.join(e.chosen.select("config").distinct(), "config", "left_semi") if len(e.configs) > 1 else books
-    return stitch(e, daily_of(B.run_books(used, strategy.kind, configs, e.costs, delay), length=e.more["length"]))
+    return stitch(e, kept(daily_of(B.run_books(used, strategy.kind, configs, e.costs, delay), length=e.more["length"]), "replayed"))
 
 
 def luck_bars(e: Evaluation, extra: int = 0, draws: int = L.DRAWS) -> tuple[float, float]:
@@ -93,6 +94,9 @@ def measure(e: Evaluation, tries: float = 100, lists: dict[int, DataFrame] | Non
     """(check, figure, value) of every check that applies. tries: evaluations made, which the luck check counts.
 
     lists: memberships of the neighbouring lists by length; base: the rule under a model.
+
+    Each check's few figures are written as it is made: one plan of all checks has thousands of nodes, which the driver would
+    have to hold and describe anew after each of its stages.
     """
     oos = kept(e.out_of_sample, "measured")
     mc = L.monte_carlo(oos).where("figure = 'sharpe'")
@@ -124,13 +128,14 @@ def measure(e: Evaluation, tries: float = 100, lists: dict[int, DataFrame] | Non
         near = evaluate(e.more["bars"], e.strategy, e.configs, e.costs, **({k: v for k, v in e.more.items() if k != "bars"} | {"member": member}))
         out.append(figures(earnings(near.out_of_sample.withColumn("key", F.lit(str(n)))), "neighbour_lists", near_sharpe=F.col("sharpe"), near_cagr=F.col("cagr")))
     if base is not None:
-        for seed in SEEDS:
-            got = earnings(replayed(e, e.strategy, [c | {"seed": seed} for c in e.configs]))
-            out.append(figures(got, "seeds", near_sharpe=F.col("sharpe"), near_cagr=F.col("cagr")))
+        with ThreadPoolExecutor(4) as jobs:  # seeds know nothing of each other
+            seeded = list(jobs.map(lambda seed: replayed(e, e.strategy, [c | {"seed": seed} for c in e.configs]), SEEDS))
+        out += [figures(earnings(got), "seeds", near_sharpe=F.col("sharpe"), near_cagr=F.col("cagr")) for got in seeded]
         plain = replayed(e, base, [{k: v for k, v in c.items() if k != "threshold"} for c in e.configs])
         t = L.paired(oos.withColumnRenamed("r", "a").join(plain.select("day", F.col("r").alias("b")), "day", "left"))
         out.append(figures(t, "vs_rule", t=F.col("t"), plain=F.col("sharpe_other")))
-    return reduce(DataFrame.unionByName, out)
+    with ThreadPoolExecutor(4) as jobs:  # checks know nothing of each other, and each is a few short jobs
+        return reduce(DataFrame.unionByName, list(jobs.map(lambda made: kept(made, "check"), out)))
 
 
 def judged(measured: DataFrame, sharpe: DataFrame, bar: float) -> DataFrame:

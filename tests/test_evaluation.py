@@ -14,6 +14,7 @@ from ravelin.operators import selection as S
 from ravelin.operators.intrabar import exits_inside
 from ravelin.operators.walks import Costs, Exits, account, exits, nearest
 from ravelin.plans import robust
+from ravelin.plans.evaluate import evaluate, records_of
 from ravelin.plans.strategies import STRATEGIES, graded, grades, own_trades
 
 DAY = datetime(2020, 1, 1)
@@ -104,6 +105,32 @@ def test_one_model_of_all_names_finds_a_planted_edge(spark):
     assert set(took.position.unique()) <= {0.0, 1.0} and 0 < took.position.sum() < 4 * 150
 
 
+def test_refits_are_dealt_to_tasks_and_reach_far_days(spark):
+    """Refits are spread over tasks, however small they are; days that lie more seconds apart than an int holds are days as well."""
+    bars = trade_bars(spark, True)
+    assert grades(bars).select(F.spark_partition_id()).distinct().count() > 1
+    far = bars.unionByName(bars.where("instrument = 'n0'").orderBy("ts").limit(1).withColumns({"ts": F.lit("1900-01-01").cast("timestamp"), "position": F.lit(0.0)}))
+    assert grades(far).where("p IS NOT NULL").count() > 100
+    days = spark.createDataFrame([(datetime(1900, 1, 1), 0.0), (DAY, 0.0)], "day timestamp, r double")
+    last = S.folds(days).orderBy(F.desc("fold")).first()
+    assert last.test_start <= DAY < last.test_end == DAY + timedelta(days=1)
+
+
+def test_checks_are_written_as_they_are_made(spark):
+    """The plan of all checks of a model, those of other seeds among them, reads a few rows of each and runs nothing anew."""
+    s = STRATEGIES["ibs_ml_filter"]
+    e = evaluate(trade_bars(spark, True).drop("position"), s, [s.configs()[0]])
+    measured = robust.measure(e, base=robust.base_of(s.name))
+    plan = measured._jdf.queryExecution().toString()
+    assert "Pandas" not in plan and "Exchange" not in plan and len(plan) < 100_000
+    rows = measured.toPandas()
+    got = rows[rows.check == "seeds"].groupby("figure").value.count().to_dict()
+    assert got == {"near_sharpe": len(robust.SEEDS), "near_cagr": len(robust.SEEDS)}
+    want = sorted(r.sharpe for seed in robust.SEEDS for r in robust.earnings(robust.stitch(e, records_of(e.more["bars"], s, [e.configs[0] | {"seed": seed}], e.costs))).collect())
+    assert np.allclose(sorted(rows[(rows.check == "seeds") & (rows.figure == "near_sharpe")].value), want)
+    assert {"luck", "vs_hold", "timing", "eras", "best_year", "names", "costs", "delay", "vs_rule"} <= set(rows.check)
+
+
 def test_trades_are_entered_and_left_at_next_opens(spark):
     bars = bars_of(spark, ["a"], [[10, 11, 12, 13, 14, 15]], [[10, 11, 12, 13, 14, 15]], [[0, 1, 1, 0, 0, 1]])
     t = own_trades(bars).orderBy("decided").toPandas()
