@@ -171,7 +171,7 @@ def bought_and_held(bars: DataFrame, rate: float, since: Any, member: DataFrame
     return base.groupBy(F.lit("list").alias("book")).applyInPandas(lambda pdf: one(pdf), "ts timestamp, net double")  # a list's account couples its names
 
 
-def run_books(books: DataFrame, kind: str, params: list[dict[str, Any]], costs: Costs, delay: int = 0) -> DataFrame:
+def run_books(books: DataFrame, kind: str, params: list[dict[str, Any]] | dict[int, dict[str, Any]], costs: Costs, delay: int = 0) -> DataFrame:
     """(config, ts, net, gross, cost, carry, turnover, exposure, unfunded) of each configuration's account."""
     names = ("net", "gross", "cost", "carry", "turnover", "exposure", "unfunded")
 
@@ -179,7 +179,8 @@ def run_books(books: DataFrame, kind: str, params: list[dict[str, Any]], costs:
         ts, _, _, a = walked(pdf, kind, params[int(pdf["config"].iloc[0])], costs, delay)
         return pd.DataFrame({"config": pdf["config"].iloc[0], "ts": ts} | {n: getattr(a, n) for n in names})
 
-    return books.groupBy("config").applyInPandas(one, "config int, ts timestamp, " + ", ".join(f"{n} double" for n in names))
+    spread = books.repartition(4 * books.sparkSession.sparkContext.defaultParallelism, "config")  # little data, much work: not to be coalesced
+    return spread.groupBy("config").applyInPandas(one, "config int, ts timestamp, " + ", ".join(f"{n} double" for n in names))
 
 
 def held_weights(books: DataFrame, kind: str, params: list[dict[str, Any]], costs: Costs) -> DataFrame:

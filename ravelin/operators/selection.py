@@ -94,15 +94,18 @@ def beats_on_peers(record: DataFrame, hold: DataFrame, fold: DataFrame, share: f
     return judged.where(good).select("fold", "config", F.when(F.col("judged") >= least, F.col("judged")).otherwise(0).alias("judged"))
 
 
-def stitched(record: DataFrame, fold: DataFrame, chosen: DataFrame, cost: float = 0.0) -> DataFrame:
-    """(day, fold, config, r) of the chosen configurations' test days; a switch is paid on a test's first day."""
+def stitched(record: DataFrame, fold: DataFrame, chosen: DataFrame, cost: float = 0.0, by: list[str] | None = None) -> DataFrame:
+    """(day, fold, config, r) of the chosen configurations' test days; a switch is paid on a test's first day.
+
+    by: columns of several records of the same configurations, stitched by the same choices each; they come first."""
     picked = fold.join(chosen.select("fold", "config"), "fold", "left")
     before = F.lag("config").over(Window.orderBy("fold"))  # as long as the folds
     picked = picked.withColumn("switch", F.coalesce(before != F.col("config"), F.lit(False)))
     days = picked.select("fold", "config", "switch", F.col("test_start").alias("first"), F.explode(F.sequence("test_start", F.expr("test_end - INTERVAL 1 DAY"), F.expr("INTERVAL 1 DAY"))).alias("day"))
-    out = days.join(record, ["config", "day"], "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
+    days = days.join(F.broadcast(record.select(*by).distinct())) if by else days  # the calendar, for each record
+    out = days.join(record, ["config", "day", *(by or [])], "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
     paid = F.when(F.col("switch") & (F.col("day") == F.col("first")), (1 + F.col("r")) * (1 - cost) - 1).otherwise(F.col("r"))
-    return out.select("day", "fold", "config", paid.alias("r"))
+    return out.select(*(by or []), "day", "fold", "config", paid.alias("r"))
 
 
 def block_sums(record: DataFrame, blocks: int) -> DataFrame:

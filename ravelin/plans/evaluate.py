@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timedelta
-from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -39,26 +38,26 @@ class Evaluation:
 
 
 def books_of(
-    bars: DataFrame, strategy: Strategy, configs: list[dict[str, Any]], member: DataFrame | None = None, carry: DataFrame | None = None, quotes: DataFrame | None = None,
+    bars: DataFrame, strategy: Strategy, configs: list[dict[str, Any]] | dict[int, dict[str, Any]], member: DataFrame | None = None, carry: DataFrame | None = None, quotes: DataFrame | None = None,
     minutes: DataFrame | None = None, **more: Any,
 ) -> DataFrame:
     """The rows of every configuration's book: positions are made once for configurations that differ in the account's axes only.
 
-    minutes: bars of a minute; with them exits are walked inside bars, once per signal and set of exits.
+    configs: in order, or by their numbers. minutes: bars of a minute; with them exits are walked inside bars, once per signal and set of exits.
     """
     names = kept(B.held_by(bars, member), "names") if member is not None else None
     own = bars.join(names, "instrument", "left_semi") if names is not None and strategy.name in ALONE else bars
     signals: dict[str, tuple[int, dict]] = {}
     variants: dict[tuple, int] = {}
     of = []
-    for c in configs:
+    numbered = configs if isinstance(configs, dict) else dict(enumerate(configs))
+    for i, c in numbered.items():
         own_ = strategy.signal(c)
         signal = signals.setdefault(repr(sorted(own_.items())), (len(signals), own_))[0]
         rule = B.rule_of(c)
-        of.append((signal, None if rule == K.Exits() or minutes is None else variants.setdefault((signal, rule, c.get("trail_every") or "bar"), len(variants))))
-    each = [strategy.positions(own, **params, **more).select(F.lit(i).alias("signal"), "instrument", "ts", "position") for i, params in signals.values()]
-    positions = reduce(DataFrame.unionByName, each)
-    table = bars.sparkSession.createDataFrame([(i, s, v) for i, (s, v) in enumerate(of)], "config int, signal int, variant int")
+        of.append((i, signal, None if rule == K.Exits() or minutes is None else variants.setdefault((signal, rule, c.get("trail_every") or "bar"), len(variants))))
+    positions = strategy.positions_of(own, [params for _, params in signals.values()], **more)
+    table = bars.sparkSession.createDataFrame(of, "config int, signal int, variant int")
     inside = None
     if variants:
         positions = kept(positions, "positions")
@@ -136,9 +135,8 @@ def alone(bars: DataFrame, strategy: Strategy, costs: K.Costs | None = None, **m
     params = replace(strategy, grid=grid).configs()
     signals: dict[str, tuple[int, dict]] = {}
     of = [signals.setdefault(repr(sorted(own.items())), (len(signals), own))[0] for own in map(strategy.signal, params)]
-    each = [strategy.positions(bars, **p, **more).select(F.lit(i).alias("signal"), "instrument", "ts", "position") for i, p in signals.values()]
     table = bars.sparkSession.createDataFrame(list(enumerate(of)), "config int, signal int")
-    books = B.wanted_books(bars, reduce(DataFrame.unionByName, each), table)
+    books = B.wanted_books(bars, strategy.positions_of(bars, [p for _, p in signals.values()], **more), table)
 
     def one(pdf: Any) -> Any:
         ts, names, _, a = B.walked(pdf, strategy.kind, params[int(pdf["config"].iloc[0])], costs)

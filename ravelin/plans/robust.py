@@ -71,14 +71,13 @@ def plateau(e: Evaluation) -> DataFrame:
     return own.unionByName(figures(x.where(F.col("key") != str(top.config)), "plateau", near_sharpe=F.col("sharpe"), near_cagr=F.col("cagr")))
 
 
-def replayed(e: Evaluation, strategy: Strategy, configs: list[dict], delay: int = 0, books: DataFrame | None = None) -> DataFrame:
-    """The out-of-sample record of the same choices under other books; their accounts' days are written once."""
+def replayed(e: Evaluation, strategy: Strategy, configs: dict[int, dict], delay: int = 0, books: DataFrame | None = None) -> DataFrame:
+    """(config, day, r) of numbered configurations under other books, written once."""
     from ravelin.plans.evaluate import books_of
 
     more = {k: v for k, v in e.more.items() if k not in ("bars", "length")}
     books = books if books is not None else books_of(e.more["bars"], strategy, configs, **more)
-    used = books.join(e.chosen.select("config").distinct(), "config", "left_semi") if len(e.configs) > 1 else books
-    return stitch(e, kept(daily_of(B.run_books(used, strategy.kind, configs, e.costs, delay), length=e.more["length"]), "replayed"))
+    return kept(daily_of(B.run_books(books, strategy.kind, configs, e.costs, delay), length=e.more["length"]), "replayed")
 
 
 def luck_bars(e: Evaluation, extra: int = 0, draws: int = L.DRAWS) -> tuple[float, float]:
@@ -111,7 +110,9 @@ def measure(e: Evaluation, tries: float = 100, lists: dict[int, DataFrame] | Non
     out.append(figures(S.consistency(oos), "eras", rho=F.col("rho"), windows=F.col("windows")))
     out.append(figures(M.best_year(oos), "best_year", avg_monthly=F.col("avg_monthly"), rest=F.col("without")))
     # What was held, for the timing of the whole and what each name made.
-    held = B.held_weights(e.books.join(e.chosen.select("config").distinct(), "config", "left_semi") if len(e.configs) > 1 else e.books, e.strategy.kind, e.configs, e.costs)
+    taken = sorted(r.config for r in e.chosen.select("config").distinct().collect()) if len(e.configs) > 1 else [0]  # a grid's configurations at most
+    used = e.books.where(F.col("config").isin(taken)) if len(e.configs) > 1 else e.books
+    held = B.held_weights(used, e.strategy.kind, e.configs, e.costs)
     if len(e.configs) > 1:
         turns = e.folds.join(e.chosen.select("fold", "config"), "fold")
         held = held.join(F.broadcast(turns), "config").where((F.col("ts") >= F.col("test_start")) & (F.col("ts") < F.col("test_end")))  # the calendar over the step
@@ -123,18 +124,20 @@ def measure(e: Evaluation, tries: float = 100, lists: dict[int, DataFrame] | Non
     out.append(figures(traded.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("made") > 0).cast("double")).alias("share")), "names", share=F.col("share"), names=F.col("n")))
     stressed = daily_of(e.walks, (1 + F.col("gross")) * (1 - COST_MULTIPLE * F.col("cost")) - 1 - F.col("carry"), e.more["length"])
     out.append(figures(earnings(stitch(e, stressed, COST_MULTIPLE)), "costs", sharpe=F.col("sharpe"), cagr=F.col("cagr")))
-    out.append(figures(earnings(replayed(e, e.strategy, e.configs, 1, e.books)), "delay", sharpe=F.col("sharpe"), cagr=F.col("cagr")))
+    out.append(figures(earnings(stitch(e, replayed(e, e.strategy, dict(enumerate(e.configs)), 1, used))), "delay", sharpe=F.col("sharpe"), cagr=F.col("cagr")))
     for n, member in (lists or {}).items():
         near = evaluate(e.more["bars"], e.strategy, e.configs, e.costs, **({k: v for k, v in e.more.items() if k != "bars"} | {"member": member}))
         out.append(figures(earnings(near.out_of_sample.withColumn("key", F.lit(str(n)))), "neighbour_lists", near_sharpe=F.col("sharpe"), near_cagr=F.col("cagr")))
     if base is not None:
-        with ThreadPoolExecutor(4) as jobs:  # seeds know nothing of each other
-            seeded = list(jobs.map(lambda seed: replayed(e, e.strategy, [c | {"seed": seed} for c in e.configs]), SEEDS))
-        out += [figures(earnings(got), "seeds", near_sharpe=F.col("sharpe"), near_cagr=F.col("cagr")) for got in seeded]
-        plain = replayed(e, base, [{k: v for k, v in c.items() if k != "threshold"} for c in e.configs])
+        own, n = {i: e.configs[i] for i in taken or [0]}, len(e.configs)
+        seeded = replayed(e, e.strategy, {k * n + i: c | {"seed": seed} for k, seed in enumerate(SEEDS) for i, c in own.items()})
+        seeded = seeded.select(F.floor(F.col("config") / n).cast("string").alias("key"), (F.col("config") % n).alias("config"), "day", "r")
+        again = S.stitched(seeded, e.folds, e.chosen, e.costs.rate, ["key"]) if n > 1 else seeded
+        out.append(figures(earnings(again.select("key", "day", "r")), "seeds", near_sharpe=F.col("sharpe"), near_cagr=F.col("cagr")))
+        plain = stitch(e, replayed(e, base, {i: {k: v for k, v in c.items() if k != "threshold"} for i, c in own.items()}))
         t = L.paired(oos.withColumnRenamed("r", "a").join(plain.select("day", F.col("r").alias("b")), "day", "left"))
         out.append(figures(t, "vs_rule", t=F.col("t"), plain=F.col("sharpe_other")))
-    with ThreadPoolExecutor(4) as jobs:  # checks know nothing of each other, and each is a few short jobs
+    with ThreadPoolExecutor(2) as jobs:  # checks know nothing of each other, and each is a few short jobs; the driver holds the plans of those at work
         return reduce(DataFrame.unionByName, list(jobs.map(lambda made: kept(made, "check"), out)))
 
 

@@ -1,13 +1,18 @@
-"""What larger tables and odd moments showed: equal averages, seconds at the edge of a span, lists of many names."""
+"""What larger tables and odd moments showed: equal averages, seconds at the edge of a span, lists of many names, models of whole grids."""
 
 from datetime import datetime, timedelta
 
 import duckdb
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from ravelin.functions import indicators as I
+from ravelin.operators.walks import Costs
+from ravelin.plans import robust
 from ravelin.plans.catalog import ORACLE, QUERIES
+from ravelin.plans.evaluate import Evaluation, books_of, records_of, stitch
+from ravelin.plans.strategies import STRATEGIES
 
 DAY = datetime(2024, 1, 1)
 
@@ -90,3 +95,45 @@ def test_runs_share_states(spark, tmp_path):
         got.append(sorted((r.run, r.last_beat, r.interrupted) for r in S.drained(U.silent(stream, shares)).collect()))
     want = [(f"r{i}", at(120), False) for i in range(30)] + [(f"r{i}", at(241 + i), i >= 10) for i in range(30)] + [(f"r{i}", at(3000), True) for i in range(10)]
     assert got == [sorted(want)] * 2
+
+
+def dips(spark, names=5, n=700):
+    """Bars of names whose closes lie anywhere in their ranges and rise, more often than not, after low ones."""
+    rng, rows = np.random.default_rng(3), []
+    for k in range(names):
+        c, low = 100.0, False
+        for t in range(n):
+            c *= float(np.exp(rng.normal(0.006 if low else -0.001, 0.01)))
+            up, down = rng.uniform(0.001, 0.02, 2).tolist()
+            low = down < 0.25 * (up + down)
+            rows.append((f"n{k}", DAY + timedelta(days=t), c * (1 + (up - down) / 2), c * (1 + up), c * (1 - down), c, float(rng.uniform(50, 150)), 100 * c))
+    return spark.createDataFrame(rows, "instrument string, ts timestamp, open double, high double, low double, close double, volume double, dollar_volume double")
+
+
+def test_a_grid_of_a_model_is_made_once_per_rule_and_seed(spark):
+    """Whatever the number of thresholds and slots, a grid's books read the models' chances; positions are those of each set alone."""
+    s, bars = STRATEGIES["ibs_ml_filter"], dips(spark).localCheckpoint()
+    grid = [c for c in s.configs(4) if c["buy_below"] != 0.15 and c["sell_above"] == 0.75]
+    assert "Pandas" not in books_of(bars, s, grid)._jdf.queryExecution().toString()
+    sets = [{"buy_below": b, "sell_above": 0.75, "threshold": t, "seed": seed} for b, t, seed in ((0.25, 0.5, 7), (0.25, 0.6, 7), (0.2, 0.5, 7), (0.25, 0.5, 1))]
+    together = s.positions_of(bars, sets).toPandas().set_index(["signal", "instrument", "ts"]).position.sort_index()
+    assert together.groupby("signal").sum().nunique() > 2
+    for i, p in enumerate(sets):
+        alone = s.positions(bars, **p).toPandas().set_index(["instrument", "ts"]).position.sort_index()
+        assert (together[i].to_numpy() == alone.to_numpy()).all() and list(together[i].index) == list(alone.index)
+
+
+def test_other_seeds_of_chosen_configurations_are_stitched_as_one_alone(spark):
+    s, bars, costs = STRATEGIES["ibs_ml_filter"], dips(spark).localCheckpoint(), Costs(0.0005, 0.005)
+    configs = [c for c in s.configs(4) if c["buy_below"] == 0.25 and c["sell_above"] == 0.75 and c["slots"] is None][:3]
+    record = records_of(bars, s, configs, costs).localCheckpoint()
+    folds = robust.S.folds(record).localCheckpoint()
+    chosen = folds.select("fold", (F.col("fold") % 2 * 2).cast("int").alias("config"))
+    e = Evaluation(s, configs, bars, bars, record, folds, chosen, record, record, record, costs, {"bars": bars, "length": "1 day"})
+    n, own = 3, {i: configs[i] for i in (0, 2)}
+    seeded = robust.replayed(e, s, {k * n + i: c | {"seed": seed} for k, seed in enumerate((1, 2)) for i, c in own.items()})
+    keyed = seeded.select(F.floor(F.col("config") / n).cast("string").alias("key"), (F.col("config") % n).alias("config"), "day", "r")
+    got = {(r.key, r.day): r.r for r in robust.S.stitched(keyed, folds, chosen, costs.rate, ["key"]).collect()}
+    for k, seed in enumerate((1, 2)):
+        want = {(str(k), r.day): r.r for r in stitch(e, records_of(bars, s, [c | {"seed": seed} for c in configs], costs)).collect()}
+        assert {x: v for x, v in got.items() if x[0] == str(k)} == want and any(want.values())
