@@ -66,27 +66,31 @@ def forest(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH,
         rows = rng.choice(n, max(int(ROWS * n), 1), replace=False)
         use = np.sort(rng.choice(m, max(int(COLUMNS * m), 1), replace=False))
         c, good, at = code[rows][:, use], y[rows], np.zeros(len(rows), int)
+        place = 2 * (c + np.arange(len(use)) * width) + (good > 0)[:, None]  # of a row in its node's counts of bad and good outcomes by feature and bin
         for level in range(depth + 1):
-            first = 2**level - 1
-            wide = 2**level
-            here = at - first
-            live = (here >= 0) & (here < wide)
-            total, won = np.bincount(here[live], minlength=wide), np.bincount(here[live], good[live], wide)
+            first, wide = 2**level - 1, 2**level
+            live = np.flatnonzero(at >= first)
+            here = at[live] - first
+            total, won = np.bincount(here, minlength=wide), np.bincount(here, good[live], wide)
             share[t, first : first + wide] = np.where(total > 0, won / np.maximum(total, 1), share[t, (np.arange(first, first + wide) - 1) // 2] if level else y.mean())
             if level == depth:
                 break
-            flat = ((here[live][:, None] * len(use) + np.arange(len(use))) * width + c[live]).ravel()
-            count = np.bincount(flat, minlength=wide * len(use) * width).reshape(wide, len(use), width).cumsum(axis=2)
-            ones = np.bincount(flat, np.repeat(good[live], len(use)), wide * len(use) * width).reshape(wide, len(use), width).cumsum(axis=2)
+            wanted = np.flatnonzero(total >= 2 * leaf)  # others can't be split
+            if not len(wanted):
+                at[live] = -1
+                continue
+            live, here = live[total[here] >= 2 * leaf], here[total[here] >= 2 * leaf]
+            at_, n_ = np.searchsorted(wanted, here), len(wanted)
+            both = np.bincount((at_[:, None] * (2 * len(use) * width) + place[live]).ravel(), minlength=n_ * len(use) * width * 2)
+            both = both.reshape(n_, len(use), width, 2).cumsum(axis=2)
+            ones, count = both[..., 1].astype(float), both[..., 0] + both[..., 1]
             left, right = count[:, :, :-1], count[:, :, -1:] - count[:, :, :-1]
-            gain = np.where((left >= leaf) & (right >= leaf), ones[:, :, :-1] ** 2 / np.maximum(left, 1) + (ones[:, :, -1:] - ones[:, :, :-1]) ** 2 / np.maximum(right, 1), -1.0)
-            best = gain.reshape(wide, -1).argmax(axis=1)
-            f, k = np.unravel_index(best, gain.shape[1:])
-            split = gain.reshape(wide, -1)[np.arange(wide), best] > won**2 / np.maximum(total, 1) + 1e-12
-            feature[t, first : first + wide], cut[t, first : first + wide] = np.where(split, use[f], -1), k
-            go = live & split[np.clip(here, 0, wide - 1)]
-            right_side = c[np.arange(len(c)), f[np.clip(here, 0, wide - 1)]] > k[np.clip(here, 0, wide - 1)]
-            at = np.where(go, 2 * at + 1 + right_side, np.where(live, -1, at))
+            gain = np.where((left >= leaf) & (right >= leaf), ones[:, :, :-1] ** 2 / np.maximum(left, 1) + (ones[:, :, -1:] - ones[:, :, :-1]) ** 2 / np.maximum(right, 1), -1.0).reshape(n_, -1)
+            f, k = np.divmod(gain.argmax(axis=1), width - 1)
+            split = gain.max(axis=1) > won[wanted] ** 2 / total[wanted] + 1e-12
+            feature[t, first + wanted], cut[t, first + wanted] = np.where(split, use[f], -1), k
+            beyond = c[live, f[at_]] > k[at_]
+            at[live] = np.where(split[at_], 2 * at[live] + 1 + beyond, -1)
     return edges, feature, cut, share
 
 

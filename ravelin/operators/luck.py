@@ -268,11 +268,13 @@ def best_of_draws(record: DataFrame, extra: int, draws: int, seed: int) -> DataF
         known: dict = {}
         for b in batches:
             for (family, batch), g in b.groupby(["family", "batch"]):
-                best = np.full(BATCH, -np.inf)
+                best, at, numbers = np.full(BATCH, -np.inf), None, None
                 for days, r in zip(g["n"], g["r"], strict=True):
                     x = np.asarray(r, float) - np.mean(r)
                     size = sqrt(float(x @ x))
-                    numbers = _multipliers(seed, family, int(batch), np.asarray(days, np.int64), known)
+                    if at is None or not np.array_equal(at, days):  # records of one grid have the same days
+                        at = np.asarray(days, np.int64)
+                        numbers = _multipliers(seed, family, int(batch), at, known)
                     best = np.maximum(best, (x / size if size > 0 else np.full(len(x), 1 / sqrt(len(x)))) @ numbers)
                 yield pd.DataFrame({"family": [family], "batch": [batch], "best": [best], "tries": [len(g)]})
 

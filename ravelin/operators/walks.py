@@ -99,10 +99,13 @@ def account(
             want = np.where(grows, np.sign(want) * (np.where(want * pre < 0, 0.0, np.abs(pre)) + added * scale), want)
         filled = np.abs(want - pre)
         short = want < 0
-        more = short & (np.abs(want) > np.abs(np.minimum(pre, 0)) + 1e-15)
-        held = np.abs(np.minimum(pre, 0))
-        new_entry = np.where(held > 0, (held * np.nan_to_num(entry) + (np.abs(want) - held) * np.nan_to_num(opn[t])) / np.maximum(np.abs(want), 1e-300), opn[t])
-        entry = np.where(short, np.where(more & ok, new_entry, entry), np.nan)
+        if short.any():
+            more = short & (np.abs(want) > np.abs(np.minimum(pre, 0)) + 1e-15)
+            held = np.abs(np.minimum(pre, 0))
+            new_entry = np.where(held > 0, (held * np.nan_to_num(entry) + (np.abs(want) - held) * np.nan_to_num(opn[t])) / np.maximum(np.abs(want), 1e-300), opn[t])
+            entry = np.where(short, np.where(more & ok, new_entry, entry), np.nan)
+        else:
+            entry = np.full(m, np.nan)
         end = np.where(ok, close[t], np.nan)
         out_px = exit_px[t] if exit_px is not None else np.full(m, np.nan)
         level = 2 * entry
@@ -222,7 +225,8 @@ def seats(listed: np.ndarray, side: np.ndarray, liquidity: np.ndarray) -> np.nda
         same = side[t] == (side[t - 1] if t else 0)
         stays = sitting & (listed[t] | ((side[t] != 0) & same))
         queue = [j for j in queue if listed[t, j] and not stays[j]]
-        new = [j for j in np.lexsort((np.arange(m), -np.nan_to_num(liquidity[t]))) if listed[t, j] and not stays[j] and j not in queue]
+        waits = listed[t] & ~stays
+        new = [j for j in np.lexsort((np.arange(m), -np.nan_to_num(liquidity[t]))) if waits[j] and j not in queue] if waits.any() else []
         queue += new
         free = capacity - int(stays.sum())
         sitting = stays.copy()

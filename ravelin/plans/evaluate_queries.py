@@ -98,11 +98,11 @@ def robustness(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("robustness_ibs_ml_filter")
 def robustness_model(spark: SparkSession, sf: str) -> DataFrame:
-    """The checks of a model: other seeds, and the rule without it."""
+    """The checks of a model's whole grid: other seeds, and the rule without it, among them."""
     from ravelin.plans import robust
 
     s = T.STRATEGIES["ibs_ml_filter"]
-    e = evaluate(V.bars_region(spark, sf), s, [s.configs()[0]])
+    e = evaluate(V.bars_region(spark, sf), s)
     tries, bar = robust.luck_bars(e)
     measured = robust.measure(e, tries, base=robust.base_of(s.name)).withColumn("key", F.lit(s.name))
     return rounded(robust.judged(measured, e.card.select("key", "sharpe"), bar))

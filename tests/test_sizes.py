@@ -5,11 +5,12 @@ from datetime import datetime, timedelta
 import duckdb
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from ravelin.functions import indicators as I
 from ravelin.operators.walks import Costs
-from ravelin.plans import robust
+from ravelin.plans import evaluate_queries, robust
 from ravelin.plans.catalog import ORACLE, QUERIES
 from ravelin.plans.evaluate import Evaluation, books_of, records_of, stitch
 from ravelin.plans.strategies import STRATEGIES
@@ -137,3 +138,16 @@ def test_other_seeds_of_chosen_configurations_are_stitched_as_one_alone(spark):
     for k, seed in enumerate((1, 2)):
         want = {(str(k), r.day): r.r for r in stitch(e, records_of(bars, s, [c | {"seed": seed} for c in configs], costs)).collect()}
         assert {x: v for x, v in got.items() if x[0] == str(k)} == want and any(want.values())
+
+
+def test_robustness_of_a_model_takes_the_whole_grid(spark, sf, monkeypatch):
+    asked = []
+
+    def evaluated(bars, strategy, configs=None, **more):
+        asked.append(configs or strategy.configs(5))
+        raise InterruptedError
+
+    monkeypatch.setattr(evaluate_queries, "evaluate", evaluated)
+    with pytest.raises(InterruptedError):
+        evaluate_queries.robustness_model(spark, sf)
+    assert asked[0] == STRATEGIES["ibs_ml_filter"].configs(5) and len(asked[0]) == 90
