@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.operators.joins import next_bar
+from ravelin.operators.joins import next_bar, stacked
 from ravelin.operators.walks import Exits
 
 
@@ -83,7 +83,7 @@ def exits_inside(bars: DataFrame, minutes: DataFrame | None, rules: list[Exits],
     rows = bars.select("instrument", F.col("ts").alias("bar"), "ts", F.lit(1).alias("kind"), *price("open", "high", "low", "atr"), F.col("sides").cast("array<double>").alias("sides"))
     if minutes is not None:
         inside = next_bar(minutes, bars, "instrument", "ts", ["open", "high", "low"]).where("bar_ts IS NOT NULL")
-        rows = rows.unionByName(inside.select("instrument", F.col("bar_ts").alias("bar"), "ts", F.lit(0).alias("kind"), *price("open", "high", "low"), none.cast("double").alias("atr"), none.cast("array<double>").alias("sides")))
+        rows = stacked(rows, inside.select("instrument", F.col("bar_ts").alias("bar"), "ts", F.lit(0).alias("kind"), *price("open", "high", "low"), none.cast("double").alias("atr"), none.cast("array<double>").alias("sides")))
     count, each = len(rules), [e == "minute" for e in every]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

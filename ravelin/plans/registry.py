@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ravelin.operators.joins import unions_dealt_anew
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -18,7 +21,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"two queries are named {name}")
-        QUERIES[name] = f
+
+        @wraps(f)
+        def asked(spark: SparkSession, sf: str) -> DataFrame:
+            unions_dealt_anew(spark)
+            return f(spark, sf)
+
+        QUERIES[name] = asked
         if sql:
             ORACLE[name] = sql
         return f

@@ -6,10 +6,13 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ravelin.functions import indicators as I
-from ravelin.operators.walks import Costs
+from ravelin.operators.intrabar import exits_inside
+from ravelin.operators.joins import as_of
+from ravelin.operators.walks import Costs, Exits
 from ravelin.plans import evaluate_queries, robust
 from ravelin.plans.catalog import ORACLE, QUERIES
 from ravelin.plans.evaluate import Evaluation, books_of, records_of, stitch
@@ -151,3 +154,27 @@ def test_robustness_of_a_model_takes_the_whole_grid(spark, sf, monkeypatch):
     with pytest.raises(InterruptedError):
         evaluate_queries.robustness_model(spark, sf)
     assert asked[0] == STRATEGIES["ibs_ml_filter"].configs(5) and len(asked[0]) == 90
+
+
+def test_rows_of_a_key_meet_where_partitions_are_coalesced_by_their_sizes(spark):
+    """Both sides of a union come dealt by the key, the one much larger: each bar still meets its minutes, each question its answer."""
+    small = {"spark.sql.adaptive.coalescePartitions.minPartitionSize": "1b", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.unionOutputPartitioning": "true"}
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        w = Window.partitionBy("instrument").orderBy("ts")
+        name = F.concat(F.lit("n"), (F.col("id") % 9).cast("string")).alias("instrument")
+        stamp = lambda step: F.timestamp_seconds(F.unix_seconds(F.lit(DAY)) + (F.floor(F.col("id") / 9) + 1) * step).alias("ts")
+        bars = spark.range(9 * 50).select(name, stamp(3600), F.lit(100.0).alias("open"), F.lit(101.0).alias("high"), F.lit(99.0).alias("low"), F.lit(1.0).alias("atr"))
+        bars = bars.withColumn("nth", F.row_number().over(w)).withColumn("sides", F.array(F.when(F.col("nth") % 5 == 0, 0.0).otherwise(1.0)))
+        minutes = spark.range(9 * 50 * 60).select(name, stamp(60), F.lit(100.0).alias("open"), F.lit(101.0).alias("high"), F.lit(99.0).alias("low"))
+        minutes = minutes.withColumn("nth", F.row_number().over(w))
+        rows = exits_inside(bars, minutes, [Exits(stop=0.005)], ["bar"]).where("exit_px IS NOT NULL").collect()
+        assert len(rows) == 9 * 10 and all(r.exit_at == r.ts - timedelta(hours=1) for r in rows)
+        spark.conf.set("spark.sql.unionOutputPartitioning", "true")
+        found = as_of(minutes.select("instrument", "ts", "nth"), bars.select("instrument", F.col("ts").alias("at"), F.col("nth").alias("hour")), "instrument", "ts", "at", ["hour"])
+        assert found.where("hour IS NOT DISTINCT FROM nullif(floor(nth / 60), 0)").count() == 9 * 50 * 60
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
